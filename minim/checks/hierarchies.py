@@ -169,14 +169,14 @@ def audit_hierarchy(spark, sf_dir):
 
 
 @query("group_lca", f"""WITH {PEOPLE_LEVELS}
-SELECT segment, year, count(*) AS n,
-  CASE WHEN count(DISTINCT priority0) = 1 THEN min(priority0) WHEN count(DISTINCT priority1) = 1 THEN min(priority1) ELSE 'any' END AS priority__lca,
-  CASE WHEN count(DISTINCT nation0) = 1 THEN min(nation0) WHEN count(DISTINCT nation1) = 1 THEN min(nation1) ELSE 'any' END AS nation__lca
-FROM gen WHERE total > 499000 GROUP BY segment, year""")
+SELECT balance, count(*) AS n,
+  CASE WHEN count(priority0) = 0 THEN NULL WHEN count(DISTINCT priority0) = 1 THEN min(priority0)
+       WHEN count(DISTINCT priority1) = 1 THEN min(priority1) ELSE 'any' END AS priority__lca,
+  CASE WHEN count(DISTINCT year0) = 1 THEN min(year0) WHEN count(DISTINCT year1) = 1 THEN min(year1) ELSE 'any' END AS year__lca
+FROM gen GROUP BY balance""")
 def group_lca(spark, sf_dir):
     forest = people_forest()
-    df = people(spark, sf_dir).where("total > 499000")
-    return H.group_ancestors(df, ["segment", "year"], {a: forest[a] for a in ("priority", "nation")})
+    return H.group_ancestors(people(spark, sf_dir), ["balance"], {a: forest[a] for a in ("priority", "year")})
 
 
 @query("group_information_loss", f"""WITH {PEOPLE_LEVELS}, g AS (

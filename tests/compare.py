@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import signal
 import sys
 import time
 
@@ -63,7 +64,12 @@ def compare(spark, con, name, fn, sql, sf_dir):
     return None
 
 
+def overtime(*_):
+    raise TimeoutError("query took too long")
+
+
 def main(argv):
+    signal.signal(signal.SIGALRM, overtime)
     from minim.session import build_session
     import __spark_entry__ as entry
     sf_dir = f"/root/testdata/sf{argv[0]}"
@@ -75,10 +81,12 @@ def main(argv):
     bad = 0
     for name in names:
         start = time.time()
+        signal.alarm(int(os.environ.get("QUERY_SECONDS", "90")))
         try:
             problem = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), sf_dir)
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:900]}"
+        signal.alarm(0)
         bad += problem is not None
         kind = "S" if name in entry.oracle_sql() else "R"
         print(f"{'ok  ' if problem is None else 'FAIL'} {kind} {time.time() - start:6.1f}s {name} {problem or ''}", flush=True)

@@ -65,6 +65,16 @@ def attach(
     return out.select(*rows.columns, *[F.col("_found")[v].alias(v) for v in values])
 
 
+def attach_small(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, entries: int) -> DataFrame:
+    """`attach` for a written table of known length: one broadcast join while it is short."""
+    if entries > HEAVY_KEYS:
+        return attach(rows, table, keys, weight)
+    named = table.select(*[F.col(k).alias(f"_s_{k}") for k in keys],
+                         *[c for c in table.columns if c not in keys])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys])
+    return rows.join(F.broadcast(named), cond, "left").drop(*[f"_s_{k}" for k in keys])
+
+
 def rank_by_key(
     rows: DataFrame, group: Sequence[str], key: str, name: str = "rank", digits: int | None = None,
 ) -> DataFrame:
@@ -194,7 +204,7 @@ def global_index(
 def running_sums(
     table: DataFrame, group: Sequence[str], order: str, values: Sequence[str], rows_per_group: int,
 ) -> DataFrame:
-    """Cumulative sums `<value>_upto` within `group`, in `order`.
+    """Cumulative sums `<value>_upto` and totals `<value>_total` within `group`, in `order`.
 
     `rows_per_group` is a measured bound. Within `WINDOW_ROWS` a plain window does; beyond it the
     table is range-partitioned on (group, order), so one group spans many tasks.
@@ -203,7 +213,9 @@ def running_sums(
     upto = Window.unboundedPreceding, Window.currentRow
     if rows_per_group <= WINDOW_ROWS:
         w = Window.partitionBy(*group).orderBy(order).rowsBetween(*upto)
-        return table.select("*", *[F.sum(v).over(w).alias(f"{v}_upto") for v in values])
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return table.select("*", *[F.sum(v).over(w).alias(f"{v}_upto") for v in values],
+                            *[F.sum(v).over(whole).alias(f"{v}_total") for v in values])
     spark = table.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = Scratch(spark, "running").save(
@@ -215,10 +227,12 @@ def running_sums(
         cut.groupBy("_part", *group).agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
         .select(F.col("_part").alias("_o_part"), *[F.col(g).alias(f"_o_{g}") for g in group],
                 *[F.coalesce(F.sum(f"_s_{v}").over(before), F.lit(0)).alias(f"_off_{v}")
-                  for v in values])
+                  for v in values],
+                *[F.sum(f"_s_{v}").over(Window.partitionBy(*group)).alias(f"_all_{v}") for v in values])
     )
     cond = reduce(lambda a, b: a & b,
                   [F.col(g).eqNullSafe(F.col(f"_o_{g}")) for g in group]
                   + [F.col("_part") == F.col("_o_part")])
     return local.join(offsets, cond, "left").select(
-        *table.columns, *[(F.col(f"_in_{v}") + F.col(f"_off_{v}")).alias(f"{v}_upto") for v in values])
+        *table.columns, *[(F.col(f"_in_{v}") + F.col(f"_off_{v}")).alias(f"{v}_upto") for v in values],
+        *[F.col(f"_all_{v}").alias(f"{v}_total") for v in values])

@@ -13,12 +13,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minim.functions.expressions import ENTROPY_GAIN_MIN, weighted_entropy
 from minim.operators.hierarchy import Forest, Hierarchy, assign_leaves, at, leaf_name, out_of_domain
-from minim.operators.keyed import attach, attach_small, running_sums
+from minim.operators.keyed import attach, attach_small
 from minim.session import Scratch
 
 MEDIAN, INFOGAIN = "median", "infogain"
@@ -133,24 +133,19 @@ def fit_mondrian(
         # Depth of the current hierarchy node per categorical QI; -1 once the missing branch is taken.
         *[F.lit(0).alias(f"{a}__depth") for a in categorical_attrs(forest)],
         *[F.lit(True).alias(f"{a}__open") for a in categorical_attrs(forest)]))
-    one = state.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells")).first()
-    if not one["n"] or one["n"] < k:
+    total = state.agg(F.sum("n").alias("n")).first()["n"]
+    if not total or total < k:
         raise ValueError("the training rows must number at least k")
-    widest = one["cells"]
     carried = state.columns
-    fitted_nodes, fitted_cells = [], []
+    all_cuts, fitted_cells = [], []
     for _ in range(max_passes):
-        regions = _regions(state, forest)
-        cuts = scratch.save(_best_cuts(state, forest, counts, k, variant, widest))
+        cuts = scratch.save(_best_cuts(state, forest, counts, k, variant))
         entries = cuts.count()
-        marked = attach_small(state, cuts, ["path"], "rows", entries)
-        named = attach_small(regions, cuts, ["path"], "rows", entries)
-        fitted_nodes.append(scratch.save(named.select(
-            "path", "size", F.when(F.col("kind").isNull(), "leaf").otherwise(F.col("kind")).alias("kind"),
-            "attr", "threshold", "gain", *region_columns(forest))))
         if entries == 0:
             fitted_cells.append(state.select(*values, "n", "path"))
             break
+        all_cuts.append(cuts)
+        marked = attach_small(state, cuts, ["path"], "rows", entries)
         branch = _branch(forest)
         moves = {"path": F.when(F.col("attr").isNotNull(), F.concat_ws("/", "path", branch)).otherwise(F.col("path"))}
         for a in categorical_attrs(forest):
@@ -164,143 +159,143 @@ def fit_mondrian(
         state = split.where(F.col("_more")).select(*carried)
     else:
         raise RuntimeError("too many passes")
-    nodes = reduce(DataFrame.unionByName, fitted_nodes)
-    # Closed nodes appear once: a closed cell leaves the state with its pass.
-    top = df.sparkSession.range(1).select(
-        F.lit(TOP).alias("path"), F.lit(one["n"]).cast("bigint").alias("size"), F.lit("root").alias("kind"),
-        F.lit(None).cast("int").alias("attr"), F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("double").alias("gain"),
-        *[c for a, t in forest.items() for c in root_region(t, a)])
-    nodes = nodes.unionByName(top).withColumn("depth", F.when(F.col("path") == TOP, 0).otherwise(F.size(F.split("path", "/"))))
-    return FittedMondrian(scratch.save(nodes), scratch.save(reduce(DataFrame.unionByName, fitted_cells)), forest, k, variant)
+    cells = scratch.save(reduce(DataFrame.unionByName, fitted_cells))
+    nodes = scratch.save(_node_table(cells, all_cuts, forest, total))
+    return FittedMondrian(nodes, cells, forest, k, variant)
 
 
-def _regions(state: DataFrame, forest: Forest) -> DataFrame:
-    """Size and published region of every open node.
+def _node_table(cells: DataFrame, all_cuts: Sequence[DataFrame], forest: Forest, total: int) -> DataFrame:
+    """Every node with its split and published region, from the leaves upward in one aggregation.
 
-    A numeric region is the observed range and whether a value is missing; a categorical one is
-    the node reached so far.
+    A numeric region is the observed range and whether a value is missing. A categorical one is the
+    node the last split on that QI led to; at the root it takes missing values along, below it
+    they have a branch of their own.
     """
+    spark = cells.sparkSession
+    attrs = list(forest)
+    above = cells.withColumn("path", F.explode(F.slice(_ancestors(F.col("path")), 2, 1_000_000)))
     aggs = [F.sum("n").alias("size")]
-    for a, t in forest.items():
+    for a in numeric_attrs(forest):
         v = F.col(value_name(a))
+        aggs += [F.min(v).alias(f"{a}__lo"), F.max(v).alias(f"{a}__hi"), F.max(v.isNull()).alias(f"{a}__missing")]
+    seen = above.groupBy("path").agg(*aggs)
+    empty = spark.createDataFrame([], "path string, rows bigint, attr int, kind string, threshold double, gain double")
+    cuts = reduce(DataFrame.unionByName, all_cuts, empty)
+    # (node, ancestor, branch taken at the ancestor) -> the last branch per categorical QI.
+    steps = F.split("path", "/")
+    walk = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.struct(
+        F.array_join(F.slice(steps, 1, i), "/").alias("path"), F.get(steps, i).alias("branch"), i.alias("at")))
+    walked = seen.where(F.size(steps) > 1).select(F.col("path").alias("node"), F.explode(walk).alias("w")).select("node", "w.*")
+    taken = attach(walked, cuts.select("path", "attr", "rows"), ["path"], "rows")
+    last = taken.groupBy("node").agg(*[
+        F.max_by(F.when(F.col("attr") == attrs.index(a), F.col("branch")), F.when(F.col("attr") == attrs.index(a), F.col("at"))).alias(f"_{a}")
+        for a in categorical_attrs(forest)], F.count(F.lit(1)).alias("_steps"))
+    named = attach(seen, cuts, ["path"], "rows").drop("rows")
+    named = attach(named, last.withColumnRenamed("node", "path"), ["path"], "_steps").drop("_steps")
+    for a, t in forest.items():
         if t.numeric:
-            aggs += [F.min(v).alias(f"{a}__lo"), F.max(v).alias(f"{a}__hi"),
-                     F.lit(None).cast("int").alias(f"{a}__node"), F.max(v.isNull()).alias(f"{a}__missing")]
-        else:
-            # All cells of a node share its hierarchy node, so any known leaf leads to it.
-            aggs += [F.lit(None).cast("double").alias(f"{a}__lo"), F.lit(None).cast("double").alias(f"{a}__hi"),
-                     F.max(child_at(t, v, F.col(f"{a}__depth"))).alias(f"{a}__node"),
-                     F.max(F.struct(F.col(f"{a}__depth").alias("d"), F.col(f"{a}__open").alias("o"))).alias(f"_{a}")]
-    out = state.groupBy("path").agg(*aggs)
-    for a in categorical_attrs(forest):
-        t = forest[a]
-        root = F.lit(t.position[t.root])
-        at_root = F.col(f"_{a}.d") == 0
-        # The root node takes missing values along; below it they have a branch of their own.
-        node = F.when(~F.col(f"_{a}.o"), F.lit(None).cast("int")).when(at_root, root).otherwise(F.col(f"{a}__node"))
-        out = out.withColumns({f"{a}__node": node, f"{a}__missing": ~F.col(f"_{a}.o") | at_root}).drop(f"_{a}")
-    return out.select("path", "size", *region_columns(forest))
+            named = named.withColumn(f"{a}__node", F.lit(None).cast("int"))
+            continue
+        branch = F.col(f"_{a}")
+        node = F.when(branch.isNull(), F.lit(t.position[t.root])).when(branch != MISSING_BRANCH, branch.try_cast("int"))
+        named = named.withColumns({
+            f"{a}__lo": F.lit(None).cast("double"), f"{a}__hi": F.lit(None).cast("double"), f"{a}__node": node,
+            f"{a}__missing": branch.isNull() | (branch == MISSING_BRANCH)})
+    named = named.select("path", "size", F.coalesce("kind", F.lit("leaf")).alias("kind"), "attr", "threshold", "gain", *region_columns(forest))
+    top = spark.range(1).select(
+        F.lit(TOP).alias("path"), F.lit(total).cast("bigint").alias("size"), F.lit("root").alias("kind"),
+        F.lit(None).cast("int").alias("attr"), F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("double").alias("gain"),
+        *[c for a, t in forest.items() for c in root_region(t, a)])
+    return named.unionByName(top).withColumn("depth", F.when(F.col("path") == TOP, 0).otherwise(F.size(F.split("path", "/"))))
+
 
+def _best_cuts(state: DataFrame, forest: Forest, counts: Sequence[str], k: int, variant: str) -> DataFrame:
+    """The chosen cut of every open node that has one: `(path, attr, kind, threshold, gain, rows)`.
 
-def _best_cuts(state: DataFrame, forest: Forest, counts: Sequence[str], k: int, variant: str, widest: int) -> DataFrame:
-    """The chosen cut of every open node that has one: `(path, attr, kind, threshold, gain, rows)`."""
+    One histogram `(path, attr, key, leaf)` serves all QIs. It is windowed per (path, attr), where
+    it has at most one entry per integer or leaf of that hierarchy's domain, however many rows the
+    node holds. Both following groupings keep the window's partitioning.
+    """
     attrs = list(forest)
     entries = []
     for i, a in enumerate(attrs):
         t = forest[a]
         v = F.col(value_name(a))
         if t.numeric:
-            entries.append(F.struct(F.lit(i).alias("attr"), v.alias("key"), v.alias("leaf")))
+            # Missing numbers sort last, behind every cut.
+            key = F.coalesce(v, F.lit(float("inf")))
+            entries.append(F.struct(F.lit(i).alias("attr"), key.alias("key"), key.alias("leaf")))
         else:
-            # A finished or missing QI offers no cut: no key, and a leaf of -2 marks it.
+            # -1 is the missing branch; -2 marks rows at a leaf or past the missing branch: no cut.
             child = child_at(t, v, F.col(f"{a}__depth") + 1).cast("double")
             usable = F.col(f"{a}__open") & (child.isNotNull() | v.isNull())
-            entries.append(F.struct(F.lit(i).alias("attr"), F.when(usable, F.coalesce(child, F.lit(-1.0))).alias("key"),
-                                    F.when(usable, F.coalesce(v, F.lit(-1.0))).otherwise(F.lit(-2.0)).alias("leaf")))
+            entries.append(F.struct(F.lit(i).alias("attr"), F.when(usable, F.coalesce(child, F.lit(-1.0))).otherwise(F.lit(-2.0)).alias("key"),
+                                    F.coalesce(v, F.lit(-1.0)).alias("leaf")))
     sums = [F.sum(c).alias(c) for c in ("n", *counts)]
-    keyed = state.select("path", "n", *counts, F.explode(F.array(*entries)).alias("e")).select("path", "e.*", "n", *counts)
-    per_value = keyed.groupBy("path", "attr", "key", "leaf").agg(*sums)
-    is_numeric = F.col("attr").isin([i for i, a in enumerate(attrs) if forest[a].numeric])
-    totals = state.groupBy("path").agg(F.sum("n").alias("rows"), *[F.sum(c).alias(f"t_{c}") for c in counts])
-    # Numeric cuts: running counts over present values; missing rows are one entry of their own.
-    numeric = per_value.where(is_numeric)
-    present = running_sums(numeric.where(F.col("key").isNotNull()), ["path", "attr"], "key", ["n", *counts], widest)
-    after = F.lead("key").over(_by_key())
-    missing = numeric.where(F.col("key").isNull()).select(
-        "path", "attr", F.col("n").alias("m_n"), *[F.col(c).alias(f"m_{c}") for c in counts])
-    spans = F.create_map(*[x for i, a in enumerate(attrs) if forest[a].numeric
-                           for x in (F.lit(i), F.lit(max(_span(forest[a])[1] - _span(forest[a])[0], 1.0)))]) \
-        if numeric_attrs(forest) else None
-    parts = []
-    if spans is not None:
-        gaps = present.withColumn("next_key", after)
-        reach = present.groupBy("path", "attr").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
-        joined = (gaps.join(missing, ["path", "attr"], "left").join(reach, ["path", "attr"])
-                  .fillna(0, ["m_n", *[f"m_{c}" for c in counts]]))
-        legal = ((F.col("n_upto") >= k) & (F.col("n_total") - F.col("n_upto") >= k)
-                 & ((F.col("m_n") == 0) | (F.col("m_n") >= k)))
-        cutable = joined.where(legal)
-        whole = [F.col(f"{c}_total") + F.col(f"m_{c}") for c in counts]
-        left = [F.col(f"{c}_upto") for c in counts]
-        right = [F.col(f"{c}_total") - F.col(f"{c}_upto") for c in counts]
-        gone = [F.col(f"m_{c}") for c in counts]
-        size = F.col("n_total") + F.col("m_n")
-        gain = (weighted_entropy(whole) - weighted_entropy(left) - weighted_entropy(right) - weighted_entropy(gone)) / size
-        cutable = cutable.withColumns({
-            "gain": gain, "off": F.abs(F.col("n_upto") - F.col("n_total") / 2.0),
-            "threshold": (F.col("key") + F.col("next_key")) / 2.0, "width": (F.col("hi") - F.col("lo")) / spans[F.col("attr")]})
-        body = F.struct("threshold", F.col("gain"))
-        medians = cutable.groupBy("path", "attr").agg(
-            F.max("width").alias("width"), F.min_by(body, F.struct("off", "n_upto")).alias("median"),
-            F.max("gain").alias("best_gain"))
-        # Gains within 1e-12 of the best count as equal; the one nearest the middle wins.
-        top = medians.select("path", "attr", F.col("best_gain").alias("_top"))
-        tied = cutable.join(top, ["path", "attr"]).where(F.abs(F.col("gain") - F.col("_top")) <= ENTROPY_GAIN_MIN)
-        best = tied.groupBy("path", "attr").agg(F.min_by(body, F.struct("off", "n_upto")).alias("informed"))
-        both = medians.join(best, ["path", "attr"])
-        parts.append(both.select(
-            "path", "attr", F.lit("numeric").alias("kind"), "width", F.col("best_gain").alias("gain"), F.lit(2).alias("branches"),
-            F.col("median.threshold").alias("median_at"), F.col("informed.threshold").alias("informed_at")))
-    if categorical_attrs(forest):
-        # Distinct observed leaves give the width; children give the counts.
-        categorical = per_value.where(~is_numeric & (F.col("leaf") != -2.0))
-        children = categorical.groupBy("path", "attr", "key").agg(*sums, F.count(F.lit(1)).alias("leaves"))
-        leaves_of = F.create_map(*[x for i, a in enumerate(attrs) if not forest[a].numeric
-                                   for x in (F.lit(i), F.lit(float(len(forest[a].leaves))))])
-        within = children.withColumn("_inner", weighted_entropy([F.col(c) for c in counts]))
-        per_attr = within.groupBy("path", "attr").agg(
-            F.min("n").alias("least"), F.count(F.lit(1)).alias("branches"), F.sum("leaves").alias("leaves"),
-            F.sum("_inner").alias("_inner"), F.sum("n").alias("_n"), *[F.sum(c).alias(c) for c in counts])
-        gain = (weighted_entropy([F.col(c) for c in counts]) - F.col("_inner")) / F.col("_n")
-        # A node with rows whose QI is finished offers no cut on it at all.
-        unfinished = keyed.where(~is_numeric & (F.col("leaf") == -2.0)).groupBy("path", "attr").agg(F.lit(1).alias("_stop"))
-        parts.append(
-            per_attr.join(unfinished, ["path", "attr"], "left_anti").where(F.col("least") >= k).select(
-                "path", "attr", F.lit("categorical").alias("kind"), (F.col("leaves") / leaves_of[F.col("attr")]).alias("width"),
-                gain.alias("gain"), F.col("branches").cast("int").alias("branches"),
-                F.lit(None).cast("double").alias("median_at"), F.lit(None).cast("double").alias("informed_at")))
-    options = reduce(DataFrame.unionByName, parts)
+    histogram = (state.select("path", "n", *counts, F.explode(F.array(*entries)).alias("e")).select("path", "e.*", "n", *counts)
+                 .groupBy("path", "attr", "key", "leaf").agg(*sums))
+    numeric_ids = [i for i, a in enumerate(attrs) if forest[a].numeric]
+    is_numeric = F.col("attr").isin(*numeric_ids) if numeric_ids else F.lit(False)
+    lost = F.col("key") == F.lit(float("inf"))
+    group = Window.partitionBy("path", "attr")
+    by_key = group.orderBy("key", "leaf")
+    upto = by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    names = ("n", *counts)
+    table = histogram.select(
+        "*", F.lead("key").over(by_key).alias("next_key"),
+        F.min(F.when(~lost, F.col("key"))).over(whole).alias("lo"), F.max(F.when(~lost, F.col("key"))).over(whole).alias("hi"),
+        *[F.sum(c).over(upto).alias(f"{c}_upto") for c in names], *[F.sum(c).over(whole).alias(f"{c}_total") for c in names],
+        *[F.sum(F.when(lost, F.col(c)).otherwise(0)).over(whole).alias(f"{c}_lost") for c in names])
+    # Numeric cuts: k rows on either side, none or at least k missing.
+    present = F.col("n_total") - F.col("n_lost")
+    legal = (is_numeric & ~lost & (F.col("n_upto") >= k) & (present - F.col("n_upto") >= k) & ((F.col("n_lost") == 0) | (F.col("n_lost") >= k)))
+    cut_gain = (weighted_entropy([F.col(f"{c}_total") for c in counts]) - weighted_entropy([F.col(f"{c}_upto") for c in counts])
+                - weighted_entropy([F.col(f"{c}_total") - F.col(f"{c}_upto") - F.col(f"{c}_lost") for c in counts])
+                - weighted_entropy([F.col(f"{c}_lost") for c in counts])) / F.col("n_total")
+    table = table.withColumns({"legal": legal, "gain": F.when(legal, cut_gain)})
+    table = table.withColumns({
+        "top_gain": F.max("gain").over(group), "off": F.abs(F.col("n_upto") - present / 2.0),
+        "threshold": (F.col("key") + F.col("next_key")) / 2.0})
+    tied = F.col("legal") & (F.abs(F.col("gain") - F.col("top_gain")) <= ENTROPY_GAIN_MIN)
+    # Per child first, so that a child's entropy counts once.
+    children = table.groupBy("path", "attr", "key").agg(
+        F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in counts], F.count(F.lit(1)).alias("leaves"),
+        F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("top_gain").alias("top_gain"),
+        F.min(F.when(F.col("legal"), F.struct("off", "n_upto", "threshold"))).alias("middle"),
+        F.min(F.when(tied, F.struct("off", "n_upto", "threshold"))).alias("informed"))
+    own = weighted_entropy([F.col(c) for c in counts])
+    per_attr = children.withColumn("_own", own).groupBy("path", "attr").agg(
+        F.sum("n").alias("rows"), *[F.sum(c).alias(c) for c in counts], F.sum("leaves").alias("leaves"), F.sum("_own").alias("_own"),
+        F.count(F.lit(1)).alias("branches"), F.min("n").alias("least"), F.min("key").alias("first_key"),
+        F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("top_gain").alias("top_gain"),
+        F.min("middle").alias("middle"), F.min("informed").alias("informed"))
+    numeric_row = F.col("attr").isin(*numeric_ids) if numeric_ids else F.lit(False)
+    scale = F.create_map(*[x for i, a in enumerate(attrs) for x in (
+        F.lit(i), F.lit(max(_span(forest[a])[1] - _span(forest[a])[0], 1.0) if forest[a].numeric else float(len(forest[a].leaves))))])
+    spread = F.when(numeric_row, F.col("hi") - F.col("lo")).otherwise(F.col("leaves").cast("double")) / scale[F.col("attr")]
+    split_gain = (own - F.col("_own")) / F.col("rows")
+    usable = F.when(numeric_row, F.col("middle").isNotNull()).otherwise((F.col("first_key") != -2.0) & (F.col("least") >= k))
+    options = per_attr.where(usable).select(
+        "path", "attr", "rows", F.when(numeric_row, "numeric").otherwise("categorical").alias("kind"), spread.alias("width"),
+        F.when(numeric_row, F.col("top_gain")).otherwise(split_gain).alias("gain"),
+        F.when(numeric_row, F.lit(2)).otherwise(F.col("branches")).alias("branches"),
+        F.col("middle.threshold").alias("median_at"), F.col("informed.threshold").alias("informed_at"))
     unary = F.col("branches") == 1
-    by_width = F.struct("width", -F.col("attr"))
     pick_median = F.struct("attr", "kind", F.col("median_at").alias("threshold"),
                            F.when(F.col("kind") == "numeric", 0.0).otherwise(F.col("gain")).alias("gain"))
     pick_gain = F.struct("attr", "kind", F.col("informed_at").alias("threshold"), "gain")
     informative = F.col("gain") > ENTROPY_GAIN_MIN
     chosen = options.groupBy("path").agg(
+        F.max("rows").alias("rows"),
         F.min_by(F.when(unary, pick_gain), F.when(unary, F.col("attr"))).alias("descend"),
         F.max_by(F.when(informative, pick_gain), F.when(informative, F.struct("gain", "width", -F.col("attr")))).alias("informed"),
-        F.max_by(pick_median, by_width).alias("median"))
+        F.max_by(pick_median, F.struct("width", -F.col("attr"))).alias("median"))
     rule = [F.col("descend"), F.col("informed"), F.col("median")] if variant == INFOGAIN else [F.col("descend"), F.col("median")]
-    out = chosen.withColumn("p", F.coalesce(*rule)).where(F.col("p").isNotNull())
-    return out.join(totals.select("path", "rows"), "path").select(
+    return chosen.withColumn("p", F.coalesce(*rule)).select(
         "path", "rows", F.col("p.attr").alias("attr"), F.col("p.kind").alias("kind"), F.col("p.threshold").alias("threshold"), F.col("p.gain").alias("gain"))
 
 
-def _by_key():
-    from pyspark.sql import Window
-    return Window.partitionBy("path", "attr").orderBy("key")
-
-
 def _branch(forest: Forest) -> Column:
     """Branch of a cell under the split in columns `attr`, `threshold`."""
     out = F.lit(None).cast("string")

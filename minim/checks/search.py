@@ -1 +1,426 @@
-"""Checks."""
+"""Candidates, scores, gradients, swap, searches and models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from minim.checks import query
+from minim.checks.classes import MID, MID_CTE, Q, rounded
+from minim.checks.tables import PEOPLE_LEVELS, QIS, SEED, people, people_forest, table
+from minim.functions import expressions as E
+from minim.functions.ordering import seeded_key
+from minim.operators import candidates as G
+from minim.operators import hierarchy_mondrian as H
+from minim.operators import models as L
+from minim.operators import removal as D
+from minim.operators.hierarchy import assign_leaves, generalize
+from minim.operators.release import Snapshot, leaf_cells
+from minim.operators.sampling import stratified_split
+from minim.plans import minimize as S
+from minim.plans import removal_search as V
+from minim.session import Scratch
+
+# A small linear model over (segment, year) with round weights, so that SQL can repeat it.
+SMALL = ("segment", "year")
+THETA = L.Linear(((0.5, -0.25, 0.1, 0.0, -0.4, 0.002),), (-4.0,))
+GVAL = L.Gradient(((0.1, 0.2, -0.1, 0.05, -0.2, 0.001),), (0.3,), 1.0)
+LOW, UP = {"segment": 0, "year": 0}, {"segment": 0, "year": 1}
+NAMES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def case(weights):
+    return "CASE segment " + " ".join(f"WHEN '{n}' THEN {w}" for n, w in zip(NAMES, weights)) + " END"
+
+
+# Mean of the integers in the published year node at level 0 and level 1.
+YEAR0 = "CASE WHEN year <= 1996 THEN 1995.5 WHEN year <= 1998 THEN 1997.5 WHEN year <= 2000 THEN 1999.5 ELSE 2001.5 END"
+YEAR1 = "CASE WHEN year <= 1998 THEN 1996.5 ELSE 2000.5 END"
+
+
+def scalar(year):
+    return (f"(1.0 / (1.0 + exp(-({case(THETA.weights[0][:5])} + 0.002::DOUBLE * {year} - 4.0))) - label)"
+            f" * ({case(GVAL.weights[0][:5])} + 0.001::DOUBLE * {year} + 0.3)")
+
+
+FLAGS = f"total > 300000 AS selected, balance < 0 AND total > 300000 AS exempt, md5('42:' || CAST(row_id AS VARCHAR)) AS h"
+STATE = f"""{MID_CTE}, st AS (SELECT pop.row_id, pop.label, pop.year, pop.segment, pub.nation AS c_nation, pub.segment AS c_segment, pub.priority AS c_priority,
+  pub.year AS c_year, {FLAGS.replace('total', 'pop.total').replace('balance', 'pop.balance').replace('row_id', 'pop.row_id')} FROM pop JOIN pub USING (row_id))"""
+KEYS = [f"{q}__node" for q in QIS]
+C = "c_nation, c_segment, c_priority, c_year"
+
+
+def state(spark, sf_dir):
+    rows = generalize(people(spark, sf_dir), people_forest(), MID, keep_raw=True)
+    return rows.select("*", (F.col("total") > 300000).alias("selected"), ((F.col("balance") < 0) & (F.col("total") > 300000)).alias("exempt"),
+                       seeded_key(SEED, "row_id").alias("_key"), F.lit(0).alias("batch"))
+
+
+def small_space():
+    forest = people_forest()
+    return L.FeatureSpace({a: forest[a] for a in SMALL})
+
+
+def scalar_column(levels):
+    return L.influence_scalar(small_space(), THETA, GVAL, levels, "label")
+
+
+def renamed(df):
+    return df.select(*[F.col(f"{q}__node").alias(q) if f"{q}__node" in df.columns else F.lit(None).alias(q) for q in QIS],
+                     *[c for c in df.columns if not c.endswith("__node")])
+
+
+SQL_KEYS = "c_nation AS nation, c_segment AS segment, c_priority AS priority, c_year AS year"
+
+
+@query("mean_gradient", f"""WITH {MID_CTE}, r AS (SELECT segment, {YEAR0} AS yv, 1.0 / (1.0 + exp(-({case(THETA.weights[0][:5])} + 0.002::DOUBLE * {YEAR0} - 4.0))) - label AS r FROM pop)
+{' UNION ALL '.join(f"SELECT 'segment={n}' AS feature, round(sum(CASE WHEN segment = '{n}' THEN r ELSE 0 END) / count(*), 9) AS value FROM r" for n in NAMES)}
+UNION ALL SELECT 'year', round(avg(r * yv), 6) FROM r UNION ALL SELECT 'intercept', round(avg(r), 9) FROM r""")
+def mean_gradient(spark, sf_dir):
+    space = small_space()
+    g = L.mean_gradient(assign_leaves(people(spark, sf_dir), space.forest), space, THETA, LOW, "label")
+    rows = [(n, round(v, 6 if n == "year" else 9)) for n, v in zip(space.names, g.weights[0])] + [("intercept", round(g.intercepts[0], 9))]
+    return spark.createDataFrame(rows, "feature string, value double")
+
+
+@query("influence_scalar", f"WITH {MID_CTE} SELECT row_id, round({scalar(YEAR0)}, 9) AS s FROM pop")
+def influence_scalar(spark, sf_dir):
+    rows = assign_leaves(people(spark, sf_dir), small_space().forest)
+    return rows.select("row_id", F.round(scalar_column(LOW), 9).alias("s"))
+
+
+OPEN = f"""{STATE}, s AS (SELECT *, {scalar(YEAR0)} AS s FROM st), sel AS (SELECT count(*) AS n, avg(s) AS m FROM s WHERE selected),
+k AS (SELECT min(c) AS k FROM (SELECT count(*) AS c FROM st WHERE selected AND NOT exempt GROUP BY {C})),
+open AS (SELECT *, row_number() OVER (PARTITION BY {C} ORDER BY h) AS rn FROM s WHERE NOT selected), adm AS (SELECT open.* FROM open, k WHERE rn <= k)"""
+
+
+def admitted(spark, sf_dir):
+    rows = state(spark, sf_dir)
+    k = rows.where("selected AND NOT exempt").groupBy(*KEYS).count().agg(F.min("count")).first()[0]
+    return rows, G.admission_rows(rows, KEYS, "_key", k)
+
+
+@query("horizontal_candidates", f"WITH {OPEN} SELECT row_id FROM adm")
+def horizontal_candidates(spark, sf_dir):
+    return admitted(spark, sf_dir)[1].select("row_id")
+
+
+@query("lga_admission", f"""WITH {OPEN} SELECT {SQL_KEYS}, count(*) AS rows, round((sum(s) - count(*) * max(m)) / (count(*) + max(n)), 12) AS lga_score FROM adm, sel GROUP BY {C}""")
+def lga_admission(spark, sf_dir):
+    rows, adm = admitted(spark, sf_dir)
+    n, mean = G.selected_mean(rows, scalar_column(LOW))
+    out = G.lga_admission(adm, KEYS, scalar_column(LOW), n, mean)
+    return renamed(out.withColumn("lga_score", F.round("lga_score", 12)))
+
+
+@query("lga_removal", f"""WITH {STATE}, s AS (SELECT *, {scalar(YEAR0)} AS s FROM st), t AS (SELECT count(*) AS n, sum(s) AS a FROM s)
+SELECT {SQL_KEYS}, count(*) AS rows, round(-((count(*) * max(a) / max(n) - sum(s)) / (max(n) - count(*))), 12) AS fast_utility_score FROM s, t GROUP BY {C}""")
+def lga_removal(spark, sf_dir):
+    out = G.lga_removal(state(spark, sf_dir), KEYS, scalar_column(LOW))
+    return renamed(out.withColumn("fast_utility_score", F.round("fast_utility_score", 12)))
+
+
+@query("lga_change", f"WITH {STATE} SELECT 'year' AS attr, round(avg({scalar(YEAR0)} - {scalar(YEAR1)}), 9) AS lga_score FROM st WHERE selected")
+def lga_change(spark, sf_dir):
+    change = G.lga_changes(state(spark, sf_dir).where("selected"), {"year": (scalar_column(UP), scalar_column(LOW))})
+    return spark.createDataFrame([(a, round(v, 9)) for a, v in change.items()], "attr string, lga_score double")
+
+
+@query("vertical_candidates", f"WITH {PEOPLE_LEVELS} SELECT a AS attr, l - 1 AS next_level, (SELECT min(c) FROM (SELECT count(*) AS c FROM gen GROUP BY CASE a WHEN 'nation' THEN nation0 ELSE nation1 END, segment0, "
+       "CASE a WHEN 'priority' THEN priority0 ELSE priority1 END, CASE a WHEN 'year' THEN year0 ELSE year1 END)) AS min_k FROM (VALUES ('nation', 1), ('priority', 1), ('year', 1)) v(a, l)")
+def vertical_candidates(spark, sf_dir):
+    parts = None
+    for attr, levels in G.vertical_candidates(MID).items():
+        pub = generalize(people(spark, sf_dir), people_forest(), levels)
+        one = pub.groupBy(*QIS).count().agg(F.min("count").alias("min_k")).select(F.lit(attr).alias("attr"), F.lit(levels[attr]).alias("next_level"), "min_k")
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+@query("reference_filter", f"""WITH {STATE} SELECT {SQL_KEYS}, count(*) AS rows FROM st GROUP BY {C}
+HAVING bool_or((CASE WHEN segment > 'C' THEN 1 ELSE 0 END) = label AND (CASE WHEN year > 1996 THEN 1 ELSE 0 END) <> label AND selected)""")
+def reference_filter(spark, sf_dir):
+    rows = state(spark, sf_dir).select("*", F.when(F.col("segment") > "C", 1).otherwise(0).alias("_p"), F.when(F.col("year") > 1996, 1).otherwise(0).alias("_e"))
+    classes = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows"))
+    return renamed(G.reference_filter(classes, rows.where("selected"), KEYS, "label", "_p", "_e"))
+
+
+# Candidates with ids: one per customer, typed by segment.
+CAND = """c AS (SELECT c_mktsegment AS candidate_type, c_custkey AS candidate_id, c_acctbal AS rank_score, count(o_orderkey) AS n, coalesce(sum(o_totalprice), 0) / 1e5 AS gain
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)"""
+
+
+def cands(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    per = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("t"))
+    return c.join(per, "c_custkey", "left").select(
+        F.col("c_mktsegment").alias("candidate_type"), F.col("c_custkey").alias("candidate_id"), F.col("c_acctbal").alias("rank_score"),
+        F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("t", F.lit(0.0)) / 1e5).alias("gain"))
+
+
+@query("top_k_per_type", f"""WITH {CAND} SELECT candidate_type, candidate_id, rank_score FROM (SELECT *, row_number() OVER (PARTITION BY candidate_type ORDER BY rank_score DESC, candidate_id) AS rn FROM c) WHERE rn <= 5""")
+def top_k_per_type(spark, sf_dir):
+    return G.top_k_per_type(cands(spark, sf_dir), 5).select("candidate_type", "candidate_id", "rank_score")
+
+
+@query("random_shortlist", f"WITH {CAND} SELECT candidate_type, candidate_id FROM c ORDER BY md5('42:3:' || candidate_type || ':' || CAST(candidate_id AS VARCHAR)) LIMIT 1")
+def random_shortlist(spark, sf_dir):
+    return G.random_shortlist(cands(spark, sf_dir), SEED, 3).select("candidate_type", "candidate_id")
+
+
+@query("random_score", f"""WITH {CAND} SELECT candidate_id, round(CAST('0x' || substr(md5('42:' || CAST(n AS VARCHAR) || ':' || candidate_type || ':' || CAST(candidate_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE, 9) AS score FROM c""")
+def random_score(spark, sf_dir):
+    score = G.random_score(SEED, F.col("n"), F.col("candidate_type"), F.col("candidate_id"))
+    return cands(spark, sf_dir).select("candidate_id", F.round(score, 9).alias("score"))
+
+
+@query("evaluation_pool", f"""WITH {CAND} SELECT candidate_type, candidate_id FROM c WHERE candidate_id IN (SELECT candidate_id FROM c ORDER BY rank_score DESC, candidate_type, candidate_id LIMIT 20)
+  OR candidate_id IN (SELECT candidate_id FROM c ORDER BY n DESC, candidate_type, candidate_id LIMIT 20)""")
+def evaluation_pool(spark, sf_dir):
+    return G.evaluation_pool(cands(spark, sf_dir), ["rank_score", "n"], 20).select("candidate_type", "candidate_id")
+
+
+@query("score_candidates", f"""WITH {CAND} SELECT candidate_id, round(ln(greatest(30 - n, 2)), 9) AS privacy_cost, round(gain / ln(greatest(30 - n, 2)), 9) AS ratio,
+  round(1.0 / ln(greatest(30 - n, 2)), 9) AS privacy, round(gain, 9) AS utility, round(rank_score / ln(greatest(30 - n, 2)), 9) AS influence FROM c WHERE gain > 0""")
+def score_candidates(spark, sf_dir):
+    now, nxt, gain = F.lit(30), F.col("n"), F.col("gain")
+    return cands(spark, sf_dir).where(gain > 0).select(
+        "candidate_id", F.round(E.privacy_cost(now, nxt), 9).alias("privacy_cost"),
+        *[F.round(E.candidate_score(gain, now, nxt, p, F.col("rank_score")), 9).alias(p) for p in ("ratio", "privacy", "utility", "influence")])
+
+
+@query("argmax_candidate", f"WITH {CAND} SELECT candidate_id, n FROM c ORDER BY n DESC, candidate_id LIMIT 1")
+def argmax_candidate(spark, sf_dir):
+    return G.argmax_candidate(cands(spark, sf_dir), "n", "candidate_id").select("candidate_id", "n")
+
+
+@query("next_k", f"""WITH {STATE}, t AS (SELECT {C}, count(*) FILTER (WHERE selected AND NOT exempt) AS cnt, count(*) FILTER (WHERE NOT selected) AS adm FROM st GROUP BY {C}),
+x AS (SELECT a.*, (SELECT min(b.cnt) FROM t b WHERE b.cnt > 0 AND (b.c_nation, b.c_segment, coalesce(b.c_priority, ''), b.c_year) <> (a.c_nation, a.c_segment, coalesce(a.c_priority, ''), a.c_year)) AS o FROM t a)
+SELECT {SQL_KEYS}, CASE WHEN cnt + adm > 0 THEN least(o, cnt + adm) ELSE o END AS next_k FROM x""")
+def next_k(spark, sf_dir):
+    t = state(spark, sf_dir).groupBy(*KEYS).agg(F.count(F.when(F.col("selected") & ~F.col("exempt"), 1)).alias("cnt"), F.count(F.when(~F.col("selected"), 1)).alias("adm"))
+    return renamed(G.next_k(t, KEYS, "cnt", "adm"))
+
+
+@query("extra_swap_in", f"""WITH {STATE}, t AS (SELECT {C}, count(*) FILTER (WHERE NOT selected) AS n_open FROM st GROUP BY {C})
+SELECT {SQL_KEYS}, n_open FROM t WHERE n_open > 10 ORDER BY n_open DESC, c_nation, c_segment, c_priority NULLS FIRST, c_year LIMIT 1""")
+def extra_swap_in(spark, sf_dir):
+    t = state(spark, sf_dir).groupBy(*KEYS).agg(F.count(F.when(~F.col("selected"), 1)).alias("n_open"))
+    return renamed(G.extra_swap_in(t, KEYS, 10))
+
+
+@query("swap_table", f"""WITH {STATE} SELECT {SQL_KEYS}, count(*) FILTER (WHERE selected AND NOT exempt) AS n_selected, count(*) FILTER (WHERE exempt) AS n_exempt,
+  count(*) FILTER (WHERE NOT selected) AS n_open, min(h) FILTER (WHERE selected AND NOT exempt) AS first_selected, min(h) FILTER (WHERE NOT selected) AS first_open FROM st GROUP BY {C}""")
+def swap_table(spark, sf_dir):
+    return renamed(G.swap_table(state(spark, sf_dir), KEYS).drop("first_order"))
+
+
+@query("swap_classes")
+def swap_classes(spark, sf_dir):
+    scratch = Scratch(spark, "swap")
+    rows = state(spark, sf_dir)
+    t = scratch.save(G.swap_table(rows, KEYS))
+    moves = G.moves_table(spark, KEYS, ["string"] * len(KEYS), G.swap_classes(t, KEYS, 1))
+    return G.apply_moves(rows, t, moves, KEYS).select("row_id", "selected")
+
+
+@query("stats_after_removal", f"""WITH {MID_CTE}, h AS (SELECT k, count(*) AS c FROM (SELECT count(*) AS k FROM pub GROUP BY {Q}) GROUP BY k),
+x AS (SELECT r.k AS rows, h.k, h.c - (h.k = r.k)::BIGINT AS c FROM h r, h)
+SELECT rows, min(k) AS next_k, arg_min(c, k) AS next_min_classes FROM x WHERE c > 0 GROUP BY rows""")
+def stats_after_removal(spark, sf_dir):
+    from minim.operators.classes import retention_classes, size_histogram
+    pub = generalize(people(spark, sf_dir), people_forest(), MID)
+    return D.stats_after_removal(size_histogram(retention_classes(pub, QIS)))
+
+
+@query("coarsen_candidates", f"""WITH {PEOPLE_LEVELS}, u AS (
+  SELECT 'nation' AS attr, 1 AS from_level, count(*) AS k FROM gen GROUP BY nation2, segment0, priority1, year1
+  UNION ALL SELECT 'segment', 0, count(*) FROM gen GROUP BY nation1, segment1, priority1, year1
+  UNION ALL SELECT 'priority', 1, count(*) FROM gen GROUP BY nation1, segment0, priority2, year1
+  UNION ALL SELECT 'year', 1, count(*) FROM gen GROUP BY nation1, segment0, priority1, year2)
+SELECT attr, from_level, from_level + 1 AS to_level, min(k) AS next_k, count(*) FILTER (WHERE k = m) AS next_min_classes, count(*) AS class_count
+FROM (SELECT *, min(k) OVER (PARTITION BY attr) AS m FROM u) GROUP BY attr, from_level""")
+def coarsen_candidates(spark, sf_dir):
+    return D.coarsen_candidates(leaf_cells(people(spark, sf_dir), people_forest()), people_forest(), MID)
+
+
+EXCH = f"""{STATE}, s AS (SELECT *, {scalar(YEAR0)} AS s FROM st),
+act AS (SELECT c_nation || '|' || c_segment || '|' || coalesce(c_priority, '~') || '|' || c_year AS c, count(*) AS rows, sum(s) AS s FROM s WHERE selected GROUP BY 1),
+rem AS (SELECT c_nation || '|' || c_segment || '|' || coalesce(c_priority, '~') || '|' || c_year AS c, count(*) AS rows, sum(s) AS s FROM s WHERE NOT selected GROUP BY 1),
+t AS (SELECT sum(rows) AS n, sum(s) AS a FROM act),
+o AS (SELECT act.*, n, a FROM act, t ORDER BY -((rows * a / n - s) / (n - rows)) DESC, rows, c DESC LIMIT 4),
+i AS (SELECT rem.*, -((s - rows * a / n) / (n + rows)) AS sc FROM rem, t),
+p AS (SELECT o.c AS oc, i.c AS ic, o.rows AS out_rows, i.rows AS in_rows, o.s AS os, i.s AS si, n, a, row_number() OVER (PARTITION BY o.c ORDER BY sc DESC, i.rows DESC, i.c DESC) AS rn FROM o JOIN i ON i.rows <= o.rows),
+q AS (SELECT p.*, least((SELECT min(rows) FROM act WHERE c NOT IN (oc, ic)), in_rows + CASE WHEN oc = ic THEN 0 ELSE coalesce((SELECT rows FROM act WHERE c = ic), 0) END) AS next_k FROM p WHERE rn <= 4)
+SELECT oc AS out_class, ic AS in_class, out_rows, in_rows, n - out_rows + in_rows AS next_active_rows, next_k,
+  round(-((a - os + si) / (n - out_rows + in_rows) - a / n), 12) AS fast_utility_score FROM q WHERE next_k >= (SELECT min(rows) FROM act)"""
+
+
+@query("exchange_candidates", f"WITH {EXCH}")
+def exchange_candidates(spark, sf_dir):
+    rows = state(spark, sf_dir).select(F.concat_ws("|", "nation__node", "segment__node", F.coalesce("priority__node", F.lit("~")), "year__node").alias("c"),
+                                       "selected", scalar_column(LOW).alias("_s"))
+    sums = [F.count(F.lit(1)).alias("rows"), F.sum("_s").alias("s")]
+    act, rem = rows.where("selected").groupBy("c").agg(*sums), rows.where("NOT selected").groupBy("c").agg(*sums)
+    out = D.exchange_candidates(act, rem, ["c"], 4)
+    return out.select(F.col("out.c").alias("out_class"), F.col("in.c").alias("in_class"), "out_rows", "in_rows", "next_active_rows", "next_k",
+                      F.round("fast_utility_score", 12).alias("fast_utility_score"))
+
+
+@query("removal_candidates", f"""WITH {STATE}, s AS (SELECT *, {scalar(YEAR0)} AS s FROM st), t AS (SELECT count(*) AS n, sum(s) AS a FROM s)
+SELECT {SQL_KEYS}, count(*) AS rows, round(-((count(*) * max(a) / max(n) - sum(s)) / (max(n) - count(*))), 12) AS fast_utility_score, max(n) - count(*) AS next_active_rows FROM s, t GROUP BY {C}""")
+def removal_candidates(spark, sf_dir):
+    classes = D.class_table(state(spark, sf_dir).withColumn("n", F.lit(1)), KEYS, scalar_column(LOW))
+    out = D.removal_candidates(classes, KEYS).drop("next_k", "next_min_classes")
+    return renamed(out.withColumn("fast_utility_score", F.round("fast_utility_score", 12)))
+
+
+@query("privacy_progress", f"""WITH {CAND} SELECT candidate_id, CASE WHEN n > 10 THEN CAST(n - 10 AS DOUBLE) WHEN n = 10 THEN (40 - 10) / 40.0 END AS progress,
+  round(greatest(gain / 0.5, 0.001), 9) AS cost FROM c""")
+def privacy_progress(spark, sf_dir):
+    return cands(spark, sf_dir).select("candidate_id", E.privacy_progress(F.lit(10), F.col("n"), F.lit(40), F.lit(10)).alias("progress"),
+                                       F.round(E.utility_cost(F.col("gain"), 0.5, 0.001), 9).alias("cost"))
+
+
+@query("apply_membership", f"""WITH {MID_CTE}, big AS (SELECT nation, segment FROM pub GROUP BY ALL HAVING count(*) > 600)
+SELECT row_id, total > 250000 AND (nation, segment) NOT IN (SELECT (nation, segment) FROM big) AS active FROM pub""")
+def apply_membership(spark, sf_dir):
+    pub = generalize(people(spark, sf_dir), people_forest(), MID).withColumn("active", F.col("total") > 250000)
+    big = pub.groupBy("nation", "segment").count().where("count > 600")
+    return D.apply_membership(pub, ["nation", "segment"], out=big).select("row_id", "active")
+
+
+@query("tree_model_input", f"""WITH {PEOPLE_LEVELS} SELECT row_id, CASE WHEN year <= 1998 THEN 1.0::DOUBLE ELSE 0.0 END AS "year_cat=1996.5", CASE WHEN year > 1998 THEN 1.0::DOUBLE ELSE 0.0 END AS "year_cat=2000.5",
+{', '.join(f'''CASE WHEN priority1 = '{g}' THEN 0.5::DOUBLE ELSE 0.0 END AS "priority={v}"''' for v, g in (('1-URGENT', 'high'), ('2-HIGH', 'high'), ('3-MEDIUM', 'normal'), ('5-LOW', 'normal')))} FROM gen""")
+def tree_model_input(spark, sf_dir):
+    forest = {a: people_forest()[a] for a in ("year", "priority")}
+    return L.tree_model_input(assign_leaves(people(spark, sf_dir), forest), forest, {"year": 1, "priority": 1}, ["row_id"])
+
+
+@query("leaf_space", f"""WITH {PEOPLE_LEVELS} SELECT row_id, CASE WHEN priority IS NULL THEN '0.0,0.0,0.0,0.0,0.0' WHEN priority1 = 'high' THEN '0.5,0.5,0.0,0.0,1.0' ELSE '0.0,0.0,0.5,0.5,1.0' END AS features FROM gen""")
+def leaf_space(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    forest = {"priority": people_forest()["priority"]}
+    made = L.leaf_space(assign_leaves(people(spark, sf_dir), forest), forest, {"priority": 1})
+    return made.select("row_id", F.array_join(vector_to_array("features").cast("array<string>"), ",").alias("features"))
+
+
+def vectors(spark, sf_dir):
+    forest = people_forest()
+    rows = Scratch(spark, "vectors").save(assign_leaves(people(spark, sf_dir), forest).withColumn("snapshot", F.lit(0)))
+    space = L.FeatureSpace(forest, ("total", "balance")).fit(rows)
+    return space, space.vectors(rows, [Snapshot(0, dict.fromkeys(forest, 0))])
+
+
+def classified(fitted, made):
+    return L.class_probability(fitted, made).select("row_id", F.round("p", 6).alias("p"))
+
+
+@query("fit_logistic")
+def fit_logistic(spark, sf_dir):
+    space, made = vectors(spark, sf_dir)
+    model = L.fit_logistic(made)
+    return spark.createDataFrame(list(zip([*space.names, "intercept"], [*model.weights[0], model.intercepts[0]])), "feature string, weight double")
+
+
+@query("fit_mlp")
+def fit_mlp(spark, sf_dir):
+    space, made = vectors(spark, sf_dir)
+    return classified(L.fit_mlp(made, space.width, max_iter=10), made)
+
+
+@query("fit_gbt")
+def fit_gbt(spark, sf_dir):
+    _, made = vectors(spark, sf_dir)
+    return classified(L.fit_gbt(made, trees=5), made)
+
+
+@query("influence")
+def influence(spark, sf_dir):
+    forest = people_forest()
+    space = L.FeatureSpace({a: forest[a] for a in SMALL})
+    rows = Scratch(spark, "influence").save(assign_leaves(people(spark, sf_dir), space.forest).withColumn("snapshot", F.lit(0)))
+    space = space.fit(rows)
+    snaps = [Snapshot(0, LOW)]
+    model = L.fit_logistic(space.vectors(rows, snaps))
+    estimate, step = L.influence(rows, rows.where("total > 250000"), rows.where("balance < 0"), space, model, LOW, "label", snaps, 0.63)
+    return spark.createDataFrame([("loss", estimate), *zip([*space.names, "intercept"], step)], "name string, value double")
+
+
+@query("mlp_lga")
+def mlp_lga(spark, sf_dir):
+    space, made = vectors(spark, sf_dir)
+    d = space.width
+    hidden = [[((i * 7 + j * 3) % 11 - 5) / 50 for j in range(4)] for i in range(d)]
+    layers = [(hidden, [0.0] * 4), ([[0.3], [-0.2], [0.1], [0.4]], [0.0])]
+    g = [((i * 5) % 13 - 6) / 100 for i in range(d * 4 + 4 + 4 + 1)]
+    scored = L.mlp_gradient_scalar(made, layers, g, "label", ["row_id", "segment"])
+    return scored.groupBy("segment").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("s"), 6).alias("s"))
+
+
+@query("dp_gradient_step", f"""WITH {PEOPLE_LEVELS}, r AS (SELECT segment, {YEAR0} AS yv, 1.0 / (1.0 + exp(-({case(THETA.weights[0][:5])} + 0.002::DOUBLE * {YEAR0} - 4.0))) - label AS r FROM pop),
+c AS (SELECT *, least(1.0, 100.0 / (abs(r) * sqrt(2.0 + yv * yv))) AS f FROM r)
+{' UNION ALL '.join(f"SELECT 'segment={n}' AS feature, round(sum(CASE WHEN segment = '{n}' THEN r * f ELSE 0 END) / count(*), 9) AS value FROM c" for n in NAMES)}
+UNION ALL SELECT 'year', round(sum(r * f * yv) / count(*), 6) FROM c UNION ALL SELECT 'intercept', round(sum(r * f) / count(*), 9) FROM c""")
+def dp_gradient_step(spark, sf_dir):
+    space = small_space()
+    rows = assign_leaves(people(spark, sf_dir), space.forest)
+    g, _ = L.dp_gradient_step(rows, space, THETA, LOW, "label", rate=1.0, clip=100.0, sigma=0.0, seed=SEED)
+    out = [(n, round(v, 6 if n == "year" else 9)) for n, v in zip(space.names, g.weights[0])] + [("intercept", round(g.intercepts[0], 9))]
+    return spark.createDataFrame(out, "feature string, value double")
+
+
+def split(spark, sf_dir):
+    rows = Scratch(spark, "split").save(stratified_split(people(spark, sf_dir), "label", 0.15, 0.15, SEED))
+    return rows.where("split = 'train'"), rows.where("split = 'val'"), rows.where("split = 'test'")
+
+
+@query("minimize")
+def minimize(spark, sf_dir):
+    train, val, _ = split(spark, sf_dir)
+    options = S.MinimizeOptions(max_iterations=1, rank_top_k=1, tolerance=0.0, max_fit_iterations=20)
+    return S.candidate_log(spark, S.minimize(train, val, people_forest(), "label", options))
+
+
+@query("removal_search")
+def removal_search(spark, sf_dir):
+    train, val, _ = split(spark, sf_dir)
+    options = V.RemovalOptions(max_iterations=1, rank_top_k=1, max_fit_iterations=20)
+    return V.removal_log(spark, V.removal_search(train, val, people_forest(), "label", options))
+
+
+TREE_K = 400
+
+
+def fitted(spark, sf_dir, variant=H.MEDIAN):
+    train, val, _ = split(spark, sf_dir)
+    return H.fit_mondrian(train, people_forest(), "label", TREE_K, variant), val
+
+
+@query("hierarchy_mondrian")
+def hierarchy_mondrian(spark, sf_dir):
+    return H.node_regions(fitted(spark, sf_dir)[0])
+
+
+@query("hierarchy_mondrian_infogain")
+def hierarchy_mondrian_infogain(spark, sf_dir):
+    return H.published_histogram(fitted(spark, sf_dir, H.INFOGAIN)[0])
+
+
+@query("region_encoding")
+def region_encoding(spark, sf_dir):
+    return H.encode_regions(fitted(spark, sf_dir)[0])
+
+
+@query("routing_stats")
+def routing_stats(spark, sf_dir):
+    tree, val = fitted(spark, sf_dir)
+    return H.routing_stats(H.route_split_widening(val, tree), tree.forest)
+
+
+@query("diagnose_routing")
+def diagnose_routing(spark, sf_dir):
+    tree, val = fitted(spark, sf_dir)
+    return H.diagnose_routing(val, tree)
+
+
+__all__ = ["rounded"]

@@ -296,6 +296,15 @@ def swap_table(rows: DataFrame, keys: Sequence[str], key: str = "_key", selected
         F.min(F.when(free, F.col(key))).alias("first_open"))
 
 
+def _sortable(values) -> tuple:
+    """A class key whose parts compare even when NULL: NULL sorts first, as in Spark."""
+    return tuple((v is not None, v if v is not None else 0) for v in values)
+
+
+def _plain(cls: tuple) -> tuple:
+    return tuple(v if known else None for known, v in cls)
+
+
 def _pages(table: DataFrame, keys: Sequence[str], order: Sequence[Column], page: int) -> Iterator[tuple]:
     """Classes in order, one bounded sort of `page` rows at a time, resumed after the last key."""
     ordered = table.withColumn("_o", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)], *keys))
@@ -308,7 +317,7 @@ def _pages(table: DataFrame, keys: Sequence[str], order: Sequence[Column], page:
         rows = part.orderBy("_o").limit(page).collect()
         for r in rows:
             first = (r["first_order"]["batch"], r["first_order"]["key"]) if r["first_order"] else None
-            yield tuple(r[k] for k in keys), SwapClass(r["n_selected"], first, r["first_selected"], r["n_open"], r["first_open"])
+            yield _sortable(r[k] for k in keys), SwapClass(r["n_selected"], first, r["first_selected"], r["n_open"], r["first_open"])
         if len(rows) < page:
             return
         last = list(rows[-1]["_o"])
@@ -329,7 +338,7 @@ def swap_classes(table: DataFrame, keys: Sequence[str], next_batch: int, max_rou
 def moves_table(spark, keys: Sequence[str], kinds: Sequence[str], result: SwapResult) -> DataFrame:
     """The swap's moves as a table on the class keys."""
     schema = ", ".join([f"`{k}` {t}" for k, t in zip(keys, kinds)] + ["keep boolean", "take boolean", "round int"])
-    return spark.createDataFrame([(*cls, keep, take, rnd) for cls, keep, take, rnd in result.moves], schema)
+    return spark.createDataFrame([(*_plain(cls), keep, take, rnd) for cls, keep, take, rnd in result.moves], schema)
 
 
 def apply_moves(rows: DataFrame, table: DataFrame, moves: DataFrame, keys: Sequence[str], selected: str = "selected",

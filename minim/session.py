@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the Python call site of every column expression dominates plan building.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

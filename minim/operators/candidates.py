@@ -230,9 +230,6 @@ def swap(small: Iterator[tuple], large: Iterator[tuple], n_selected: int, n_rows
     last_in: dict = {}
     rounds = moved_out = moved_in = 0
 
-    def touch(cls, state) -> None:
-        touched.setdefault(cls, state)
-
     reason = "max_rounds"
     while rounds < max_rounds:
         if n_selected >= n_rows:
@@ -253,7 +250,10 @@ def swap(small: Iterator[tuple], large: Iterator[tuple], n_selected: int, n_rows
             reason = "converged"
             break
         incoming = highest[1]
-        touch(incoming, highest[2])
+        if incoming not in touched:
+            touched[incoming] = highest[2]
+            # It leaves both streams, and may be among the smallest selected ones itself.
+            least.push(incoming)
         # The rows that come in are those open before anything moves out.
         entering = touched[incoming].groups(False)
         dropped, total = [], 0
@@ -261,8 +261,7 @@ def swap(small: Iterator[tuple], large: Iterator[tuple], n_selected: int, n_rows
             entry = least.top()
             if entry is None or total + entry[0][0] > b:
                 break
-            touch(entry[1], entry[2])
-            state = touched[entry[1]]
+            state = touched.setdefault(entry[1], entry[2])
             for g in state.groups(True):
                 state.selected[g] = False
             dropped.append(entry[1])

@@ -51,8 +51,9 @@ C = "c_nation, c_segment, c_priority, c_year"
 
 def state(spark, sf_dir):
     rows = generalize(people(spark, sf_dir), people_forest(), MID, keep_raw=True)
-    return rows.select("*", (F.col("total") > 300000).alias("selected"), ((F.col("balance") < 0) & (F.col("total") > 300000)).alias("exempt"),
-                       seeded_key(SEED, "row_id").alias("_key"), F.lit(0).alias("batch"))
+    # The state of a search is a written table; every step reads it several times.
+    return Scratch(spark, "state").save(rows.select("*", (F.col("total") > 300000).alias("selected"), ((F.col("balance") < 0) & (F.col("total") > 300000)).alias("exempt"),
+                       seeded_key(SEED, "row_id").alias("_key"), F.lit(0).alias("batch")))
 
 
 def small_space():

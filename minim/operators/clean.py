@@ -61,8 +61,9 @@ def trim_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def normalize_code_text(column: Column) -> Column:
     """`'1.0'` -> `'1'`; other text stays."""
-    number = F.trim(column.cast("string")).try_cast("double")
-    whole = number.isNotNull() & (number == F.floor(number))
+    text = F.trim(column.cast("string"))
+    number = F.when(text.rlike(r"^[+-]?\d+(\.\d*)?([eE][+-]?\d+)?$"), text.cast("double"))
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
     return F.when(whole, number.cast("bigint").cast("string")).otherwise(column.cast("string"))
 
 

@@ -128,6 +128,10 @@ class Hierarchy:
     def interval_leaves(self) -> bool:
         return any(self.nodes[x].lo != self.nodes[x].hi for x in self.leaves)
 
+    @property
+    def numeric_codes(self) -> bool:
+        return any(re.match(NUMBER, self.nodes[x].value or "") for x in self.leaves)
+
     def climb(self, leaf: int, level: int) -> str:
         """Go up from a leaf while the node is lower than `level` and has a parent."""
         path = self.paths[leaf]
@@ -297,19 +301,23 @@ def _interval_position(tree: Hierarchy, value: Column) -> Column:
     return search(0, len(spans))
 
 
-def code_column(df: DataFrame, column: str, string_codes: bool = False) -> Column:
-    """Category code as text; whole numbers lose their decimals."""
+# Text that reads as a number. Tested before casting: a failed cast is far dearer than a pattern.
+NUMBER = r"^\s*[+-]?\d+(\.\d*)?([eE][+-]?\d+)?\s*$"
+
+
+def code_column(df: DataFrame, column: str, tree: Hierarchy | None = None) -> Column:
+    """Category code as text; whole numbers lose their decimals.
+
+    Text is taken as it is when the tree has no numeric code that another spelling could mean.
+    """
     kind = df.schema[column].dataType
-    if string_codes or isinstance(kind, T.IntegralType):
+    if isinstance(kind, T.IntegralType) or (tree is not None and (tree.string_codes or not tree.numeric_codes)):
         return F.col(column).cast("string")
     if isinstance(kind, T.NumericType):
         c = F.col(column)
         return F.when(c == F.floor(c), F.floor(c).cast("bigint").cast("string")).otherwise(c.cast("string"))
-    text = F.trim(F.col(column))
-    number = text.try_cast("double")
-    return (F.when(number.isNotNull() & (number == F.floor(number)) & (F.abs(number) < 1e15),
-                   number.cast("bigint").cast("string"))
-            .otherwise(F.col(column)))
+    number = F.when(F.col(column).rlike(NUMBER), F.trim(F.col(column)).cast("double"))
+    return F.when((number == F.floor(number)) & (F.abs(number) < 1e15), number.cast("bigint").cast("string")).otherwise(F.col(column))
 
 
 # A category list this short is searched inside codegen; longer ones are hash-joined.
@@ -324,7 +332,7 @@ def assign_leaves(df: DataFrame, forest: Forest) -> DataFrame:
             value = F.col(attr).cast("double")
             out = out.withColumn(leaf_name(attr), _interval_position(tree, value))
             continue
-        code = code_column(df, attr, tree.string_codes)
+        code = code_column(df, attr, tree)
         values = [tree.nodes[x].value for x in tree.leaves]
         if len(values) <= INLINE_CATEGORIES:
             found = F.array_position(_array(values, "string"), code)
@@ -366,7 +374,7 @@ def generalize(df: DataFrame, forest: Forest, levels: Mapping[str, int], keep_ra
     for attr, tree in forest.items():
         raw = F.col(attr)
         if not tree.numeric:
-            raw = code_column(df, attr, tree.string_codes)
+            raw = code_column(df, attr, tree)
         nodes[attr] = node_column(tree, int(levels.get(attr, 0)), raw)
     if keep_raw:
         return with_leaves.select("*", *[c.alias(f"{a}__node") for a, c in nodes.items()])
@@ -380,7 +388,7 @@ def generalize_value(df: DataFrame, tree: Hierarchy, level: int, column: str | N
         position = _interval_position(tree, F.col(column).cast("double"))
         raw = F.col(column)
     else:
-        raw = code_column(df, column, tree.string_codes)
+        raw = code_column(df, column, tree)
         found = F.array_position(_array([tree.nodes[x].value for x in tree.leaves], "string"), raw)
         position = F.when(found > 0, (found - 1).cast("int"))
     return F.coalesce(at(tree.targets(level), position, "string"), raw.cast("string"))

@@ -31,8 +31,7 @@ def expand_matrix(spark, sf_dir):
         "priority": N.axis_values(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority")), "priority")})
 
 
-@query("trajectory", f"WITH {RUNS}, ev AS (SELECT seed, sum(n) AS n, count(DISTINCT iteration) AS d FROM runs GROUP BY seed) "
-       "SELECT user_id AS run_id, turn AS iteration, role FROM (SELECT conv_id AS user_id, turn, role FROM conversations)")
+@query("trajectory", "SELECT conv_id AS run_id, turn AS iteration, role FROM conversations")
 def trajectory(spark, sf_dir):
     df = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("iteration"), "role")
     return N.trajectory(df, ["run_id"], ["role"], check=False)

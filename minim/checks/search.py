@@ -425,3 +425,34 @@ def diagnose_routing(spark, sf_dir):
 
 
 __all__ = ["rounded"]
+
+
+@query("mondrian_sweep")
+def mondrian_sweep(spark, sf_dir):
+    from minim.plans.sweep import mondrian_sweep as sweep
+    train, val, _ = split(spark, sf_dir)
+    return sweep(train, val, people_forest(), "label", [train.count() // 8], (H.MEDIAN,))
+
+
+def released(spark, sf_dir):
+    """Published training rows, and evaluation rows routed to the same snapshots."""
+    from minim.operators import release as R
+    forest = people_forest()
+    train, _, test = split(spark, sf_dir)
+    snaps = [Snapshot(0, {"nation": 2, "segment": 1, "priority": 2, "year": 2}), Snapshot(1, {"nation": 1, "segment": 0, "priority": 1, "year": 1})]
+    rel = R.materialize_release(R.leaf_cells(train, forest), forest, snaps, 25)
+    scratch = Scratch(spark, "released")
+    published = scratch.save(R.release_rows(train, forest, rel).where("snapshot IS NOT NULL"))
+    return published, scratch.save(R.route_eval(test, forest, rel)), L.FeatureSpace(forest).fit(published), rel.snapshots
+
+
+@query("reconstruction_attack")
+def reconstruction_attack(spark, sf_dir):
+    from minim.operators.model_attacks import reconstruction_attack as attack
+    return attack(*released(spark, sf_dir), {"year": 1.0})
+
+
+@query("linkage_attack")
+def linkage_attack(spark, sf_dir):
+    from minim.operators.model_attacks import linkage_attack as attack
+    return attack(*released(spark, sf_dir), ["nation", "segment"], ["priority", "year"], {"year": 1.0})

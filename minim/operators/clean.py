@@ -6,10 +6,11 @@ from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from minim.operators.keyed import dense_index
 from minim.spec import DatasetSpec
 
 MAX_CATEGORIES = 200_000
@@ -78,14 +79,13 @@ def category_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Sorted code dictionary of the whole table: `(attr, category, idx)`.
 
     Numeric codes sort by value, before texts. Distinct values are found before they are ranked,
-    so the window holds one dictionary and not the rows.
+    so only dictionaries are numbered and never the rows.
     """
     codes = stack_columns(df.select(*[normalize_code_text(F.col(c)).alias(c) for c in columns]), columns)
     distinct = codes.where(F.col("value").isNotNull()).distinct()
     number = F.col("value").try_cast("double")
-    order = Window.partitionBy("attr").orderBy(number.isNull(), number, "value")
-    return distinct.select("attr", F.col("value").alias("category"),
-                           (F.row_number().over(order) - 1).cast("bigint").alias("idx"))
+    keyed = distinct.select("attr", F.col("value").alias("category"), number.isNull().alias("_text"), number.alias("_number"))
+    return dense_index(keyed, ["attr"], ["_text", "_number", "category"], "idx").select("attr", "category", "idx")
 
 
 def first_per_entity(df: DataFrame, entity: str, order: str, source_order: str | None = None) -> DataFrame:

@@ -482,17 +482,20 @@ def max_level_table(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("attr").agg(F.max("height").cast("bigint").alias("max_level"))
 
 
-def numeric_values(closure: DataFrame, leaves: DataFrame) -> DataFrame:
+def numeric_values(closure: DataFrame, leaves: DataFrame, disjoint: bool = True) -> DataFrame:
     """Mean of the integers covered by the leaves under every node: `(attr, node_id, value)`.
 
-    Overlapping leaf intervals are merged first (running maximum of the upper ends), then each
-    merged span adds its arithmetic series; no interval is expanded into its integers.
+    Each interval adds its arithmetic series; none is expanded into its integers. Leaves of an
+    audited hierarchy are disjoint. With `disjoint=False` overlapping ones are merged first, by a
+    running maximum of the upper ends in one sorted pass per node.
     """
     spans = closure.join(
         leaves.select("attr", F.col("node_id").alias("leaf_id"), "lo", "hi"), ["attr", "leaf_id"])
-    w = Window.partitionBy("attr", "ancestor_id").orderBy("lo", "hi")
-    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    start = F.greatest(F.col("lo"), F.coalesce(reach + 1, F.col("lo")))
+    start = F.col("lo")
+    if not disjoint:
+        w = Window.partitionBy("attr", "ancestor_id").orderBy("lo", "hi")
+        reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        start = F.greatest(F.col("lo"), F.coalesce(reach + 1, F.col("lo")))
     size = F.greatest(F.col("hi") - start + 1, F.lit(0.0))
     return (
         spans.select("attr", F.col("ancestor_id").alias("node_id"), size.alias("n"),

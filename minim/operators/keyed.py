@@ -201,6 +201,24 @@ def global_index(
     )
 
 
+def dense_index(table: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """0-based position within `group`; `order` must be total.
+
+    A table within `WINDOW_ROWS` is numbered by a window. A longer one is numbered across range
+    partitions, and each group is shifted to start at 0.
+    """
+    group = list(group)
+    if table.count() <= WINDOW_ROWS:
+        w = Window.partitionBy(*group).orderBy(*order)
+        return table.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
+    indexed = global_index(table, [*group, *order], "_at")
+    if not group:
+        return indexed.withColumnRenamed("_at", name)
+    starts = indexed.groupBy(*group).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    return (attach(indexed, starts, group, "_rows")
+            .select(*table.columns, (F.col("_at") - F.col("_first")).alias(name)))
+
+
 def running_sums(
     table: DataFrame, group: Sequence[str], order: str, values: Sequence[str], rows_per_group: int,
 ) -> DataFrame:

@@ -9,19 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minim.operators.keyed import attach, attach_small, running_sums
+from minim.operators.keyed import WINDOW_ROWS, attach, attach_small, dense_index, running_sums
 from minim.session import Scratch
 
 
 def frequency_ranks(cells: DataFrame, attr: str) -> DataFrame:
     """`(attr, rank)`: categories by falling frequency, ties by value; NULL takes a rank as well."""
-    counts = cells.groupBy(attr).agg(F.sum("n").alias("_n"))
-    order = Window.orderBy(F.desc("_n"), F.col(attr).asc_nulls_last())
-    # One row per category of one attribute.
-    return counts.select(attr, (F.row_number().over(order) - 1).cast("double").alias("_rank"))
+    counts = cells.groupBy(attr).agg(F.sum("n").alias("_n")).select(
+        attr, (-F.col("_n")).alias("_order"), F.col(attr).isNull().alias("_null"))
+    ranked = dense_index(counts, [], ["_order", "_null", attr], "_rank")
+    return ranked.select(attr, F.col("_rank").cast("double").alias("_rank"))
 
 
 def _finite(key: Column) -> Column:
@@ -53,7 +53,7 @@ def mondrian_cells(
         raise ValueError("the table is empty")
     if ends["rows"] < k:
         raise ValueError("fewer rows than k")
-    keyed, scale, widest = cells, [], 0
+    keyed, scale = cells, []
     for q in numeric:
         value = F.col(q).cast("double")
         keyed = keyed.withColumn(f"_k_{q}", F.when(value.isNull() | F.isnan(value), float("inf")).otherwise(value))
@@ -64,8 +64,8 @@ def mondrian_cells(
         keyed = ranked.withColumn(f"_k_{q}", F.when(F.col(q).isNull(), -1.0).otherwise(F.col("_rank"))).drop("_rank", "_often")
         scale.append(float(cells.select(q).distinct().count()))
     # The longest list of distinct keys any window below can meet.
-    widest = cells.agg(*[F.count(F.lit(1)).alias("c")]).first()[0]
-    if widest > 1_000_000:
+    widest = cells.count()
+    if widest > WINDOW_ROWS:
         widest = max(cells.select(q).distinct().count() for q in qis)
     state = keyed.select(*qis, "n", F.array(*[F.col(f"_k_{q}") for q in qis]).alias("_keys"),
                          F.lit("").alias("partition"))

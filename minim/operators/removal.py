@@ -114,7 +114,8 @@ def exchange_candidates(active: DataFrame, removed: DataFrame, keys: Sequence[st
     next_n = F.col("_n") - F.col("out_rows") + F.col("in_rows")
     change = (F.col("_s") - F.col("out_s") + F.col("in_s")) / next_n - F.col("_s") / F.col("_n")
     return sized.withColumns({"next_k": next_k, "_now": now_k}).where(F.col("next_k") >= F.col("_now")).select(
-        "out", "in", "out_rows", "in_rows", next_n.alias("next_active_rows"), "next_k", (-change).alias("fast_utility_score"))
+        "out", "in", "out_rows", "in_rows", next_n.alias("next_active_rows"), "next_k", (-change).alias("fast_utility_score"),
+        F.coalesce("_there", F.lit(0)).alias("in_active_rows"), grown.alias("grown_rows"))
 
 
 def rank_candidates(candidates: DataFrame, k_now: int, min_classes_now: int, tolerance: float, epsilon: float) -> DataFrame:

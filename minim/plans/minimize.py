@@ -7,6 +7,7 @@ and writes it once.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -28,6 +29,7 @@ from minim.session import Scratch
 
 ADMIT, REFINE = "retention_class", "vertical_refinement"
 FULL_SWAP, EVICT, NONE = "full_swap", "evict_low_k", "none"
+MAX_RANKED = 100_000
 
 
 @dataclass(frozen=True)
@@ -298,9 +300,13 @@ def _step(search, state, history, levels, model, proxy, loss, iteration, batch)
         scored = G.lga_admission(admitted, keys, s, n, mean)
         if options.reference_filtering:
             scored = G.reference_filter(scored, _predicted(search, admitted, levels, model, proxy), keys, label, "_proxy", "_estimator")
-        # At most rank_top_k rows; the ties of equal scores go to the smaller class key.
-        limit = options.rank_top_k if options.shortlist is None else 100_000
-        for r in scored.orderBy(F.desc("lga_score"), *keys).limit(limit).collect():
+        # Ties of equal scores go to the smaller class key. A shortlist callback sees every class,
+        # up to a bound on what the driver holds; beyond it the run is refused, not cut.
+        limit = options.rank_top_k if options.shortlist is None else MAX_RANKED + 1
+        found = scored.orderBy(F.desc("lga_score"), *keys).limit(limit).collect()
+        if len(found) > MAX_RANKED:
+            raise ValueError(f"more than {MAX_RANKED} candidates for a shortlist callback")
+        for r in found:
             ranked.append({"action": ADMIT, "candidate": tuple(r[k] for k in keys), "rows": r["rows"], "rank_score": r["lga_score"]})
     if REFINE in options.actions:
         pairs, finer = {}, G.vertical_candidates(levels)
@@ -369,7 +375,6 @@ def _certify(search, state, rows, keys, table, history, levels, cand, current_k,
     if certified is None:
         return None
     gain = loss - certified["loss"]
-    import math
     cost = math.log(max(current_k - next_k, 2))
     out = {"iteration": iteration, "action": cand["action"], "candidate": cand["candidate"], "rank_score": cand["rank_score"],
            "levels": next_levels, "loss": certified["loss"], "current_k": current_k, "next_k": next_k, "published_min_k": published,

@@ -57,10 +57,13 @@ def _ranked(search: Search, cells: DataFrame, levels: Mapping[str, int], model,
         if not gone.isEmpty():
             removed = search.scratch.save(D.class_table(gone, keys, s))
             swaps = D.exchange_candidates(active, removed, keys, options.pool)
-            # An exchange that keeps min-K cannot lower the number of classes at it unless the
-            # outgoing class is one of them and the incoming class is larger than min-K.
-            at_min = F.col("out_rows") == stats[0]
-            after = F.lit(stats[1]) - F.when(at_min, 1).otherwise(0) + F.when(F.col("in_rows") == stats[0], 1).otherwise(0)
+            # Classes at min-K after the exchange: the outgoing one leaves, the incoming one takes
+            # its active class to a new size.
+            def at_min(size):
+                return F.when(size == stats[0], 1).otherwise(0)
+
+            joined = F.when(F.col("in") == F.col("out"), 0).otherwise(F.col("in_active_rows"))
+            after = F.lit(stats[1]) - at_min(F.col("out_rows")) - at_min(joined) + at_min(F.col("grown_rows"))
             parts.append(swaps.select(
                 F.lit("k_safe_class_exchange").alias("action"), F.to_json(F.struct("out", "in"), {"ignoreNullFields": "false"}).alias("candidate"),
                 "next_active_rows", "next_k", F.when(F.col("next_k") > stats[0], 0).otherwise(after).cast("bigint").alias("next_min_classes"), "fast_utility_score"))

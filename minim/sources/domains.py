@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from minim.operators.clean import normalize_code_text, stack_columns
+from minim.operators.keyed import dense_index
 from minim.spec import DatasetSpec
 
 # Longest value list written out; a longer domain is given by its count and range.
@@ -49,19 +50,16 @@ def qi_domains(df: DataFrame, spec: DatasetSpec) -> DataFrame:
 def compress_runs(df: DataFrame, column: str) -> DataFrame:
     """Runs of consecutive integer codes: `(first_code, last_code, run)` with run as `1-3` or `5`.
 
-    A code starts a run when its predecessor is absent and ends one when its successor is. Starts
-    and ends are found by joins on the code and then paired in order, so the only ordered pass
-    is over run ends.
+    A code starts a run when its predecessor is absent and ends one when its successor is. The
+    i-th start belongs to the i-th end, so both are numbered and joined.
     """
     codes = df.where(F.col(column).isNotNull()).select(F.col(column).cast("bigint").alias("c")).distinct()
     starts = codes.join(codes.select((F.col("c") + 1).alias("c")), "c", "left_anti")
     ends = codes.join(codes.select((F.col("c") - 1).alias("c")), "c", "left_anti")
-    marks = starts.select("c", F.lit(0).alias("side")).unionByName(ends.select("c", F.lit(1).alias("side")))
-    # Run ends only: a domain's gaps, not its rows.
-    order = Window.orderBy("c", "side")
-    paired = marks.withColumn("last_code", F.lead("c").over(order)).where("side = 0")
-    text = F.col("c").cast("string")
-    return paired.select(
-        F.col("c").alias("first_code"), "last_code",
-        F.when(F.col("c") == F.col("last_code"), text)
+    first = dense_index(starts, [], ["c"], "_i").select("_i", F.col("c").alias("first_code"))
+    last = dense_index(ends, [], ["c"], "_i").select("_i", F.col("c").alias("last_code"))
+    text = F.col("first_code").cast("string")
+    return first.join(last, "_i").select(
+        "first_code", "last_code",
+        F.when(F.col("first_code") == F.col("last_code"), text)
         .otherwise(F.concat_ws("-", text, F.col("last_code").cast("string"))).alias("run"))

@@ -38,3 +38,60 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from minim.llm.quality import quality_classifier
 
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from minim.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH line AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+numbered AS (
+  SELECT doc_id, p, lines[p] AS line,
+         translate(trim(lines[p], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS p FROM line)),
+owner AS (SELECT k, min(doc_id) AS first_doc FROM numbered WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+marked AS (SELECT n.*, o.first_doc IS NOT NULL AND o.first_doc <> n.doc_id AS gone FROM numbered n LEFT JOIN owner o USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from minim.llm.line_dedup import apply_bitmaps, keep_bitmaps
+
+    documents = table(spark, sf_dir, "documents")
+    return apply_bitmaps(documents, keep_bitmaps(documents)).drop("text")
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_page FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first_page <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first_page <> page_id THEN first_page END AS refers_to
+FROM f
+""")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from minim.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+#: Target weights of the mix by level of the tree; groups without one weigh 1.
+MIX_WEIGHTS = {
+    "domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1},
+    "lang": {"en": 4, "de": 2, "fr": 2, "es": 2},
+    "source": {"src0": 2},
+}
+
+
+@query()
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from minim.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS)

@@ -95,3 +95,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from minim.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS)
+
+
+@query()
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from minim.llm.ngram_join import Rule, ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"), Rule(width=3, num=90, den=100))

@@ -102,3 +102,10 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from minim.llm.ngram_join import Rule, ngram_components
 
     return ngram_components(table(spark, sf_dir, "documents"), Rule(width=3, num=90, den=100))
+
+
+@query()
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from minim.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

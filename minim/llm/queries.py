@@ -109,3 +109,17 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     from minim.llm.decontamination import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from minim.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from minim.llm.secrets_scan import secret_scan
+
+    return secret_scan(table(spark, sf_dir, "documents"))

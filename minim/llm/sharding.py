@@ -117,6 +117,27 @@ def shard_documents(documents: DataFrame, n_shards: int = SHARDS) -> DataFrame:
                          "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def place_documents(documents: DataFrame, n_shards: int = SHARDS) -> DataFrame:
+    """`documents` with `shard` and `slot`, columns of these names being replaced; equal texts are linked.
+
+    Texts move once, in the join with their places. Rows equal in doc_id and text are told apart by a number, which costs a
+    second move and is done only where there are such rows.
+    """
+    documents = documents.drop("shard", "slot")
+    columns = documents.columns
+    keys = ["_id", "_link"]
+    texts = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+                                   "_link": F.md5(F.coalesce("text", F.lit("")).cast("binary"))})
+    places = balanced_shards(text_nodes(documents), n_shards)
+    places = places.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("link").alias("_link"), "shard", "slot")
+    places = Scratch(documents.sparkSession, "places").save(places)
+    if not places.groupBy(*keys).count().where("count > 1").isEmpty():
+        places = places.withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy("shard", "slot")))
+        texts = texts.withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+        keys = [*keys, "_copy"]
+    return texts.join(places, keys).select(*columns, "shard", "slot")
+
+
 def edge_cut(placed: DataFrame) -> DataFrame:
     """`links, cut`: linked pairs of neighbours (all documents of a link with its largest cell) and those in other shards."""
     cells = placed.groupBy("text_crc32", "size", "shard").agg(F.count(F.lit(1)).alias("n"))

@@ -90,14 +90,69 @@ MIX_WEIGHTS = {
 }
 
 
-@query()
+def _weight_sql(level: str) -> str:
+    return "CASE " + level + " ".join(["", *(f"WHEN '{k}' THEN {v}" for k, v in MIX_WEIGHTS[level].items())]) + " ELSE 1 END"
+
+
+def _share_sql(name: str, level: str, group: str, parent: str) -> str:
+    """One level of the budget: siblings of `parent` share its budget `b` by weight, up to what each can hold."""
+    over = f"PARTITION BY {parent}" if parent else ""
+    source = f"(SELECT {group}, sum(cap) AS cap, {_weight_sql(level)} AS w FROM leaf GROUP BY {group})"
+    joined = f"{source} JOIN {'share_' + parent.split(', ')[-1]} USING ({parent})" if parent else f"{source}, whole"
+    return f"""
+{name}_ranked AS (
+  SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+         sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight
+  FROM {joined} WINDOW o AS ({over} ORDER BY cap / w, {level})),
+{name}_full AS (SELECT *, (b - filled) * w >= cap * weight AS f FROM {name}_ranked),
+{name}_rest AS (SELECT *, sum(CASE WHEN f THEN cap ELSE 0 END) OVER ({over}) AS held, sum(CASE WHEN f THEN 0 ELSE w END) OVER ({over}) AS rest FROM {name}_full),
+share_{level} AS (SELECT {group}, CASE WHEN f THEN cap ELSE ((b - held) * w) // rest END AS b FROM {name}_rest)"""
+
+
+_MIX_SQL = rf"""
+WITH doc AS (
+  SELECT doc_id, 'domain' || coalesce(try_cast(regexp_extract(source, '(\d+)$', 1) AS BIGINT) % 4, 0) AS domain, coalesce(lang, '') AS lang,
+         coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
+  FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens) AS available, 3 * sum(n_tokens) AS cap FROM doc GROUP BY ALL),
+whole AS (SELECT sum(available) // 2 AS b FROM leaf),
+{_share_sql("d", "domain", "domain", "").strip()},
+{_share_sql("l", "lang", "domain, lang", "domain").strip()},
+{_share_sql("s", "source", "domain, lang, source", "domain, lang").strip()},
+part AS (SELECT domain, lang, source, b // available AS epochs, b % available AS rest FROM leaf JOIN share_source USING (domain, lang, source)),
+placed AS (
+  SELECT doc.*, epochs, rest, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws(':', '17', CAST(epochs AS BIGINT), doc_id))) AS upto
+  FROM doc JOIN part USING (domain, lang, source)),
+taken AS (SELECT *, greatest(0, least(n_tokens, rest - upto + n_tokens)) AS prefix_tokens FROM placed)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs AS BIGINT) AS epochs, CAST(prefix_tokens AS BIGINT) AS prefix_tokens,
+       CAST(epochs * n_tokens + prefix_tokens AS BIGINT) AS total_tokens
+FROM taken
+"""
+
+
+@query(_MIX_SQL)
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from minim.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS)
 
 
-@query()
+_JACCARD_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+gram AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM doc WHERE len(w) >= 3)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') AS g FROM doc WHERE len(w) BETWEEN 1 AND 2),
+size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT u, v FROM common JOIN size x ON x.doc_id = u JOIN size y ON y.doc_id = v WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.v AS other FROM reach r JOIN link l ON l.u = r.other)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id
+FROM documents d JOIN reach r USING (doc_id) LEFT JOIN size s USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@query(_JACCARD_SQL)
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from minim.llm.ngram_join import Rule, ngram_components
 

@@ -6,7 +6,7 @@ suffix filters test a candidate from numbers alone; what passes is verified once
 
 Equal sets are one class first. A class that shares a prefix n-gram with thousands of others is not paired with all of them: each n-gram
 tests its documents against one hub, links are joined to components, and only documents outside the largest component of
-an n-gram go on, against a new hub or, once few are left, against all documents of other components. Two documents are left untested
+an n-gram go on, against a new hub or, once few are left or hubs find no more, against all documents of other components. Two documents are left untested
 only if they are in one component already, so components are exact. The links found connect every component;
 they are not all pairs.
 
@@ -34,9 +34,9 @@ from minim.session import Scratch
 COUNTER_BITS = 22
 _BLOCK = 1 << 14
 _SHARE = 16
-STAR_ROUNDS = 4
-# The last step tests at most about this many pairs per candidate row, while star rounds are left.
-PAIRS_PER_ROW = 2
+STAR_ROUNDS = 6
+# While star rounds still find links, the last step waits until it joins at most this many pairs for each candidate row.
+PAIRS_PER_ROW = 16
 # Bits of the filter that picks the documents whose sets are needed: 64 a row, in at most 131,072 rows.
 PICK_BITS = 23
 
@@ -74,16 +74,29 @@ def _count_blocks(rule: Rule):
         blocks = counts.reshape(-1, _BLOCK)
         used = np.flatnonzero(blocks.any(1))
         if len(used):
-            packed = [zlib.compress(blocks[b].astype(np.int64).tobytes(), 1) for b in used]
+            packed = [_pack(blocks[b]) for b in used]
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
     return run
 
 
+def _pack(block: np.ndarray) -> bytes:
+    """Places and values of the counters in use, compressed."""
+    at = np.flatnonzero(block)
+    return zlib.compress(at.astype(np.uint16).tobytes() + block[at].tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(packed)
+    n = len(raw) // 10
+    return np.frombuffer(raw, np.uint16, n), np.frombuffer(raw, np.int64, n, 2 * n)
+
+
 def _add_blocks(key: tuple, table: pa.Table) -> pa.Table:
     total = np.zeros(_BLOCK, np.int64)
     for packed in table["counts"].to_pylist():
-        total += np.frombuffer(zlib.decompress(packed), np.int64)
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        at, n = _unpack(packed)
+        total[at] += n
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([_pack(total)], pa.binary())})
 
 
 def rarity(documents: DataFrame, rule: Rule) -> np.ndarray:
@@ -96,9 +109,9 @@ def rarity(documents: DataFrame, rule: Rule) -> np.ndarray:
     summed = tasks.groupBy("block", "share").applyInArrow(_add_blocks, "block int, counts binary")
     summed = summed.groupBy("block").applyInArrow(_add_blocks, "block int, counts binary")
     out = np.zeros((1 << COUNTER_BITS) // _BLOCK * _BLOCK, np.uint8).reshape(-1, _BLOCK)
-    for row in summed.toLocalIterator():
-        counts = np.frombuffer(zlib.decompress(bytes(row["counts"])), np.int64)
-        out[row["block"]] = np.minimum(np.rint(np.log2(counts + 1.0) * 6), 255).astype(np.uint8)
+    for row in summed.collect():
+        at, n = _unpack(bytes(row["counts"]))
+        out[row["block"], at] = np.minimum(np.rint(np.log2(n + 1.0) * 6), 255).astype(np.uint8)
     return out.reshape(-1)
 
 
@@ -138,7 +151,7 @@ def _described(documents: DataFrame, rule: Rule, rare) -> DataFrame:
 
 
 def _sets(documents: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """`node, grams` (ascending hashes as bytes) of the nodes, and of the few documents that the bit filter takes for one."""
+    """`node, grams` (ascending hashes as bytes) of the nodes, and of the documents that the bit filter takes for one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in byte_lists(batches, 1):
             h, offset = shingle_sets(texts, rule.width)
@@ -175,23 +188,46 @@ def _distance(left: str, right: str) -> Column:
     return out
 
 
-def _candidates(pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The distinct `u < v` of `x, y` (structs of node, n, pos, s1, s2) that no filter excludes."""
+def _passes(rule: Rule) -> Column:
+    """Whether two documents that meet in an n-gram, structs x and y, may link: the length, positional and suffix filters.
+
+    The positional filter takes the n-gram for the first that both share. Where it is not, the bound is too low and the pair may
+    be refused; it passes where they share the first one, if it can link at all.
+    """
     n, m = F.col("x.n"), F.col("y.n")
     least = rule.overlap(n, m)
     length = (n * rule.den >= m * rule.num) & (m * rule.den >= n * rule.num)
-    # What both can share: n-grams before this one, itself, and those after it.
-    place = F.least("x.pos", "y.pos") + 1 + F.least(n - F.col("x.pos") - 1, m - F.col("y.pos") - 1)
-    kept = pairs.where(length & (place >= least) & (_distance("x", "y") <= n + m - 2 * least))
-    return kept.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).where("u < v").distinct()
+    place = F.least(n - F.col("x.pos"), m - F.col("y.pos"))
+    return length & (place >= least) & (_distance("x", "y") <= n + m - 2 * least)
+
+
+def _distinct(pairs: DataFrame) -> DataFrame:
+    """The distinct `u < v` of pairs of structs x, y."""
+    return pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).where("u < v").distinct()
+
 
+def _meeting(classes: DataFrame, rule: Rule) -> DataFrame:
+    """`node, n, s1, s2, pos, gram`: the prefix n-grams in which a class may meet another.
 
-def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """`u, v, linked` of each pair."""
+    A row stays if its n-gram has other rows and enough n-grams follow in its document for the smallest partner possible there.
+    """
+    grams = classes.select("node", "n", "_of.s1", "_of.s2", F.posexplode("_of.prefix").alias("pos", "gram"))
+    gram = Window.partitionBy("gram")
+    met = grams.withColumns({"_met": F.count(F.lit(1)).over(gram), "_least": F.min("n").over(gram)}).where("_met > 1")
+    partner = F.greatest(F.col("_least"), F.ceil(F.col("n") * rule.num / F.lit(rule.den)).cast("int"))
+    met = met.where(F.col("n") - F.col("pos") >= rule.overlap(F.col("n"), partner))
+    return met.withColumn("_met", F.count(F.lit(1)).over(gram)).where("_met > 1").drop("_met", "_least")
+
+
+def _verify(pairs: DataFrame, documents: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """`u, v, linked` of each pair; only the sets of its documents are built."""
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = scratch.save(_sets(documents, nodes, rule))
     one = pairs.join(sets.select(F.col("node").alias("v"), F.col("grams").alias("y")), "v")
     two = one.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("x")), "u")
     small_batches(pairs.sparkSession, 1000)
-    return scratch.save(two.select("u", "v", "x", "y").mapInArrow(_verified(rule), "u long, v long, linked boolean"))
+    tested = two.select("u", "v", "x", "y").mapInArrow(_verified(rule), "u long, v long, linked boolean")
+    return scratch.save(tested.groupBy("u", "v").agg(F.max("linked").alias("linked")))
 
 
 def _node() -> Column:
@@ -199,8 +235,12 @@ def _node() -> Column:
 
 
 def _star(rows: DataFrame, salt: int) -> DataFrame:
-    """Pairs of each n-gram's hub with its rows of other components; the hub is the same for rows that meet in several n-grams."""
-    order = F.struct(F.xxhash64(F.lit(salt), F.col("node")).alias("order"), _node().alias("it"), F.col("component").alias("of"))
+    """Pairs of each n-gram's hub with its rows of other components.
+
+    The hub is the row with the fewest rarer n-grams before this one, the likeliest centre of near copies; rows that meet in
+    several n-grams mostly find the same hub.
+    """
+    order = F.struct("pos", F.xxhash64(F.lit(salt), F.col("node")).alias("order"), _node().alias("it"), F.col("component").alias("of"))
     hub = F.min(F.when(F.col("minor"), order)).over(Window.partitionBy("gram"))
     return (rows.withColumn("_hub", hub).where(F.col("_hub.of") != F.col("component"))
             .select(F.col("_hub.it").alias("x"), _node().alias("y")))
@@ -223,37 +263,37 @@ def ngram_classes(documents: DataFrame, rule: Rule) -> tuple[DataFrame, DataFram
     """`(members, links, found)`: each document's class and set size, the verified links of classes, and the component of linked classes."""
     spark = documents.sparkSession
     small_batches(spark)
-    # The shuffle files of a finished write are not needed again: its rows are in the shared folder.
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     scratch = Scratch(spark, "ngrams")
     rare = spark.sparkContext.broadcast(rarity(documents, rule))
     described = scratch.save(_described(documents, rule, rare))
     filled = described.where("n > 0")
     classes = filled.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("s1", "s2", "prefix"), "doc_id").alias("_of"))
-    grams = classes.select("node", "n", "_of.s1", "_of.s2", F.posexplode("_of.prefix").alias("pos", "gram"))
     # Most of a prefix is in no other document: such rows end here.
-    met = F.count(F.lit(1)).over(Window.partitionBy("gram"))
-    rows = scratch.save(grams.withColumn("_met", met).where("_met > 1").drop("_met"))
-    sets = scratch.save(_sets(documents, rows.select("node").distinct(), rule).join(rows.select("node").distinct(), "node", "left_semi").distinct())
+    rows = scratch.save(_meeting(classes, rule))
+    most = PAIRS_PER_ROW * rows.count()
     tested = found = None
+    progress = True
     for salt in range(STAR_ROUNDS + 1):
         left = scratch.save(_unresolved(rows, found))
         cost = left.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("minor"), F.col("total"))).alias("pairs")).first()
         if not cost["rows"]:
             break
-        last = found is not None and (salt == STAR_ROUNDS or cost["pairs"] <= PAIRS_PER_ROW * cost["rows"])
+        last = found is not None and (salt == STAR_ROUNDS or not progress or cost["pairs"] <= most)
         if last:
             x = left.where("minor").select("gram", _node().alias("x"), F.col("component").alias("_a"))
             y = left.select("gram", _node().alias("y"), F.col("component").alias("_b"), F.col("minor").alias("_m"))
             # Two minor rows meet once.
             meet = (F.col("_a") != F.col("_b")) & (~F.col("_m") | (F.col("x.node") < F.col("y.node")))
-            pairs = x.join(y, "gram").where(meet).select("x", "y")
+            # The filters stand in the join, so what they refuse is no row.
+            y = y.withColumnRenamed("gram", "_gram")
+            pairs = x.join(y, (F.col("gram") == F.col("_gram")) & meet & _passes(rule)).select("x", "y")
         else:
-            pairs = _star(left, salt)
-        pairs = _candidates(pairs, rule)
+            pairs = _star(left, salt).where(_passes(rule))
+        pairs = _distinct(pairs)
         if tested is not None:
             pairs = pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti")
-        now = _verify(scratch.save(pairs), sets, rule, scratch)
+        now = _verify(scratch.save(pairs), documents, rule, scratch)
+        progress = not now.where("linked").isEmpty()
         tested = now if tested is None else scratch.save(tested.union(now))
         found = components(tested.where("linked").select("u", "v"), scratch)
         if last:

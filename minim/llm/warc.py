@@ -116,11 +116,11 @@ def with_offsets(pieces: DataFrame) -> DataFrame:
     return placed.withColumn("succ", F.col("at") + len(MAGIC) + F.col("start") + F.col("length") + len(END))
 
 
-def _exits(group: pd.DataFrame) -> pd.DataFrame:
+def _exits(group: pd.DataFrame, segment: int) -> pd.DataFrame:
     """For each candidate of a segment, the first offset of its chain that is outside the segment (or nowhere)."""
     group = group.sort_values("at")
     at, succ = group["at"].to_numpy(), group["succ"].to_numpy()
-    last = (int(at[0]) // SEGMENT + 1) * SEGMENT
+    last = (int(at[0]) // segment + 1) * segment
     place = np.searchsorted(at, succ)
     inside = (place < len(at)) & (at[np.minimum(place, len(at) - 1)] == succ)
     leave = succ.copy()
@@ -144,10 +144,11 @@ def _walk(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"file": group["file"].iloc[0], "at": np.array(kept, np.int64)})
 
 
-def reachable(links: DataFrame, scratch: Scratch) -> DataFrame:
+def reachable(links: DataFrame, scratch: Scratch, segment: int = SEGMENT) -> DataFrame:
     """`file, at` of the records on the chain from offset 0, for `links` of `file, at, succ`."""
-    links = links.withColumn("segment", F.floor(F.col("at") / SEGMENT))
-    jump = scratch.save(links.groupBy("file", "segment").applyInPandas(_exits, "file string, at long, leave long").where("leave >= 0"))
+    links = links.withColumn("segment", F.floor(F.col("at") / segment))
+    jump = scratch.save(links.groupBy("file", "segment")
+                        .applyInPandas(lambda g: _exits(g, segment), "file string, at long, leave long").where("leave >= 0"))
     # Only starts and exits can be entries; the tables of the loop have a few rows per segment.
     starts = links.where("at = 0").select("file", "at").distinct()
     targets = jump.select("file", F.col("leave").alias("at")).union(starts).distinct()
@@ -165,11 +166,11 @@ def reachable(links: DataFrame, scratch: Scratch) -> DataFrame:
         onward = jump.select("file", F.col("at").alias("leave"), F.col("leave").alias("_next"))
         jump = scratch.save(jump.join(onward, ["file", "leave"]).select("file", "at", F.col("_next").alias("leave"))
                             .union(jump.join(onward, ["file", "leave"], "left_anti").select("file", "at", "leave")))
-    entries = reached.select("file", F.floor(F.col("at") / SEGMENT).alias("segment"), F.col("at").alias("entry"))
+    entries = reached.select("file", F.floor(F.col("at") / segment).alias("segment"), F.col("at").alias("entry"))
     return links.join(entries, ["file", "segment"]).groupBy("file", "segment").applyInPandas(_walk, "file string, at long")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, segment: int = SEGMENT) -> DataFrame:
     """`page_id, payload_bytes, payload_digest, record_type, refers_to` of every record on a chain.
 
     A response's length and digest are those of the payload read; a revisit has them from its headers.
@@ -177,7 +178,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     scratch = Scratch(spark, "warc-read")
     pieces = scratch.save(with_offsets(candidates(spark, path)))
-    chain = scratch.save(reachable(pieces.where("at >= 0 and succ is not null").select("file", "at", "succ"), scratch))
+    chain = scratch.save(reachable(pieces.where("at >= 0 and succ is not null").select("file", "at", "succ"), scratch, segment))
     records = pieces.join(chain, ["file", "at"])
     whole = records.where("whole").select(*columns)
     cut = records.where("not whole")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +18,6 @@ DEFAULTS = {
 }
 
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
 def build_session(app: str = "minim", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the package defaults; `conf` wins over them."""
     builder = SparkSession.builder.appName(app)
@@ -33,20 +29,15 @@ def build_session(app: str = "minim", master: str | None = None, **conf: str) ->
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    Read from `spark.checkpoint.dir`. Only a local session without that setting gets a folder of
-    its own; on a cluster a machine-local folder would be lost with its executor, so it is refused.
-    """
+    """The shared folder for intermediate tables: `spark.checkpoint.dir`, else a folder in the warehouse, which is shared as well."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="minim-")
-    return _LOCAL_ROOTS[app]
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever store holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 class Scratch:
@@ -61,6 +52,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{scratch_root(spark).rstrip('/')}/{job}-{uuid.uuid4().hex}"
         self._count = 0
+        self._places: dict[int, tuple[DataFrame, str]] = {}
 
     def save(self, df: DataFrame, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
         """Write `df` once and return a reader of the written rows."""
@@ -70,7 +62,22 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(target)
-        return self.spark.read.schema(df.schema).parquet(target)
+        table = self.spark.read.schema(df.schema).parquet(target)
+        self._places[id(table)] = (table, target)
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that `save` returned and that nothing will read again; others and None are passed over."""
+        for table in tables:
+            _, target = self._places.pop(id(table), (None, None))
+            if target:
+                delete_path(self.spark, target)
+
+    def replace(self, old: DataFrame | None, df: DataFrame) -> DataFrame:
+        """Save `df`, made from `old`, and delete `old`."""
+        table = self.save(df)
+        self.drop(old)
+        return table
 
 
 def cut_lineage(df: DataFrame, job: str = "cut") -> DataFrame:

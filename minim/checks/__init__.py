@@ -26,5 +26,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from minim.checks import (  # noqa: F401
-        analytics, attacks, classes, cleaning, hierarchies, mondrian, releases, sampling, search,
+        analytics, attacks, classes, cleaning, hierarchies, mondrian, releases, sampling, search, sources,
     )

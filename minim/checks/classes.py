@@ -38,8 +38,8 @@ def raw_classes(spark, sf_dir):
 
 
 @query("class_index", f"""WITH {MID_CTE}
-SELECT row_id, md5(concat_ws('|', coalesce('=' || nation, '~'), coalesce('=' || segment, '~'),
-       coalesce('=' || priority, '~'), coalesce('=' || year, '~'))) AS class_id,
+SELECT row_id, md5(coalesce(length(nation) || ':' || nation, '~') || coalesce(length(segment) || ':' || segment, '~') ||
+       coalesce(length(priority) || ':' || priority, '~') || coalesce(length(CAST(year AS VARCHAR)) || ':' || year, '~')) AS class_id,
        count(*) OVER (PARTITION BY {Q}) AS k
 FROM pub""")
 def class_index(spark, sf_dir):

@@ -41,19 +41,19 @@ def null_sentinels(spark, sf_dir):
     return K.null_sentinels(df, {"event_type": ("error", "signup")})
 
 
-@query("coerce_numeric", """SELECT event_id, TRY_CAST(substr(props, 7, 1) AS DOUBLE) AS a,
-  TRY_CAST(substr(props, 6, 2) AS DOUBLE) AS b FROM events""")
+@query("coerce_numeric", """SELECT event_id, TRY_CAST(props AS DOUBLE) AS props, TRY_CAST(event_type AS DOUBLE) AS event_type,
+  TRY_CAST(CASE WHEN user_id % 7 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS DOUBLE) AS value FROM events""")
 def coerce_numeric(spark, sf_dir):
     df = table(spark, sf_dir, "events").select(
-        "event_id", F.substring("props", 7, 1).alias("a"), F.substring("props", 6, 2).alias("b"))
-    return K.coerce_numeric(df, ["a", "b"])
+        "event_id", "props", "event_type", F.when(F.col("user_id") % 7 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("value"))
+    return K.coerce_numeric(df, ["props", "event_type", "value"])
 
 
-@query("trim_text", "SELECT doc_id, trim(substr(text, 1, length(source) + 3)) AS head FROM documents")
+@query("trim_text", "SELECT doc_id, trim('  ' || text || ' ') AS text, trim(source || '   ') AS source FROM documents")
 def trim_text(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select(
-        "doc_id", F.expr("substr(text, 1, length(source) + 3)").alias("head"))
-    return K.trim_text(df, ["head"])
+        "doc_id", F.concat(F.lit("  "), "text", F.lit(" ")).alias("text"), F.concat("source", F.lit("   ")).alias("source"))
+    return K.trim_text(df, ["text", "source"])
 
 
 @query("category_dictionary", f"""WITH {PEOPLE}, codes AS (
@@ -143,13 +143,14 @@ def table_fingerprint(spark, sf_dir):
     return K.table_fingerprint(people(spark, sf_dir))
 
 
-@query("qi_domains", f"""WITH {PEOPLE}
-SELECT 'nation' AS attr, 'categorical' AS kind, count(DISTINCT nation) AS distinct_values,
-  string_agg(DISTINCT nation, ', ' ORDER BY nation) AS domain FROM pop
-UNION ALL SELECT 'segment', 'categorical', count(DISTINCT segment), string_agg(DISTINCT segment, ', ' ORDER BY segment) FROM pop
-UNION ALL SELECT 'priority', 'categorical', count(DISTINCT priority), string_agg(DISTINCT priority, ', ' ORDER BY priority) FROM pop
-UNION ALL SELECT 'year', 'discrete', count(DISTINCT year), string_agg(DISTINCT CAST(year AS VARCHAR), ', ' ORDER BY CAST(year AS VARCHAR)) FROM pop
-UNION ALL SELECT 'total', 'continuous', count(DISTINCT total), CAST(min(total) AS VARCHAR) || ' ~ ' || CAST(max(total) AS VARCHAR) FROM pop""")
+@query("qi_domains", f"""WITH {PEOPLE}, codes AS (
+  SELECT 'nation' AS attr, 'categorical' AS kind, CAST(nation AS BIGINT) AS c FROM pop UNION SELECT 'year', 'discrete', year FROM pop),
+island AS (SELECT *, c - row_number() OVER (PARTITION BY attr ORDER BY c) AS g, count(*) OVER (PARTITION BY attr) AS n FROM codes),
+texts AS (SELECT 'segment' AS attr, segment AS v FROM pop UNION SELECT 'priority', priority FROM pop WHERE priority IS NOT NULL)
+SELECT attr, kind, any_value(n) AS distinct_values, row_number() OVER (PARTITION BY attr ORDER BY min(c)) - 1 AS position,
+  CASE WHEN min(c) = max(c) THEN CAST(min(c) AS VARCHAR) ELSE min(c) || '-' || max(c) END AS run FROM island GROUP BY attr, kind, g
+UNION ALL SELECT attr, 'categorical', count(*) OVER (PARTITION BY attr), row_number() OVER (PARTITION BY attr ORDER BY v) - 1, v FROM texts
+UNION ALL SELECT 'total', 'continuous', count(DISTINCT total), 0, CAST(min(total) AS VARCHAR) || ' ~ ' || CAST(max(total) AS VARCHAR) FROM pop""")
 def qi_domain_export(spark, sf_dir):
     spec = DatasetSpec(name="people", features=("nation", "segment", "priority", "year", "total"),
                        qis=("nation", "segment", "priority", "year", "total"), numeric=("year", "total"),

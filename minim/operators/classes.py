@@ -27,9 +27,9 @@ def size_histogram(classes: DataFrame, size: str = "k") -> DataFrame:
 
 
 def class_key(qis: Sequence[str]) -> Column:
-    """A 128-bit class id; NULL and the text 'NULL' differ."""
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(q).cast("string")), F.lit("~")) for q in qis]
-    return F.md5(F.concat_ws("|", *parts))
+    """A 128-bit class id; NULL and the text 'NULL' differ. Each value stands behind its length, so no separator can be part of it."""
+    texts = [F.col(q).cast("string") for q in qis]
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("~")) for t in texts]))
 
 
 def class_index(df: DataFrame, qis: Sequence[str], row_id: str = "row_id") -> DataFrame:

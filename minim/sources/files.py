@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,24 +16,34 @@ from minim.spec import DatasetSpec
 
 
 def with_position(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Position of each line of a file read as it is stored, for files that carry no key.
+    """0-based position of each row over the files in name order, for files that carry no key.
 
-    Uses the per-partition line number plus the sizes of the partitions before, which is the file
-    order of a text source; no single task sees more than its own partition.
+    A split's rows keep their order in one task, but splits are dealt to tasks by size, so task numbers are no file order.
+    Rows are numbered inside their split and shifted by the rows of the splits before, by file name and offset. `df` must
+    come straight from a file reader (rows may be filtered).
     """
-    marked = (df.withColumn("_part", F.spark_partition_id())
-              .withColumn("_inside", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    marked = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_at"))
     # One row per input split.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-               .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
-    return (marked.join(F.broadcast(offsets), "_part")
-            .withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint"))
-            .drop("_part", "_inside", "_before"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (marked.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+              .select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    return (marked.join(splits, ["_file", "_block"])
+            .withColumn(name, (F.col("_before") + F.col("_at") - F.col("_first")).cast("bigint"))
+            .drop("_file", "_block", "_at", "_first", "_before"))
+
+
+def _rows_per_file(df: DataFrame) -> list[int]:
+    """Rows of each file, in name order."""
+    counts = df.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    return [r["n"] for r in counts.orderBy("f").collect()]
 
 
 def read_xy(spark: SparkSession, x_path: str, y_path: str, spec: DatasetSpec, key: str | None = None) -> DataFrame:
-    """Feature file and label file as one table; joined on `key`, or by line position without one."""
+    """Feature file and label file as one table; joined on `key`, or by line position without one.
+
+    Without a key both sides must hold as many rows, file by file where they have as many files.
+    """
     x = spark.read.option("header", True).schema(_csv_schema(spark, x_path, ",", spec.numeric)).csv(x_path)
     y = spark.read.option("header", True).csv(y_path)
     missing = [c for c in spec.features if c not in x.columns]
@@ -47,7 +56,11 @@ def read_xy(spark: SparkSession, x_path: str, y_path: str, spec: DatasetSpec, ke
         y = y.select(key, F.col(f"`{label}`").alias(spec.label))
         joined = x.join(y, key)
         return nan_to_null(joined.withColumnRenamed(key, spec.row_id))
-    x, y = with_position(x, spec.row_id), with_position(y.select(F.col(f"`{label}`").alias(spec.label)), spec.row_id)
+    x_rows, y_rows = _rows_per_file(x), _rows_per_file(y)
+    if sum(x_rows) != sum(y_rows) or len(x_rows) == len(y_rows) and x_rows != y_rows:
+        raise ValueError(f"{x_path} and {y_path} do not pair: rows per file {x_rows[:10]} and {y_rows[:10]}")
+    x = with_position(x, spec.row_id)
+    y = with_position(y, spec.row_id).select(spec.row_id, F.col(f"`{label}`").alias(spec.label))
     return nan_to_null(x.join(y, spec.row_id))
 
 
@@ -83,19 +96,20 @@ def read_labelled_csv(spark: SparkSession, path: str, spec: DatasetSpec, sep: st
     return nan_to_null(with_position(df, spec.row_id))
 
 
-def read_arff(spark: SparkSession, path: str) -> DataFrame:
-    """An ARFF table: names and types from the header, rows parsed by the CSV expression.
+def read_arff(spark: SparkSession, path: str, row_id: str = "row_id") -> DataFrame:
+    """An ARFF table with row ids: names and types from the header, rows parsed by the CSV expression.
 
-    `%` starts a comment line, values may be quoted with `'`, `?` is missing. The header is read
-    with a prefix scan that stops at `@data`.
+    `%` starts a comment line, values may be quoted with `'`, `?` is missing. The header ends at the first `@data` line;
+    what follows is data, whatever it starts with.
     """
-    lines = spark.read.text(path)
+    text = F.trim("value")
+    lines = with_position(spark.read.text(path).where(~text.startswith("%") & (text != "")), "_line")
+    start = lines.where(F.lower(text).startswith("@data")).agg(F.min("_line")).first()[0]
+    if start is None:
+        raise ValueError(f"{path}: no @data line")
     fields = []
-    for row in lines.where(F.lower(F.trim("value")).rlike("^@(attribute|data)")).toLocalIterator():
-        text = row[0].strip()
-        if text.lower().startswith("@data"):
-            break
-        rest = text[len("@attribute"):].strip()
+    for row in lines.where((F.col("_line") < start) & F.lower(text).startswith("@attribute")).orderBy("_line").collect():
+        rest = row["value"].strip()[len("@attribute"):].strip()
         if rest[0] in "'\"":
             name, kind = rest[1:].split(rest[0], 1)
         else:
@@ -104,21 +118,18 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
         fields.append(T.StructField(name.strip(), T.DoubleType() if numeric else T.StringType()))
     if not fields:
         raise ValueError(f"{path}: no @attribute lines")
-    schema = T.StructType(fields)
-    data = lines.where(~F.trim("value").startswith("@") & ~F.trim("value").startswith("%") & (F.trim("value") != ""))
-    options = {"sep": ",", "quote": "'", "nullValue": "?", "ignoreLeadingWhiteSpace": "true",
-               "ignoreTrailingWhiteSpace": "true"}
-    return data.select(F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " ")
-                                  if all(f.name.isidentifier() for f in fields) else _ddl(fields), options).alias("r")).select("r.*")
+    options = {"sep": ",", "quote": "'", "nullValue": "?", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    parsed = F.from_csv("value", _ddl(fields), options).alias("r")
+    return lines.where(F.col("_line") > start).select(parsed, (F.col("_line") - start - 1).alias("_row")).select("r.*", F.col("_row").alias(row_id))
 
 
 def _ddl(fields) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
 
-def load_trees(path: str) -> Mapping:
-    """The `trees` mapping of a hierarchy file: JSON, or YAML where a YAML reader is installed."""
-    text = Path(path).read_text(encoding="utf-8-sig")
+def load_trees(spark: SparkSession, path: str) -> Mapping:
+    """The `trees` mapping of a hierarchy file in any store: JSON, or YAML where a YAML reader is installed."""
+    text = spark.read.option("wholetext", True).text(path).first()[0].lstrip("\ufeff")
     if path.endswith(".json"):
         return json.loads(text)["trees"]
     try:
@@ -130,7 +141,7 @@ def load_trees(path: str) -> Mapping:
 
 def read_hierarchies(spark: SparkSession, path: str, spec: DatasetSpec) -> tuple[DataFrame, Forest]:
     """One tree per quasi-identifier, as a node table and as the driver's bounded copy."""
-    trees = load_trees(path)
+    trees = load_trees(spark, path)
     missing = [q for q in spec.qis if q not in trees]
     if missing:
         raise KeyError(f"no hierarchy for {missing}")
@@ -143,6 +154,13 @@ def read_hierarchies(spark: SparkSession, path: str, spec: DatasetSpec) -> tuple
     return node_table(spark, forest), forest
 
 
+def _is_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is not blank is a whole object, as the JSON sink writes them."""
+    line = spark.read.text(path).where(F.trim("value") != "").first()
+    text = line[0].strip() if line else ""
+    return text.startswith("{") and text.endswith("}")
+
+
 def read_results(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Result rows from CSV, JSON (arrays or objects) and JSON-lines files, by column name.
 
@@ -157,7 +175,7 @@ def read_results(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         elif path.endswith(".jsonl"):
             parts.append(spark.read.json(path))
         elif path.endswith(".json"):
-            parts.append(spark.read.option("multiLine", True).json(path))
+            parts.append(spark.read.option("multiLine", not _is_json_lines(spark, path)).json(path))
         else:
             raise ValueError(f"{path}: unknown result format")
     if not parts:

@@ -36,10 +36,31 @@ def test_xy_by_position_and_key(spark, tmp_path):
 
 def test_arff(spark, tmp_path):
     path = tmp_path / "d.arff"
-    path.write_text("% note\n@relation r\n@attribute 'credit amount' numeric\n@attribute purpose {a,'b c'}\n@data\n12,'b c'\n?,a\n% end\n")
+    path.write_text("% note\n@relation r\n@attribute 'credit amount' numeric\n@attribute purpose {a,'b c'}\n@data\n12,'b c'\n% note\n?,@data\n% end\n")
     df = files.read_arff(spark, str(path))
-    assert df.columns == ["credit amount", "purpose"]
-    assert {tuple(r) for r in df.collect()} == {(12.0, "b c"), (None, "a")}
+    assert df.columns == ["credit amount", "purpose", "row_id"]
+    assert {tuple(r) for r in df.collect()} == {(12.0, "b c", 0), (None, "@data", 1)}
+    path.write_text("@relation r\n@attribute a numeric\n1\n")
+    with pytest.raises(ValueError, match="@data"):
+        files.read_arff(spark, str(path))
+
+
+def test_xy_over_files_of_unequal_size(spark, tmp_path):
+    """Spark deals the largest file first; positions follow names."""
+    for side in ("x", "y"):
+        (tmp_path / side).mkdir()
+    at = 0
+    for i, n in enumerate((5, 900, 40, 1)):
+        rows = range(at, at + n)
+        (tmp_path / "x" / f"{i}.csv").write_text("age,job\n" + "".join(f"{r},j{r}\n" for r in rows))
+        (tmp_path / "y" / f"{i}.csv").write_text("y\n" + "".join(f"{r}\n" for r in rows))
+        at += n
+    out = files.read_xy(spark, str(tmp_path / "x"), str(tmp_path / "y"), SPEC).collect()
+    assert sorted(r["row_id"] for r in out) == list(range(at))
+    assert all(r["age"] == r["row_id"] == float(r["y"]) for r in out)
+    (tmp_path / "y" / "1.csv").write_text("y\n1\n")
+    with pytest.raises(ValueError, match="pair"):
+        files.read_xy(spark, str(tmp_path / "x"), str(tmp_path / "y"), SPEC)
 
 
 def test_results(spark, tmp_path):

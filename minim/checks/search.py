@@ -210,18 +210,39 @@ def extra_swap_in(spark, sf_dir):
 
 
 @query("swap_table", f"""WITH {STATE} SELECT {SQL_KEYS}, count(*) FILTER (WHERE selected AND NOT exempt) AS n_selected, count(*) FILTER (WHERE exempt) AS n_exempt,
-  count(*) FILTER (WHERE NOT selected) AS n_open, min(h) FILTER (WHERE selected AND NOT exempt) AS first_selected, min(h) FILTER (WHERE NOT selected) AS first_open FROM st GROUP BY {C}""")
+  count(*) FILTER (WHERE NOT selected) AS n_open, min(h) FILTER (WHERE selected AND NOT exempt) AS first_selected, min(h) FILTER (WHERE NOT selected) AS first_open, min(0) FILTER (WHERE selected AND NOT exempt) AS first_batch, min(h) FILTER (WHERE selected AND NOT exempt) AS first_key
+FROM st GROUP BY {C}""")
 def swap_table(spark, sf_dir):
-    return renamed(G.swap_table(state(spark, sf_dir), KEYS).drop("first_order"))
+    made = G.swap_table(state(spark, sf_dir), KEYS)
+    return renamed(made.withColumns({"first_batch": F.col("first_order.batch"), "first_key": F.col("first_order.key")}).drop("first_order"))
 
 
-@query("swap_classes")
-def swap_classes(spark, sf_dir):
+def swapped(spark, sf_dir):
     scratch = Scratch(spark, "swap")
     rows = state(spark, sf_dir)
     t = scratch.save(G.swap_table(rows, KEYS))
     moves = G.moves_table(spark, KEYS, ["string"] * len(KEYS), G.swap_classes(t, KEYS, 1))
-    return G.apply_moves(rows, t, moves, KEYS).select("row_id", "selected")
+    return scratch.save(G.apply_moves(rows, t, moves, KEYS))
+
+
+@query("swap_invariants", f"""WITH {STATE} SELECT count(*) AS rows, count(*) FILTER (WHERE exempt) AS exempt_kept, 0 AS split_classes, TRUE AS converged,
+  bit_xor(hash_id) AS ids FROM (SELECT *, row_id * 7919 AS hash_id FROM st)""")
+def swap_invariants(spark, sf_dir):
+    """After a swap run to its end: no row lost, exempt rows stay, groups move whole, and no open class is larger than the smallest movable one."""
+    before, after = state(spark, sf_dir).select("row_id", F.col("selected").alias("was")), swapped(spark, sf_dir)
+    both = after.join(before, "row_id")
+    free = both.where(~F.col("exempt"))
+    split = free.groupBy(*KEYS, "was").agg(F.count_distinct("selected").alias("sides")).where("sides > 1").agg(F.count(F.lit(1)).cast("int").alias("split_classes"))
+    sizes = after.where(~F.col("exempt")).groupBy(*KEYS).agg(F.count(F.when(F.col("selected"), 1)).alias("s"), F.count(F.when(~F.col("selected"), 1)).alias("o"))
+    ended = sizes.agg((F.min(F.when(F.col("s") > 0, F.col("s"))) >= F.max("o")).alias("converged"))
+    totals = both.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("exempt") & F.col("selected"), 1)).alias("exempt_kept"), F.bit_xor(F.col("row_id") * 7919).alias("ids"))
+    # One row each.
+    return totals.crossJoin(split).crossJoin(ended)
+
+
+@query("swap_classes")
+def swap_classes(spark, sf_dir):
+    return swapped(spark, sf_dir).select("row_id", "selected")
 
 
 @query("stats_after_removal", f"""WITH {MID_CTE}, h AS (SELECT k, count(*) AS c FROM (SELECT count(*) AS k FROM pub GROUP BY {Q}) GROUP BY k),
@@ -267,11 +288,30 @@ def exchange_candidates(spark, sf_dir):
                       F.round("fast_utility_score", 12).alias("fast_utility_score"))
 
 
-@query("removal_candidates", f"""WITH {STATE}, s AS (SELECT *, {scalar(YEAR0)} AS s FROM st), t AS (SELECT count(*) AS n, sum(s) AS a FROM s)
-SELECT {SQL_KEYS}, count(*) AS rows, round(-((count(*) * max(a) / max(n) - sum(s)) / (max(n) - count(*))), 12) AS fast_utility_score, max(n) - count(*) AS next_active_rows FROM s, t GROUP BY {C}""")
+@query("exchange_best", f"""WITH {EXCH.split('o AS (')[0]}z AS (SELECT min(rows) AS least FROM act),
+p AS (SELECT act.rows AS out_rows, rem.rows AS in_rows, -((a - act.s + rem.s) / (n - act.rows + rem.rows) - a / n) AS score,
+  rem.rows + CASE WHEN act.c = rem.c THEN 0 ELSE coalesce(there.rows, 0) END AS grown, act.c AS oc, rem.c AS ic
+  FROM act JOIN rem ON rem.rows <= act.rows LEFT JOIN act there ON there.c = rem.c, t),
+q AS (SELECT p.*, (SELECT min(rows) FROM act WHERE c <> oc AND c <> ic) AS others FROM p)
+SELECT out_rows, in_rows, round(max(score), 12) AS score FROM q, z WHERE least(others, grown) >= least GROUP BY ALL""")
+def exchange_best(spark, sf_dir):
+    """Without a pool: the best exchange of every pair of sizes, against all pairs of classes."""
+    rows = state(spark, sf_dir).select(F.concat_ws("|", "nation__node", "segment__node", F.coalesce("priority__node", F.lit("~")), "year__node").alias("c"),
+                                       "selected", scalar_column(LOW).alias("_s"))
+    sums = [F.count(F.lit(1)).alias("rows"), F.sum("_s").alias("s")]
+    out = D.exchange_candidates(rows.where("selected").groupBy("c").agg(*sums), rows.where("NOT selected").groupBy("c").agg(*sums), ["c"])
+    return out.groupBy("out_rows", "in_rows").agg(F.round(F.max("fast_utility_score"), 12).alias("score"))
+
+
+@query("removal_candidates", f"""WITH {STATE}, s AS (SELECT *, {scalar(YEAR0)} AS s FROM st), t AS (SELECT count(*) AS n, sum(s) AS a FROM s),
+c AS (SELECT {SQL_KEYS}, count(*) AS rows, round(-((count(*) * max(a) / max(n) - sum(s)) / (max(n) - count(*))), 12) AS fast_utility_score, max(n) - count(*) AS next_active_rows FROM s, t GROUP BY {C}),
+h AS (SELECT rows AS k, count(*) AS m FROM c GROUP BY rows),
+x AS (SELECT r.k AS rows, h.k, h.m - (h.k = r.k)::BIGINT AS m FROM h r, h),
+e AS (SELECT rows, min(k) AS next_k, arg_min(m, k) AS next_min_classes FROM x WHERE m > 0 GROUP BY rows)
+SELECT c.*, next_k, next_min_classes FROM c JOIN e USING (rows)""")
 def removal_candidates(spark, sf_dir):
     classes = D.class_table(state(spark, sf_dir).withColumn("n", F.lit(1)), KEYS, scalar_column(LOW))
-    out = D.removal_candidates(classes, KEYS).drop("next_k", "next_min_classes")
+    out = D.removal_candidates(classes, KEYS)
     return renamed(out.withColumn("fast_utility_score", F.round("fast_utility_score", 12)))
 
 
@@ -326,13 +366,13 @@ def fit_logistic(spark, sf_dir):
 @query("fit_mlp")
 def fit_mlp(spark, sf_dir):
     space, made = vectors(spark, sf_dir)
-    return classified(L.fit_mlp(made, space.width, max_iter=10), made)
+    return classified(L.fit_mlp(made, space.width), made)
 
 
 @query("fit_gbt")
 def fit_gbt(spark, sf_dir):
     _, made = vectors(spark, sf_dir)
-    return classified(L.fit_gbt(made, trees=5), made)
+    return classified(L.fit_gbt(made), made)
 
 
 @query("influence")

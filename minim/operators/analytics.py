@@ -12,23 +12,20 @@ from pyspark.sql import functions as F
 from minim.functions.expressions import privacy_ratio
 from minim.operators.keyed import running_sums
 
+# The default of what an axis may bring to the driver.
 MAX_AXIS = 100_000
-MAX_MATRIX = 10_000_000
 
 
-def axis_values(df: DataFrame, column: str) -> list:
-    """Sorted distinct values of one axis, refused above `MAX_AXIS`."""
-    rows = df.select(column).distinct().orderBy(column).limit(MAX_AXIS + 1).collect()
-    if len(rows) > MAX_AXIS:
-        raise ValueError(f"axis {column} has more than {MAX_AXIS} values")
+def axis_values(df: DataFrame, column: str, most: int = MAX_AXIS) -> list:
+    """Sorted distinct values of one axis on the driver, refused above `most`."""
+    rows = df.select(column).distinct().orderBy(column).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"axis {column} has more than {most} values")
     return [r[0] for r in rows]
 
 
 def expand_matrix(spark: SparkSession, axes: Mapping[str, Sequence]) -> DataFrame:
-    """Every combination of declared axis values, by exploding one axis after the other."""
-    size = math.prod(len(v) for v in axes.values())
-    if size > MAX_MATRIX:
-        raise ValueError(f"{size} combinations exceed {MAX_MATRIX}")
+    """Every combination of declared axis values, by exploding one axis after the other in Spark."""
     out = spark.range(1)
     for name, values in axes.items():
         if len(set(values)) != len(values):
@@ -262,13 +259,14 @@ def paired_upper_bound(pairs: DataFrame, reference: str, value: str, level: floa
     stats = gaps.groupBy(*by, "method").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col(value) - F.col("_base")).alias("mean_gap"),
         F.stddev_samp(F.col(value) - F.col("_base")).alias("sd_gap"))
-    counts = [r["n"] for r in stats.select("n").distinct().limit(MAX_AXIS).collect()]
-    # One entry per distinct seed count.
-    quantile = F.lit(None).cast("double")
-    for n in counts:
-        if n > 1:
-            quantile = F.when(F.col("n") == n, F.lit(student_t_quantile(level, n - 1))).otherwise(quantile)
-    bound = F.col("mean_gap") + quantile * F.col("sd_gap") / F.sqrt("n")
+    def quantiles(batches):
+        for batch in batches:
+            yield batch.assign(_t=[student_t_quantile(level, int(n) - 1) for n in batch["n"]])
+
+    # One row per distinct seed count.
+    table = stats.where("n > 1").select("n").distinct().mapInPandas(quantiles, "n bigint, _t double")
+    stats = stats.join(table, "n", "left")
+    bound = F.col("mean_gap") + F.col("_t") * F.col("sd_gap") / F.sqrt("n")
     return stats.select(*by, "method", "n", "mean_gap", bound.alias("upper_bound"), (bound <= margin).alias("noninferior"))
 
 

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
-from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minim.operators.keyed import attach
 from minim.operators.metrics import numeric_hit
+from minim.session import Scratch
 
-MAX_SUBSETS = 4096
 BATCH = 32
 MISSING_VALUE = "__MISSING__"
 
@@ -22,17 +21,14 @@ def subset_histograms(df: DataFrame, qis: Sequence[str], sizes: Sequence[int]) -
     """Class-size histogram of every QI subset: `(subset, k, class_count)`, and the subsets.
 
     Rows are collapsed to full classes once; the grouping sets then expand classes and not rows,
-    `BATCH` subsets at a time. More than `MAX_SUBSETS` subsets is refused, not sampled.
+    `BATCH` subsets at a time; each batch's histogram is written, so any number of subsets is worked off one plan at a time.
     """
     qis = list(qis)
-    wanted = sum(comb(len(qis), m) for m in sizes)
-    if wanted > MAX_SUBSETS:
-        raise ValueError(f"{wanted} subsets exceed {MAX_SUBSETS}; ask for fewer sizes")
     subsets = [s for m in sizes for s in combinations(qis, m)]
     classes = df.groupBy(*qis).agg(F.count(F.lit(1)).alias("_n"))
-    if len(subsets) > BATCH:
-        from minim.session import cut_lineage
-        classes = cut_lineage(classes, "background")
+    scratch = Scratch(df.sparkSession, "background") if len(subsets) > BATCH else None
+    if scratch:
+        classes = scratch.save(classes)
     parts = []
     for start in range(0, len(subsets), BATCH):
         batch = subsets[start:start + BATCH]
@@ -41,8 +37,8 @@ def subset_histograms(df: DataFrame, qis: Sequence[str], sizes: Sequence[int]) -
         index = F.create_map(*[F.lit(x).cast("bigint") for pair in masks.items() for x in pair])
         grouped = classes.groupingSets([[F.col(q) for q in s] for s in batch], *[F.col(q) for q in qis]).agg(
             F.sum("_n").alias("k"), F.grouping_id().alias("_mask"))
-        parts.append(grouped.groupBy(index[F.col("_mask").cast("bigint")].cast("int").alias("subset"), "k")
-                     .agg(F.count(F.lit(1)).alias("class_count")))
+        counted = grouped.groupBy(index[F.col("_mask").cast("bigint")].cast("int").alias("subset"), "k").agg(F.count(F.lit(1)).alias("class_count"))
+        parts.append(scratch.save(counted) if scratch else counted)
     return reduce(DataFrame.unionByName, parts), subsets
 
 
@@ -74,9 +70,8 @@ def background_knowledge(df: DataFrame, qis: Sequence[str], sizes: Sequence[int]
     """
     histograms, subsets = subset_histograms(df, qis, sizes)
     risks = subset_risks(histograms)
-    names = F.array(*[F.lit(",".join(s)) for s in subsets])
-    known = F.array(*[F.lit(len(s)) for s in subsets])
-    table = risks.select("*", F.get(names, F.col("subset")).alias("name"), F.get(known, F.col("subset")).alias("known"))
+    named = df.sparkSession.createDataFrame([(i, ",".join(s), len(s)) for i, s in enumerate(subsets)], "subset int, name string, known int")
+    table = risks.join(named, "subset")
 
     def best(column: str, low: bool = False) -> Column:
         value = -F.col(column) if low else F.col(column)

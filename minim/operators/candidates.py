@@ -12,14 +12,15 @@ import heapq
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minim.functions.ordering import seeded_key, unit_interval
 from minim.operators.keyed import attach, first_rows
 
-SWAP_ROUNDS = 3000
 PAGE = 4096
+# Shares of a type in the first step of `top_k_per_type`.
+SHARES = 256
 
 
 def selected_mean(rows: DataFrame, s: Column, selected: str = "selected") -> tuple[int, float]:
@@ -83,15 +84,14 @@ def reference_filter(classes: DataFrame, rows: DataFrame, keys: Sequence[str], l
 def top_k_per_type(candidates: DataFrame, k: int, score: str = "rank_score", ties: Sequence[str] = ("candidate_id",)) -> DataFrame:
     """The k best candidates of each type; ties by position.
 
-    Each type is a bounded sort (`orderBy.limit`): every task forwards k rows and no type is ever
-    sorted whole.
+    Ranked within hashed shares of a type first, so that no type is ever sorted whole: the second rank sees at most
+    `SHARES * k` rows of a type. The number of types is free.
     """
-    types = [r[0] for r in candidates.select("candidate_type").distinct().collect()]
-    parts = [candidates.where(F.col("candidate_type") == t).orderBy(F.desc(score), *ties).limit(int(k)) for t in sorted(types)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    order = [F.desc(score), *ties]
+    out = candidates.withColumn("_share", F.pmod(F.xxhash64(*ties), F.lit(SHARES)))
+    for group in (["candidate_type", "_share"], ["candidate_type"]):
+        out = out.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_rank") <= int(k))
+    return out.select(*candidates.columns)
 
 
 def random_shortlist(candidates: DataFrame, seed: int, iteration: int) -> DataFrame:
@@ -216,13 +216,13 @@ class SwapResult:
 
 
 def swap(small: Iterator[tuple], large: Iterator[tuple], n_selected: int, n_rows: int,
-         next_batch: int = 1, max_rounds: int = SWAP_ROUNDS) -> SwapResult:
+         next_batch: int = 1, max_rounds: int | None = None) -> SwapResult:
     """Exchange small selected classes for large unselected ones.
 
     Both streams yield `(class, SwapClass)`: `small` by `(selected rows, first order)`, `large` by
     `(-open rows, first position)`. Each round takes the largest open class (size b) and drops the
     smallest selected classes while their sum stays within b; it ends when the smallest selected
-    class is not smaller than b. The streams are read only as far as the rounds reach.
+    class is not smaller than b, or after `max_rounds` if that is given. The streams are read only as far as the rounds reach.
     """
     touched: dict = {}
     least = _Frontier(iter(small), touched, "small_key")
@@ -231,7 +231,7 @@ def swap(small: Iterator[tuple], large: Iterator[tuple], n_selected: int, n_rows
     rounds = moved_out = moved_in = 0
 
     reason = "max_rounds"
-    while rounds < max_rounds:
+    while max_rounds is None or rounds < max_rounds:
         if n_selected >= n_rows:
             reason = "no_candidates"
             break
@@ -322,7 +322,7 @@ def _pages(table: DataFrame, keys: Sequence[str], order: Sequence[Column], page:
         last = list(rows[-1]["_o"])
 
 
-def swap_classes(table: DataFrame, keys: Sequence[str], next_batch: int, max_rounds: int = SWAP_ROUNDS, page: int = PAGE) -> SwapResult:
+def swap_classes(table: DataFrame, keys: Sequence[str], next_batch: int, max_rounds: int | None = None, page: int = PAGE) -> SwapResult:
     """`swap` over a written class table; pages of extreme classes are fetched as they are needed."""
     one = table.agg(F.sum(F.col("n_selected") + F.col("n_exempt")).alias("s"),
                     F.sum(F.col("n_selected") + F.col("n_exempt") + F.col("n_open")).alias("n")).first()

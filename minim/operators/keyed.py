@@ -165,8 +165,12 @@ def first_rows(
     over = sizes.where(F.col("_size") > limit).withColumn("_limit", F.lit(int(limit)))
     marked = attach(rows, over.select(*group, "_size"), group, "_size")
     large = marked.where(F.col("_size").isNotNull()).drop("_size")
-    bounds = quota_bounds(large, group, key, over, "_limit").withColumnRenamed("bound", "_bound")
-    flagged = attach(rows, bounds.select(*group, "_bound", "_limit"), group, "_limit")
+    total = over.agg(F.sum("_size")).first()[0] or 0
+    bounds = quota_bounds(large, group, key, over, "_limit", bucket_digits(total)).withColumnRenamed("bound", "_bound")
+    # One row per large group on both sides; the group's size says which groups are heavy.
+    weighed = bounds.join(over.select(*[F.col(g).alias(f"_w_{g}") for g in group], "_size"),
+                          reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_w_{g}")) for g in group], F.lit(True)))
+    flagged = attach(rows, weighed.select(*group, "_bound", "_size"), group, "_size")
     return (flagged.where(F.col("_bound").isNull() | (F.col(key) <= F.col("_bound")))
             .select(*rows.columns))
 

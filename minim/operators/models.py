@@ -414,6 +414,8 @@ def influence_direction(
     of d (d + 1) / 2 numbers; the solve of the d x d system is the driver's.
     """
     import numpy as np
+    if len(model.weights) != 1:
+        raise ValueError("the influence estimate is for two classes")
     d = space.width + 1
     if d > 2000:
         raise ValueError("the Hessian of more than 2000 features is not collected")

@@ -17,8 +17,6 @@ from minim.operators.hierarchy import Forest, leaf_name
 from minim.operators.keyed import attach
 from minim.operators.release import node_columns
 
-POOL = 16
-
 
 def class_table(cells: DataFrame, keys: Sequence[str], s: Column, weight: str = "n") -> DataFrame:
     """`(keys..., rows, s)`: size and summed influence of every class."""
@@ -81,25 +79,49 @@ def coarsen_candidates(cells: DataFrame, forest: Forest, levels: Mapping[str, in
     return out.select("attr", now.alias("from_level"), (now + 1).alias("to_level"), "next_k", "next_min_classes", "class_count")
 
 
-def exchange_candidates(active: DataFrame, removed: DataFrame, keys: Sequence[str], pool: int = POOL) -> DataFrame:
+def _best_of_sizes(active: DataFrame, removed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Outgoing and incoming classes that can be the best exchange of some pair of sizes, paired by size.
+
+    The score of a pair of given sizes grows with the outgoing s and falls with the incoming one, and what min-K becomes depends
+    on the incoming size, the size of its active class and whether both are one class. So of all outgoing classes of a size
+    the two with the largest s are kept, of all incoming ones of a size and active size the two with the smallest s (two, as
+    the best one may be the same class), and exchanges of a class with its own removed part. There are at most sqrt(2 N)
+    sizes on a side.
+    """
+    there = attach(removed, active.select(*keys, F.col("rows").alias("_active")), keys, "_active")
+    out_rank = F.row_number().over(Window.partitionBy("rows").orderBy(F.desc("s"), *[F.desc(k) for k in keys]))
+    in_rank = F.row_number().over(Window.partitionBy("rows", "_active").orderBy("s", *[F.desc(k) for k in keys]))
+    outs = active.withColumn("_r", out_rank).where("_r <= 2").select(F.struct(*keys).alias("out"), F.col("rows").alias("out_rows"), F.col("s").alias("out_s"))
+    ins = there.withColumn("_r", in_rank).where("_r <= 2").select(F.struct(*keys).alias("in"), F.col("rows").alias("in_rows"), F.col("s").alias("in_s"))
+    pairs = ins.join(outs, F.col("in_rows") <= F.col("out_rows"))
+    both = removed.select(*keys, F.col("rows").alias("in_rows"), F.col("s").alias("in_s"))
+    own = attach(both, active.select(*keys, F.col("rows").alias("out_rows"), F.col("s").alias("out_s")), keys, "out_rows", how="inner")
+    own = own.where("in_rows <= out_rows").select(F.struct(*keys).alias("in"), "in_rows", "in_s", F.struct(*keys).alias("out"), "out_rows", "out_s")
+    return pairs.select("in", "in_rows", "in_s", "out", "out_rows", "out_s").unionByName(own).distinct()
+
+
+def exchange_candidates(active: DataFrame, removed: DataFrame, keys: Sequence[str], pool: int | None = None) -> DataFrame:
     """One active class out, one removed class in; rows must not grow and min-K must not fall.
 
-    The `pool` best outgoing classes by removal score meet, each, the `pool` best removed classes
-    that are not larger. Both limits are the operator's; the outgoing side has `pool` rows.
+    With a `pool` the `pool` best outgoing classes by removal score meet, each, the `pool` best removed classes that are not
+    larger. Without one every pair of sizes is represented by its best exchange, so the best of all exchanges is there and
+    no two classes are paired that cannot be it.
     """
     total = active.agg(F.sum("rows").alias("_n"), F.sum("s").alias("_s"))
     n, all_s = F.col("_n"), F.col("_s")
     drop = (F.col("rows") * all_s / n - F.col("s")) / (n - F.col("rows"))
     add = (F.col("s") - F.col("rows") * all_s / n) / (n + F.col("rows"))
     outs = (active.join(F.broadcast(total)).withColumn("_score", F.when(F.col("rows") < n, -drop).otherwise(0.0))
-            .orderBy(F.desc("_score"), "rows", *[F.desc(k) for k in keys]).limit(int(pool))
+            .orderBy(F.desc("_score"), "rows", *[F.desc(k) for k in keys]).limit(int(pool or 1))
             .select(F.struct(*keys).alias("out"), F.col("rows").alias("out_rows"), F.col("s").alias("out_s"), "_n", "_s"))
     ins = removed.join(F.broadcast(total)).withColumn("_score", -add).select(
         F.struct(*keys).alias("in"), F.col("rows").alias("in_rows"), F.col("s").alias("in_s"), F.col("_score").alias("in_score"))
     # At most `pool` rows on the broadcast side, and the rank keeps `pool` rows per outgoing class.
     pairs = ins.join(F.broadcast(outs), F.col("in_rows") <= F.col("out_rows"))
     best = Window.partitionBy("out").orderBy(F.desc("in_score"), F.desc("in_rows"), F.desc("in"))
-    kept = pairs.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= int(pool)).drop("_r")
+    kept = pairs.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= int(pool or 1)).drop("_r")
+    if pool is None:
+        kept = _best_of_sizes(active, removed, keys).join(F.broadcast(total))
     # Sizes after the exchange: the outgoing class is gone, the incoming one joins its active class.
     named = kept.withColumns({k: F.col(f"in.{k}") for k in keys})
     same = active.select(*keys, F.col("rows").alias("_there"))
@@ -130,10 +152,14 @@ def apply_membership(cells: DataFrame, keys: Sequence[str], out: DataFrame | Non
     """Move whole classes: `out` leaves the active cells, `into` joins them; the rest stays."""
     flag = F.col(active)
     result = cells
+    sizes = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cells"))
     for name, table in (("_out", out), ("_in", into)):
         if table is not None:
-            sizes = table.select(*keys, F.lit(1).alias(name)).distinct()
-            result = attach(result, sizes, keys, name)
+            # Weighed by the class size, so that a hot class is told by the broadcast part.
+            named = table.select(*keys).distinct()
+            weighed = named.join(sizes.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_cells").alias(name)),
+                                 reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys]))
+            result = attach(result, weighed.select(*keys, name), keys, name)
     if out is not None:
         flag = F.when(F.col(active) & F.col("_out").isNotNull(), F.lit(False)).otherwise(flag)
     if into is not None:

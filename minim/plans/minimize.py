@@ -30,6 +30,7 @@ from minim.session import Scratch
 ADMIT, REFINE = "retention_class", "vertical_refinement"
 FULL_SWAP, EVICT, NONE = "full_swap", "evict_low_k", "none"
 MAX_RANKED = 100_000
+POLICIES = ("ratio", "privacy", "utility", "influence")
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,8 @@ class MinimizeOptions:
     stop_on_utility: bool = True
     reference_filtering: bool = False
     policy: str = "ratio"
+    # None: the swap of a refinement runs until it has converged.
+    max_swap_rounds: int | None = None
     seed: int = 42
     extras: tuple[str, ...] = ()
     max_fit_iterations: int = 50
@@ -61,6 +64,10 @@ class MinimizeOptions:
             raise ValueError("unknown or empty action set")
         if self.start not in ("sample", "all_rows") or self.postprocessing not in (FULL_SWAP, EVICT, NONE):
             raise ValueError("unknown start state or post-processing")
+        if self.policy not in POLICIES:
+            raise ValueError(f"unknown score policy {self.policy!r}; known: {POLICIES}")
+        if self.policy == "influence" and self.score is None:
+            raise ValueError("the influence policy needs a `score` callback with the influence of a candidate")
 
 
 @dataclass
@@ -187,7 +194,7 @@ def refine(search: Search, state: DataFrame, levels: Mapping[str, int], batch: i
         return kept.drop(*keys), table, {"moved_out": 0, "moved_in": 0, "reason": "low_k_groups_evicted"}
     table = search.scratch.save(G.swap_table(rows, keys))
     before = table.agg(F.sum(F.col("n_selected") + F.col("n_exempt")).alias("n")).first()["n"] or 0
-    result = G.swap_classes(table, keys, batch)
+    result = G.swap_classes(table, keys, batch, options.max_swap_rounds)
     stats = {"moved_out": result.moved_out, "moved_in": result.moved_in, "reason": result.reason, "rounds": result.rounds}
     if result.moves:
         kinds = [rows.schema[k].dataType.simpleString() for k in keys]
@@ -199,7 +206,7 @@ def refine(search: Search, state: DataFrame, levels: Mapping[str, int], batch: i
         moved = G.first_rows(opened, keys, "_key", before).select("row_id", F.lit(True).alias("_moved"))
         rows = rows.join(moved, "row_id", "left").withColumns({
             "selected": F.col("selected") | F.col("_moved").isNotNull(),
-            "batch": F.when(F.col("_moved").isNotNull(), F.lit(batch + G.SWAP_ROUNDS)).otherwise(F.col("batch")),
+            "batch": F.when(F.col("_moved").isNotNull(), F.lit(batch + result.rounds)).otherwise(F.col("batch")),
         }).drop("_moved")
         rows = search.scratch.save(rows)
         table = search.scratch.save(G.swap_table(rows, keys))
@@ -255,7 +262,8 @@ def minimize(
         best = chosen["best"]
         levels, state, loss, proxy = best["levels"], best["commit"](), best["loss"], best["certified"]["model"]
         history.append(Snapshot(len(iterations), dict(levels)))
-        batch += 2 * G.SWAP_ROUNDS
+        # Rounds of the committed swap and one extra move have taken numbers from `batch` on.
+        batch += best["rounds"] + 2
         estimator = _estimator(search, state, history[-1])
         last = best["certified"]
         iterations.append({
@@ -378,7 +386,7 @@ def _certify(search, state, rows, keys, table, history, levels, cand, current_k,
     cost = math.log(max(current_k - next_k, 2))
     out = {"iteration": iteration, "action": cand["action"], "candidate": cand["candidate"], "rank_score": cand["rank_score"],
            "levels": next_levels, "loss": certified["loss"], "current_k": current_k, "next_k": next_k, "published_min_k": published,
-           "target_k": certified["target_k"], "row_count": certified["rows"], "utility_gain": gain, "privacy_cost": cost,
+           "target_k": certified["target_k"], "rounds": cand.get("rounds", 0), "row_count": certified["rows"], "utility_gain": gain, "privacy_cost": cost,
            "certified": certified, "commit": commit}
     if options.score is not None:
         out["score"] = float(options.score(out))

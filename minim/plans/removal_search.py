@@ -22,7 +22,8 @@ class RemovalOptions:
     rank_top_k: int = 5
     max_iterations: int = 30
     exchange: bool = True
-    pool: int = D.POOL
+    # None: the best exchange of every pair of class sizes; a number: so many classes on each side.
+    pool: int | None = None
     max_fit_iterations: int = 50
 
 

@@ -66,7 +66,8 @@ def propagate(cells: DataFrame, capacity: list[int], scratch: Scratch, max_round
             F.col("n"), F.greatest(F.lit(0).cast("bigint"), _at(room, "to") - F.col("n_upto") + F.col("n"))).alias("m")).where("m > 0")
         moved = scratch.save(moved)
         changes = moved.select("link", "shard", (-F.col("m")).alias("n")).union(moved.select("link", F.col("to").alias("shard"), F.col("m").alias("n")))
-        cells = scratch.save(cells.select("link", "shard", "n").union(changes).groupBy("link", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
+        cells = scratch.replace(cells, cells.select("link", "shard", "n").union(changes).groupBy("link", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
+        scratch.drop(wanted, moved)
     held = _per_shard(cells, n_shards)
     if all(h <= c for h, c in zip(held, capacity, strict=True)):
         return cells
@@ -107,7 +108,10 @@ def balanced_shards(nodes: DataFrame, n_shards: int = SHARDS, max_rounds: int =
     # The first shard whose gap ends beyond the rank.
     full = sum((F.lit(g) <= F.col("_rank")).cast("int") for g in gaps)
     everyone = placed.where("shard is not null").union(free.withColumn("shard", full).select(*columns, "shard"))
-    return rank_by_key(scratch.save(everyone), ["shard"], "order", "slot", digits)
+    # Free documents come to shards in the order of `order`; slots follow another key, so that no slice of a shard is larger than others.
+    everyone = scratch.save(everyone.withColumn("_slot", F.md5("order")))
+    scratch.drop(nodes, marked, cells, placed)
+    return rank_by_key(everyone, ["shard"], "_slot", "slot", digits).drop("_slot")
 
 
 def shard_documents(documents: DataFrame, n_shards: int = SHARDS) -> DataFrame:

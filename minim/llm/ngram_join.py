@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -167,14 +168,20 @@ def _sets(documents: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _verified(rule: Rule):
+    def linked(u: int, sides: list[dict]) -> bool:
+        """Whether a set of u and a set of v link; rows that share a doc_id give it several sets."""
+        sets = [(s["node"], np.frombuffer(s["grams"], np.uint64)) for s in sides]
+        for x in (g for node, g in sets if node == u):
+            for y in (g for node, g in sets if node != u):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if rule.den * both >= rule.num * (len(x) + len(y) - both):
+                    return True
+        return False
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(rule.den * both >= rule.num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["u", "v", "linked"])
+            found = [linked(u, sides) for u, sides in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], ["u", "v", "linked"])
     return run
 
 
@@ -209,25 +216,26 @@ def _distinct(pairs: DataFrame) -> DataFrame:
 def _meeting(classes: DataFrame, rule: Rule) -> DataFrame:
     """`node, n, s1, s2, pos, gram`: the prefix n-grams in which a class may meet another.
 
-    A row stays if its n-gram has other rows and enough n-grams follow in its document for the smallest partner possible there.
+    A row stays if its n-gram has other rows and enough n-grams follow in its document for the smallest partner possible there. Most
+    rows end here, so what only the others need is joined after.
     """
-    grams = classes.select("node", "n", "_of.s1", "_of.s2", F.posexplode("_of.prefix").alias("pos", "gram"))
+    grams = classes.select("node", "n", F.posexplode("_of.prefix").alias("pos", "gram"))
     gram = Window.partitionBy("gram")
     met = grams.withColumns({"_met": F.count(F.lit(1)).over(gram), "_least": F.min("n").over(gram)}).where("_met > 1")
     partner = F.greatest(F.col("_least"), F.ceil(F.col("n") * rule.num / F.lit(rule.den)).cast("int"))
     met = met.where(F.col("n") - F.col("pos") >= rule.overlap(F.col("n"), partner))
-    return met.withColumn("_met", F.count(F.lit(1)).over(gram)).where("_met > 1").drop("_met", "_least")
+    met = met.withColumn("_met", F.count(F.lit(1)).over(gram)).where("_met > 1").drop("_met", "_least")
+    # A node has as many rows as its prefix at most.
+    return met.join(classes.select("node", "n", "_of.s1", "_of.s2"), ["node", "n"]).select("node", "n", "s1", "s2", "pos", "gram")
 
 
-def _verify(pairs: DataFrame, documents: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
-    """`u, v, linked` of each pair; only the sets of its documents are built."""
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = scratch.save(_sets(documents, nodes, rule))
-    one = pairs.join(sets.select(F.col("node").alias("v"), F.col("grams").alias("y")), "v")
-    two = one.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("x")), "u")
-    small_batches(pairs.sparkSession, 1000)
-    tested = two.select("u", "v", "x", "y").mapInArrow(_verified(rule), "u long, v long, linked boolean")
-    return scratch.save(tested.groupBy("u", "v").agg(F.max("linked").alias("linked")))
+def _verify(pairs: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
+    """`u, v, linked` of each pair; only the sets of its documents are built, once each."""
+    sides = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("node"))
+    sets = _sets(documents, sides.select("node").distinct(), rule)
+    both = sides.join(sets, "node").groupBy("u", "v").agg(F.collect_list(F.struct("node", "grams")).alias("sides"))
+    small_batches(pairs.sparkSession, 50)
+    return both.mapInArrow(_verified(rule), "u long, v long, linked boolean")
 
 
 def _node() -> Column:
@@ -268,41 +276,43 @@ def ngram_classes(documents: DataFrame, rule: Rule) -> tuple[DataFrame, DataFram
     described = scratch.save(_described(documents, rule, rare))
     filled = described.where("n > 0")
     classes = filled.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("s1", "s2", "prefix"), "doc_id").alias("_of"))
+    classes = scratch.save(classes)
     # Most of a prefix is in no other document: such rows end here.
     rows = scratch.save(_meeting(classes, rule))
     most = PAIRS_PER_ROW * rows.count()
-    tested = found = None
-    progress = True
+    tested: list[DataFrame] = []
+    found, progress = None, True
     for salt in range(STAR_ROUNDS + 1):
-        left = scratch.save(_unresolved(rows, found))
-        cost = left.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("minor"), F.col("total"))).alias("pairs")).first()
-        if not cost["rows"]:
-            break
-        last = found is not None and (salt == STAR_ROUNDS or not progress or cost["pairs"] <= most)
+        left = _unresolved(rows, found)
+        last = False
+        if found is not None:
+            left = scratch.save(left)
+            cost = left.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("minor"), F.col("total"))).alias("pairs")).first()
+            if not cost["rows"]:
+                break
+            last = salt == STAR_ROUNDS or not progress or cost["pairs"] <= most
         if last:
             x = left.where("minor").select("gram", _node().alias("x"), F.col("component").alias("_a"))
-            y = left.select("gram", _node().alias("y"), F.col("component").alias("_b"), F.col("minor").alias("_m"))
-            # Two minor rows meet once.
+            y = left.select(F.col("gram").alias("_gram"), _node().alias("y"), F.col("component").alias("_b"), F.col("minor").alias("_m"))
+            # Two minor rows meet once. The filters stand in the join, so what they refuse is no row.
             meet = (F.col("_a") != F.col("_b")) & (~F.col("_m") | (F.col("x.node") < F.col("y.node")))
-            # The filters stand in the join, so what they refuse is no row.
-            y = y.withColumnRenamed("gram", "_gram")
             pairs = x.join(y, (F.col("gram") == F.col("_gram")) & meet & _passes(rule)).select("x", "y")
         else:
             pairs = _star(left, salt).where(_passes(rule))
         pairs = _distinct(pairs)
-        if tested is not None:
-            pairs = pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti")
-        now = _verify(scratch.save(pairs), documents, rule, scratch)
-        progress = not now.where("linked").isEmpty()
-        tested = now if tested is None else scratch.save(tested.union(now))
-        found = components(tested.where("linked").select("u", "v"), scratch)
+        for done in tested:
+            pairs = pairs.join(done.select("u", "v"), ["u", "v"], "left_anti")
+        pairs = scratch.save(pairs)
+        tested.append(scratch.save(_verify(pairs, documents, rule)))
+        scratch.drop(left, pairs)
+        links = reduce(DataFrame.union, [t.where("linked").select("u", "v") for t in tested])
+        progress = not tested[-1].where("linked").isEmpty()
+        found = components(links, scratch)
         if last:
             break
-    if found is None:
-        found = spark.createDataFrame([], "node long, component long")
-        tested = spark.createDataFrame([], "u long, v long, linked boolean")
-    members = described.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"], "left")
-    return members, tested.where("linked").select("u", "v"), found
+    members = scratch.save(described.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"], "left"))
+    scratch.drop(described, classes, rows)
+    return members, links, found
 
 
 def ngram_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008

@@ -33,7 +33,7 @@ def as_bytes(text: str | Column = "text") -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def small_batches(spark: SparkSession, rows: int = 400) -> None:
+def small_batches(spark: SparkSession, rows: int = 200) -> None:
     """Arrow batches of few rows: their size follows the longest texts, not the row count."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -9,6 +9,7 @@ Trees held as DataFrames (any size) are handled by the functions on node tables.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from minim.operators.keyed import dense_index
+
 MAX_NODES = 200_000
 MISSING = "__missing__"
 # Fixed value: the spellings of a closed interval leaf ("0 ~ 4", "0 to 4", dashes).
@@ -278,27 +281,72 @@ def at(values: Sequence, position: Column, kind: str) -> Column:
     return F.get(_array(values, kind), position)
 
 
-def _interval_position(tree: Hierarchy, value: Column) -> Column:
-    """Leaf of a number: binary search over the sorted leaf intervals as nested CASEs.
+# Up to this many sorted values a search is nested CASEs inside codegen; a longer list is a literal array, halved step by step.
+INLINE_VALUES = 64
 
-    Where leaves overlap, the first leaf in tree order wins.
-    """
-    spans = sorted((tree.nodes[x].lo, tree.nodes[x].hi, i) for i, x in enumerate(tree.leaves))
-    if any(a[1] >= b[0] for a, b in zip(spans, spans[1:])):
-        out = F.lit(None).cast("int")
-        for i in range(len(tree.leaves) - 1, -1, -1):
-            node = tree.nodes[tree.leaves[i]]
-            out = F.when((value >= node.lo) & (value <= node.hi), F.lit(i)).otherwise(out)
-        return out
+
+def count_below(sorted_values: Sequence[float], value: Column, strict: bool = False) -> Column:
+    """How many of the sorted values are at most (`strict`: below) a number; its expression does not grow with the list."""
+    n = len(sorted_values)
 
     def search(a: int, b: int) -> Column:
-        if b - a == 1:
-            lo, hi, i = spans[a]
-            return F.when((value >= lo) & (value <= hi), F.lit(i))
+        if a == b:
+            return F.lit(a)
         mid = (a + b) // 2
-        return F.when(value < F.lit(spans[mid][0]), search(a, mid)).otherwise(search(mid, b))
+        below = (F.lit(sorted_values[mid]) < value) if strict else (F.lit(sorted_values[mid]) <= value)
+        return F.when(below, search(mid + 1, b)).otherwise(search(a, mid))
+
+    if n <= INLINE_VALUES:
+        return search(0, n)
+    values = _array([float(v) for v in sorted_values], "double")
+    steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)])
+
+    def further(at_: Column, step: Column) -> Column:
+        here = F.get(values, at_ + step - 1)
+        # Beyond the end there is no value, and the step is not taken.
+        return F.when((here < value) if strict else (here <= value), at_ + step).otherwise(at_)
+
+    return F.aggregate(steps, F.lit(0), further)
+
+
+def _winners(spans: Sequence[tuple[float, float]]) -> tuple[list[float], list[int], list[int]]:
+    """Endpoints of the intervals in order, with the first interval that holds each, and the first that holds what follows it; -1 for none."""
+    points = sorted({p for span in spans for p in span})
+    starts = sorted(range(len(spans)), key=lambda i: spans[i][0])
+    heap: list[int] = []
+    at_point, after, nxt = [], [], 0
+    for p in points:
+        while nxt < len(starts) and spans[starts[nxt]][0] <= p:
+            heapq.heappush(heap, starts[nxt])
+            nxt += 1
+        while heap and spans[heap[0]][1] < p:
+            heapq.heappop(heap)
+        at_point.append(heap[0] if heap else -1)
+        while heap and spans[heap[0]][1] <= p:
+            heapq.heappop(heap)
+        after.append(heap[0] if heap else -1)
+    return points, at_point, after
+
 
-    return search(0, len(spans))
+def _interval_position(tree: Hierarchy, value: Column) -> Column:
+    """Leaf of a number, by binary search over the ends of the leaf intervals.
+
+    Where leaves overlap, the first leaf in tree order wins: the line is cut at all ends beforehand.
+    """
+    spans = sorted((tree.nodes[x].lo, tree.nodes[x].hi, i) for i, x in enumerate(tree.leaves))
+    if len(spans) <= INLINE_VALUES and all(a[1] < b[0] for a, b in zip(spans, spans[1:])):
+        def search(a: int, b: int) -> Column:
+            if b - a == 1:
+                lo, hi, i = spans[a]
+                return F.when((value >= lo) & (value <= hi), F.lit(i))
+            mid = (a + b) // 2
+            return F.when(value < F.lit(spans[mid][0]), search(a, mid)).otherwise(search(mid, b))
+
+        return search(0, len(spans))
+    points, at_point, after = _winners([(tree.nodes[x].lo, tree.nodes[x].hi) for x in tree.leaves])
+    place = count_below(points, value) - 1
+    found = F.when(at([float(p) for p in points], place, "double") == value, at(at_point, place, "int")).otherwise(at(after, place, "int"))
+    return F.when(found >= 0, found)
 
 
 # Text that reads as a number. Tested before casting: a failed cast is far dearer than a pattern.
@@ -532,7 +580,6 @@ def audit_hierarchy(nodes: DataFrame, observed: DataFrame | None = None) -> Data
     closure = hierarchy_closure(nodes)
     above = closure.select("attr", F.col("ancestor_id").alias("node_id")).distinct()
     rooted = closure.where(F.col("parent").isNull()).select("attr", F.col("leaf_id").alias("node_id"))
-    by_lo = Window.partitionBy("attr").orderBy("lo")
     parts = [
         found(roots.where(F.col("r") != 1), "one_root"),
         found(nodes.groupBy("attr", "node_id").count().where("count > 1"), "duplicate_node"),
@@ -544,18 +591,23 @@ def audit_hierarchy(nodes: DataFrame, observed: DataFrame | None = None) -> Data
               .where("count > 1"), "duplicate_leaf"),
     ]
     if "lo" in nodes.columns:
-        spans = leaves.where(F.col("lo").isNotNull()).withColumn("next", F.lead("lo").over(by_lo))
-        parts.append(found(spans.where(F.col("hi") >= F.col("next")), "overlapping_leaves"))
+        # Neighbours by number: leaves of any count are numbered across tasks.
+        spans = dense_index(leaves.where(F.col("lo").isNotNull()).select("attr", "node_id", "lo", "hi"), ["attr"], ["lo", "hi", "node_id"], "_i")
+        following = spans.select("attr", (F.col("_i") - 1).alias("_i"), F.col("lo").alias("next"))
+        parts.append(found(spans.join(following, ["attr", "_i"]).where(F.col("hi") >= F.col("next")), "overlapping_leaves"))
     if observed is not None:
         seen = observed.where(F.col("value").isNotNull()).select("attr", "value").distinct()
         uncovered = seen.join(leaves.select("attr", "value"), ["attr", "value"], "left_anti")
         if "lo" in nodes.columns:
-            spans = leaves.where(F.col("lo").isNotNull()).select(
-                F.col("attr").alias("_a"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-            number = F.col("value").try_cast("double")
-            uncovered = uncovered.join(
-                spans, (F.col("attr") == F.col("_a")) & (number >= F.col("_lo")) & (number <= F.col("_hi")),
-                "left_anti")
+            # Cells as wide as a leaf on average: a value meets the leaves of its cell only. One row per attribute.
+            line = leaves.where(F.col("lo").isNotNull()).groupBy("attr").agg(
+                F.min("lo").alias("_from"), F.greatest((F.max("hi") - F.min("lo")) / F.count(F.lit(1)), F.lit(1e-9)).alias("_wide"))
+            cell = lambda c: F.floor((c - F.col("_from")) / F.col("_wide"))
+            spans = (leaves.where(F.col("lo").isNotNull()).join(F.broadcast(line), "attr")
+                     .select(F.col("attr").alias("_a"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("_c")))
+            numbers = uncovered.withColumn("_v", F.col("value").try_cast("double")).join(F.broadcast(line), "attr", "left").withColumn("_cell", cell(F.col("_v")))
+            uncovered = numbers.join(spans, (F.col("attr") == F.col("_a")) & (F.col("_cell") == F.col("_c"))
+                                     & (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")), "left_anti").select("attr", "value")
         parts.append(found(uncovered, "uncovered_value"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -589,6 +641,13 @@ def common_ancestor(tree: Hierarchy, low: Column, high: Column) -> Column:
     return F.get(a, _shared_steps(a, b) - 1)
 
 
+def common_height(tree: Hierarchy, low: Column, high: Column) -> Column:
+    """Height of the lowest common ancestor of two leaf positions, read off the root path."""
+    a, b = (_path([_STEP.join(p) for p in tree.paths], c) for c in (low, high))
+    heights = _path([_STEP.join(str(tree.nodes[n].height) for n in p) for p in tree.paths], low, "int")
+    return F.get(heights, _shared_steps(a, b) - 1)
+
+
 def _shared_steps(a: Column, b: Column) -> Column:
     agree = F.zip_with(a, b, lambda x, y: x == y)
     return F.size(F.filter(agree, lambda hit: F.coalesce(hit, F.lit(False))))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minim.functions.expressions import ENTROPY_GAIN_MIN, weighted_entropy
-from minim.operators.hierarchy import Forest, Hierarchy, assign_leaves, at, leaf_name, out_of_domain
+from minim.operators.hierarchy import Forest, Hierarchy, assign_leaves, at, common_height, count_below, leaf_name, out_of_domain
 from minim.operators.keyed import attach, attach_small
 from minim.session import Scratch
 
@@ -358,8 +358,8 @@ def region_representation(regions: DataFrame, tree: Hierarchy, lo: str, hi: str)
         n = 1.0 if scalar else b - a + 1
         size.append(size[-1] + n)
         total.append(total[-1] + (a if scalar else (a + b) * n / 2))
-    first = _count_below([s[1] for s in spans], F.col(lo), strict=True)
-    last = _count_below([s[0] for s in spans], F.col(hi), strict=False) - 1
+    first = count_below([s[1] for s in spans], F.col(lo), strict=True)
+    last = count_below([s[0] for s in spans], F.col(hi)) - 1
     starts, ends = [s[0] for s in spans], [s[1] for s in spans]
     n = at(size, last + 1, "double") - at(size, first, "double")
     t = at(total, last + 1, "double") - at(total, first, "double")
@@ -368,23 +368,9 @@ def region_representation(regions: DataFrame, tree: Hierarchy, lo: str, hi: str)
         cut_hi = F.greatest(at(ends, last, "double") - F.col(hi), F.lit(0.0))
         t = t - cut_lo * (at(starts, first, "double") * 2 + cut_lo - 1) / 2 - cut_hi * (at(ends, last, "double") * 2 - cut_hi + 1) / 2
         n = n - cut_lo - cut_hi
-    from minim.operators.hierarchy import common_ancestor
     order = [s[2] for s in spans]
-    ancestor = common_ancestor(tree, at(order, first, "int"), at(order, last, "int"))
-    heights = F.create_map(*[x for name, node in tree.nodes.items() for x in (F.lit(name), F.lit(node.height))])
-    return regions.select("*", (t / n).alias("mean"), (last - first + 1).cast("bigint").alias("leaves"),
-                          heights[ancestor].cast("bigint").alias("height"))
-
-
-def _count_below(sorted_values: Sequence[float], value: Column, strict: bool) -> Column:
-    """How many sorted values are below (or at most) a number, by nested halving."""
-    def search(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        mid = (a + b) // 2
-        below = (F.lit(sorted_values[mid]) < value) if strict else (F.lit(sorted_values[mid]) <= value)
-        return F.when(below, search(mid + 1, b)).otherwise(search(a, mid))
-    return search(0, len(sorted_values))
+    height = common_height(tree, at(order, first, "int"), at(order, last, "int"))
+    return regions.select("*", (t / n).alias("mean"), (last - first + 1).cast("bigint").alias("leaves"), height.cast("bigint").alias("height"))
 
 
 def encode_regions(fitted: FittedMondrian) -> DataFrame:

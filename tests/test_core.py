@@ -164,3 +164,42 @@ def test_release_publishes_each_row_once(spark):
         R.rebuild_release(df, saved.unionAll(saved.limit(1)), tree, steps, 9)
     with pytest.raises(ValueError):
         R.rebuild_release(df, saved, tree, steps, 500)
+
+
+def test_large_and_overlapping_interval_trees(spark):
+    import bisect
+
+    from minim.operators.hierarchy import Hierarchy, Node, assign_leaves, count_below
+
+    wide = Hierarchy("v", [Node("any", None)] + [Node(f"l{i}", "any", f"{3 * i} ~ {3 * i + 1}") for i in range(20_000)], numeric=True)
+    values = [(float(v),) for v in (-1, 0, 1, 2, 3, 29_999, 59_997, 59_998, 59_999, 0.5, 2.5)]
+    got = assign_leaves(spark.createDataFrame(values + [(None,)], "v double"), {"v": wide}).collect()
+    for r in got:
+        inside = r["v"] is not None and 0 <= r["v"] <= 59_998 and r["v"] % 3 <= 1
+        assert r["v__leaf"] == (int(r["v"] // 3) if inside else None), r
+    rng = random.Random(4)
+    spans = [(a, a + rng.randrange(40)) for a in (rng.randrange(3000) for _ in range(1500))]
+    nodes = [Node("any", None)] + [Node(f"l{i}", "any", f"{a} ~ {b}") for i, (a, b) in enumerate(spans)]
+    tree = Hierarchy("v", nodes, numeric=True)
+    leaves = [(tree.nodes[x].lo, tree.nodes[x].hi) for x in tree.leaves]
+    values = [(rng.randrange(3100) / 2,) for _ in range(300)]
+    for r in assign_leaves(spark.createDataFrame(values, "v double"), {"v": tree}).collect():
+        assert r["v__leaf"] == next((i for i, (a, b) in enumerate(leaves) if a <= r["v"] <= b), None), r
+    ends = sorted(rng.sample(range(1000), 200))
+    rows = spark.createDataFrame([(float(x),) for x in range(-2, 1003, 7)], "v double")
+    for strict, side in ((True, bisect.bisect_left), (False, bisect.bisect_right)):
+        for some in (ends, ends[:50]):
+            found = rows.select("v", count_below(some, F.col("v"), strict).alias("n")).collect()
+            assert all(r["n"] == side(some, r["v"]) for r in found)
+
+
+def test_first_rows_with_many_large_groups(spark):
+    """More large groups than the broadcast holds, the largest last in key order: its rows are spread over tasks."""
+    from minim.operators.keyed import first_rows
+
+    rows = spark.range(1500 * 12).select((F.col("id") % 1500).alias("g"), F.md5(F.col("id").cast("string")).alias("k"))
+    rows = rows.union(spark.range(6000).select(F.lit(99_999).cast("bigint").alias("g"), F.md5((F.col("id") + 10**6).cast("string")).alias("k")))
+    got = first_rows(rows, ["g"], "k", 10)
+    assert got.groupBy("g").count().agg(F.min("count"), F.max("count")).first()[:] == (10, 10)
+    expected = sorted(r["k"] for r in rows.where("g = 99999").collect())[:10]
+    assert sorted(r["k"] for r in got.where("g = 99999").collect()) == expected

@@ -418,14 +418,16 @@ def split(spark, sf_dir):
 @query("minimize")
 def minimize(spark, sf_dir):
     train, val, _ = split(spark, sf_dir)
-    options = S.MinimizeOptions(max_iterations=1, rank_top_k=1, tolerance=0.0, max_fit_iterations=20)
+    # The loop runs to its end with the operator's own options.
+    options = S.MinimizeOptions()
     return S.candidate_log(spark, S.minimize(train, val, people_forest(), "label", options))
 
 
 @query("removal_search")
 def removal_search(spark, sf_dir):
     train, val, _ = split(spark, sf_dir)
-    options = V.RemovalOptions(max_iterations=1, rank_top_k=1, max_fit_iterations=20)
+    # Six iterations of the loop: it would go on as long as classes can be given up within the tolerance.
+    options = V.RemovalOptions(max_iterations=6)
     return V.removal_log(spark, V.removal_search(train, val, people_forest(), "label", options))
 
 
@@ -471,7 +473,8 @@ __all__ = ["rounded"]
 def mondrian_sweep(spark, sf_dir):
     from minim.plans.sweep import mondrian_sweep as sweep
     train, val, _ = split(spark, sf_dir)
-    return sweep(train, val, people_forest(), "label", [train.count() // 8], (H.MEDIAN,))
+    n = train.count()
+    return sweep(train, val, people_forest(), "label", [n // 32, n // 8])
 
 
 def released(spark, sf_dir):

@@ -107,48 +107,50 @@ def rank_by_key(
 
 def quota_bounds(
     rows: DataFrame, group: Sequence[str], key: str, quotas: DataFrame, quota: str,
-    digits: int | None = None,
+    digits: int | None = None, part: str | None = None,
 ) -> DataFrame:
     """The key of the `quota`-th row of each group, in key order: `(group..., quota, bound)`.
 
-    `quotas` has one row per group. `bound` is NULL for a quota of 0. A row is among the first
-    `quota` of its group exactly when `key <= bound`. Only counts and the rows of one bucket per
-    group are shuffled; the rows themselves stay where they are.
+    `quotas` has one row per group, or several told apart by the column `part`, which comes back too: all are found in the
+    same pass. `bound` is NULL for a quota of 0. A row is among the first `quota` of its group exactly when `key <= bound`.
+    Only counts and the rows of one bucket per quota are shuffled; the rows themselves stay where they are.
     """
     if digits is None:
         digits = bucket_digits(rows.count())
     group = list(group)
+    parts = [part] if part else []
     slim = rows.select(*group, key).withColumn("_bucket", key_bucket(F.col(key), digits))
     counts = slim.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     upto = (Window.partitionBy(*group).orderBy("_bucket")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     counts = counts.withColumn("_upto", F.sum("_n").over(upto))
-    wanted = quotas.select(*[F.col(g).alias(f"_q_{g}") for g in group],
+    counts = counts.withColumn("_all", F.max("_upto").over(Window.partitionBy(*group)))
+    wanted = quotas.select(*[F.col(g).alias(f"_q_{g}") for g in group], *parts,
                            F.col(quota).cast("bigint").alias("_quota"))
     cond = reduce(lambda a, b: a & b,
                   [F.col(g).eqNullSafe(F.col(f"_q_{g}")) for g in group], F.lit(True))
     crossing = (
         counts.join(wanted, cond, "inner")
         # A quota above the group size asks for all its rows.
-        .withColumn("_quota", F.least("_quota", F.max("_upto").over(Window.partitionBy(*group))))
+        .withColumn("_quota", F.least("_quota", "_all"))
         .where((F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota")))
-        .select(*[F.col(g).alias(f"_c_{g}") for g in group], F.col("_bucket").alias("_c_bucket"),
+        .select(*[F.col(g).alias(f"_c_{g}") for g in group], *parts, F.col("_bucket").alias("_c_bucket"),
                 (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_place"))
     )
     cond = reduce(lambda a, b: a & b,
                   [F.col(g).eqNullSafe(F.col(f"_c_{g}")) for g in group]
                   + [F.col("_bucket") == F.col("_c_bucket")])
-    place = Window.partitionBy(*group).orderBy(key)
+    place = Window.partitionBy(*group, *parts).orderBy(key)
     bounds = (
         slim.join(crossing, cond, "inner")
         .withColumn("_rn", F.row_number().over(place))
         .where(F.col("_rn") == F.col("_place"))
-        .select(*[F.col(g).alias(f"_b_{g}") for g in group], F.col(key).alias("bound"))
+        .select(*[F.col(g).alias(f"_b_{g}") for g in group], *[F.col(p).alias(f"_b_{p}") for p in parts], F.col(key).alias("bound"))
     )
     cond = reduce(lambda a, b: a & b,
-                  [F.col(f"_q_{g}").eqNullSafe(F.col(f"_b_{g}")) for g in group], F.lit(True))
+                  [F.col(f"_q_{g}").eqNullSafe(F.col(f"_b_{g}")) for g in group] + [F.col(p) == F.col(f"_b_{p}") for p in parts], F.lit(True))
     return wanted.join(bounds, cond, "left").select(
-        *[F.col(f"_q_{g}").alias(g) for g in group], F.col("_quota").alias(quota), "bound")
+        *[F.col(f"_q_{g}").alias(g) for g in group], *parts, F.col("_quota").alias(quota), "bound")
 
 
 def first_rows(

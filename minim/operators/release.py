@@ -126,18 +126,16 @@ def route_eval(rows: DataFrame, forest: Forest, release: Release) -> DataFrame:
     cells = leaf_cells(rows, forest)
     leaves = list(release.leaf_columns)
     scratch = Scratch(rows.sparkSession, "route")
-    groups = scratch.save(accepted_groups(release, forest))
-    state = cells.withColumn("snapshot", F.lit(None).cast("int"))
-    for snap in release.snapshots:
-        state = scratch.save(state)
-        keys = node_columns(forest, snap.levels)
-        keep = groups.where(F.col("snapshot") == int(snap.iteration)).select(*forest, F.col("n").alias("_size"))
-        matched = attach(state.select("*", *keys), keep, list(forest), "_size")
-        state = matched.select(*leaves, "n", F.coalesce(
-            "snapshot", F.when(F.col("_size").isNotNull(), F.lit(int(snap.iteration)))).alias("snapshot"))
+    # A cell is listed once per snapshot with its keys there; one join finds the published ones, and the first of them wins.
+    groups = accepted_groups(release, forest).withColumnRenamed("n", "_size")
+    listed = F.array(*[F.struct(F.lit(i).alias("_rank"), F.lit(int(s.iteration)).alias("snapshot"), *node_columns(forest, s.levels))
+                       for i, s in enumerate(release.snapshots)])
+    tagged = cells.select(*leaves, "n", F.explode(listed).alias("_t")).select(*leaves, "n", "_t.*")
+    matched = attach(tagged, groups, ["snapshot", *forest], "_size")
+    hit = F.min(F.when(F.col("_size").isNotNull(), F.struct("_rank", "snapshot")))
     coarsest = int(release.snapshots[-1].iteration)
-    state = state.select(*leaves, "n", F.col("snapshot").isNotNull().alias("routed"),
-                         F.coalesce("snapshot", F.lit(coarsest)).alias("snapshot"))
+    state = matched.groupBy(*leaves).agg(F.first("n").alias("n"), hit.alias("_hit")).select(
+        *leaves, "n", F.col("_hit").isNotNull().alias("routed"), F.coalesce("_hit.snapshot", F.lit(coarsest)).alias("snapshot"))
     return attach(ensure_leaves(rows, forest), scratch.save(state), leaves, "n").drop("n")
 
 

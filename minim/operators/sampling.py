@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minim.functions.ordering import seeded_key
+from minim.functions.ordering import bucket_digits, seeded_key
 from minim.operators.keyed import quota_bounds, rank_by_key
 
 MAX_LABELS = 10_000
@@ -35,7 +35,6 @@ def label_counts(df: DataFrame, label: str) -> list[tuple]:
 
 
 def _bounds(df: DataFrame, label: str, quotas: list[tuple], rows: int) -> DataFrame:
-    from minim.functions.ordering import bucket_digits
     kind = df.schema[label].dataType.simpleString()
     table = df.sparkSession.createDataFrame(quotas, f"`{label}` {kind}, quota bigint")
     # One row per label, checked by label_counts.
@@ -66,9 +65,12 @@ def stratified_split(
         vals.append((value, t + v))
     keyed = df.withColumn("_key", seeded_key(seed, row_id))
     slim = keyed.select(label, "_key")
-    first = _bounds(slim, label, tests, n).select(F.col(label).alias("_l"), F.col("bound").alias("_test"))
-    second = _bounds(slim, label, vals, n).select(F.col(label).alias("_l"), F.col("bound").alias("_val"))
-    marks = first.join(second, "_l")
+    kind = df.schema[label].dataType.simpleString()
+    quotas = df.sparkSession.createDataFrame([(v, p, q) for p, found in enumerate((tests, vals)) for v, q in found], f"`{label}` {kind}, _part int, quota bigint")
+    # Both bounds of a label in one pass; one row per label, checked by label_counts.
+    bounds = quota_bounds(slim, [label], "_key", quotas, "quota", bucket_digits(n), "_part")
+    marks = bounds.groupBy(F.col(label).alias("_l")).agg(F.max(F.when(F.col("_part") == 0, F.col("bound"))).alias("_test"),
+                                                         F.max(F.when(F.col("_part") == 1, F.col("bound"))).alias("_val"))
     split = (F.when(F.col("_key") <= F.col("_test"), "test")
              .when(F.col("_key") <= F.col("_val"), "val").otherwise("train"))
     return (keyed.join(F.broadcast(marks), keyed[label] == marks["_l"])

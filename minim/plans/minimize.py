@@ -43,7 +43,7 @@ class MinimizeOptions:
     evict_threshold: int = 2
     tolerance: float = 0.01
     max_iterations: int = 30
-    rank_top_k: int = 5
+    rank_top_k: int = 3
     sample_size: int | None = None
     sample_fraction: float | None = 0.01
     target_k: int | None = None

@@ -19,8 +19,8 @@ from minim.plans.minimize import MinimizeOptions, Search
 class RemovalOptions:
     tolerance: float = 0.01
     epsilon: float = 1e-6
-    rank_top_k: int = 5
-    max_iterations: int = 30
+    rank_top_k: int = 3
+    max_iterations: int = 50
     exchange: bool = True
     # None: the best exchange of every pair of class sizes; a number: so many classes on each side.
     pool: int | None = None

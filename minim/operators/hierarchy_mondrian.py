@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from minim.functions.expressions import ENTROPY_GAIN_MIN, weighted_entropy
 from minim.operators.hierarchy import Forest, Hierarchy, assign_leaves, at, common_height, count_below, leaf_name, out_of_domain
+from minim.operators import keyed
 from minim.operators.keyed import attach, attach_small
 from minim.session import Scratch
 
@@ -137,9 +138,12 @@ def fit_mondrian(
     if not total or total < k:
         raise ValueError("the training rows must number at least k")
     carried = state.columns
+    # Distinct values of the widest QI, bounded from above by a sketch; its error is far below the doubling.
+    sketches = state.agg(*[F.approx_count_distinct(v).alias(v) for v in values]).first()
+    widest = 2 * max(sketches)
     all_cuts, fitted_cells = [], []
     for _ in range(max_passes):
-        cuts = scratch.save(_best_cuts(state, forest, counts, k, variant))
+        cuts = scratch.save(_best_cuts(state, forest, counts, k, variant, widest, scratch))
         entries = cuts.count()
         if entries == 0:
             fitted_cells.append(state.select(*values, "n", "path"))
@@ -209,12 +213,27 @@ def _node_table(cells: DataFrame, all_cuts: Sequence[DataFrame], forest: Forest,
     return named.unionByName(top).withColumn("depth", F.when(F.col("path") == TOP, 0).otherwise(F.size(F.split("path", "/"))))
 
 
-def _best_cuts(state: DataFrame, forest: Forest, counts: Sequence[str], k: int, variant: str) -> DataFrame:
+def _split_sums(histogram: DataFrame, names: Sequence[str], lost: Column, entries_per_group: int) -> DataFrame:
+    """The window columns of `_best_cuts` for groups that are too long for one task."""
+    group = ["path", "attr"]
+    numbered = keyed.dense_index(histogram, group, ["key", "leaf"], "_i")
+    summed = keyed.running_sums(numbered, group, "_i", list(names), entries_per_group)
+    following = summed.select(*[F.col(g).alias(f"_f_{g}") for g in group], (F.col("_i") - 1).alias("_f_i"), F.col("key").alias("next_key"))
+    joined = summed.join(following, (F.col("path") == F.col("_f_path")) & (F.col("attr") == F.col("_f_attr")) & (F.col("_i") == F.col("_f_i")), "left")
+    ends = histogram.groupBy(*group).agg(
+        F.min(F.when(~lost, F.col("key"))).alias("lo"), F.max(F.when(~lost, F.col("key"))).alias("hi"), F.count(F.lit(1)).alias("_entries"),
+        *[F.sum(F.when(lost, F.col(c)).otherwise(0)).alias(f"{c}_lost") for c in names])
+    return attach(joined.drop("_f_path", "_f_attr", "_f_i", "_i"), ends, group, "_entries").drop("_entries")
+
+
+def _best_cuts(
+    state: DataFrame, forest: Forest, counts: Sequence[str], k: int, variant: str, entries_per_group: int, scratch: Scratch,
+) -> DataFrame:
     """The chosen cut of every open node that has one: `(path, attr, kind, threshold, gain, rows)`.
 
-    One histogram `(path, attr, key, leaf)` serves all QIs. It is windowed per (path, attr), where
-    it has at most one entry per integer or leaf of that hierarchy's domain, however many rows the
-    node holds. Both following groupings keep the window's partitioning.
+    One histogram `(path, attr, key, leaf)` serves all QIs. It is windowed per (path, attr), where it has at most
+    `entries_per_group` entries: one per number or leaf of that QI, however many rows the node holds. Beyond what one task
+    windows, running sums are taken across range partitions instead.
     """
     attrs = list(forest)
     entries = []
@@ -237,16 +256,19 @@ def _best_cuts(state: DataFrame, forest: Forest, counts: Sequence[str], k: int,
     numeric_ids = [i for i, a in enumerate(attrs) if forest[a].numeric]
     is_numeric = F.col("attr").isin(*numeric_ids) if numeric_ids else F.lit(False)
     lost = F.col("key") == F.lit(float("inf"))
-    group = Window.partitionBy("path", "attr")
-    by_key = group.orderBy("key", "leaf")
-    upto = by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     names = ("n", *counts)
-    table = histogram.select(
-        "*", F.lead("key").over(by_key).alias("next_key"),
-        F.min(F.when(~lost, F.col("key"))).over(whole).alias("lo"), F.max(F.when(~lost, F.col("key"))).over(whole).alias("hi"),
-        *[F.sum(c).over(upto).alias(f"{c}_upto") for c in names], *[F.sum(c).over(whole).alias(f"{c}_total") for c in names],
-        *[F.sum(F.when(lost, F.col(c)).otherwise(0)).over(whole).alias(f"{c}_lost") for c in names])
+    if entries_per_group <= keyed.WINDOW_ROWS:
+        group = Window.partitionBy("path", "attr")
+        by_key = group.orderBy("key", "leaf")
+        upto = by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        table = histogram.select(
+            "*", F.lead("key").over(by_key).alias("next_key"),
+            F.min(F.when(~lost, F.col("key"))).over(whole).alias("lo"), F.max(F.when(~lost, F.col("key"))).over(whole).alias("hi"),
+            *[F.sum(c).over(upto).alias(f"{c}_upto") for c in names], *[F.sum(c).over(whole).alias(f"{c}_total") for c in names],
+            *[F.sum(F.when(lost, F.col(c)).otherwise(0)).over(whole).alias(f"{c}_lost") for c in names])
+    else:
+        table = _split_sums(scratch.save(histogram), names, lost, entries_per_group)
     # Numeric cuts: k rows on either side, none or at least k missing.
     present = F.col("n_total") - F.col("n_lost")
     legal = (is_numeric & ~lost & (F.col("n_upto") >= k) & (present - F.col("n_upto") >= k) & ((F.col("n_lost") == 0) | (F.col("n_lost") >= k)))
@@ -254,8 +276,14 @@ def _best_cuts(state: DataFrame, forest: Forest, counts: Sequence[str], k: int,
                 - weighted_entropy([F.col(f"{c}_total") - F.col(f"{c}_upto") - F.col(f"{c}_lost") for c in counts])
                 - weighted_entropy([F.col(f"{c}_lost") for c in counts])) / F.col("n_total")
     table = table.withColumns({"legal": legal, "gain": F.when(legal, cut_gain)})
+    if entries_per_group <= keyed.WINDOW_ROWS:
+        table = table.withColumn("top_gain", F.max("gain").over(group))
+    else:
+        table = scratch.save(table)
+        tops = table.groupBy("path", "attr").agg(F.max("gain").alias("top_gain"), F.count(F.lit(1)).alias("_entries"))
+        table = attach(table, tops, ["path", "attr"], "_entries").drop("_entries")
     table = table.withColumns({
-        "top_gain": F.max("gain").over(group), "off": F.abs(F.col("n_upto") - present / 2.0),
+        "off": F.abs(F.col("n_upto") - present / 2.0),
         "threshold": (F.col("key") + F.col("next_key")) / 2.0})
     tied = F.col("legal") & (F.abs(F.col("gain") - F.col("top_gain")) <= ENTROPY_GAIN_MIN)
     # Per child first, so that a child's entropy counts once.

@@ -116,3 +116,10 @@ def test_matches_recursive_model(spark, seed, k, variant):
     assert {frozenset(v) for v in got.values()} == model(rows, k, variant)
     sizes = {r["path"]: r["size"] for r in H.leaf_nodes(fitted).collect()}
     assert sizes == {p: len(v) for p, v in got.items()}
+
+
+@pytest.mark.parametrize("variant", [H.MEDIAN, H.INFOGAIN])
+def test_split_windows_give_the_same_tree(spark, monkeypatch, variant):
+    """Groups longer than one task's window: running sums across range partitions."""
+    monkeypatch.setattr(H.keyed, "WINDOW_ROWS", 3)
+    test_matches_recursive_model(spark, 1, 4, variant)

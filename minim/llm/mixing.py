@@ -26,7 +26,7 @@ from minim.session import Scratch
 PATH = ("domain", "lang", "source")
 DOMAINS = 4
 SEED = 17
-ROWS_PER_SLICE = 10_000
+ROWS_PER_SLICE = 1_000
 # Leaves up to this number are broadcast; more are joined.
 LEAVES = 20_000
 

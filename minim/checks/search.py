@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from minim.checks import query
@@ -14,6 +16,7 @@ from minim.operators import hierarchy_mondrian as H
 from minim.operators import models as L
 from minim.operators import removal as D
 from minim.operators.hierarchy import assign_leaves, generalize
+from minim.operators.keyed import attach
 from minim.operators.release import Snapshot, leaf_cells
 from minim.operators.sampling import stratified_split
 from minim.plans import minimize as S
@@ -466,6 +469,42 @@ def diagnose_routing(spark, sf_dir):
     return H.diagnose_routing(val, tree)
 
 
+_SPLIT_SIZES = """sizes AS (SELECT n, t, floor(0.15::DOUBLE / 0.85::DOUBLE * (n - t) + 0.5) AS v FROM (
+  SELECT n, floor(0.15::DOUBLE * n + 0.5) AS t FROM (SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_orderstatus = 'F')))"""
+
+
+@query("tree_invariants", f"""WITH {_SPLIT_SIZES} SELECT variant, CAST(sum(n - t - v) AS BIGINT) AS rows, 0 AS small_leaves, 0 AS rows_outside, 0 AS unequal_parents
+FROM sizes, (SELECT unnest(['median', 'infogain']) AS variant) GROUP BY variant""")
+def tree_invariants(spark, sf_dir):
+    """Every training row is in one leaf of at least k rows whose region holds it, and a node's size is the sum of its children's."""
+    parts = []
+    for variant in (H.MEDIAN, H.INFOGAIN):
+        tree, _ = fitted(spark, sf_dir, variant)
+        leaves = H.leaf_nodes(tree).select("path", F.col("size").alias("_size"), *H.region_columns(tree.forest))
+        placed = attach(tree.cells, leaves, ["path"], "_size")
+        inside = reduce(lambda a, b: a & b, [H._contains(tree.forest, a) for a in tree.forest])
+        rows = placed.agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(~F.coalesce(inside, F.lit(False)), F.col("n"))), F.lit(0)).cast("int").alias("rows_outside"))
+        small = leaves.agg(F.count(F.when(F.col("_size") < TREE_K, 1)).cast("int").alias("small_leaves"))
+        below = (tree.nodes.where(F.col("path").contains("/")).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("path")).agg(F.sum("size").alias("_below")))
+        uneven = tree.nodes.join(below, "path").agg(F.count(F.when(F.col("size") != F.col("_below"), 1)).cast("int").alias("unequal_parents"))
+        # One row each.
+        parts.append(rows.crossJoin(small).crossJoin(uneven).withColumn("variant", F.lit(variant)))
+    return parts[0].unionByName(parts[1]).select("variant", "rows", "small_leaves", "rows_outside", "unequal_parents")
+
+
+@query("routing_invariants", f"""WITH {_SPLIT_SIZES}, s AS (SELECT CAST(sum(v) AS BIGINT) AS rows FROM sizes)
+SELECT unnest(['split', 'containment', 'statistics', 'diagnosis']) AS source, rows FROM s""")
+def routing_invariants(spark, sf_dir):
+    """Each way of routing answers every validation row once, and the statistics and the diagnosis add up to them."""
+    tree, val = fitted(spark, sf_dir)
+    routed = H.route_split_widening(val, tree)
+    stats = H.routing_stats(routed, tree.forest).select(F.lit("statistics").alias("source"), (F.col("leaf_count") + F.col("internal_count") + F.col("root_count")).alias("rows"))
+    parts = [routed.agg(F.sum("n").alias("rows")).select(F.lit("split").alias("source"), "rows"),
+             H.route_containment(val, tree).agg(F.sum("n").alias("rows")).select(F.lit("containment").alias("source"), "rows"),
+             stats, H.diagnose_routing(val, tree).agg(F.sum("rows").alias("rows")).select(F.lit("diagnosis").alias("source"), "rows")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 __all__ = ["rounded"]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,20 @@ def build_session(app: str = "minim", master: str | None = None, **conf: str) ->
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return share_package(builder.getOrCreate())
+
+
+def share_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it: the same path on every node, or installed there.
+
+    Functions of a module travel to the workers by name, and a worker's path is not the driver's `sys.path`.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
 
 
 def scratch_root(spark: SparkSession) -> str:

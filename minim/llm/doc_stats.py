@@ -45,11 +45,8 @@ def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = len(texts)
     w = Words(texts)
     words = w.hashes()
-    size = w.doc_end - w.doc_start
-    # Counts of every byte value per text, without the separator between texts.
-    key = np.repeat(np.arange(n) * 256, size + 1)
-    seen = np.bincount(key + w.buf[:len(key)], minlength=256 * n).reshape(n, 256)
-    seen[:, 32] -= 1
+    # Counts of every byte value per text.
+    seen = np.stack([np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t in texts]) if n else np.zeros((0, 256), np.int64)
     chars = seen.sum(1) - seen[:, 0x80:0xC0].sum(1)
     word_chars = chars - seen[:, SPACE].sum(1)
     symbols = seen[:, _SYMBOLS].sum(1)

@@ -323,8 +323,13 @@ def ngram_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  #
 
 
 def keep_first(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
-    """The rows of `documents` that are the smallest doc_id of their component; equal rows count once, a null doc_id stays."""
+    """The rows of `documents` that are the smallest doc_id of their component; of rows equal in doc_id and text one stays, a null doc_id stays."""
     scratch = Scratch(documents.sparkSession, "ngram-keep")
-    gone = scratch.save(ngram_components(documents, rule).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
+    members, _, found = ngram_classes(documents, rule)
+    gone = members.join(found, "node", "left").where(F.coalesce("component", "node", "doc_id") != F.col("doc_id"))
+    gone = scratch.save(gone.select(F.col("doc_id").alias("_gone")).distinct())
     kept = documents.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
-    return kept
+    if members.groupBy("doc_id", "k1", "k2", "n").count().where("count > 1").isEmpty():
+        return kept
+    place = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(0)))
+    return kept.withColumn("_place", place).where(F.col("doc_id").isNull() | (F.col("_place") == 1)).select(*documents.columns)

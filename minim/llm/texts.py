@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from minim.session import share_package
+
 SLICE_BYTES = 2 << 20
 CHUNK = 1 << 19
 SPACE = np.zeros(256, bool)
@@ -34,7 +36,8 @@ def as_bytes(text: str | Column = "text") -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 200) -> None:
-    """Arrow batches of few rows: their size follows the longest texts, not the row count."""
+    """Arrow batches of few rows, as their size follows the longest texts and not the row count; workers find this package."""
+    share_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

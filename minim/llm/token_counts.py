@@ -46,10 +46,11 @@ class Vocabulary:
         self.unknown = min(self.pieces.values(), default=0.0) - 10.0
         for b in range(256):
             self.pieces.setdefault(bytes([b]), self.unknown)
-        self.longest = min(max(map(len, self.pieces)), DEPTH)
+        # A piece with white space behind its first byte is in no pre-token.
+        self.inner_lengths = sorted({len(p) for p in self.pieces if not any(c in b" \t\n\v\f\r" for c in p[1:])})
         self.screen = np.zeros(1 << _FILTER, bool)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in sorted({len(p) for p in self.pieces if len(p) <= DEPTH}):
+        for n in self.inner_lengths:
             own = [p for p in self.pieces if len(p) == n]
             rows = np.frombuffer(b"".join(own), np.uint8).reshape(-1, n)
             h = np.zeros(len(own), np.uint64)
@@ -58,7 +59,7 @@ class Vocabulary:
             order = np.argsort(h)
             self.by_length[n] = (h[order], np.array([self.pieces[p] for p in own])[order])
             self.screen[h >> np.uint64(64 - _FILTER)] = True
-        self.power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(DEPTH, _MULTIPLIER)]))
+        self.power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(DEPTH, *self.inner_lengths), _MULTIPLIER)]))
 
     def scores(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are pieces of `n` bytes, and the scores of those."""
@@ -71,10 +72,12 @@ class Vocabulary:
     def count(self, token: bytes) -> int:
         """Tokens of one string, place by place."""
         best, counts = [0.0], [0]
-        longest = max(self.by_length)
+        sizes = self.inner_lengths
         for end in range(1, len(token) + 1):
             top, n = -np.inf, 0
-            for size in range(1, min(end, longest) + 1):
+            for size in sizes:
+                if size > end:
+                    break
                 score = self.pieces.get(token[end - size:end])
                 if score is not None and best[end - size] + score > top:
                     top, n = best[end - size] + score, counts[end - size] + 1
@@ -111,9 +114,9 @@ def trie_counts(tokens: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary)
         up = node[depth - 1][first]
         h = hashes[depth - 1][up] * _MULTIPLIER + _BYTE[tokens[first, depth - 1]]
         top, count = np.full(len(first), -np.inf), np.zeros(len(first), np.int64)
-        for size in range(1, min(depth, vocabulary.longest) + 1):
-            if size not in vocabulary.by_length:
-                continue
+        for size in vocabulary.inner_lengths:
+            if size > depth:
+                break
             above = node[depth - size][first]
             piece = h - hashes[depth - size][above] * vocabulary.power[size]
             real, score = vocabulary.scores(piece, size)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from minim.session import Scratch
+from minim.session import Scratch, share_package
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -176,6 +176,7 @@ def read_archives(spark: SparkSession, path: str, segment: int = SEGMENT) -> Dat
     A response's length and digest are those of the payload read; a revisit has them from its headers.
     """
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    share_package(spark)
     scratch = Scratch(spark, "warc-read")
     pieces = scratch.save(with_offsets(candidates(spark, path)))
     chain = scratch.save(reachable(pieces.where("at >= 0 and succ is not null").select("file", "at", "succ"), scratch, segment))

@@ -97,6 +97,8 @@ def test_odd_inputs(spark, documents, empty):
     found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_components(documents).collect()}
     assert found == set(plain(rows, Rule()))
     assert ngram_components(documents).count() == documents.count()
+    # One of the two equal rows and the smallest of each group.
+    assert sorted(r["doc_id"] for r in keep_first(documents).collect()) == sorted({c for _, _, c in plain(rows, Rule())})
     assert ngram_components(empty).count() == 0 and keep_first(empty).count() == 0
     nameless = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert [tuple(r) for r in ngram_components(nameless).collect()] == [(1, 2, 1)]

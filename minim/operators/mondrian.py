@@ -12,9 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minim.operators.keyed import WINDOW_ROWS, attach, attach_small, dense_index, running_sums
+from minim.operators.keyed import HEAVY_KEYS, WINDOW_ROWS, attach, attach_small, dense_index, running_sums
 from minim.session import Scratch
 
+# Passes whose cuts are joined from memory before the cells are written again.
+PASSES_PER_WRITE = 3
+
 
 def frequency_ranks(cells: DataFrame, attr: str) -> DataFrame:
     """`(attr, rank)`: categories by falling frequency, ties by value; NULL takes a rank as well."""
@@ -68,13 +71,14 @@ def mondrian_cells(
     if widest > WINDOW_ROWS:
         widest = max(cells.select(q).distinct().count() for q in qis)
     state = keyed.select(*qis, "n", F.array(*[F.col(f"_k_{q}") for q in qis]).alias("_keys"),
-                         F.lit("").alias("partition"))
-    state = scratch.save(state)
+                         F.lit("").alias("partition"), F.lit(True).alias("_open"))
+    written = state = scratch.save(state)
     scales = F.array(*[F.lit(float(s)) for s in scale])
     is_numeric = F.col("attr") < len(numeric)
-    done = []
+    # Cuts since the rows were last written: a few short tables that later passes join in memory.
+    waiting: list[DataFrame] = []
     for _ in range(max_passes):
-        keys = state.select("partition", "n", F.posexplode("_keys").alias("attr", "key"))
+        keys = state.where("_open").select("partition", "n", F.posexplode("_keys").alias("attr", "key"))
         histogram = keys.groupBy("partition", "attr", "key").agg(F.sum("n").alias("n"))
         upto = running_sums(histogram, ["partition", "attr"], "key", ["n"], widest)
         legal = (F.col("n_upto") >= k) & (F.col("n_total") - F.col("n_upto") >= k)
@@ -99,21 +103,22 @@ def mondrian_cells(
         cuts = scratch.save(cuts)
         entries = cuts.count()
         if entries == 0:
-            done.append(state.select(*qis, "n", "partition"))
             break
         moved = attach_small(state, cuts, ["partition"], "rows", entries)
         turn = F.when(F.get("_keys", F.col("_attr")) <= F.col("_at"), "L").otherwise("R")
-        split = scratch.save(moved.select(
+        # A partition without a cut is closed: no later cut bears its name.
+        state = moved.select(
             *qis, "n", "_keys", F.col("_attr").isNotNull().alias("_open"),
-            F.when(F.col("_attr").isNotNull(), F.concat("partition", turn)).otherwise(F.col("partition")).alias("partition")),
-            partition_by=("_open",))
-        done.append(split.where(~F.col("_open")).select(*qis, "n", "partition"))
-        state = split.where(F.col("_open")).drop("_open")
+            F.when(F.col("_attr").isNotNull(), F.concat("partition", turn)).otherwise(F.col("partition")).alias("partition"))
+        waiting.append(cuts)
+        if entries > HEAVY_KEYS or len(waiting) == PASSES_PER_WRITE:
+            written = state = scratch.replace(written, state)
+            scratch.drop(*waiting)
+            waiting = []
     else:
         raise RuntimeError("too many passes")
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+    out = scratch.replace(written, state.select(*qis, "n", "partition"))
+    scratch.drop(cells, *waiting)
     return out
 
 

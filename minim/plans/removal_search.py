@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -94,6 +94,23 @@ def _moved(search: Search, cells: DataFrame, levels: Mapping[str, int], action:
     return moved.drop(*keys), dict(levels)
 
 
+def _in_order(ranked: DataFrame, page: int) -> Iterator:
+    """Candidates by estimated cost, a bounded page at a time, resumed behind the last one."""
+    order = F.struct("fast_cost", "next_active_rows", "action", "candidate")
+    ordered = ranked.withColumn("_order", order)
+    last = None
+    while True:
+        part = ordered
+        if last is not None:
+            kinds = ordered.schema["_order"].dataType.fields
+            part = part.where(F.col("_order") > F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(last, kinds)]))
+        rows = part.orderBy("_order").limit(int(page)).collect()
+        yield from rows
+        if len(rows) < page:
+            return
+        last = list(rows[-1]["_order"])
+
+
 def removal_search(train: DataFrame, val: DataFrame, forest: Forest, label: str, options: RemovalOptions = RemovalOptions()) -> dict:
     """Greedy search by privacy progress per utility cost.
 
@@ -117,12 +134,11 @@ def removal_search(train: DataFrame, val: DataFrame, forest: Forest, label: str,
     for iteration in range(options.max_iterations):
         stats = _privacy(cells, forest, levels)
         ranked = search.scratch.save(_ranked(search, cells, levels, model, stats, options))
-        order = ranked.orderBy("fast_cost", "next_active_rows", "action", "candidate")
         best, batch, seen = None, [], 0
-        for c in order.toLocalIterator():
+        for c in _in_order(ranked, options.rank_top_k):
             seen += 1
+            # A candidate's state is a projection of the cells; only the one that is taken is written.
             state, next_levels = _moved(search, cells, levels, c["action"], c["candidate"])
-            state = search.scratch.save(state)
             if c["action"] == "k_safe_class_exchange" and D.state_fingerprint(state, forest, next_levels) in visited:
                 continue
             counts = state.where("active").agg(F.count_distinct(label).alias("l")).first()["l"]
@@ -143,7 +159,9 @@ def removal_search(train: DataFrame, val: DataFrame, forest: Forest, label: str,
         if best is None:
             reason = "no_feasible_candidate" if seen else "no_positive_privacy_progress_candidate"
             break
-        cells, levels, model, loss = best[6], best[7], best[8], best[2]
+        cells = search.scratch.replace(cells, best[6])
+        search.scratch.drop(ranked)
+        levels, model, loss = best[7], best[8], best[2]
         visited.add(D.state_fingerprint(cells, forest, levels))
         after = _privacy(cells, forest, levels)
         log.append({"iteration": iteration, "action": best[4], "candidate": best[5], "min_k": after[0], "min_k_class_count": after[1],

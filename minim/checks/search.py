@@ -422,8 +422,10 @@ def split(spark, sf_dir):
 def minimize(spark, sf_dir):
     train, val, _ = split(spark, sf_dir)
     # The loop runs to its end with the operator's own options.
-    options = S.MinimizeOptions()
-    return S.candidate_log(spark, S.minimize(train, val, people_forest(), "label", options))
+    options = S.MinimizeOptions(log_path=Scratch(spark, "log").path)
+    S.minimize(train, val, people_forest(), "label", options)
+    # The log as the iterations appended it to storage.
+    return spark.read.parquet(options.log_path)
 
 
 @query("removal_search")

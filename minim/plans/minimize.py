@@ -26,6 +26,7 @@ from minim.operators.release import (
 )
 from minim.operators.sampling import label_covering_sample
 from minim.session import Scratch
+from minim.sources.files import write_rows
 
 ADMIT, REFINE = "retention_class", "vertical_refinement"
 FULL_SWAP, EVICT, NONE = "full_swap", "evict_low_k", "none"
@@ -52,6 +53,8 @@ class MinimizeOptions:
     policy: str = "ratio"
     # None: the swap of a refinement runs until it has converged.
     max_swap_rounds: int | None = None
+    # Where each iteration appends its certified candidates, if given: a run that breaks off leaves its log.
+    log_path: str | None = None
     seed: int = 42
     extras: tuple[str, ...] = ()
     max_fit_iterations: int = 50
@@ -256,6 +259,8 @@ def minimize(
         started = time.time()
         chosen = _step(search, state, history, levels, estimator, proxy, loss, len(iterations), batch)
         log += chosen["log"]
+        if options.log_path and chosen["log"]:
+            write_rows(candidate_rows(search.spark, chosen["log"]), options.log_path, append=True)
         if chosen["best"] is None:
             termination = "no_action_available"
             break
@@ -398,10 +403,14 @@ def _certify(search, state, rows, keys, table, history, levels, cand, current_k,
 
 
 def candidate_log(spark, result: MinimizeResult) -> DataFrame:
-    """One row per certified candidate."""
+    """One row per certified candidate of a run."""
+    return candidate_rows(spark, result.candidates)
+
+
+def candidate_rows(spark, candidates: Sequence[dict]) -> DataFrame:
     rows = [(c["iteration"], c["action"], str(c["candidate"]), float(c["rank_score"]), int(c["current_k"]), int(c["next_k"]),
              int(c["published_min_k"]), int(c["target_k"]), int(c["row_count"]), float(c["loss"]), float(c["utility_gain"]),
-             float(c["privacy_cost"]), float(c["score"]), bool(c["selected"])) for c in result.candidates]
+             float(c["privacy_cost"]), float(c["score"]), bool(c["selected"])) for c in candidates]
     return spark.createDataFrame(rows, "iteration int, action string, candidate string, rank_score double, current_k bigint, next_k bigint, "
                                        "published_min_k bigint, target_k bigint, row_count bigint, validation_loss double, utility_gain double, "
                                        "privacy_cost double, score double, selected boolean")

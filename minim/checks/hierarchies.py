@@ -56,6 +56,19 @@ def level_map_uneven(spark, sf_dir):
     return df.select(F.col("type").alias("leaf"), H.generalize_value(df, tree, 1).alias("target"))
 
 
+@query("level_map_uneven_closure", """WITH l AS (SELECT DISTINCT p_type AS leaf FROM part), v AS (SELECT unnest([0, 1, 2]) AS level)
+SELECT level, leaf AS leaf_id, CASE WHEN level = 0 THEN leaf WHEN level = 1 AND leaf IN ('SMALL', 'MEDIUM') THEN 'compact' ELSE 'any' END AS target_id FROM l, v
+WHERE leaf IN ('SMALL', 'MEDIUM', 'LARGE', 'ECONOMY', 'STANDARD', 'PROMO')""")
+def level_map_uneven_closure(spark, sf_dir):
+    """The closure of an uneven tree at every level: a leaf right below the root jumps to it. Leaves of the given table only."""
+    nodes = H.node_table(spark, {"type": parts_forest()["type"]})
+    closure = H.hierarchy_closure(nodes)
+    there = table(spark, sf_dir, "part").select(F.col("p_type").alias("value")).distinct()
+    leaves = nodes.where("kind = 'leaf'").join(there, "value").select(F.col("node_id").alias("leaf_id"), "value")
+    parts = [H.level_map(closure, {"type": v}).join(leaves, "leaf_id").select(F.lit(v).alias("level"), F.col("value").alias("leaf_id"), "target_id") for v in (0, 1, 2)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("max_levels", f"WITH {PLACES} SELECT 'place' AS attr, max(len(path)) - 1 AS max_level FROM chain")
 def max_levels(spark, sf_dir):
     return H.max_level_table(places(spark, sf_dir))

@@ -84,7 +84,7 @@ SELECT CASE WHEN quantity <= cut_at THEN 'L' ELSE 'R' END AS partition, count(*)
 FROM pop, cut GROUP BY 1""")
 def mondrian_first_cut(spark, sf_dir):
     df = parts(spark, sf_dir).select("quantity")
-    # k just above a quarter of the rows allows one cut and no second one.
+    # A k of a third of the rows allows one cut and no second one.
     out = M.mondrian(df, ("quantity",), (), df.count() // 3)
     return out.groupBy("partition").agg(F.count(F.lit(1)).alias("rows"), F.min("quantity").alias("lo"), F.max("quantity").alias("hi"))
 

@@ -431,9 +431,8 @@ def minimize(spark, sf_dir):
 @query("removal_search")
 def removal_search(spark, sf_dir):
     train, val, _ = split(spark, sf_dir)
-    # Six iterations of the loop: it would go on as long as classes can be given up within the tolerance.
-    options = V.RemovalOptions(max_iterations=6)
-    return V.removal_log(spark, V.removal_search(train, val, people_forest(), "label", options))
+    # The loop runs to its end with the operator's own options.
+    return V.removal_log(spark, V.removal_search(train, val, people_forest(), "label", V.RemovalOptions()))
 
 
 TREE_K = 400

@@ -6,6 +6,9 @@ block, and the index holds every block of every item with that many bits changed
 items within the radius. Each candidate is then verified exactly: shingles weighted by how often they occur, the sum of
 the smaller weights over the sum of the larger ones, against `similarity`.
 
+A text of fewer words than an item has no window of its length. Its whole word sequence is the one window then, and is verified without a
+fingerprint against the items that share a shingle with it, found in a list of the items' shingles.
+
 A window that shares no shingle with an item of its length has similarity 0; only the others are fingerprinted, which a bit table of
 the items' shingles tells ahead. Documents never move: the index of one block of items travels to the tasks. A block has a
 bounded number of items and words; a larger benchmark is worked off block by block, each over all documents.
@@ -65,6 +68,14 @@ class Index:
         self.prints = np.array(prints, np.uint64)
         flat = np.unique(np.stack([np.concatenate([*shingle, np.empty(0, np.uint64)]), np.concatenate([*of_length, np.empty(0, np.int64)]).astype(np.uint64)], 1), axis=0)
         self.shingles, self.lengths = flat[:, 0], flat[:, 1].astype(np.int64)
+        # Items by shingle, for texts that are shorter than an item; items of one shingle have no shorter text with a shingle.
+        many = [i for i, n in enumerate(self.length) if n > WIDTH]
+        posted = np.concatenate([np.empty(0, np.uint64), *(self.grams[i][0] for i in many)])
+        weight = np.concatenate([np.empty(0, np.int64), *(self.grams[i][1] for i in many)])
+        poster = np.repeat(np.array(many, np.int64), [len(self.grams[i][0]) for i in many])
+        by = np.argsort(posted, kind="stable")
+        self.posted, self.weight, self.poster = posted[by], weight[by], poster[by]
+        self.longest = int(max(self.length, default=0))
         self.screen = np.zeros(1 << _SCREEN_BITS, bool)
         self.screen[self.shingles >> np.uint64(64 - _SCREEN_BITS)] = True
         keys, owners = [], []
@@ -138,6 +149,8 @@ def matches(texts: list[bytes], index: Index, similarity: tuple[int, int] = SIMI
         seen = np.flatnonzero(index.screen[h >> np.uint64(64 - _SCREEN_BITS)])
         low, high = np.searchsorted(index.shingles, h[seen], "left"), np.searchsorted(index.shingles, h[seen], "right")
         seed = np.repeat(at[seen], high - low)
+        if width == WIDTH:
+            _shorter(np.unique(w.doc[seed]), w, h, place, index, similarity, best)
         entry = np.arange(len(seed)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
         for n in np.unique(index.lengths[entry]):
             if min(WIDTH, int(n)) != width:
@@ -179,6 +192,23 @@ def _search(starts, n, size, h, place, doc, index, similarity, best) -> None:
                 best[where] = entry
 
 
+def _shorter(docs, w, h, place, index, similarity, best) -> None:
+    """Compares each of `docs` as a whole with the items of more words than it has."""
+    for doc in docs[w.counts[docs] < index.longest].tolist():
+        n, first = int(w.counts[doc]), int(w.offset[doc])
+        size = n - WIDTH + 1
+        seen, times = np.unique(h[place[first]:place[first] + size], return_counts=True)
+        low, high = np.searchsorted(index.posted, seen, "left"), np.searchsorted(index.posted, seen, "right")
+        at = np.arange(int((high - low).sum())) - np.repeat(np.cumsum(high - low) - high, high - low)
+        item, common = index.poster[at], np.minimum(np.repeat(times, high - low), index.weight[at])
+        # The similarity is at most the ratio of the lengths.
+        near = (index.length[item] > n) & (similarity[1] * size >= similarity[0] * (index.length[item] - WIDTH + 1))
+        both = np.bincount(item[near], common[near], len(index.items)).astype(np.int64)
+        union = size + index.length - WIDTH + 1 - both
+        for i in np.flatnonzero((both > 0) & (similarity[1] * both >= similarity[0] * union)).tolist():
+            best[doc, i] = (-int(both[i]) / int(union[i]), first, n)
+
+
 def item_blocks(benchmark: DataFrame, items: int = ITEM_BLOCK, words: int = WORD_BLOCK) -> Iterator[Index]:
     """The benchmark in blocks of at most `items` items and about `words` words, one at a time on the driver."""
     block, size = [], 0

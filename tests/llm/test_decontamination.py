@@ -73,3 +73,34 @@ def test_odd_inputs(spark, documents, empty, texts):
     assert D.contaminated(documents, nothing).count() == 0 and D.contaminated(empty, benchmark).count() == 0
     assert D.drop_contaminated(documents, nothing).count() == documents.count()
     assert D.drop_contaminated(documents, benchmark).schema == documents.schema
+
+
+def test_texts_shorter_than_an_item(spark):
+    """Against the whole word sequence, by brute force, where a text has fewer words than an item."""
+    rng = random.Random(4)
+    items = [sentence(rng, n) for n in (4, 5, 6, 9, 10, 14, 24, 40, 80)] + ["go " * 40, sentence(rng, 40)]
+    items[-1] = " ".join(items[7].split()[:35] + items[-1].split()[:5])
+    texts = []
+    for item in items:
+        words = item.split()
+        for lost in (1, 2, 3, 6, 7, 8, len(words) // 5, len(words) // 2):
+            texts += [" ".join(words[lost:]).upper(), " \n".join(words[:-lost]), " ".join(words[lost // 2:len(words) - lost // 2 - 1])]
+        texts += [" ".join(words[:20] + ["new"] + words[21:-1]), item + " one more"]
+
+    def similarity(text, item):
+        words, own = text.lower().split(), item.lower().split()
+        if len(words) >= len(own):
+            return plain(text, item)
+        seen, target = (Counter(tuple(x[i:i + 5]) for i in range(len(x) - 4)) for x in (words, own))
+        return sum((seen & target).values()) / max(1, sum((seen | target).values()))
+
+    expected = {(i, j): s for i, t in enumerate(texts) for j, x in enumerate(items) if (s := similarity(t, x)) >= 0.8}
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = D.contaminated(documents, benchmark).collect()
+    shorter = {(i, j) for i, j in expected if len(texts[i].split()) < len(items[j].split())}
+    assert len(shorter) > 40
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 12) for r in found} == {k: round(s, 12) for k, s in expected.items()}
+    assert all((r["first_word"], r["n_words"]) == (0, len(texts[r["doc_id"]].split())) for r in found if (r["doc_id"], r["item_id"]) in shorter)
+    kept = {r["doc_id"] for r in D.drop_contaminated(documents, benchmark).collect()}
+    assert kept == set(range(len(texts))) - {i for i, _ in expected}

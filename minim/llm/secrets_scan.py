@@ -41,7 +41,8 @@ _HEX = re.compile(rb"[0-9a-f]{16,}")
 _ASSIGN_VALUE, _ACCESS_LENGTH = 12, 18
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = 20
+# The shortest strings that the battery can still tell from ordinary ones, as short as the values of assign.
+CANDIDATE = 12
 FALSE_SHARE = 0.01
 _RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE)
 _DIGITS, _LOWER, _UPPER = b"0123456789", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -60,7 +61,7 @@ for _i, _of in enumerate((_LOWER, _UPPER, _DIGITS)):
     _CLASS[np.frombuffer(_of, np.uint8)] = _i
 _LARGEST = max(map(len, ALPHABETS.values()))
 # Length bands of the strata, and steps of -log10 p in a histogram.
-BANDS = (24, 32, 48, 64, 96, 160)
+BANDS = (16, 20, 24, 32, 48, 64, 96, 160)
 _STEPS, _PER_TEN = 400, 10
 #: Standard deviations from what uniform symbols give, beyond which a string is structured.
 LIMIT = 3.3
@@ -79,7 +80,7 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
 
 
 def candidate_spans(text: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Long runs of encoding symbols outside the base spans, in bytes."""
+    """Runs of encoding symbols outside the base spans, in bytes."""
     found = [m.span() for m in _RUN.finditer(text)]
     return [(s, e) for s, e in found if not any(a < e and s < b for a, _, b in base)] if base else found
 

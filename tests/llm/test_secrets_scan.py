@@ -60,3 +60,21 @@ def test_odd_inputs(spark, documents, empty):
     assert len(rows) == documents.count()
     blank = hashlib.sha256(b"").hexdigest()
     assert all(r["base_sha256"] == blank for r in rows if not (r["n_assign"] or r["n_access"] or r["n_hex"]))
+
+
+def test_short_strings(spark):
+    """Strings of 12 to 19 symbols are tested too, each length band by its own bound, and words of those lengths are not found."""
+    rng = random.Random(7)
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    real = [(10_000 + i, "ü value " + "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(12 + i % 8)) + " end") for i in range(80)]
+    dull = ["internationalization", "Geschwindigkeiten", "2019-12-31-23", "application/json", "HelloWorldApp", "=" * 15, "abababababab", "11 characte", "querySelectorAll"]
+    rows = source.union(spark.createDataFrame(real + [(20_000 + i, t) for i, t in enumerate(dull)], "doc_id long, text string"))
+    out = {r["doc_id"]: r for r in secret_scan(rows).collect()}
+    for lengths in (range(4), range(4, 8)):
+        some = [i for i, _ in real if i % 8 in lengths]
+        assert sum(out[i]["n_random"] for i in some) >= 36
+    assert sum(out[20_000 + i]["n_random"] for i in range(len(dull))) == 0
+    for i, text in real:
+        if out[i]["n_random"]:
+            kind, start, end = out[i]["spans"].split(":")
+            assert kind == "random" and text[int(start):int(end)] == text.split()[2]

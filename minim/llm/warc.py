@@ -6,7 +6,8 @@ archives to any store. A page whose payload another page of smaller id holds (at
 Reading: the archives are cut at the record magic, wherever it stands. Each piece is a candidate record with an offset and, by its
 Content-Length, a successor. Inside a segment of a file candidates are resolved to the offset where their chain leaves it; pointer jumping
 from offset 0 then finds the segments' true entries, and only records on the chain are kept, so a magic inside a payload starts
-no record. Records cut by such a magic are put together again from their pieces.
+no record. Records cut by such a magic are put together again from their pieces, which a second read finds by their content: their places
+in that read may differ, as files are dealt to tasks by the number of cores. A piece that is not found fails the job.
 
 Defined results: a null html is an empty payload; a page without url has no target; line breaks in a url are percent-encoded; a null
 page_id is left out, as a record needs its id; rows that share page_id and payload are all responses if the id is the smallest; an
@@ -73,9 +74,14 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
                     F.monotonically_increasing_id().alias("row"), "value"))
 
 
+def _content():
+    """What a piece is known by in any read of the archives."""
+    return F.sha2(F.col("value").cast("binary"), 256)
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """One narrow row per piece: its place, its successor, and its record's fields if the piece holds it whole."""
-    raw = _pieces(spark, path).withColumn("size", F.octet_length("value").cast("bigint"))
+    raw = _pieces(spark, path).withColumn("size", F.octet_length("value").cast("bigint")).withColumn("content", _content())
     raw = raw.withColumn("head", F.substring_index("value", END, 1))
     return _fields(raw).drop("value", "head", "body")
 
@@ -190,9 +196,13 @@ def read_archives(spark: SparkSession, path: str, segment: int = SEGMENT) -> Dat
     begins = F.last(F.when(F.col("_on"), F.col("at")), ignorenulls=True).over(Window.partitionBy("file").orderBy("at"))
     owned = (pieces.join(cut.select("file").distinct(), "file").join(chain.withColumn("_on", F.lit(True)), ["file", "at"], "left")
              .withColumn("record", begins))
-    parts = owned.join(cut.select("file", F.col("at").alias("record")), ["file", "record"]).select("file", "record", "block", "row", "size", "at")
-    values = _pieces(spark, path).withColumn("size", F.octet_length("value").cast("bigint"))
-    glued = (values.join(parts, ["file", "block", "row", "size"]).groupBy("file", "record")
+    parts = scratch.save(owned.join(cut.select("file", F.col("at").alias("record")), ["file", "record"]).select("file", "record", "at", "content"))
+    # One text per content that a cut record needs; equal pieces of many records are sent once.
+    needed = parts.groupBy("content").agg(F.count(F.lit(1)).alias("times"))
+    values = (_pieces(spark, path).select(_content().alias("content"), "value").join(needed, "content", "left_semi")
+              .groupBy("content").agg(F.first("value").alias("value")))
+    lost = F.raise_error(F.concat(F.lit("a piece of a cut record was not found again: "), F.col("file"), F.lit(" at "), F.col("at").cast("string")))
+    glued = (parts.join(values, "content", "left").withColumn("value", F.coalesce("value", lost.cast("string"))).groupBy("file", "record")
              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda p: p["value"]), MAGIC).alias("value")))
     glued = glued.withColumn("size", F.octet_length("value").cast("bigint")).withColumn("head", F.substring_index("value", END, 1))
     return whole.unionByName(_fields(glued).where("whole").select(*columns))

@@ -71,3 +71,36 @@ def test_broken_chain_ends_its_file(spark, tmp_path):
     good = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:%d>\r\nContent-Length: 19\r\n\r\nHTTP/1.1 200 OK\r\n\r\n\r\n\r\n"
     (tmp_path / "x.warc").write_bytes(good % 1 + b"damage" + good % 2)
     assert [r["page_id"] for r in warc.read_archives(spark, str(tmp_path)).collect()] == [1]
+
+
+def read_twice(spark, path, monkeypatch, second):
+    """The records of `path`, where the second read of the archives is `second` of a read with files dealt otherwise."""
+    first, reads = warc._pieces, []
+
+    def pieces(spark, path):
+        reads.append(path)
+        if len(reads) == 1:
+            return first(spark, path)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        return second(first(spark, path))
+
+    monkeypatch.setattr(warc, "_pieces", pieces)
+    spark.conf.set("spark.sql.files.minPartitionNum", "100")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        return as_rows(warc.read_archives(spark, path))
+    finally:
+        assert len(reads) == 2
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_cut_records_whatever_the_packing(spark, pages, tmp_path, monkeypatch):
+    warc.write_archives(pages[0].repartition(6), str(tmp_path / "gz"))
+    assert read_twice(spark, str(tmp_path / "gz"), monkeypatch, lambda df: df) == plain(pages[1])
+
+
+def test_lost_piece_fails(spark, pages, tmp_path, monkeypatch):
+    warc.write_archives(pages[0], str(tmp_path / "gz"))
+    with pytest.raises(Exception, match="was not found again"):
+        read_twice(spark, str(tmp_path / "gz"), monkeypatch, lambda df: df.where(~df["value"].contains("in the middle")))

@@ -17,6 +17,8 @@ from minim.operators.keyed import attach
 from minim.operators.models import MAX_BLOCK, FeatureSpace, class_probability
 from minim.session import Scratch
 
+MAX_ITER = 1000
+
 
 def region_vectors(rows: DataFrame, space: FeatureSpace, name: str = "features") -> DataFrame:
     """Standardized model vector of rows that carry region columns."""
@@ -55,8 +57,8 @@ def labelled_cells(df: DataFrame, forest: Forest, label: str) -> DataFrame:
     return rows.groupBy(*[H.value_name(a) for a in forest], label).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def sweep_point(train: DataFrame, val: DataFrame, forest: Forest, label: str, space: FeatureSpace, k: int, variant: str) -> dict:
-    """One fitted tree: min-K and percentiles, P99 tail risk, routing, validation loss of a logistic model."""
+def sweep_point(train: DataFrame, val: DataFrame, forest: Forest, label: str, space: FeatureSpace, k: int, variant: str, max_iter: int = MAX_ITER) -> dict:
+    """One fitted tree: min-K and percentiles, P99 tail risk, routing, validation loss of a logistic model and whether its fit met the tolerance."""
     from pyspark.ml.classification import LogisticRegression
 
     scratch = Scratch(train.sparkSession, "sweep")
@@ -75,7 +77,7 @@ def sweep_point(train: DataFrame, val: DataFrame, forest: Forest, label: str, sp
     leaves = H.leaf_nodes(fitted).select("path", F.col("size").alias("_size"), *H.region_columns(forest))
     cells = attach(labelled_cells(train, forest, label), fitted.cells.select(*values, F.col("path"), F.col("n")), values, "n").drop("n")
     made = region_vectors(attach(cells, leaves, ["path"], "_size").drop("_size"), space)
-    model = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", standardization=False, maxIter=30).fit(
+    model = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", standardization=False, maxIter=max_iter).fit(
         made.withColumn("weight", F.col("weight").cast("double")))
     routed = scratch.save(H.route_split_widening(val, fitted, check=False))
     stats = H.routing_stats(routed, forest).first().asDict()
@@ -88,15 +90,17 @@ def sweep_point(train: DataFrame, val: DataFrame, forest: Forest, label: str, sp
     import math
     return {"variant": variant, "k": k, "min_k": dist["leak_k"], "leak_k_p1": dist["leak_k_p1"], "class_count": dist["class_count"],
             "tail_risk_p99": -math.log(risk_k), "validation_loss": loss, "fallback_count": stats["fallback_count"],
-            "widened_count": stats["widened_count"], "review_needed": stats["review_needed"]}
+            "widened_count": stats["widened_count"], "review_needed": stats["review_needed"],
+            "converged": model.summary.totalIterations < max_iter}
 
 
-def mondrian_sweep(train: DataFrame, val: DataFrame, forest: Forest, label: str, ks: Sequence[int], variants: Sequence[str] = (H.MEDIAN, H.INFOGAIN)) -> DataFrame:
+def mondrian_sweep(train: DataFrame, val: DataFrame, forest: Forest, label: str, ks: Sequence[int], variants: Sequence[str] = (H.MEDIAN, H.INFOGAIN),
+                   max_iter: int = MAX_ITER) -> DataFrame:
     """One row per (variant, K)."""
     from minim.operators.hierarchy import assign_leaves
 
     space = FeatureSpace(forest).fit(assign_leaves(train, forest))
-    rows = [tuple(sweep_point(train, val, forest, label, space, int(k), v).values()) for v in variants for k in ks]
+    rows = [tuple(sweep_point(train, val, forest, label, space, int(k), v, max_iter).values()) for v in variants for k in ks]
     return train.sparkSession.createDataFrame(
         rows, "variant string, k bigint, min_k bigint, leak_k_p1 double, class_count bigint, tail_risk_p99 double, validation_loss double, "
-              "fallback_count bigint, widened_count bigint, review_needed boolean")
+              "fallback_count bigint, widened_count bigint, review_needed boolean, converged boolean")

@@ -15,6 +15,7 @@ from minim.operators import candidates as G
 from minim.operators import hierarchy_mondrian as H
 from minim.operators import models as L
 from minim.operators import removal as D
+from minim.operators.analytics import k_grid
 from minim.operators.hierarchy import assign_leaves, generalize
 from minim.operators.keyed import attach
 from minim.operators.release import Snapshot, leaf_cells
@@ -513,8 +514,8 @@ __all__ = ["rounded"]
 def mondrian_sweep(spark, sf_dir):
     from minim.plans.sweep import mondrian_sweep as sweep
     train, val, _ = split(spark, sf_dir)
-    n = train.count()
-    return sweep(train, val, people_forest(), "label", [n // 32, n // 8])
+    # The operator's whole grid.
+    return sweep(train, val, people_forest(), "label", sorted(r["k"] for r in k_grid(train).collect()))
 
 
 def released(spark, sf_dir):

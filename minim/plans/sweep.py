@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from minim.operators import hierarchy_mondrian as H
 from minim.operators.classes import k_distribution_from_histogram
-from minim.operators.hierarchy import Forest
+from minim.operators.hierarchy import Forest, leaf_name
 from minim.operators.keyed import attach
 from minim.operators.models import MAX_BLOCK, FeatureSpace, class_probability
 from minim.session import Scratch
@@ -57,6 +57,11 @@ def labelled_cells(df: DataFrame, forest: Forest, label: str) -> DataFrame:
     return rows.groupBy(*[H.value_name(a) for a in forest], label).agg(F.count(F.lit(1)).alias("weight"))
 
 
+def encoded(rows: DataFrame, forest: Forest, label: str, scratch: Scratch) -> DataFrame:
+    """The rows' QIs, leaf positions and label, written once for all points."""
+    return scratch.save(H.mondrian_values(rows, forest, check=False).select(*forest, *[leaf_name(a) for a in forest], label))
+
+
 def sweep_point(train: DataFrame, val: DataFrame, forest: Forest, label: str, space: FeatureSpace, k: int, variant: str, max_iter: int = MAX_ITER) -> dict:
     """One fitted tree: min-K and percentiles, P99 tail risk, routing, validation loss of a logistic model and whether its fit met the tolerance."""
     from pyspark.ml.classification import LogisticRegression
@@ -97,9 +102,9 @@ def sweep_point(train: DataFrame, val: DataFrame, forest: Forest, label: str, sp
 def mondrian_sweep(train: DataFrame, val: DataFrame, forest: Forest, label: str, ks: Sequence[int], variants: Sequence[str] = (H.MEDIAN, H.INFOGAIN),
                    max_iter: int = MAX_ITER) -> DataFrame:
     """One row per (variant, K)."""
-    from minim.operators.hierarchy import assign_leaves
-
-    space = FeatureSpace(forest).fit(assign_leaves(train, forest))
+    scratch = Scratch(train.sparkSession, "sweep-rows")
+    train, val = encoded(train, forest, label, scratch), encoded(val, forest, label, scratch)
+    space = FeatureSpace(forest).fit(train)
     rows = [tuple(sweep_point(train, val, forest, label, space, int(k), v, max_iter).values()) for v in variants for k in ks]
     return train.sparkSession.createDataFrame(
         rows, "variant string, k bigint, min_k bigint, leak_k_p1 double, class_count bigint, tail_risk_p99 double, validation_loss double, "

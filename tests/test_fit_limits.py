@@ -33,3 +33,10 @@ def test_attacks(spark, rows):
 def test_sweep(spark, rows):
     assert mondrian_sweep(rows, rows, FOREST, "label", [50], [H.MEDIAN]).first()["converged"]
     assert not mondrian_sweep(rows, rows, FOREST, "label", [50], [H.MEDIAN], max_iter=1).first()["converged"]
+
+
+def test_sweep_at_both_ends(spark, rows):
+    """The smallest K and K = N, where the tree is one leaf."""
+    out = {r["k"]: r for r in mondrian_sweep(rows, rows, FOREST, "label", [2, 400], [H.INFOGAIN]).collect()}
+    assert out[2]["class_count"] > 1 and out[2]["min_k"] >= 2
+    assert (out[400]["class_count"], out[400]["min_k"], out[400]["fallback_count"]) == (1, 400, 0)

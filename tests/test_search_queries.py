@@ -2,6 +2,7 @@
 
 from minim.checks import search
 from minim.plans import removal_search as V
+from minim.plans import sweep
 
 
 def test_removal_search_runs_to_its_end(spark, monkeypatch):
@@ -10,3 +11,11 @@ def test_removal_search_runs_to_its_end(spark, monkeypatch):
     monkeypatch.setattr(V, "removal_search", lambda train, val, forest, label, options=V.RemovalOptions(): seen.append(options) or {"iterations": []})
     assert search.removal_search(spark, "").count() == 0
     assert seen == [V.RemovalOptions()]
+
+
+def test_mondrian_sweep_takes_the_whole_grid(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(search, "split", lambda spark, sf_dir: (spark.range(1000), None, None))
+    monkeypatch.setattr(sweep, "mondrian_sweep", lambda train, val, forest, label, ks, *rest: seen.append((list(ks), rest)))
+    search.mondrian_sweep(spark, "")
+    assert seen == [([2, 4, 8, 12, 16, 32, 64, 128, 235, 256, 1000], ())]

@@ -1,8 +1,8 @@
 """Attribute reconstruction and strong linkage with fitted models.
 
 The attacker sees released vectors of published training rows, fits a model to raw values, and is
-scored on released vectors of rows it has not seen. Fitting and scoring are Spark ML jobs. A fit runs until its tolerance is met;
-`converged` is false where it reached `max_iter` steps before (null where nothing was fitted).
+scored on released vectors of rows it has not seen. Fitting and scoring are Spark ML jobs. A fit runs until its tolerance is met
+or Spark's optimizer gives up on a step; `limit_reached` is true where `max_iter` steps came first (null where nothing was fitted).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from minim.operators.attacks import baseline_predictor, target_value
 from minim.operators.metrics import numeric_hit
 from minim.operators.models import FeatureSpace
 
-RESULT = "attr string, rows bigint, classes bigint, numeric boolean, accuracy double, baseline_accuracy double, leakage_gap double, converged boolean"
+RESULT = "attr string, rows bigint, classes bigint, numeric boolean, accuracy double, baseline_accuracy double, leakage_gap double, limit_reached boolean"
 MAX_ITER = 1000
 
 
@@ -43,7 +43,7 @@ def attack_attribute(train: DataFrame, test: DataFrame, space: FeatureSpace, sna
         base = F.broadcast(baseline_predictor(known_train, target, True).withColumnRenamed("prediction", "_base"))
         one = tried.join(base).agg(F.avg(numeric_hit(F.col(target).cast("double"), F.col("_p"), tolerance)).alias("a"),
                                    F.avg(numeric_hit(F.col(target).cast("double"), F.col("_base"), tolerance)).alias("b")).first()
-        return (target, rows, 0, True, one["a"], one["b"], one["a"] - one["b"], model.summary.totalIterations < max_iter)
+        return (target, rows, 0, True, one["a"], one["b"], one["a"] - one["b"], model.summary.totalIterations >= max_iter)
     made = space.vectors(known_train, snapshots).withColumn("_v", target_value(target))
     indexer = StringIndexer(inputCol="_v", outputCol="_y", stringOrderType="alphabetAsc").fit(made)
     classes = len(indexer.labels)
@@ -57,7 +57,7 @@ def attack_attribute(train: DataFrame, test: DataFrame, space: FeatureSpace, sna
     one = tried.join(base).agg(
         F.avg((F.get(names, F.col("_p").cast("int")) == target_value(target)).cast("double")).alias("a"),
         F.avg((F.col("_base") == target_value(target)).cast("double")).alias("b")).first()
-    return (target, rows, classes, False, one["a"], one["b"], one["a"] - one["b"], model.summary.totalIterations < max_iter)
+    return (target, rows, classes, False, one["a"], one["b"], one["a"] - one["b"], model.summary.totalIterations >= max_iter)
 
 
 def reconstruction_attack(train: DataFrame, test: DataFrame, space: FeatureSpace, snapshots: Sequence, tolerances: dict[str, float] | None = None,

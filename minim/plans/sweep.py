@@ -63,7 +63,7 @@ def encoded(rows: DataFrame, forest: Forest, label: str, scratch: Scratch) -> Da
 
 
 def sweep_point(train: DataFrame, val: DataFrame, forest: Forest, label: str, space: FeatureSpace, k: int, variant: str, max_iter: int = MAX_ITER) -> dict:
-    """One fitted tree: min-K and percentiles, P99 tail risk, routing, validation loss of a logistic model and whether its fit met the tolerance."""
+    """One fitted tree: min-K and percentiles, P99 tail risk, routing, validation loss of a logistic model and whether its fit reached `max_iter`."""
     from pyspark.ml.classification import LogisticRegression
 
     scratch = Scratch(train.sparkSession, "sweep")
@@ -96,7 +96,7 @@ def sweep_point(train: DataFrame, val: DataFrame, forest: Forest, label: str, sp
     return {"variant": variant, "k": k, "min_k": dist["leak_k"], "leak_k_p1": dist["leak_k_p1"], "class_count": dist["class_count"],
             "tail_risk_p99": -math.log(risk_k), "validation_loss": loss, "fallback_count": stats["fallback_count"],
             "widened_count": stats["widened_count"], "review_needed": stats["review_needed"],
-            "converged": model.summary.totalIterations < max_iter}
+            "limit_reached": model.summary.totalIterations >= max_iter}
 
 
 def mondrian_sweep(train: DataFrame, val: DataFrame, forest: Forest, label: str, ks: Sequence[int], variants: Sequence[str] = (H.MEDIAN, H.INFOGAIN),
@@ -108,4 +108,4 @@ def mondrian_sweep(train: DataFrame, val: DataFrame, forest: Forest, label: str,
     rows = [tuple(sweep_point(train, val, forest, label, space, int(k), v, max_iter).values()) for v in variants for k in ks]
     return train.sparkSession.createDataFrame(
         rows, "variant string, k bigint, min_k bigint, leak_k_p1 double, class_count bigint, tail_risk_p99 double, validation_loss double, "
-              "fallback_count bigint, widened_count bigint, review_needed boolean, converged boolean")
+              "fallback_count bigint, widened_count bigint, review_needed boolean, limit_reached boolean")

@@ -25,14 +25,14 @@ def rows(spark):
 def test_attacks(spark, rows):
     released = assign_leaves(rows, FOREST).withColumn("snapshot", F.lit(0))
     space, snaps = FeatureSpace(FOREST).fit(released), [Snapshot(0, {"year": 0, "town": 0})]
-    assert all(r["converged"] for r in reconstruction_attack(released, released, space, snaps).collect())
-    assert all(r["converged"] for r in linkage_attack(released, released, space, snaps, ["year"], ["town"]).collect())
-    assert not linkage_attack(released, released, space, snaps, ["year"], ["town"], max_iter=1).first()["converged"]
+    assert not any(r["limit_reached"] for r in reconstruction_attack(released, released, space, snaps).collect())
+    assert not any(r["limit_reached"] for r in linkage_attack(released, released, space, snaps, ["year"], ["town"]).collect())
+    assert linkage_attack(released, released, space, snaps, ["year"], ["town"], max_iter=1).first()["limit_reached"]
 
 
 def test_sweep(spark, rows):
-    assert mondrian_sweep(rows, rows, FOREST, "label", [50], [H.MEDIAN]).first()["converged"]
-    assert not mondrian_sweep(rows, rows, FOREST, "label", [50], [H.MEDIAN], max_iter=1).first()["converged"]
+    assert not mondrian_sweep(rows, rows, FOREST, "label", [50], [H.MEDIAN]).first()["limit_reached"]
+    assert mondrian_sweep(rows, rows, FOREST, "label", [50], [H.MEDIAN], max_iter=1).first()["limit_reached"]
 
 
 def test_sweep_at_both_ends(spark, rows):

@@ -178,3 +178,97 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from minim.llm.secrets_scan import secret_scan
 
     return secret_scan(table(spark, sf_dir, "documents"))
+
+
+#: Words that mark a host whose pages are not wanted, as whole tokens of the host.
+HOST_WORDS = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "viagra")
+#: Ends of paths that hold forms and not text.
+FORM_PATHS = ("/cart", "/checkout", "/login", "/signup", "/wp-login.php")
+#: Host and path of the stated rules, and their verdicts.
+STATED_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def url_rules() -> list[tuple]:
+    """`(rule, pattern, verdict, tier)`; the stated rules stand above the others."""
+    stated = [(host + path, f"||{host}{path}", verdict, 1) for host, path, verdict in STATED_RULES]
+    words = [(f"host word {w}", f"||@^{w}^@/", "block", 0) for w in HOST_WORDS]
+    return stated + words + [(f"form {p}", f"{p}|", "block", 0) for p in FORM_PATHS]
+
+
+_URL_SQL = rf"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '(?s)://[^/?#]*(.*)', 1) AS rest FROM pages),
+stated(rule, h, p, v) AS (VALUES {", ".join(f"('{h}{p}', '{h}', '{p}', '{v}')" for h, p, v in STATED_RULES)}),
+words(rule, pattern, w) AS (VALUES {", ".join(f"('host word {w}', '||@^{w}^@/', '{w}')" for w in HOST_WORDS)}),
+forms(rule, pattern, e) AS (VALUES {", ".join(f"('form {p}', '{p}|', '{p}')" for p in FORM_PATHS)}),
+hit AS (
+  SELECT u.*, s.rule AS name, '||' || s.rule AS pattern, s.v, 1 AS tier FROM u, stated s WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  UNION ALL SELECT u.*, w.rule, w.pattern, 'block', 0 FROM u, words w WHERE starts_with(rest, '/') AND regexp_matches(host, '(^|[^A-Za-z0-9])' || w || '([^A-Za-z0-9]|$)')
+  UNION ALL SELECT u.*, f.rule, f.pattern, 'block', 0 FROM u, forms f WHERE ends_with(host || rest, e)),
+best AS (SELECT page_id, arg_min((name, pattern, v, tier), (-tier, -length(pattern), name)) AS b FROM hit GROUP BY page_id)
+SELECT u.page_id, host, path, CASE WHEN b[4] = 1 THEN b[1] END AS rule, b[2] AS pattern, coalesce(b[3], 'allow') AS verdict
+FROM u LEFT JOIN best ON best.page_id = u.page_id
+"""
+
+
+@query(_URL_SQL)
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from minim.llm.url_filter import RULE, url_verdicts
+
+    found = url_verdicts(table(spark, sf_dir, "pages"), spark.createDataFrame(url_rules(), RULE))
+    return found.select("page_id", "host", "path", F.when(F.col("tier") == 1, F.col("rule")).alias("rule"), "pattern", "verdict")
+
+
+@query("""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 5
+""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from minim.llm.hard_negatives import mine_hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+@query(r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS p FROM documents),
+word AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM piece),
+gram AS (
+  SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, size
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM word, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size)),
+f AS (SELECT lang, phrase, size, count(*) AS f FROM gram GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+candidate AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS s FROM f WHERE size > 1 AND f >= 10),
+cut AS (
+  SELECT c.*, k, x.f AS l, y.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidate) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(s[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(s[k + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(s[1:2], ' '), array_to_string(s[2:3], ' ')]) AS phrase FROM candidate WHERE size = 3) GROUP BY ALL)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n, score
+FROM cut LEFT JOIN longer USING (lang, phrase) JOIN total USING (lang) WHERE longer IS NULL OR 100 * longer < 50 * a
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from minim.llm.collocations import top_collocations
+
+    return top_collocations(table(spark, sf_dir, "documents"), least=10, share=50, top=2000)

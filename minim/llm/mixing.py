@@ -9,8 +9,8 @@ A leaf passes its documents as often as its budget allows. Each epoch has its ow
 document if need be. Only group sums and one slice of each leaf are shuffled; a leaf of any size is spread over slices.
 
 Defined results: a null text counts no tokens and a null group value is the group ''; documents without tokens take a part of 0;
-rows with the same doc_id in a leaf share a place in the order, and at the cut each takes at most what is left; a null doc_id is ordered
-as the empty id; a weight of 0 excludes a group; an empty table gives an empty mix. Other columns are kept aside by `mix` and kept by `select_mix`.
+rows with the same doc_id in a leaf share a place in the order, as do those without one; where the cut falls among them, a number under which they are
+written tells them apart, so that no budget is passed; a weight of 0 excludes a group; an empty table gives an empty mix. Other columns are kept aside by `mix` and kept by `select_mix`.
 """
 
 from __future__ import annotations
@@ -100,26 +100,42 @@ def divide(leaves: DataFrame, budget: Column, path: Sequence[str], weights: Mapp
     return tree.select(*path, "available").join(shares.withColumnRenamed("_budget", "budget"), path)
 
 
-def _leaf_prefixes(rows: DataFrame, leaves: DataFrame, path: Sequence[str], seed: int) -> DataFrame:
-    """Adds `epochs, cut, cut_tokens` to `leaves`: whole passes, and the last place of the part pass with its tokens."""
+def _crossing(ordered: DataFrame, path: Sequence[str], key: str, digits: int) -> DataFrame:
+    """Per leaf of `path..., key (hex), n_tokens, _rest`: the key at which the running sum of tokens reaches `_rest`, as `(path..., key, _left, _rows)`.
+
+    `_left` is what the rows of that key may still take, and `_rows` how many they are.
+    """
     path = list(path)
-    digits = bucket_digits(rows.count(), ROWS_PER_SLICE)
-    leaves = leaves.withColumn("epochs", F.expr("coalesce(budget div nullif(available, 0), 0)"))
-    leaves = leaves.withColumn("_rest", F.col("budget") - F.col("epochs") * F.col("available"))
-    ordered = _join_leaves(rows, leaves.where("_rest > 0").select(*path, "epochs", "_rest"), path, "inner")
-    ordered = ordered.withColumn("_place", place(seed)).withColumn("_slice", key_bucket(F.col("_place"), digits))
+    ordered = ordered.withColumn("_slice", key_bucket(F.col(key), digits))
     slices = ordered.groupBy(*path, "_slice", "_rest").agg(F.sum("n_tokens").alias("_tokens"))
     # At most 16**digits rows per leaf.
     upto = F.sum("_tokens").over(Window.partitionBy(*path).orderBy("_slice"))
     crossing = (slices.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_tokens"))
                 .where("_before < _rest and _upto >= _rest").select(*path, "_slice", "_before"))
     inside = _join_leaves(ordered, crossing, [*path, "_slice"], "inner")
-    places = inside.groupBy(*path, "_slice", "_rest", "_before", "_place").agg(F.sum("n_tokens").alias("_tokens"))
-    upto = F.col("_before") + F.sum("_tokens").over(Window.partitionBy(*path, "_slice").orderBy("_place"))
-    cut = (places.withColumn("_upto", upto).withColumn("_start", F.col("_upto") - F.col("_tokens"))
-           .where("_start < _rest and _upto >= _rest")
-           .select(*path, F.col("_place").alias("cut"), (F.col("_rest") - F.col("_start")).alias("cut_tokens")))
-    return leaves.join(cut, path, "left").select(*path, "available", "budget", "epochs", "cut", "cut_tokens")
+    places = inside.groupBy(*path, "_slice", "_rest", "_before", key).agg(F.sum("n_tokens").alias("_tokens"), F.count(F.lit(1)).alias("_rows"))
+    upto = F.col("_before") + F.sum("_tokens").over(Window.partitionBy(*path, "_slice").orderBy(key))
+    return (places.withColumn("_upto", upto).withColumn("_start", F.col("_upto") - F.col("_tokens"))
+            .where("_start < _rest and _upto >= _rest").select(*path, key, (F.col("_rest") - F.col("_start")).alias("_left"), "_rows"))
+
+
+def _leaf_prefixes(rows: DataFrame, leaves: DataFrame, path: Sequence[str], seed: int, scratch: Scratch) -> DataFrame:
+    """Adds `epochs, cut, cut_tokens, tie, tie_tokens` to `leaves`: whole passes, the last place of the part pass with its tokens, and the
+    same among the rows of that place where they are several."""
+    path = list(path)
+    digits = bucket_digits(rows.count(), ROWS_PER_SLICE)
+    leaves = leaves.withColumn("epochs", F.expr("coalesce(budget div nullif(available, 0), 0)"))
+    leaves = leaves.withColumn("_rest", F.col("budget") - F.col("epochs") * F.col("available"))
+    ordered = _join_leaves(rows, leaves.where("_rest > 0").select(*path, "epochs", "_rest"), path, "inner").withColumn("_place", place(seed))
+    cut = scratch.save(_crossing(ordered, path, "_place", digits).select(*path, F.col("_place").alias("cut"), F.col("_left").alias("cut_tokens"), "_rows"))
+    shared = cut.where("_rows > 1").select(*path, "cut", F.col("cut_tokens").alias("_rest"))
+    out = [F.lit(None).cast("string").alias("tie"), F.lit(None).cast("bigint").alias("tie_tokens")]
+    made = leaves.join(cut.drop("_rows"), path, "left")
+    if not shared.isEmpty():
+        among = _join_leaves(ordered.drop("_rest"), shared, path, "inner").where(F.col("_place") == F.col("cut"))
+        ties = _crossing(among, path, "_tie", digits).select(*path, F.col("_tie").alias("tie"), F.col("_left").alias("tie_tokens"))
+        made, out = made.join(ties, path, "left"), ["tie", "tie_tokens"]
+    return made.select(*path, "available", "budget", "epochs", "cut", "cut_tokens", *out)
 
 
 def _join_leaves(rows: DataFrame, leaves: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -137,22 +153,31 @@ def budgets(
     rows: DataFrame, path: Sequence[str] = PATH, weights: Mapping[str, Mapping[str, int]] | None = None, share: tuple[int, int] = (1, 2),
     max_epochs: int = 3, seed: int = SEED,
 ) -> DataFrame:
-    """The leaves with `available, budget, epochs, cut, cut_tokens`, for `rows` of `path..., doc_id, n_tokens`.
+    """The leaves with `available, budget, epochs, cut, cut_tokens, tie, tie_tokens`, for `rows` of `path..., doc_id, n_tokens`
+    and, if they were written with it, `_tie` (`tie_key`).
 
     The budget of the whole mix is `share` (a fraction) of all tokens.
     """
     scratch = Scratch(rows.sparkSession, "mix")
+    if "_tie" not in rows.columns:
+        rows = scratch.save(rows.withColumn("_tie", tie_key()))
     leaves = scratch.save(rows.groupBy(*path).agg(F.sum("n_tokens").alias("available")))
     total = leaves.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("t")).first()["t"]
     shared = scratch.save(divide(leaves, F.lit(total * share[0] // share[1]), path, weights or {}, max_epochs))
-    return scratch.save(_leaf_prefixes(rows, shared, path, seed))
+    return scratch.save(_leaf_prefixes(rows, shared, path, seed, scratch))
+
+
+def tie_key() -> Column:
+    """A number for each row, as a uniform hex key; the rows must be written with it, as it is another one when they are made again."""
+    return F.md5(F.monotonically_increasing_id().cast("string"))
 
 
 def _taken(seed: int) -> Column:
     """Tokens that a row gives to the part pass."""
     at = place(seed)
-    return (F.when(at < F.col("cut"), F.col("n_tokens")).when(at == F.col("cut"), F.least("n_tokens", "cut_tokens"))
-            .otherwise(F.lit(0)).cast("bigint"))
+    among = (F.when(F.col("tie").isNull(), F.least("n_tokens", "cut_tokens")).when(F.col("_tie") < F.col("tie"), F.col("n_tokens"))
+             .when(F.col("_tie") == F.col("tie"), F.least("n_tokens", "tie_tokens")).otherwise(F.lit(0)))
+    return F.when(at < F.col("cut"), F.col("n_tokens")).when(at == F.col("cut"), among).otherwise(F.lit(0)).cast("bigint")
 
 
 def mix(
@@ -161,7 +186,7 @@ def mix(
 ) -> DataFrame:
     """What the mix takes of every document: `doc_id, path..., n_tokens, epochs, prefix_tokens, total_tokens`."""
     rows = Scratch(documents.sparkSession, "mix-rows").save(
-        grouped(documents, path).select("doc_id", *path, n_words().alias("n_tokens")))
+        grouped(documents, path).select("doc_id", *path, n_words().alias("n_tokens"), tie_key().alias("_tie")))
     leaves = budgets(rows, path, weights, share, max_epochs, seed)
     out = _join_leaves(rows, leaves, path, "left").withColumn("prefix_tokens", _taken(seed))
     return out.select("doc_id", *path, "n_tokens", "epochs", "prefix_tokens",
@@ -173,14 +198,23 @@ def select_mix(
     seed: int = SEED,
 ) -> DataFrame:
     """The rows of `documents` in a mix of at most one epoch, whole: a document cut by its leaf's budget stays."""
-    names = documents.columns
     own = {c: f"_mix_{c}" for c in path}
-    renamed = grouped(documents, path).select(*[F.col(c).alias(own[c]) for c in path], "doc_id", n_words().alias("n_tokens"))
-    rows = Scratch(documents.sparkSession, "mix-rows").save(renamed)
+    scratch = Scratch(documents.sparkSession, "mix-rows")
+    # The input travels as one struct, so none of its names can clash.
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_mix_row")
+    rest = {c: F.col(f"`{c}`").alias(c) for c in dict.fromkeys(["doc_id", "text", *path]) if c in documents.columns}
+    named = documents.select(whole, *rest.values(), *(["source"] if "source" in documents.columns and "source" not in rest else []))
+    tagged = grouped(named, path).select("doc_id", "_mix_row", *[F.col(c).alias(own[c]) for c in path], n_words().alias("n_tokens"))
+    columns = ["doc_id", *own.values(), "n_tokens"]
     weights = {own[c]: w for c, w in (weights or {}).items()}
+    rows = scratch.save(tagged.select(*columns, tie_key().alias("_tie")))
     leaves = budgets(rows, list(own.values()), weights, share, 1, seed)
-    tagged = documents.withColumn("_mix_row", F.struct(*[F.col(c) for c in names]))
-    tagged = grouped(tagged, path).select("doc_id", "_mix_row", *[F.col(c).alias(own[c]) for c in path])
     at = place(seed)
-    chosen = _join_leaves(tagged, leaves, list(own.values()), "inner").where((F.col("epochs") > 0) | (at <= F.col("cut")))
+    taken = (at < F.col("cut")) | ((at == F.col("cut")) & F.col("tie").isNull())
+    if not leaves.where("tie IS NOT NULL").isEmpty():
+        # Rows that share a place at a cut: they are told apart by a number, with which all rows are written once more.
+        tagged = scratch.save(tagged.withColumn("_tie", tie_key()))
+        leaves = budgets(tagged.select(*columns, "_tie"), list(own.values()), weights, share, 1, seed)
+        taken = taken | ((at == F.col("cut")) & (F.col("_tie") <= F.col("tie")))
+    chosen = _join_leaves(tagged, leaves, list(own.values()), "inner").where((F.col("epochs") > 0) | taken)
     return chosen.select("_mix_row.*")

@@ -31,7 +31,7 @@ from minim.llm.graph import components
 from minim.llm.texts import as_bytes, byte_lists, mix, shingle_sets, small_batches
 from minim.session import Scratch
 
-# Counters of the n-gram counts: 4 bytes each in a task, 1 byte each where they are used, at any corpus size.
+# Counters of the n-gram counts: 8 bytes each in a task, 1 byte each where they are used, at any corpus size.
 COUNTER_BITS = 22
 _BLOCK = 1 << 14
 _SHARE = 16
@@ -323,13 +323,21 @@ def ngram_components(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  #
 
 
 def keep_first(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008
-    """The rows of `documents` that are the smallest doc_id of their component; of rows equal in doc_id and text one stays, a null doc_id stays."""
+    """The rows of `documents` that are the smallest doc_id of their component; of rows equal in doc_id and text one stays, a null doc_id stays.
+
+    Of rows that differ in other columns only, the one with the smallest hash of all columns stays.
+    """
     scratch = Scratch(documents.sparkSession, "ngram-keep")
     members, _, found = ngram_classes(documents, rule)
     gone = members.join(found, "node", "left").where(F.coalesce("component", "node", "doc_id") != F.col("doc_id"))
     gone = scratch.save(gone.select(F.col("doc_id").alias("_gone")).distinct())
-    kept = documents.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    # The input travels as one struct, so none of its names can clash.
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_doc"))
+    kept = rows.join(gone, F.col("_doc.doc_id").cast("bigint") == F.col("_gone"), "left_anti")
     if members.groupBy("doc_id", "k1", "k2", "n").count().where("count > 1").isEmpty():
-        return kept
-    place = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(0)))
-    return kept.withColumn("_place", place).where(F.col("doc_id").isNull() | (F.col("_place") == 1)).select(*documents.columns)
+        return kept.select("_doc.*")
+    # Each task keeps one row per text, so that a row that is repeated often moves once from each.
+    named = kept.where("_doc.doc_id IS NOT NULL").select(F.col("_doc.doc_id").alias("_id"), F.md5(F.coalesce("_doc.text", F.lit("")).cast("binary")).alias("_text"),
+                                                         F.col("_doc.text").isNull().alias("_null"), "_doc", F.xxhash64("_doc").alias("_order"))
+    first = named.groupBy("_id", "_text", "_null").agg(F.min_by("_doc", "_order").alias("_doc"))
+    return first.select("_doc").unionByName(kept.where("_doc.doc_id IS NULL")).select("_doc.*")

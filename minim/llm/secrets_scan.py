@@ -1,7 +1,7 @@
 """Operator 10: secrets by fixed patterns, and by a battery of randomness tests under false-discovery control.
 
-Base spans are the matches of three patterns. Every other run of at least CANDIDATE letters, digits and + / _ = - is a
-candidate. Its encoding is the smallest alphabet that holds all its symbols, and three tests compare it with ordinary strings of
+Base spans are the matches of three patterns. Every run of at least CANDIDATE letters, digits and + / _ = - outside them is a
+candidate, also what base spans leave of a longer run. Its encoding is the smallest alphabet that holds all its symbols, and three tests compare it with ordinary strings of
 that alphabet, whose symbol frequencies and class changes are counted over all texts of the corpus:
 
 - uniformity: the chi-squared statistic of the symbol counts, as the number of equal pairs; ordinary strings repeat symbols more often;
@@ -80,9 +80,26 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
 
 
 def candidate_spans(text: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of encoding symbols outside the base spans, in bytes."""
-    found = [m.span() for m in _RUN.finditer(text)]
-    return [(s, e) for s, e in found if not any(a < e and s < b for a, _, b in base)] if base else found
+    """Runs of encoding symbols, in bytes; what base spans leave of a run counts where it is long enough. One walk over both sorted lists."""
+    taken: list[list[int]] = []
+    for start, _, end in base:
+        if taken and start <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
+    out, i = [], 0
+    for start, end in (m.span() for m in _RUN.finditer(text)):
+        while i < len(taken) and taken[i][1] <= start:
+            i += 1
+        at, j = start, i
+        while j < len(taken) and taken[j][0] < end:
+            if taken[j][0] - at >= CANDIDATE:
+                out.append((at, taken[j][0]))
+            at = max(at, taken[j][1])
+            j += 1
+        if end - at >= CANDIDATE:
+            out.append((at, end))
+    return out
 
 
 def _marks(text: bytes, offsets: list[int]) -> dict[int, int]:

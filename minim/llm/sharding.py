@@ -9,11 +9,15 @@ Law `rows`: shard sizes in documents differ by at most one. Linked documents nev
 edge, fill what is left by rank, so the law holds exactly whenever the rounds stop.
 
 Defined results: a null text is an empty one and empty texts are equal; a null doc_id is a document like others; repeated rows are
-equal texts, each with its own slot; an empty table gives an empty result; columns other than doc_id and text are not looked at.
+equal texts, each with its own slot (rows that share a doc_id are ordered by a number under which they are written); an empty table gives an empty result;
+columns other than doc_id and text are not looked at, whatever their names, but `place_documents` replaces `shard` and `slot`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +26,16 @@ from minim.operators.keyed import attach, rank_by_key, running_sums
 from minim.session import Scratch
 
 SHARDS = 40
-MAX_ROUNDS = 200
 ROWS_PER_SLICE = 10_000
 
 
-def text_nodes(documents: DataFrame, seed: int = 3) -> DataFrame:
-    """`doc_id, size, text_crc32, link, order`: one row per document; `link` is the same for equal texts."""
+def text_nodes(documents: DataFrame, extra: Sequence[str] = (), seed: int = 3) -> DataFrame:
+    """`doc_id, size, text_crc32, link, order, extra...`: one row per document; `link` is the same for equal texts."""
     text = F.coalesce("text", F.lit(""))
     return documents.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + 16).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("link"),
-        seeded_key(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order"))
+        seeded_key(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order"), *extra)
 
 
 def _per_shard(cells: DataFrame, n_shards: int) -> list[int]:
@@ -46,10 +49,14 @@ def _at(values: list[int], index: str):
     return F.element_at(F.array(*[F.lit(int(v)).cast("bigint") for v in values]), F.col(index).cast("int") + 1)
 
 
-def propagate(cells: DataFrame, capacity: list[int], scratch: Scratch, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Move `cells` (`link, shard, n`) towards their neighbours' shards; returns cells within `capacity`."""
+def propagate(cells: DataFrame, capacity: list[int], scratch: Scratch, max_rounds: int | None = None) -> DataFrame:
+    """Move `cells` (`link, shard, n`) towards their neighbours' shards; returns cells within `capacity`.
+
+    Every move takes documents to a shard with more of their link, or as many under a larger tie, so the sum of squared cells grows or
+    the ties do, and the rounds end by themselves; `max_rounds` ends them before that.
+    """
     n_shards = len(capacity)
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):
         held = _per_shard(cells, n_shards)
         room = [max(0, c - h) for c, h in zip(capacity, held, strict=True)]
         ranked = cells.withColumn("gain", F.struct("n", F.xxhash64("link", "shard").alias("tie"), "shard"))
@@ -77,11 +84,17 @@ def propagate(cells: DataFrame, capacity: list[int], scratch: Scratch, max_round
     return scratch.save(queued.select("link", "shard", kept.alias("n")).where("n > 0"))
 
 
-def balanced_shards(nodes: DataFrame, n_shards: int = SHARDS, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def balanced_shards(nodes: DataFrame, n_shards: int = SHARDS, max_rounds: int | None = None) -> DataFrame:
     """`nodes` (with `link` and `order`, a seeded hex key) plus `shard` and `slot` under the law `rows`."""
     scratch = Scratch(nodes.sparkSession, "shards")
     columns = nodes.columns
-    nodes = scratch.save(nodes)
+    nodes = scratch.save(nodes.withColumn("_row", F.monotonically_increasing_id()))
+    # One key per row: rows of one doc_id, or of none, would all lie in one slice.
+    repeated = scratch.save(nodes.groupBy("order").agg(F.count(F.lit(1)).alias("_same")).where("_same > 1"))
+    if not repeated.isEmpty():
+        order = F.when(F.col("_same").isNotNull(), F.md5(F.concat_ws(":", "order", "_row"))).otherwise(F.col("order"))
+        nodes = scratch.replace(nodes, attach(nodes, repeated, ["order"], "_same").withColumn("order", order))
+    nodes = nodes.select(*columns)
     total = nodes.count()
     digits = bucket_digits(total, ROWS_PER_SLICE)
     capacity = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
@@ -110,7 +123,7 @@ def balanced_shards(nodes: DataFrame, n_shards: int = SHARDS, max_rounds: int =
     everyone = placed.where("shard is not null").union(free.withColumn("shard", full).select(*columns, "shard"))
     # Free documents come to shards in the order of `order`; slots follow another key, so that no slice of a shard is larger than others.
     everyone = scratch.save(everyone.withColumn("_slot", F.md5("order")))
-    scratch.drop(nodes, marked, cells, placed)
+    scratch.drop(repeated, marked, cells, placed)
     return rank_by_key(everyone, ["shard"], "_slot", "slot", digits).drop("_slot")
 
 
@@ -124,22 +137,24 @@ def shard_documents(documents: DataFrame, n_shards: int = SHARDS) -> DataFrame:
 def place_documents(documents: DataFrame, n_shards: int = SHARDS) -> DataFrame:
     """`documents` with `shard` and `slot`, columns of these names being replaced; equal texts are linked.
 
-    Texts move once, in the join with their places. Rows equal in doc_id and text are told apart by a number, which costs a
-    second move and is done only where there are such rows.
+    Texts move once, in the join with their places. Rows equal in doc_id and text are told apart by a number; then the rows are written once more
+    with it, which is done only where there are such rows.
     """
     documents = documents.drop("shard", "slot")
     columns = documents.columns
-    keys = ["_id", "_link"]
-    texts = documents.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-                                   "_link": F.md5(F.coalesce("text", F.lit("")).cast("binary"))})
+    scratch = Scratch(documents.sparkSession, "places")
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc")
+    keys = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_link")]
+    # The input travels as one struct, so none of its names can clash.
+    texts = documents.select(row, *keys)
+    if not documents.select(*keys).groupBy("_id", "_link").count().where("count > 1").isEmpty():
+        texts = scratch.save(texts.withColumn("_copy", F.monotonically_increasing_id()))
+        nodes = text_nodes(texts.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), "_copy"), ["_copy"])
+        places = balanced_shards(nodes, n_shards).select("_copy", "shard", "slot")
+        return texts.join(places, "_copy").select("_doc.*", "shard", "slot")
     places = balanced_shards(text_nodes(documents), n_shards)
     places = places.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("link").alias("_link"), "shard", "slot")
-    places = Scratch(documents.sparkSession, "places").save(places)
-    if not places.groupBy(*keys).count().where("count > 1").isEmpty():
-        places = places.withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy("shard", "slot")))
-        texts = texts.withColumn("_copy", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
-        keys = [*keys, "_copy"]
-    return texts.join(places, keys).select(*columns, "shard", "slot")
+    return texts.join(scratch.save(places), ["_id", "_link"]).select("_doc.*", "shard", "slot")
 
 
 def edge_cut(placed: DataFrame) -> DataFrame:

@@ -81,3 +81,29 @@ def test_odd_inputs(spark, documents, empty):
     assert select_mix(documents, share=(1, 1)).where("text is not null and trim(text) <> ''").count() >= documents.count() - 12
     blank = documents.selectExpr("doc_id", "cast(null as string) as text", "lang", "source")
     assert {r["total_tokens"] for r in mix(blank).collect()} == {0}
+
+
+def test_repeated_and_null_ids_keep_budgets(spark):
+    """Rows of one doc_id or none, equal rows among them: sums stay those of the budgets, and whole rows pass them by one row at most."""
+    rows = [(None, "w " * 100, "s", "x", i) for i in range(50)] + [(7, "v " * 100, "t", "x", 1)] * 40 + [(i, "u " * (i % 9), "r", "x", i) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, cut long").repartition(3)
+    held = {"s": 5000, "t": 4000, "r": sum(i % 9 for i in range(100))}
+    for share in ((1, 2), (1, 3), (2, 3)):
+        budget = fill(sum(held.values()) * share[0] // share[1], held, dict.fromkeys(held, 1))
+        got = dict.fromkeys(held, 0)
+        for r in mix(docs, ("source",), share=share, max_epochs=1).collect():
+            got[r["source"]] += r["total_tokens"]
+        assert got == budget
+        kept = select_mix(docs, ("source",), share=share)
+        assert kept.schema == docs.schema
+        whole = dict.fromkeys(held, 0)
+        for r in kept.collect():
+            whole[r["source"]] += len(r["text"].split())
+        assert all(budget[s] <= whole[s] < budget[s] + 100 for s in held)
+
+
+def test_clashing_columns(spark):
+    names = "doc_id long, text string, lang string, source string, _mix_row long, epochs long, _tie long, _rest long, _place long, _slice long, budget long"
+    docs = spark.createDataFrame([(i, "a b c", "en", "src1", *range(7)) for i in range(20)], names)
+    kept = select_mix(docs)
+    assert kept.schema == docs.schema and all(tuple(r)[4:] == tuple(range(7)) for r in kept.collect())

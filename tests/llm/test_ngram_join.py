@@ -103,3 +103,11 @@ def test_odd_inputs(spark, documents, empty):
     nameless = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert [tuple(r) for r in ngram_components(nameless).collect()] == [(1, 2, 1)]
     assert keep_first(nameless).count() == 3
+
+
+def test_keep_first_keeps_columns_and_one_of_equal_rows(spark):
+    rows = [(1, "a b c d e f", i, i, i) for i in range(30)] + [(2, "A b c d e f", 7, 7, 7), (None, "a b c d e f", 8, 8, 8), (None, None, 9, 9, 9), (3, None, 1, 1, 1), (3, "", 2, 2, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _place long, _gone long, _doc long").repartition(3)
+    first = [sorted(map(tuple, keep_first(d).collect()), key=repr) for d in (docs, docs.repartition(5))]
+    assert first[0] == first[1] and len(first[0]) == 5 and all(len(set(r[2:])) == 1 for r in first[0])
+    assert sorted(r[0] for r in first[0] if r[0]) == [1, 3, 3]

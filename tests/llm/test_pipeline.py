@@ -15,10 +15,10 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_numbers_are_registered():
     names = entry.queries()
-    assert sorted({int(n[2:].split("_")[0]) for n in names if n.startswith("op")}) == list(range(1, 11)) and "pipeline" in names
+    assert sorted({int(n[2:].split("_")[0]) for n in names if n.startswith("op")}) == list(range(1, 14)) and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op4_line_dedup", "op5_warc", "op6_mixing", "op9_ngram_jaccard"])
+@pytest.mark.parametrize("name", ["op4_line_dedup", "op5_warc", "op6_mixing", "op9_ngram_jaccard", "op11_hard_negatives", "op12_collocations", "op13_url_filters"])
 def test_agrees_with_sql(spark, name):
     assert compare(spark, connect(SF), name, entry.queries()[name], entry.oracle_sql()[name], SF) is None
 

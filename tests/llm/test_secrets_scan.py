@@ -4,8 +4,9 @@ import hashlib
 import random
 import re
 import string
+import time
 
-from minim.llm.secrets_scan import KINDS, secret_scan
+from minim.llm.secrets_scan import KINDS, base_spans, candidate_spans, secret_scan
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 
@@ -78,3 +79,39 @@ def test_short_strings(spark):
         if out[i]["n_random"]:
             kind, start, end = out[i]["spans"].split(":")
             assert kind == "random" and text[int(start):int(end)] == text.split()[2]
+
+
+def test_what_base_spans_leave_of_a_run():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["ab12" * rng.randrange(1, 8), "Zq8Lk2Vw9Xr4Tn7Y", "/", " ", "token=", "AKIAABCDEFGHIJKLMN", "_", "é"]) for _ in range(rng.randrange(1, 20))).encode()
+        base = base_spans(text)
+        taken = {i for s, _, e in base for i in range(s, e)}
+        want = []
+        for m in re.finditer(rb"[A-Za-z0-9+/_=-]{12,}", text):
+            at = m.start()
+            for i in range(m.start(), m.end() + 1):
+                if i == m.end() or i in taken:
+                    if i - at >= 12:
+                        want.append((at, i))
+                    at = i + 1
+        assert candidate_spans(text, base) == want
+
+
+def test_random_strings_beside_hashes_are_found(spark):
+    """Behind a hex part and a slash they are found as often as alone."""
+    rng = random.Random(12)
+    secrets = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(30)) for _ in range(50)]
+    prose = " ".join(rng.choice("the of and river stone garden market winter signal".split()) for _ in range(3000))
+    rows = [(0, prose)] + [(1 + i, f"see {s} there") for i, s in enumerate(secrets)] + [(100 + i, f"see deadbeef{'0123456789abcdef' * 2}/{s} there") for i, s in enumerate(secrets)]
+    out = {r["doc_id"]: r["n_random"] for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alone, beside = (sum(out[k + i] > 0 for i in range(50)) for k in (1, 100))
+    assert alone >= 45 and beside >= alone - 5
+
+
+def test_a_text_of_many_hashes_takes_linear_time():
+    text = b" ".join(b"%032x" % (i * 0x9E3779B97F4A7C15F39CC0605CEDC835 % 2**128) for i in range(150_000))
+    started = time.time()
+    base = base_spans(text)
+    assert len(text) > 4_900_000 and len(base) > 149_000 and len(candidate_spans(text, base)) < 1000
+    assert time.time() - started < 20

@@ -49,3 +49,21 @@ def test_odd_inputs(spark, documents, empty):
     check(placed.collect(), 5)
     nameless = documents.selectExpr("cast(null as long) as doc_id", "text")
     check(place_documents(nameless, 5).collect(), 5)
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    """Copies that differ in other columns stay each with their own values, under names that the operator uses itself."""
+    rows = [(i % 40 if i % 3 else None, f"text {i % 4}", i, i, i, i, i, i) for i in range(300)]
+    names = "doc_id long, text string, _id long, _link long, _copy long, _doc long, _row long, order long"
+    placed = place_documents(spark.createDataFrame(rows, names).repartition(4), 7)
+    assert placed.columns == [*(c.split()[0] for c in names.split(", ")), "shard", "slot"]
+    out = placed.collect()
+    check(out, 7)
+    assert sorted((tuple(r)[:8] for r in out), key=repr) == sorted(rows, key=repr)
+
+
+def test_a_third_of_the_rows_without_an_id(spark):
+    rows = [(None, f"t {i}") for i in range(400)] + [(i, f"u {i}") for i in range(800)]
+    out = shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 9).collect()
+    check(out, 9)
+    assert len(out) == 1200

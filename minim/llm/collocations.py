@@ -552,7 +552,10 @@ def counted_ranges(documents: DataFrame, least: int, scratch: Scratch) -> tuple[
     # FILTER_BITS / 8 bytes in all.
     likely = spark.sparkContext.broadcast(PairFilter({r["part"]: bytes(r["bits"]) for r in pieces.collect()}, size))
     ranges = max(partitions_of(texts), -(-total // RANGE_PATHS))
-    drawn = (sketch.where("part = -2").select("lang", "hashes", "counts").orderBy(F.xxhash64("lang", "hashes", "counts")).limit(BOUND_SAMPLE).collect())
+    drawn = sketch.where("part = -2").select("lang", "hashes", "counts", F.xxhash64("lang", "hashes", "counts").alias("at"))
+    # About BOUND_SAMPLE of all drawn pairs by their hashes, so that the tasks together send no more than that.
+    share = min(1.0, BOUND_SAMPLE / max(drawn.count(), 1))
+    drawn = drawn.where(F.pmod("at", F.lit(1 << 30)) < int(share * (1 << 30))).drop("at").distinct().limit(4 * BOUND_SAMPLE).collect()
     drawn = sorted({(r["lang"], bytes(r["hashes"]), bytes(r["counts"])) for r in drawn})
     # More ranges than drawn pairs would be empty ones.
     ranges = min(ranges, len(drawn) + 1)

@@ -18,7 +18,7 @@ from minim.operators import removal as D
 from minim.operators.analytics import k_grid
 from minim.operators.hierarchy import assign_leaves, generalize
 from minim.operators.keyed import attach
-from minim.operators.release import Snapshot, leaf_cells
+from minim.operators.release import Snapshot, leaf_cells, node_columns
 from minim.operators.sampling import stratified_split
 from minim.plans import minimize as S
 from minim.plans import removal_search as V
@@ -429,11 +429,49 @@ def minimize(spark, sf_dir):
     return spark.read.parquet(options.log_path)
 
 
+_REMOVALS: dict = {}
+
+
+def removed(spark, sf_dir):
+    """The whole loop with the operator's own options, run once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _REMOVALS:
+        train, val, _ = split(spark, sf_dir)
+        _REMOVALS[key] = V.removal_search(train, val, people_forest(), "label", V.RemovalOptions())
+    return _REMOVALS[key]
+
+
 @query("removal_search")
 def removal_search(spark, sf_dir):
-    train, val, _ = split(spark, sf_dir)
-    # The loop runs to its end with the operator's own options.
-    return V.removal_log(spark, V.removal_search(train, val, people_forest(), "label", V.RemovalOptions()))
+    return V.removal_log(spark, removed(spark, sf_dir))
+
+
+_SPLIT_SIZES = """sizes AS (SELECT n, t, floor(0.15::DOUBLE / 0.85::DOUBLE * (n - t) + 0.5) AS v FROM (
+  SELECT n, floor(0.15::DOUBLE * n + 0.5) AS t FROM (SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_orderstatus = 'F')))"""
+
+
+@query("removal_invariants", f"""WITH {_SPLIT_SIZES} SELECT CAST(sum(n - t - v) AS BIGINT) AS rows, 0 AS steps_without_progress, 0 AS losses_beyond_tolerance,
+  TRUE AS privacy_as_logged, TRUE AS end_is_named FROM sizes""")
+def removal_invariants(spark, sf_dir):
+    """Of the whole search: no row is lost, each step raises min-K or lowers the classes at it within the tolerance, and the last state is as logged."""
+    from pyspark.sql import Window
+    found = removed(spark, sf_dir)
+    log = V.removal_log(spark, found)
+    # One row per iteration.
+    last = Window.orderBy("iteration")
+    progress = F.struct("min_k", -F.col("min_k_class_count"))
+    steps = log.withColumn("_before", F.lag(progress).over(last)).agg(
+        F.count(F.when(F.col("_before") >= progress, 1)).cast("int").alias("steps_without_progress"),
+        F.count(F.when(F.col("validation_loss") > found["threshold"], 1)).cast("int").alias("losses_beyond_tolerance"),
+        F.max(F.struct("iteration", "min_k", "min_k_class_count", "active_rows")).alias("_last"),
+        F.max(F.col("termination").isin("max_iterations_reached", "no_feasible_candidate", "no_positive_privacy_progress_candidate")).alias("end_is_named"))
+    cells = found["cells"]
+    sizes = cells.where("active").groupBy(*node_columns(people_forest(), found["levels"])).agg(F.sum("n").alias("k"))
+    state = sizes.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.sum("k").alias("n")).agg(F.min(F.struct("k", "c")).alias("_least"), F.sum("n").alias("_active"))
+    logged = ((F.col("_last.min_k") == F.col("_least.k")) & (F.col("_last.min_k_class_count") == F.col("_least.c")) & (F.col("_last.active_rows") == F.col("_active")))
+    # One row each.
+    return cells.agg(F.sum("n").alias("rows")).crossJoin(steps).crossJoin(state).select(
+        "rows", "steps_without_progress", "losses_beyond_tolerance", F.coalesce(logged, F.lit(True)).alias("privacy_as_logged"), "end_is_named")
 
 
 TREE_K = 400
@@ -471,10 +509,6 @@ def diagnose_routing(spark, sf_dir):
     return H.diagnose_routing(val, tree)
 
 
-_SPLIT_SIZES = """sizes AS (SELECT n, t, floor(0.15::DOUBLE / 0.85::DOUBLE * (n - t) + 0.5) AS v FROM (
-  SELECT n, floor(0.15::DOUBLE * n + 0.5) AS t FROM (SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_orderstatus = 'F')))"""
-
-
 @query("tree_invariants", f"""WITH {_SPLIT_SIZES} SELECT variant, CAST(sum(n - t - v) AS BIGINT) AS rows, 0 AS small_leaves, 0 AS rows_outside, 0 AS unequal_parents
 FROM sizes, (SELECT unnest(['median', 'infogain']) AS variant) GROUP BY variant""")
 def tree_invariants(spark, sf_dir):

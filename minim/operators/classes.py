@@ -46,12 +46,17 @@ def per_record_k(df: DataFrame, qis: Sequence[str], size: str = "k") -> DataFram
     return attach(df, retention_classes(df, qis, size), qis, size)
 
 
-def k_distribution_from_histogram(histogram: DataFrame) -> DataFrame:
-    """One row: min-K, p1..p5 (linear), p95 (rank `(95 n + 99) / 100`), class counts."""
-    upto = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def k_distribution_from_histogram(histogram: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Min-K, p1..p5 (linear), p95 (rank `(95 n + 99) / 100`), class counts: one row, or one for each value of `by`.
+
+    With `by` there is `risk_k` as well, the size at the 1% smallest classes: -ln of it is the P99 tail risk where every row is published.
+    """
+    by = list(by)
+    order = Window.partitionBy(*by).orderBy("k") if by else Window.orderBy("k")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     table = histogram.where((F.col("k") > 0) & (F.col("class_count") > 0)).select(
-        "k", "class_count",
+        *by, "k", "class_count",
         F.sum(F.col("k") * F.col("class_count")).over(upto).alias("upto"),
         F.sum(F.col("k") * F.col("class_count")).over(whole).alias("total"))
 
@@ -70,7 +75,9 @@ def k_distribution_from_histogram(histogram: DataFrame) -> DataFrame:
         F.min_by("class_count", "k").alias("min_k_class_count"),
         F.coalesce(F.max("total"), F.lit(0)).alias("record_count"),
     ]
-    one = table.agg(*aggs)
+    if by:
+        aggs.append(at_position(F.col("total") - F.ceil(F.lit(0.99) * F.col("total"))).alias("risk_k"))
+    one = table.groupBy(*by).agg(*aggs) if by else table.agg(*aggs)
     out = [F.coalesce("leak_k", F.lit(0)).cast("bigint").alias("leak_k")]
     for p in LOW_PERCENTILES:
         location = (F.col("record_count") - 1) * F.lit(p / 100.0)
@@ -78,7 +85,7 @@ def k_distribution_from_histogram(histogram: DataFrame) -> DataFrame:
         value = F.col(f"_lo{p}") + part * (F.col(f"_hi{p}") - F.col(f"_lo{p}"))
         out.append(F.coalesce(value.cast("double"), F.lit(0.0)).alias(f"leak_k_p{p}"))
     return one.select(
-        *out, F.col("leak_k_95_percentile").cast("bigint").alias("leak_k_95_percentile"),
+        *by, *(["risk_k"] if by else []), *out, F.col("leak_k_95_percentile").cast("bigint").alias("leak_k_95_percentile"),
         "class_count", F.coalesce("min_k_class_count", F.lit(0)).alias("min_k_class_count"),
         "record_count")
 

@@ -5,12 +5,15 @@ passes follow the depth of the tree. Node ids are paths: `r`, then `/L`, `/R`, `
 branches and `/<child position>` or `/M` for categorical ones; the synthetic root above `r` is the
 empty path. The fitted tree is a node table, so routing joins on paths and nothing row-sized or
 node-sized reaches the driver.
+
+Several trees over the same rows grow together (`fit_trees`): the paths of tree i begin with `i:`, so all of them are cut, routed and
+summed up in the passes of the deepest one. A single tree (`fit_mondrian`) has no prefix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,7 +37,8 @@ _STEP = "\u0002"
 class FittedMondrian:
     """`nodes`: one row per node (path, depth, size, kind, split, region per QI).
 
-    `cells`: fitted cells with their leaf node's path. `values`: the QI columns of a cell.
+    `cells`: fitted cells with their leaf node's path and the rows of each of `classes`, in columns `c0, c1, ...`. `values`: the QI columns of
+    a cell. `k` and `variant` are those of the first of `trees`, which names each tree's variant and k by its prefix.
     """
 
     nodes: DataFrame
@@ -42,12 +46,35 @@ class FittedMondrian:
     forest: Forest
     k: int
     variant: str
+    classes: tuple = ()
+    trees: Mapping[str, tuple[str, int]] = field(default_factory=lambda: {TOP: ()})
 
     @property
     def values(self) -> list[str]:
         return [value_name(a) for a in self.forest]
 
 
+def tree_of(path: Column) -> Column:
+    """The prefix of a path's tree, which is the path of the tree's synthetic root; empty for a single tree."""
+    return F.substring_index(path, FIRST, 1)
+
+
+def _is_top(path: Column) -> Column:
+    return ~path.contains(FIRST)
+
+
+def _by_tree(path: Column, values: Mapping[str, object]) -> Column:
+    """One value per tree."""
+    if len(values) == 1:
+        return F.lit(next(iter(values.values())))
+    return F.get(F.array(*[F.lit(v) for v in values.values()]), F.substring_index(path, ":", 1).cast("int"))
+
+
+def _each_tree(trees: Mapping[str, object]) -> Column:
+    """The prefixes, one row each."""
+    return F.explode(F.array(*[F.lit(p) for p in trees]))
+
+
 def value_name(attr: str) -> str:
     return f"{attr}__value"
 
@@ -107,16 +134,29 @@ def fit_mondrian(
     df: DataFrame, forest: Forest, label: str, k: int, variant: str = MEDIAN, check: bool = True,
     scratch: Scratch | None = None, max_passes: int = 10_000,
 ) -> FittedMondrian:
-    """Fit a median or information-gain tree; every leaf holds at least k rows.
+    """Fit a median or information-gain tree; every leaf holds at least k rows (see `fit_trees`)."""
+    return fit_trees(df, forest, label, {TOP: (variant, k)}, check, scratch, max_passes)
+
+
+def numbered_trees(points: Sequence[tuple[str, int]]) -> dict[str, tuple[str, int]]:
+    """Prefixes for several `(variant, k)`."""
+    return {f"{i}:": (v, int(k)) for i, (v, k) in enumerate(points)}
+
+
+def fit_trees(
+    df: DataFrame, forest: Forest, label: str, trees: Mapping[str, tuple[str, int]], check: bool = True,
+    scratch: Scratch | None = None, max_passes: int = 10_000,
+) -> FittedMondrian:
+    """Fit a tree for each `prefix: (variant, k)`, all in the same passes over the cells.
 
     A categorical cut replaces a node by its children (every occupied child, and the missing
     branch, needs k rows); a single occupied child is descended into before anything else. A
     numeric cut needs k rows on both sides and none or at least k missing. Information gain is in
     bits; without a gain above 1e-12 the median rule decides.
     """
-    if variant not in (MEDIAN, INFOGAIN):
+    if not trees or any(v not in (MEDIAN, INFOGAIN) for v, _ in trees.values()):
         raise ValueError("variant is median or infogain")
-    if k < 1:
+    if any(k < 1 for _, k in trees.values()):
         raise ValueError("k must be positive")
     scratch = scratch or Scratch(df.sparkSession, "tree")
     attrs = list(forest)
@@ -129,24 +169,25 @@ def fit_mondrian(
     cells = rows.groupBy(*values).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(F.when(F.col(label) == F.lit(c), 1).otherwise(0)).alias(name) for c, name in zip(classes, counts)])
-    state = scratch.save(cells.select(
-        *values, "n", *counts, F.lit(FIRST).alias("path"),
+    cells = scratch.save(cells)
+    total = cells.agg(F.sum("n").alias("n")).first()["n"]
+    if not total or total < max(k for _, k in trees.values()):
+        raise ValueError("the training rows must number at least k")
+    state = scratch.save(cells.select(*values, "n", *counts, _each_tree(trees).alias("_tree")).select(
+        *values, "n", *counts, F.concat("_tree", F.lit(FIRST)).alias("path"),
         # Depth of the current hierarchy node per categorical QI; -1 once the missing branch is taken.
         *[F.lit(0).alias(f"{a}__depth") for a in categorical_attrs(forest)],
         *[F.lit(True).alias(f"{a}__open") for a in categorical_attrs(forest)]))
-    total = state.agg(F.sum("n").alias("n")).first()["n"]
-    if not total or total < k:
-        raise ValueError("the training rows must number at least k")
     carried = state.columns
     # Distinct values of the widest QI, bounded from above by a sketch; its error is far below the doubling.
-    sketches = state.agg(*[F.approx_count_distinct(v).alias(v) for v in values]).first()
+    sketches = cells.agg(*[F.approx_count_distinct(v).alias(v) for v in values]).first()
     widest = 2 * max(sketches)
     all_cuts, fitted_cells = [], []
     for _ in range(max_passes):
-        cuts = scratch.save(_best_cuts(state, forest, counts, k, variant, widest, scratch))
+        cuts = scratch.save(_best_cuts(state, forest, counts, trees, widest, scratch))
         entries = cuts.count()
         if entries == 0:
-            fitted_cells.append(state.select(*values, "n", "path"))
+            fitted_cells.append(state.select(*values, "n", *counts, "path"))
             break
         all_cuts.append(cuts)
         marked = attach_small(state, cuts, ["path"], "rows", entries)
@@ -159,17 +200,18 @@ def fit_mondrian(
             moves[f"{a}__open"] = F.col(f"{a}__open") & ~gone
         split = scratch.save(marked.withColumn("_more", F.col("attr").isNotNull()).withColumns(moves)
                              .select(*carried, "_more"), partition_by=("_more",))
-        fitted_cells.append(split.where(~F.col("_more")).select(*values, "n", "path"))
+        fitted_cells.append(split.where(~F.col("_more")).select(*values, "n", *counts, "path"))
         state = split.where(F.col("_more")).select(*carried)
     else:
         raise RuntimeError("too many passes")
     cells = scratch.save(reduce(DataFrame.unionByName, fitted_cells))
-    nodes = scratch.save(_node_table(cells, all_cuts, forest, total))
-    return FittedMondrian(nodes, cells, forest, k, variant)
+    nodes = scratch.save(_node_table(cells, all_cuts, forest, total, trees))
+    variant, k = next(iter(trees.values()))
+    return FittedMondrian(nodes, cells, forest, k, variant, tuple(classes), dict(trees))
 
 
-def _node_table(cells: DataFrame, all_cuts: Sequence[DataFrame], forest: Forest, total: int) -> DataFrame:
-    """Every node with its split and published region, from the leaves upward in one aggregation.
+def _node_table(cells: DataFrame, all_cuts: Sequence[DataFrame], forest: Forest, total: int, trees: Mapping[str, tuple[str, int]]) -> DataFrame:
+    """Every node with its split and published region, from the leaves upward: cells are summed per leaf first, and leaves meet their ancestors.
 
     A numeric region is the observed range and whether a value is missing. A categorical one is the
     node the last split on that QI led to; at the root it takes missing values along, below it
@@ -177,12 +219,14 @@ def _node_table(cells: DataFrame, all_cuts: Sequence[DataFrame], forest: Forest,
     """
     spark = cells.sparkSession
     attrs = list(forest)
-    above = cells.withColumn("path", F.explode(F.slice(_ancestors(F.col("path")), 2, 1_000_000)))
-    aggs = [F.sum("n").alias("size")]
+    first, again = [F.sum("n").alias("size")], [F.sum("size").alias("size")]
     for a in numeric_attrs(forest):
         v = F.col(value_name(a))
-        aggs += [F.min(v).alias(f"{a}__lo"), F.max(v).alias(f"{a}__hi"), F.max(v.isNull()).alias(f"{a}__missing")]
-    seen = above.groupBy("path").agg(*aggs)
+        for name, agg, column in ((f"{a}__lo", F.min, v), (f"{a}__hi", F.max, v), (f"{a}__missing", F.max, v.isNull())):
+            first.append(agg(column).alias(name))
+            again.append(agg(name).alias(name))
+    above = cells.groupBy("path").agg(*first).withColumn("path", F.explode(F.slice(_ancestors(F.col("path")), 2, 1_000_000)))
+    seen = above.groupBy("path").agg(*again)
     empty = spark.createDataFrame([], "path string, rows bigint, attr int, kind string, threshold double, gain double")
     cuts = reduce(DataFrame.unionByName, all_cuts, empty)
     # (node, ancestor, branch taken at the ancestor) -> the last branch per categorical QI.
@@ -207,10 +251,10 @@ def _node_table(cells: DataFrame, all_cuts: Sequence[DataFrame], forest: Forest,
             f"{a}__missing": branch.isNull() | (branch == MISSING_BRANCH)})
     named = named.select("path", "size", F.coalesce("kind", F.lit("leaf")).alias("kind"), "attr", "threshold", "gain", *region_columns(forest))
     top = spark.range(1).select(
-        F.lit(TOP).alias("path"), F.lit(total).cast("bigint").alias("size"), F.lit("root").alias("kind"),
+        _each_tree(trees).alias("path"), F.lit(total).cast("bigint").alias("size"), F.lit("root").alias("kind"),
         F.lit(None).cast("int").alias("attr"), F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("double").alias("gain"),
         *[c for a, t in forest.items() for c in root_region(t, a)])
-    return named.unionByName(top).withColumn("depth", F.when(F.col("path") == TOP, 0).otherwise(F.size(F.split("path", "/"))))
+    return named.unionByName(top).withColumn("depth", F.when(_is_top(F.col("path")), 0).otherwise(F.size(F.split("path", "/"))))
 
 
 def _split_sums(histogram: DataFrame, names: Sequence[str], lost: Column, entries_per_group: int) -> DataFrame:
@@ -227,7 +271,7 @@ def _split_sums(histogram: DataFrame, names: Sequence[str], lost: Column, entrie
 
 
 def _best_cuts(
-    state: DataFrame, forest: Forest, counts: Sequence[str], k: int, variant: str, entries_per_group: int, scratch: Scratch,
+    state: DataFrame, forest: Forest, counts: Sequence[str], trees: Mapping[str, tuple[str, int]], entries_per_group: int, scratch: Scratch,
 ) -> DataFrame:
     """The chosen cut of every open node that has one: `(path, attr, kind, threshold, gain, rows)`.
 
@@ -269,6 +313,7 @@ def _best_cuts(
             *[F.sum(F.when(lost, F.col(c)).otherwise(0)).over(whole).alias(f"{c}_lost") for c in names])
     else:
         table = _split_sums(scratch.save(histogram), names, lost, entries_per_group)
+    k = _by_tree(F.col("path"), {p: size for p, (_, size) in trees.items()})
     # Numeric cuts: k rows on either side, none or at least k missing.
     present = F.col("n_total") - F.col("n_lost")
     legal = (is_numeric & ~lost & (F.col("n_upto") >= k) & (present - F.col("n_upto") >= k) & ((F.col("n_lost") == 0) | (F.col("n_lost") >= k)))
@@ -319,8 +364,8 @@ def _best_cuts(
         F.min_by(F.when(unary, pick_gain), F.when(unary, F.col("attr"))).alias("descend"),
         F.max_by(F.when(informative, pick_gain), F.when(informative, F.struct("gain", "width", -F.col("attr")))).alias("informed"),
         F.max_by(pick_median, F.struct("width", -F.col("attr"))).alias("median"))
-    rule = [F.col("descend"), F.col("informed"), F.col("median")] if variant == INFOGAIN else [F.col("descend"), F.col("median")]
-    return chosen.withColumn("p", F.coalesce(*rule)).select(
+    by_gain = _by_tree(F.col("path"), {p: v == INFOGAIN for p, (v, _) in trees.items()})
+    return chosen.withColumn("p", F.coalesce("descend", F.when(by_gain, F.col("informed")), "median")).select(
         "path", "rows", F.col("p.attr").alias("attr"), F.col("p.kind").alias("kind"), F.col("p.threshold").alias("threshold"), F.col("p.gain").alias("gain"))
 
 
@@ -355,7 +400,7 @@ def node_regions(fitted: FittedMondrian) -> DataFrame:
 def mondrian_rows(df: DataFrame, fitted: FittedMondrian) -> DataFrame:
     """Training rows with the path of their leaf."""
     rows = mondrian_values(df, fitted.forest, check=False)
-    return attach(rows, fitted.cells, fitted.values, "n").drop("n")
+    return attach(rows, fitted.cells.select(*fitted.values, "n", "path"), fitted.values, "n").drop("n")
 
 
 def published_k(fitted: FittedMondrian) -> DataFrame:
@@ -366,10 +411,11 @@ def published_k(fitted: FittedMondrian) -> DataFrame:
     return attach(leaves.select("path", *regions), sizes, regions, "k").select("path", "k")
 
 
-def published_histogram(fitted: FittedMondrian) -> DataFrame:
-    """`(k, class_count)` of the published regions."""
-    sizes = leaf_nodes(fitted).groupBy(*region_columns(fitted.forest)).agg(F.sum("size").alias("k"))
-    return sizes.groupBy("k").agg(F.count(F.lit(1)).alias("class_count"))
+def published_histogram(fitted: FittedMondrian, per_tree: bool = False) -> DataFrame:
+    """`(k, class_count)` of the published regions, with the column `tree` for several trees."""
+    tree = [tree_of(F.col("path")).alias("tree")] if per_tree else []
+    sizes = leaf_nodes(fitted).groupBy(*tree, *region_columns(fitted.forest)).agg(F.sum("size").alias("k"))
+    return sizes.groupBy(*(["tree"] if per_tree else []), "k").agg(F.count(F.lit(1)).alias("class_count"))
 
 
 def region_representation(regions: DataFrame, tree: Hierarchy, lo: str, hi: str) -> DataFrame:
@@ -449,7 +495,7 @@ def _contains(forest: Forest, attr: str, prefix: str = "") -> Column:
 def _ancestors(path: Column) -> Column:
     """All paths above and including a path: the synthetic root, `r`, `r/..`, ..."""
     steps = F.split(path, "/")
-    return F.concat(F.array(F.lit(TOP)), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/")))
+    return F.concat(F.array(tree_of(path)), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/")))
 
 
 def routing_cells(df: DataFrame, forest: Forest, check: bool = True) -> DataFrame:
@@ -470,48 +516,44 @@ def route_split_widening(df: DataFrame, fitted: FittedMondrian, check: bool = Tr
     scratch = Scratch(df.sparkSession, "routing")
     values, cats = fitted.values, categorical_attrs(forest)
     nodes = fitted.nodes
-    state = scratch.save(routing_cells(df, forest, check).select(
-        *values, "n", F.lit(FIRST).alias("path"), *[F.lit(0).alias(f"{a}__depth") for a in cats]))
+    holds = reduce(lambda a, b: a & b, [_contains(forest, a) for a in forest])
+    sources = [f"{a}__source" for a in forest]
+    # What a cell has found on its way down: per QI the deepest node holding its value, and the deepest one holding all of them.
+    cells = routing_cells(df, forest, check).select("*", _each_tree(fitted.trees).alias("_tree"))
+    roots = cells.select("*", *[c for a, t in forest.items() for c in root_region(t, a)])
+    state = scratch.save(roots.select(
+        *values, "n", F.concat("_tree", F.lit(FIRST)).alias("path"), *[F.lit(0).alias(f"{a}__depth") for a in cats],
+        *[F.when(_contains(forest, a), F.col("_tree")).alias(f"{a}__source") for a in forest], F.when(holds, F.col("_tree")).alias("_whole")))
     depths = nodes.agg(F.max("depth")).first()[0]
-    splits = nodes.select("path", "kind", "attr", "threshold", "size", "depth")
+    level_columns = ["path", "kind", "attr", "threshold", "size", *region_columns(forest)]
     arrived, lost = [], []
     attrs = list(forest)
     for depth in range(1, depths + 1):
-        level = splits.where(F.col("depth") == depth).drop("depth")
-        at_node = attach(state, level, ["path"], "size")
-        arrived.append(at_node.where(F.col("kind") == "leaf").select(*values, "n", "path"))
+        level = nodes.where(F.col("depth") == depth).select(*level_columns)
+        met = attach(state, level, ["path"], "size")
+        found = {f"{a}__source": F.when(_contains(forest, a), F.col("path")).otherwise(F.col(f"{a}__source")) for a in forest}
+        at_node = met.withColumns({**found, "_whole": F.when(holds, F.col("path")).otherwise(F.col("_whole"))})
+        arrived.append(at_node.where(F.col("kind") == "leaf").select(*values, "n", F.col("path").alias("node"), *sources))
         inner = at_node.where(F.col("kind") != "leaf")
         moves = {"_next": F.concat_ws("/", "path", _branch(forest))}
         for a in cats:
             here = (F.col("attr") == attrs.index(a)) & F.col(value_name(a)).isNotNull()
             moves[f"{a}__depth"] = F.when(here, F.col(f"{a}__depth") + 1).otherwise(F.col(f"{a}__depth"))
         stepped = inner.withColumns(moves).select(
-            *values, "n", F.col("path").alias("_from"), F.col("kind").alias("_kind"), F.col("_next").alias("path"), *[f"{a}__depth" for a in cats])
-        below = splits.where(F.col("depth") == depth + 1).select("path", F.col("size").alias("_size"))
+            *values, "n", F.col("path").alias("_from"), F.col("kind").alias("_kind"), F.col("_next").alias("path"), *[f"{a}__depth" for a in cats], *sources, "_whole")
+        below = nodes.where(F.col("depth") == depth + 1).select("path", F.col("size").alias("_size"))
         checked = scratch.save(attach(stepped, below, ["path"], "_size"))
-        lost.append(checked.where(F.col("_size").isNull()).select(*values, "n", F.col("_from").alias("path"), F.col("_kind").alias("kind")))
+        lost.append(checked.where(F.col("_size").isNull()).select(*values, "n", F.col("_from").alias("stopped_at"), F.col("_kind").alias("kind"), "_whole"))
         state = checked.where(F.col("_size").isNotNull()).drop("_size", "_from", "_kind")
         if state.isEmpty():
             break
-    regions = nodes.select("path", F.col("depth").alias("_depth"), F.col("size").alias("_weight"), *region_columns(forest))
-    # At a leaf: per QI the deepest ancestor holding its value.
-    landed = scratch.save(reduce(DataFrame.unionByName, arrived))
-    climbed = landed.select(*values, "n", F.col("path").alias("node"), F.explode(_ancestors(F.col("path"))).alias("path"))
-    seen = attach(climbed, regions, ["path"], "_weight")
-    best = seen.groupBy(*values, "node").agg(
-        F.first("n").alias("n"),
-        *[F.max_by(F.when(_contains(forest, a), F.col("path")), F.when(_contains(forest, a), F.col("_depth"))).alias(f"{a}__source") for a in forest])
-    at_leaf = best.select(*values, "n", "node", F.lit("leaf").alias("stop_kind"), F.lit(None).cast("string").alias("stopped_at"),
-                          F.lit(None).cast("string").alias("reason"), *[f"{a}__source" for a in forest])
-    # Without a branch: the deepest ancestor holding the whole record.
-    dropped = scratch.save(reduce(DataFrame.unionByName, lost))
+    at_leaf = reduce(DataFrame.unionByName, arrived).select(
+        *values, "n", "node", F.lit("leaf").alias("stop_kind"), F.lit(None).cast("string").alias("stopped_at"), F.lit(None).cast("string").alias("reason"), *sources)
     reason = F.when(F.col("kind") == "categorical", "unoccupied_categorical_branch").otherwise("unobserved_numeric_missing_branch")
-    climbed = dropped.select(*values, "n", F.col("path").alias("stopped_at"), reason.alias("reason"), F.explode(_ancestors(F.col("path"))).alias("path"))
-    holds = reduce(lambda a, b: a & b, [_contains(forest, a) for a in forest])
-    seen = attach(climbed, regions, ["path"], "_weight").where(holds)
-    stops = seen.groupBy(*values, "stopped_at", "reason").agg(F.first("n").alias("n"), F.max_by("path", "_depth").alias("node"))
-    stopped = stops.select(*values, "n", "node", F.when(F.col("node") == TOP, "root").otherwise("internal").alias("stop_kind"),
-                           "stopped_at", "reason", *[F.col("node").alias(f"{a}__source") for a in forest])
+    # A cell outside the root's region is held by no node at all, and is left out as before.
+    stopped = reduce(DataFrame.unionByName, lost).where(F.col("_whole").isNotNull()).select(
+        *values, "n", F.col("_whole").alias("node"), F.when(_is_top(F.col("_whole")), "root").otherwise("internal").alias("stop_kind"),
+        "stopped_at", reason.alias("reason"), *[F.col("_whole").alias(s) for s in sources])
     return at_leaf.unionByName(stopped)
 
 
@@ -529,7 +571,8 @@ def route_containment(df: DataFrame, fitted: FittedMondrian, check: bool = True)
     holds = reduce(lambda a, b: a & b, [_contains(forest, a) for a in forest])
     attrs = list(forest)
     state = scratch.save(routing_cells(df, forest, check).select(
-        *values, "n", F.lit(TOP).alias("_at"), F.lit("root").alias("_kind"), F.lit(FIRST).alias("path"), *[F.lit(0).alias(f"{a}__depth") for a in cats]))
+        *values, "n", _each_tree(fitted.trees).alias("_at"), F.lit("root").alias("_kind"), *[F.lit(0).alias(f"{a}__depth") for a in cats])
+        .withColumn("path", F.concat("_at", F.lit(FIRST))))
     stopped = []
     for depth in range(1, nodes.agg(F.max("depth")).first()[0] + 2):
         level = regions.where(F.col("depth") == depth).drop("depth")
@@ -547,12 +590,12 @@ def route_containment(df: DataFrame, fitted: FittedMondrian, check: bool = True)
         if state.isEmpty():
             break
     out = reduce(DataFrame.unionByName, stopped)
-    kind = F.when(F.col("node") == TOP, "root").when(F.col("kind") == "leaf", "leaf").otherwise("internal")
+    kind = F.when(_is_top(F.col("node")), "root").when(F.col("kind") == "leaf", "leaf").otherwise("internal")
     return out.select(*values, "n", "node", kind.alias("stop_kind"))
 
 
-def routing_stats(routed: DataFrame, forest: Forest, review_threshold: float = 0.01) -> DataFrame:
-    """One row: stops by kind, widened rows, adjusted share, and whether it exceeds the threshold."""
+def routing_stats(routed: DataFrame, forest: Forest, review_threshold: float = 0.01, per_tree: bool = False) -> DataFrame:
+    """Stops by kind, widened rows, adjusted share, and whether it exceeds the threshold: one row, or one per `tree`."""
     widened = [F.col("stop_kind").eqNullSafe("leaf") & (F.col(f"{a}__source") != F.col("node")) for a in forest]
     any_widened = reduce(lambda a, b: a | b, widened)
     n = F.col("n")
@@ -560,7 +603,8 @@ def routing_stats(routed: DataFrame, forest: Forest, review_threshold: float = 0
     def rows(cond: Column) -> Column:
         return F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
 
-    out = routed.agg(
+    grouped = routed.groupBy(tree_of(F.col("node")).alias("tree")) if per_tree else routed
+    out = grouped.agg(
         F.sum("n").alias("population"), rows(F.col("stop_kind") == "leaf").alias("leaf_count"),
         rows(F.col("stop_kind") == "internal").alias("internal_count"), rows(F.col("stop_kind") == "root").alias("root_count"),
         rows(any_widened).alias("widened_count"),
@@ -590,12 +634,12 @@ def diagnose_routing(df: DataFrame, fitted: FittedMondrian) -> DataFrame:
     # Depth of each categorical QI at a node, counted from the splits on the way down.
     lineage = scratch.save(_categorical_depths(nodes, cats, attrs))
     placed = attach(here, lineage, ["node"], "_weight").drop("_weight")
-    child = F.when(F.col("node") == TOP, F.lit(FIRST)).otherwise(F.concat_ws("/", "node", _branch(forest)))
+    child = F.when(_is_top(F.col("node")), F.lit(FIRST)).otherwise(F.concat_ws("/", "node", _branch(forest)))
     regions = nodes.select("path", F.col("size").alias("_size"), *region_columns(forest))
     tried = attach(placed.withColumn("path", child), regions, ["path"], "_size")
     fails = []
     for i, a in enumerate(attrs):
-        kind = (F.when(F.col("node") == TOP, "outside_observed_training_root")
+        kind = (F.when(_is_top(F.col("node")), "outside_observed_training_root")
                 .when(F.lit(forest[a].numeric) & (F.col("attr") == i), "split_numeric_observed_range_gap")
                 .when(F.lit(forest[a].numeric), "non_split_numeric_observed_range_shrink")
                 .otherwise("unexpected_non_split_categorical_exclusion"))

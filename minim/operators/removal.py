@@ -7,6 +7,7 @@ state is a table of weighted leaf cells and never of rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -140,6 +141,92 @@ def exchange_candidates(active: DataFrame, removed: DataFrame, keys: Sequence[st
         F.coalesce("_there", F.lit(0)).alias("in_active_rows"), grown.alias("grown_rows"))
 
 
+@dataclass(frozen=True)
+class Bottom:
+    """What candidates need to know of all classes: active rows and score sum, the two smallest sizes with their class counts, the three smallest classes."""
+
+    rows: int
+    s: float
+    min_k: int
+    at_min: int
+    next_size: int
+    at_next: int
+    least: tuple[tuple[int, tuple], ...]
+    removed: int
+
+
+def both_sides(cells: DataFrame, keys: Sequence[str], s: Column, more: Sequence[Column] = (), weight: str = "n", active: str = "active") -> DataFrame:
+    """`(keys..., active_rows, active_s, removed_rows, removed_s, more...)`: every class with its active and its removed part, null where it has none."""
+    n, here = F.col(weight), F.col(active)
+    parts = [c for flag, name in ((here, "active"), (~here, "removed")) for c in (
+        F.sum(F.when(flag, n)).alias(f"{name}_rows"), F.sum(F.when(flag, n * s)).alias(f"{name}_s"))]
+    return cells.groupBy(*keys).agg(*parts, *more)
+
+
+def bottom(classes: DataFrame, keys: Sequence[str]) -> Bottom:
+    """`classes` is a written table of `both_sides`; at most five rows and the sums reach the driver."""
+    live = classes.where("active_rows IS NOT NULL")
+    total = classes.agg(F.sum("active_rows").alias("n"), F.sum("active_s").alias("s"), F.count("removed_rows").alias("gone")).first()
+    sizes = live.groupBy("active_rows").agg(F.count(F.lit(1)).alias("c")).orderBy("active_rows").limit(2).collect()
+    least = live.orderBy("active_rows", *keys).limit(3).collect()
+    (k, c), (k2, c2) = ([*((r["active_rows"], r["c"]) for r in sizes), (0, 0), (0, 0)])[:2]
+    return Bottom(total["n"] or 0, total["s"] or 0.0, k, c, k2, c2, tuple((r["active_rows"], tuple(r[x] for x in keys)) for r in least), total["gone"])
+
+
+def removals_at_min(classes: DataFrame, keys: Sequence[str], least: Bottom) -> DataFrame:
+    """The rows of `removal_candidates` that can raise min-K or lower the classes at it: the classes of the smallest size."""
+    n, total = F.lit(least.rows), F.lit(float(least.s))
+    rows = F.col("active_rows")
+    change = (rows * total / n - F.col("active_s")) / (n - rows)
+    after = (least.next_size, least.at_next) if least.at_min == 1 else (least.min_k, least.at_min - 1)
+    return classes.where((rows == least.min_k) & (rows < n)).select(
+        *keys, rows.alias("rows"), (-change).alias("fast_utility_score"), (n - rows).cast("bigint").alias("next_active_rows"),
+        F.lit(after[0]).cast("bigint").alias("next_k"), F.lit(after[1]).cast("bigint").alias("next_min_classes"))
+
+
+def exchanges_at_min(classes: DataFrame, keys: Sequence[str], least: Bottom) -> DataFrame:
+    """The exchanges of `exchange_candidates` without a pool that can raise min-K or lower the classes at it.
+
+    One of the two classes then has the smallest size: the outgoing one leaves it, or the incoming one joins an active class of it. Of each
+    pair of sizes (and size of the active class that is joined) the best exchange is there, two classes a side being kept as the best ones
+    may be the same class.
+    """
+    key = F.struct(*[F.col(k) for k in keys])
+    live = classes.where("active_rows IS NOT NULL").select(key.alias("out"), F.col("active_rows").alias("out_rows"), F.col("active_s").alias("out_s"))
+    gone = classes.where("removed_rows IS NOT NULL").select(
+        key.alias("in"), F.col("removed_rows").alias("in_rows"), F.col("removed_s").alias("in_s"), F.coalesce("active_rows", F.lit(0)).alias("in_active_rows"))
+
+    def two(table: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+        # Spark keeps two rows per group in each task before it shuffles.
+        return table.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where("_r <= 2").drop("_r")
+
+    outs = two(live, ["out_rows"], [F.desc("out_s"), F.desc("out")])
+    ins = two(gone.where((F.col("in_rows") <= least.min_k) | (F.col("in_active_rows") == least.min_k)), ["in_rows", "in_active_rows"], [F.asc("in_s"), F.desc("in")])
+    # A class and its own removed part only trade rows of the smallest size. There are at most sqrt(2 N) sizes on a side.
+    meet = (F.col("in_rows") <= F.col("out_rows")) & (F.col("in") != F.col("out")) & (
+        (F.col("out_rows") == least.min_k) | (F.col("in_active_rows") == least.min_k))
+    pairs = ins.join(outs, meet)
+
+    def is_class(column: str, nodes: tuple) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"{column}.{k}").eqNullSafe(F.lit(x)) for k, x in zip(keys, nodes)])
+
+    others = F.lit(None).cast("bigint")
+    for size, nodes in reversed(least.least):
+        others = F.when(~is_class("out", nodes) & ~is_class("in", nodes), F.lit(size).cast("bigint")).otherwise(others)
+    grown = F.col("in_rows") + F.col("in_active_rows")
+    next_n = F.lit(least.rows) - F.col("out_rows") + F.col("in_rows")
+    total = F.lit(float(least.s))
+    change = (total - F.col("out_s") + F.col("in_s")) / next_n - total / F.lit(least.rows)
+
+    def at_min(size: Column) -> Column:
+        return F.when(size == least.min_k, 1).otherwise(0)
+
+    after = F.lit(least.at_min) - at_min(F.col("out_rows")) - at_min(F.col("in_active_rows")) + at_min(grown)
+    return (pairs.withColumn("next_k", F.coalesce(F.least(others, grown), grown)).where(F.col("next_k") >= least.min_k)
+            .select("out", "in", "out_rows", "in_rows", next_n.cast("bigint").alias("next_active_rows"), "next_k",
+                    F.when(F.col("next_k") > least.min_k, 0).otherwise(after).cast("bigint").alias("next_min_classes"), (-change).alias("fast_utility_score")))
+
+
 def rank_candidates(candidates: DataFrame, k_now: int, min_classes_now: int, tolerance: float, epsilon: float) -> DataFrame:
     """Privacy progress and normalized cost of each candidate; only positive progress stays."""
     progress = privacy_progress(F.lit(int(k_now)), F.col("next_k"), F.lit(int(min_classes_now)), F.col("next_min_classes"))
@@ -167,6 +254,20 @@ def apply_membership(cells: DataFrame, keys: Sequence[str], out: DataFrame | Non
     return result.withColumn("_flag", flag).drop("_out", "_in").withColumn(active, F.col("_flag")).drop("_flag")
 
 
+def move_class(cells: DataFrame, forest: Forest, levels: Mapping[str, int], out: Sequence[int | None] | None = None,
+               into: Sequence[int | None] | None = None, active: str = "active") -> DataFrame:
+    """`apply_membership` for one class on each side, named by its node positions (None: missing): a projection, as a class is a predicate on leaves."""
+    def inside(nodes: Sequence[int | None]) -> Column:
+        return reduce(lambda a, b: a & b, [c.eqNullSafe(F.lit(x).cast("int")) for c, x in zip(node_columns(forest, levels), nodes)])
+
+    flag = F.col(active)
+    if out is not None:
+        flag = F.when(F.col(active) & inside(out), F.lit(False)).otherwise(flag)
+    if into is not None:
+        flag = F.when(~F.col(active) & inside(into), F.lit(True)).otherwise(flag)
+    return cells.withColumn(active, flag)
+
+
 def check_membership(before: DataFrame, after: DataFrame, ids: Sequence[str], active: str = "active") -> None:
     """Active and removed cells must stay a partition of all cells, with some of them active."""
     if not before.select(*ids).exceptAll(after.select(*ids)).isEmpty() or not after.select(*ids).exceptAll(before.select(*ids)).isEmpty():
@@ -175,12 +276,19 @@ def check_membership(before: DataFrame, after: DataFrame, ids: Sequence[str], ac
         raise ValueError("an action cannot remove every row")
 
 
+def cell_hash(forest: Forest) -> Column:
+    """What a cell adds to the fingerprint of a state it is active in."""
+    return F.xxhash64(*[leaf_name(a) for a in forest]).cast("decimal(38,0)")
+
+
+def fingerprint_of(count: int, hashes: int, forest: Forest, levels: Mapping[str, int]) -> str:
+    return f"{count}:{hashes}:" + ",".join(f"{a}={int(levels.get(a, 0))}" for a in sorted(forest))
+
+
 def state_fingerprint(cells: DataFrame, forest: Forest, levels: Mapping[str, int], active: str = "active") -> str:
     """Order-free hash of the active cells, with the levels."""
-    leaves = [leaf_name(a) for a in forest]
-    row = cells.where(F.col(active)).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*leaves).cast("decimal(38,0)")).cast("string").alias("h")).first()
-    return f"{row['n']}:{row['h']}:" + ",".join(f"{a}={int(levels.get(a, 0))}" for a in sorted(forest))
+    row = cells.where(F.col(active)).agg(F.count(F.lit(1)).alias("n"), F.sum(cell_hash(forest)).alias("h")).first()
+    return fingerprint_of(row["n"], int(row["h"] or 0), forest, levels)
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:

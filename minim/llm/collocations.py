@@ -37,14 +37,14 @@ from minim.llm.texts import Words, as_bytes, mix, partitions_of, small_batches,
 from minim.session import Scratch
 
 #: Bytes of text that a task counts at once.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Bits of the filter of frequent pairs: 16 MB, whatever the input.
 FILTER_BITS = 1 << 27
 #: Parts of the hash space; each sets its own piece of the filter.
 HASH_PARTS = 256
 #: Rows drawn for the bounds of prefix ranges, and transducer paths that a range is meant to take in.
 BOUND_SAMPLE = 20_000
-RANGE_PATHS = 1_500_000
+RANGE_PATHS = 600_000
 PIECE = np.zeros(256, bool)
 PIECE[[*b".,;:!?", 10, 11, 12, 13]] = True
 GAP = PIECE.copy()
@@ -584,7 +584,7 @@ def counted_ranges(documents: DataFrame, least: int, scratch: Scratch) -> tuple[
                 key = now
                 held.append(Automaton.unpack(row["automaton"]))
                 size += len(row["automaton"])
-                if size > 24 << 20:
+                if size > 8 << 20:
                     held, size = [union(held)], 0
         if key is not None:
             yield key[0], [(key[1], union(held, least))]

@@ -385,12 +385,26 @@ def influence(spark, sf_dir):
     space = L.FeatureSpace({a: forest[a] for a in SMALL})
     rows = Scratch(spark, "influence").save(assign_leaves(people(spark, sf_dir), space.forest).withColumn("snapshot", F.lit(0)))
     space = space.fit(rows)
-    snaps = [Snapshot(0, LOW)]
-    model = L.fit_logistic(space.vectors(rows, snaps))
-    estimate, step = L.influence(rows, rows.where("total > 250000"), rows.where("balance < 0"), space, model, LOW, "label", snaps, 0.63)
+    model = L.fit_logistic(space.vectors(rows, [Snapshot(0, LOW)]))
+    estimate, step = L.influence(rows, rows.where("total > 250000"), rows.where("balance < 0"), space, model, LOW, "label", 0.63)
     return spark.createDataFrame([("loss", estimate), *zip([*space.names, "intercept"], step)], "name string, value double")
 
 
+_FEATURES = [*((f"segment={n}", f"CASE WHEN segment = '{n}' THEN 1.0 ELSE 0.0 END") for n in NAMES), ("year", "yv"), ("intercept", "1.0")]
+
+
+@query("second_derivatives", f"""WITH {MID_CTE}, r AS (SELECT segment, {YEAR0} AS yv, 1.0 / (1.0 + exp(-({case(THETA.weights[0][:5])} + 0.002::DOUBLE * {YEAR0} - 4.0))) AS p FROM pop)
+{' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, round(avg(p * (1 - p) * ({x}) * ({y})), 4) AS value FROM r" for i, (a, x) in enumerate(_FEATURES) for b, y in _FEATURES[i:])}""")
+def second_derivatives(spark, sf_dir):
+    """The matrix that the influence estimate solves with, from sums per pair of leaves."""
+    from minim.operators import lockstep as K
+    space = small_space()
+    rows = assign_leaves(people(spark, sf_dir), space.forest)
+    h = K.hessian(rows, K.level_layout(space, LOW), K.as_params(THETA), THETA.probabilities(L.logits(space, THETA, LOW)), F.lit(1.0))
+    names = [*space.names, "intercept"]
+    return spark.createDataFrame([(a, b, round(float(h[i, j]), 4)) for i, a in enumerate(names) for j, b in enumerate(names) if j >= i], "a string, b string, value double")
+
+
 @query("mlp_lga")
 def mlp_lga(spark, sf_dir):
     space, made = vectors(spark, sf_dir)
@@ -402,15 +416,38 @@ def mlp_lga(spark, sf_dir):
     return scored.groupBy("segment").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("s"), 6).alias("s"))
 
 
-@query("dp_gradient_step", f"""WITH {PEOPLE_LEVELS}, r AS (SELECT segment, {YEAR0} AS yv, 1.0 / (1.0 + exp(-({case(THETA.weights[0][:5])} + 0.002::DOUBLE * {YEAR0} - 4.0))) - label AS r FROM pop),
-c AS (SELECT *, least(1.0, 100.0 / (abs(r) * sqrt(2.0 + yv * yv))) AS f FROM r)
-{' UNION ALL '.join(f"SELECT 'segment={n}' AS feature, round(sum(CASE WHEN segment = '{n}' THEN r * f ELSE 0 END) / count(*), 9) AS value FROM c" for n in NAMES)}
-UNION ALL SELECT 'year', round(sum(r * f * yv) / count(*), 6) FROM c UNION ALL SELECT 'intercept', round(sum(r * f) / count(*), 9) FROM c""")
+DP_RATE, DP_CLIP, DP_SIGMA = 0.4, 100.0, 1.5
+
+
+def _digits(key, first):
+    """Thirteen hex digits of an md5 key as a number, in SQL."""
+    return f"CAST('0x' || substr(md5({key}), {first}, 13) AS BIGINT)"
+
+
+def _noise(i):
+    """The noise of one coordinate, in SQL."""
+    key = f"'42:noise:{i}'"
+    u, v = (f"(({_digits(key, first)} + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)" for first in (1, 14))
+    return f"{DP_SIGMA * DP_CLIP}::DOUBLE * sqrt(-2.0::DOUBLE * ln({u})) * cos(2.0::DOUBLE * pi() * {v})"
+
+
+_DP_ID = "'42:sample:' || CAST(row_id AS VARCHAR)"
+
+
+@query("dp_gradient_step", f"""WITH {PEOPLE_LEVELS}, whole AS (SELECT {DP_RATE}::DOUBLE * count(*) AS n FROM pop),
+r AS (SELECT segment, {YEAR0} AS yv, 1.0 / (1.0 + exp(-({case(THETA.weights[0][:5])} + 0.002::DOUBLE * {YEAR0} - 4.0))) - label AS r
+  FROM pop WHERE {_digits(_DP_ID, 1)} / 4503599627370496.0::DOUBLE < {DP_RATE}::DOUBLE),
+c AS (SELECT *, least(1.0, {DP_CLIP}::DOUBLE / (abs(r) * sqrt(2.0 + yv * yv))) AS f FROM r)
+{' UNION ALL '.join(f"SELECT 'segment={n}' AS feature, round((sum(CASE WHEN segment = '{n}' THEN r * f ELSE 0 END) + {_noise(i)}) / max(n), 6) AS value FROM c, whole" for i, n in enumerate(NAMES))}
+UNION ALL SELECT 'year', round((sum(r * f * yv) + {_noise(5)}) / max(n), 4) FROM c, whole
+UNION ALL SELECT 'intercept', round((sum(r * f) + {_noise(6)}) / max(n), 6) FROM c, whole
+UNION ALL SELECT 'rows', count(*) FROM c""")
 def dp_gradient_step(spark, sf_dir):
+    """A sample of two fifths, clipped, with noise: sample and noise follow from seeded keys."""
     space = small_space()
     rows = assign_leaves(people(spark, sf_dir), space.forest)
-    g, _ = L.dp_gradient_step(rows, space, THETA, LOW, "label", rate=1.0, clip=100.0, sigma=0.0, seed=SEED)
-    out = [(n, round(v, 6 if n == "year" else 9)) for n, v in zip(space.names, g.weights[0])] + [("intercept", round(g.intercepts[0], 9))]
+    g, n = L.dp_gradient_step(rows, space, THETA, LOW, "label", rate=DP_RATE, clip=DP_CLIP, sigma=DP_SIGMA, seed=SEED)
+    out = [(f, round(v, 4 if f == "year" else 6)) for f, v in zip(space.names, g.weights[0])] + [("intercept", round(g.intercepts[0], 6)), ("rows", float(n))]
     return spark.createDataFrame(out, "feature string, value double")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +30,11 @@ def bucket_digits(rows: int, per_bucket: int = 1_000_000) -> int:
     while digits < 6 and rows > per_bucket * 16**digits:
         digits += 1
     return digits
+
+
+def seeded_normal(key: Column) -> Column:
+    """A standard normal number from a seeded key: digits 1-13 and 14-26 are two uniform numbers, turned by cosine."""
+    def uniform(start: int) -> Column:
+        return (F.conv(F.substring(key, start, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**13))
+
+    return F.sqrt(F.lit(-2.0) * F.log(uniform(1))) * F.cos(F.lit(2.0 * math.pi) * uniform(14))

@@ -8,7 +8,6 @@ lookup per QI and stays in generated code. Wide vectors are only built for Spark
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from minim.functions.ordering import seeded_key, unit_interval
+from minim.functions.ordering import seeded_key, seeded_normal, unit_interval
 from minim.operators.hierarchy import Forest, Hierarchy, at, leaf_name
 
 # A node's vectors are broadcast as one table per QI: leaves x width numbers.
@@ -281,15 +280,15 @@ class Gradient:
 
 def mean_gradient(
     rows: DataFrame, space: FeatureSpace, model: Linear, levels: Mapping[str, int], label: str,
-    weight: str | None = None,
+    weight: str | None = None, scalars: Sequence[Column] | None = None,
 ) -> Gradient:
-    """Mean gradient of the logistic loss over the rows, in one aggregation.
+    """Mean gradient of the logistic loss over the rows, in one aggregation; with `scalars` the mean of scalar times [x, 1] per weight row instead.
 
     Residuals are summed per combination of leaves first and per (QI, leaf) second; the leaf sums,
     one row per leaf of the trees, are expanded to feature columns on the driver.
     """
     w = F.col(weight) if weight else F.lit(1.0)
-    res = residuals(space, model, levels, label)
+    res = residuals(space, model, levels, label) if scalars is None else list(scalars)
     k = len(res)
     made = rows.select(*[F.col(leaf_name(a)) for a in space.forest], *[F.col(e) for e in space.extras], w.alias("_w"),
                        *[(r * w).alias(f"_r{c}") for c, r in enumerate(res)])
@@ -371,14 +370,13 @@ def dp_gradient_step(
     rows: DataFrame, space: FeatureSpace, model: Linear, levels: Mapping[str, int], label: str, rate: float, clip: float,
     sigma: float, seed: int, row_id: str = "row_id",
 ) -> tuple[Gradient, int]:
-    """One private gradient: Poisson sample, per-row clipping, sum, Gaussian noise on the driver.
+    """One private gradient for any number of classes: Poisson sample, per-row clipping, sum, Gaussian noise of deviation `sigma * clip`.
 
-    A row's gradient is `r * [x, 1]`, so its norm is `|r| * sqrt(|x|^2 + 1)`, and |x|^2 is a sum of
-    node lookups: clipping is one factor per row and no gradient vector is materialized.
+    A row's gradient is its residuals times [x, 1], so its norm is `|r| * sqrt(|x|^2 + 1)`, and |x|^2 is a sum of
+    node lookups: clipping is one factor per row and no gradient vector is materialized. Who is sampled, and the noise of each coordinate (numbered
+    by weight row, then feature, the intercept last), follow from seeded keys, so that another engine can repeat both.
     Returns the noisy mean over the expected batch size, and the sampled row count.
     """
-    if len(model.weights) != 1:
-        raise ValueError("the private step is for two classes")
     norm = F.lit(1.0)
     for attr, tree in space.forest.items():
         squares = [sum(x * x for x in space.node_vector(tree, t)) for t in tree.targets(int(levels.get(attr, 0)))]
@@ -388,77 +386,90 @@ def dp_gradient_step(
         i = space.offset[e]
         x = F.coalesce((F.col(e) - F.lit(space.mean[i])) / F.lit(space.std[i]), F.lit(0.0))
         norm = norm + x * x
-    total = rows.count()
-    sampled = rows.where(unit_interval(seeded_key(f"{seed}:sample", row_id)) < F.lit(float(rate)))
-    length = F.abs(residuals(space, model, levels, label)[0]) * F.sqrt(norm)
-    clipped = sampled.withColumn("_scale", F.least(F.lit(1.0), F.lit(float(clip)) / F.greatest(length, F.lit(1e-12))))
-    # The gradient of a weighted loss is linear in the weights: sum = mean * rows.
-    counts = clipped.agg(F.count(F.lit(1)).alias("n"), F.sum("_scale").alias("s")).first()
+    drawn = unit_interval(seeded_key(f"{seed}:sample", row_id)) < F.lit(float(rate))
+    # The sizes come from the ids alone.
+    counts = rows.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(drawn, 1)).alias("n")).first()
     if not counts["n"]:
         raise ValueError("the sample is empty")
+    length = F.sqrt(reduce(lambda a, b: a + b, [r * r for r in residuals(space, model, levels, label)])) * F.sqrt(norm)
+    clipped = rows.where(drawn).withColumn("_scale", F.least(F.lit(1.0), F.lit(float(clip)) / F.greatest(length, F.lit(1e-12))))
+    # The gradient of a weighted loss is linear in the weights: sum = mean * weight.
     g = mean_gradient(clipped, space, model, levels, label, weight="_scale")
-    expected = rate * total
-    noise = random.Random(f"{seed}:noise")
-    def noisy(x: float) -> float:
-        return (x * counts["s"] + (noise.gauss(0.0, sigma * clip) if sigma > 0 else 0.0)) / expected
-    return Gradient((tuple(noisy(x) for x in g.weights[0]),), (noisy(g.intercepts[0]),), float(counts["n"])), counts["n"]
+    expected, d = rate * counts["rows"], space.width + 1
+    noise = [0.0] * (len(model.weights) * d)
+    if sigma > 0:
+        # One number per coordinate.
+        table = rows.sparkSession.range(len(noise)).select("id", seeded_normal(seeded_key(f"{seed}:noise", "id")).alias("z"))
+        for r in table.collect():
+            noise[r["id"]] = r["z"] * sigma * clip
+    weights = tuple(tuple((x * g.rows + noise[c * d + i]) / expected for i, x in enumerate(row)) for c, row in enumerate(g.weights))
+    intercepts = tuple((b * g.rows + noise[c * d + d - 1]) / expected for c, b in enumerate(g.intercepts))
+    return Gradient(weights, intercepts, float(counts["n"])), counts["n"]
+
+
+def curvature_along(rows: DataFrame, space: FeatureSpace, model: Linear, levels: Mapping[str, int], label: str, v: Sequence[float]) -> list[float]:
+    """The mean second derivatives times `v` (per weight row the features, then the intercept), in one aggregation and without the matrix."""
+    d = space.width + 1
+    parts = [v[c * d:(c + 1) * d] for c in range(len(model.weights))]
+    p = model.probabilities(logits(space, model, levels))
+    z = [space.dot(part[:-1], levels) + F.lit(float(part[-1])) for part in parts]
+    if len(p) == 1:
+        scalars = [p[0] * (1 - p[0]) * z[0]]
+    else:
+        mean = reduce(lambda a, b: a + b, [q * x for q, x in zip(p, z)])
+        scalars = [q * (x - mean) for q, x in zip(p, z)]
+    return flat_gradient(mean_gradient(rows, space, model, levels, label, scalars=scalars))
+
+
+def flat_gradient(g: Gradient) -> list[float]:
+    """Per weight row the features, then the intercept."""
+    return [x for row, b in zip(g.weights, g.intercepts) for x in (*row, b)]
+
+
+# Parameters up to which the second derivatives are collected and solved; above, Spark multiplies them with one vector at a time.
+MAX_SOLVED = 2000
 
 
 def influence_direction(
     rows: DataFrame, space: FeatureSpace, model: Linear, levels: Mapping[str, int], label: str, v: Sequence[float], damping: float,
-    snapshots: Sequence,
 ) -> list[float]:
-    """`(H + damping I)^-1 v` for the logistic Hessian of the rows; v and the result hold the intercept last.
+    """`(H + damping I)^-1 v` for the logistic second derivatives H of the rows, for any number of classes; v and the result per weight row, the
+    intercept last.
 
-    H = mean of `p (1 - p) [x, 1][x, 1]^T` is summed by Spark as the covariance-style upper triangle
-    of d (d + 1) / 2 numbers; the solve of the d x d system is the driver's.
+    Up to `MAX_SOLVED` parameters H comes from sums per pair of leaves; beyond that conjugate gradients need one aggregation a step.
     """
     import numpy as np
-    if len(model.weights) != 1:
-        raise ValueError("the influence estimate is for two classes")
-    d = space.width + 1
-    if d > 2000:
-        raise ValueError("the Hessian of more than 2000 features is not collected")
-    made = space.vectors(rows, snapshots)
-    p = Linear.probabilities(model, logits(space, model, levels))[0]
-    x = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
-    slim = made.select(x.alias("x"), (p * (1 - p)).alias("c"))
-
-    def partial(batches):
-        import pandas as pd
-        total, n = np.zeros((d, d)), 0
-        for b in batches:
-            if len(b):
-                m = np.stack(b["x"].to_numpy())
-                total += (m * b["c"].to_numpy()[:, None]).T @ m
-                n += len(b)
-        flat = total.reshape(-1)
-        yield pd.DataFrame({"i": np.arange(d * d, dtype=np.int64), "h": flat, "n": np.full(d * d, n, dtype=np.int64)})
-
-    parts = slim.mapInPandas(partial, "i bigint, h double, n bigint").groupBy("i").agg(F.sum("h").alias("h"), F.sum("n").alias("n"))
-    cells = parts.collect()
-    hessian = np.zeros(d * d)
-    for r in cells:
-        hessian[r["i"]] = r["h"] / max(r["n"], 1)
-    solved = np.linalg.solve(hessian.reshape(d, d) + damping * np.eye(d), np.asarray(v, dtype=float))
-    return [float(s) for s in solved]
+    v = np.asarray(v, dtype=float)
+    if len(v) <= MAX_SOLVED:
+        from minim.operators.lockstep import as_params, hessian, level_layout
+        p = model.probabilities(logits(space, model, levels))
+        h = hessian(rows, level_layout(space, levels), as_params(model), p, F.lit(1.0))
+        return [float(x) for x in np.linalg.solve(h + damping * np.eye(len(v)), v)]
+    x, r = np.zeros_like(v), v.copy()
+    step, size = r.copy(), float(r @ r)
+    goal = 1e-20 * size
+    # In exact arithmetic as many steps as parameters suffice.
+    for _ in range(2 * len(v)):
+        if size <= goal:
+            break
+        along = np.asarray(curvature_along(rows, space, model, levels, label, [float(s) for s in step])) + damping * step
+        a = size / float(step @ along)
+        x, r = x + a * step, r - a * along
+        before, size = size, float(r @ r)
+        step = r + size / before * step
+    return [float(s) for s in x]
 
 
 def influence(
     original: DataFrame, state: DataFrame, validation: DataFrame, space: FeatureSpace, model: Linear, levels: Mapping[str, int],
-    label: str, snapshots: Sequence, loss: float, damping: float = 1e-3,
+    label: str, loss: float, damping: float = 1e-3,
 ) -> tuple[float, list[float]]:
-    """Influence estimate of the validation loss after moving from the original rows to a state.
+    """Influence estimate of the validation loss after moving from the original rows to a state, for any number of classes.
 
     Solves `H d = g_state - g_orig` and returns `loss - g_val . d` together with d.
     """
-    def flat(g: Gradient) -> list[float]:
-        return [*g.weights[0], g.intercepts[0]]
-
-    g_state = flat(mean_gradient(state, space, model, levels, label))
-    g_orig = flat(mean_gradient(original, space, model, levels, label))
-    g_val = flat(mean_gradient(validation, space, model, levels, label))
-    step = influence_direction(original, space, model, levels, label, [a - b for a, b in zip(g_state, g_orig)], damping, snapshots)
+    g_state, g_orig, g_val = (flat_gradient(mean_gradient(rows, space, model, levels, label)) for rows in (state, original, validation))
+    step = influence_direction(original, space, model, levels, label, [a - b for a, b in zip(g_state, g_orig)], damping)
     return loss - sum(a * b for a, b in zip(g_val, step)), step
 
 

@@ -138,3 +138,42 @@ def test_groups_limits_and_empty_models(spark):
     assert fitted[3].weight == 0 and not fitted[3].params.any()
     assert K.fit(df, [layout], who[:1], "label", 2, 1, None, group="tree")[0].limit_reached and K.fit(df, [], [], "label", 2, 1, None) == []
     assert K.sums(df, [], [], [], "label", 2) == []
+
+
+@pytest.mark.parametrize("classes,solved", [(2, 2000), (3, 2000), (3, 0)])
+def test_influence_agrees_with_a_dense_solve(spark, monkeypatch, classes, solved):
+    """From sums per pair of leaves, and by conjugate gradients without the matrix."""
+    from minim.operators import models as L
+
+    monkeypatch.setattr(L, "MAX_SOLVED", solved)
+    sp, df = space(), cells(spark, classes)
+    leaf, size, y, _, active = rows(classes)
+    rng = np.random.default_rng(4)
+    params = rng.normal(size=(1 if classes == 2 else classes, sp.width + 1)) * 0.3
+    x, ones = design(sp, leaf, size, LEVELS[1]), np.ones(len(y))
+    grads = []
+    for some in (active, ones > 0, ~active):
+        _, g, h = reference(x[some], y[some], ones[some], params)
+        grads.append(g.reshape(-1) / some.sum())
+        if some.all():
+            whole = h / len(y)
+    step = np.linalg.solve(whole + 0.05 * np.eye(len(whole)), grads[0] - grads[1])
+    estimate, got = L.influence(df, df.where("active"), df.where("NOT active"), sp, K.as_linear(params), LEVELS[1], "label", 0.5, 0.05)
+    assert np.allclose(got, step, atol=1e-7) and estimate == pytest.approx(0.5 - grads[2] @ step)
+
+
+def test_private_step_of_three_classes(spark):
+    """Every row's gradient is cut to the bound, and the noise has its deviation."""
+    from minim.operators import models as L
+
+    sp, df = space(), cells(spark, 3).withColumn("row_id", F.monotonically_increasing_id())
+    leaf, size, y, _, _ = rows(3)
+    params = np.random.default_rng(4).normal(size=(3, sp.width + 1)) * 0.3
+    x = design(sp, leaf, size, LEVELS[0])
+    each = np.stack([reference(x[i:i + 1], y[i:i + 1], np.ones(1), params)[1].reshape(-1) for i in range(len(y))])
+    each *= np.minimum(1, 1.5 / np.linalg.norm(each, axis=1))[:, None]
+    g, n = L.dp_gradient_step(df, sp, K.as_linear(params), LEVELS[0], "label", 1.0, 1.5, 0.0, 1)
+    assert n == len(y) and np.allclose(L.flat_gradient(g), each.mean(0))
+    noisy = [L.flat_gradient(L.dp_gradient_step(df, sp, K.as_linear(params), LEVELS[0], "label", 1.0, 1.5, 2.0, seed)[0]) for seed in range(4)]
+    off = (np.array(noisy) - each.mean(0)) * len(y) / 3.0
+    assert abs(off.mean()) < 0.3 and 0.8 < off.std() < 1.2 and len({tuple(v) for v in noisy}) == 4

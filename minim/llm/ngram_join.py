@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minim.llm.graph import components
-from minim.llm.texts import as_bytes, byte_lists, mix, shingle_sets, small_batches
+from minim.llm.texts import as_bytes, byte_lists, mix, partitions_of, shingle_sets, small_batches
 from minim.session import Scratch
 
 # Counters of the n-gram counts: 8 bytes each in a task, 1 byte each where they are used, at any corpus size.
@@ -36,6 +36,8 @@ COUNTER_BITS = 22
 _BLOCK = 1 << 14
 _SHARE = 16
 STAR_ROUNDS = 6
+# Partners of a hub that are held against one copy of its set.
+PARTNERS = 500
 # While star rounds still find links, the last step waits until it joins at most this many pairs for each candidate row.
 PAIRS_PER_ROW = 16
 # Bits of the filter that picks the documents whose sets are needed: 64 a row, in at most 131,072 rows.
@@ -168,20 +170,24 @@ def _sets(documents: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _verified(rule: Rule):
-    def linked(u: int, sides: list[dict]) -> bool:
-        """Whether a set of u and a set of v link; rows that share a doc_id give it several sets."""
-        sets = [(s["node"], np.frombuffer(s["grams"], np.uint64)) for s in sides]
-        for x in (g for node, g in sets if node == u):
-            for y in (g for node, g in sets if node != u):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if rule.den * both >= rule.num * (len(x) + len(y) - both):
-                    return True
-        return False
-
+    """Rows `(hub, bucket, node, own, grams)`, sorted, to `(u, v, linked)`: the hub's sets come first and every other set is held against them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, sets = None, []
         for batch in batches:
-            found = [linked(u, sides) for u, sides in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.bool_())], ["u", "v", "linked"])
+            u, v, linked = [], [], []
+            for hub, bucket, node, own, grams in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                if here != (hub, bucket):
+                    here, sets = (hub, bucket), []
+                y = np.frombuffer(grams, np.uint64)
+                if own:
+                    # Rows that share a doc_id give it several sets.
+                    sets.append(y)
+                    continue
+                both = [len(np.intersect1d(x, y, assume_unique=True)) for x in sets]
+                u.append(min(hub, node))
+                v.append(max(hub, node))
+                linked.append(any(rule.den * c >= rule.num * (len(x) + len(y) - c) for x, c in zip(sets, both, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(linked, pa.bool_())], ["u", "v", "linked"])
     return run
 
 
@@ -230,12 +236,28 @@ def _meeting(classes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
-    """`u, v, linked` of each pair; only the sets of its documents are built, once each."""
-    sides = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("node"))
-    sets = _sets(documents, sides.select("node").distinct(), rule)
-    both = sides.join(sets, "node").groupBy("u", "v").agg(F.collect_list(F.struct("node", "grams")).alias("sides"))
-    small_batches(pairs.sparkSession, 50)
-    return both.mapInArrow(_verified(rule), "u long, v long, linked boolean")
+    """`u, v, linked` of each pair; only the sets of its documents are built, once each.
+
+    Of a pair the node with more pairs is the hub. Its partners are dealt into buckets of about PARTNERS by their hash; a bucket gets the hub's set
+    once and each partner's set, so that a hub of millions of pairs is copied per bucket and not per pair, and no task gets all of them.
+    """
+    sides = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("pairs"))
+    marked = pairs
+    for side in ("u", "v"):
+        degree = sides.select(F.col("node").alias(f"_{side}"), F.col("pairs").alias(f"_{side}_pairs"))
+        marked = marked.join(degree, F.col(side) == F.col(f"_{side}")).drop(f"_{side}")
+    larger = F.col("_u_pairs") >= F.col("_v_pairs")
+    hub, node = F.when(larger, F.col("u")).otherwise(F.col("v")), F.when(larger, F.col("v")).otherwise(F.col("u"))
+    buckets = F.ceil(F.greatest("_u_pairs", "_v_pairs") / F.lit(PARTNERS))
+    marked = marked.select(hub.alias("hub"), F.pmod(F.xxhash64(node), buckets).alias("bucket"), node.alias("node"))
+    asked = marked.select("hub", "bucket", "node", F.lit(False).alias("own")).union(
+        marked.select("hub", "bucket", F.col("hub").alias("node"), F.lit(True).alias("own")).distinct())
+    sets = _sets(documents, sides.select("node"), rule)
+    both = (asked.join(sets, "node").select("hub", "bucket", "node", "own", "grams")
+            .repartition(partitions_of(pairs), "hub", "bucket").sortWithinPartitions("hub", "bucket", F.desc("own")))
+    small_batches(pairs.sparkSession, 100)
+    # A partner of several sets has a row for each.
+    return both.mapInArrow(_verified(rule), "u long, v long, linked boolean").groupBy("u", "v").agg(F.max("linked").alias("linked"))
 
 
 def _node() -> Column:

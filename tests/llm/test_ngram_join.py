@@ -62,10 +62,11 @@ def test_agrees_with_brute_force(spark, rule):
     assert run(spark, rows, rule) == plain(rows, rule)
 
 
-@pytest.mark.parametrize("limit", [0, 2])
-def test_hot_groups(spark, monkeypatch, limit):
-    """Hundreds of near copies of one text, some beyond the threshold of most others; both ways to end the search."""
+@pytest.mark.parametrize("limit,partners", [(0, 500), (2, 7)])
+def test_hot_groups(spark, monkeypatch, limit, partners):
+    """Hundreds of near copies of one text, some beyond the threshold of most others; both ways to end the search, hubs of one bucket and of many."""
     monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", limit)
+    monkeypatch.setattr(ngram_join, "PARTNERS", partners)
     rng = random.Random(9)
     base = sentence(rng, 60).split()
     rows = []

@@ -589,6 +589,21 @@ def mondrian_sweep(spark, sf_dir):
     return sweep(train, val, people_forest(), "label", sorted(r["k"] for r in k_grid(train).collect()))
 
 
+@query("mondrian_point", f"""WITH {_SPLIT_SIZES} SELECT 'median' AS variant, CAST(2 AS BIGINT) AS k, CAST(sum(n - t - v) AS BIGINT) AS rows, TRUE AS min_k_holds,
+  CAST(sum(v) AS BIGINT) AS routed FROM sizes""")
+def mondrian_point(spark, sf_dir):
+    """One point of the sweep, K = 2: fitted, published, routed and scored; every row is in it and no class is smaller than K."""
+    from minim.plans import sweep as W
+    train, val, _ = split(spark, sf_dir)
+    scratch = Scratch(spark, "point")
+    forest = people_forest()
+    train, val = W.encoded(train, forest, "label", scratch), W.encoded(val, forest, "label", scratch)
+    space = L.FeatureSpace(forest).fit(train)
+    point = W.sweep_point(train, val, forest, "label", space, 2, H.MEDIAN)
+    return spark.createDataFrame([(point["variant"], point["k"], point["record_count"], point["min_k"] >= 2, point["routed_count"])],
+                                 "variant string, k bigint, rows bigint, min_k_holds boolean, routed bigint")
+
+
 def released(spark, sf_dir):
     """Published training rows, and evaluation rows routed to the same snapshots."""
     from minim.operators import release as R

@@ -19,6 +19,7 @@ from minim.operators import removal as D
 from minim.operators.hierarchy import Forest
 from minim.plans.minimize import MinimizeOptions, Search
 
+MAX_PAGE = 200
 REMOVE, COARSEN, EXCHANGE = "remove_retention_class", "attribute_coarsen", "k_safe_class_exchange"
 
 
@@ -32,8 +33,9 @@ class RemovalOptions:
     # None: the best exchange of every pair of class sizes; a number: so many classes on each side.
     pool: int | None = None
     max_fit_iterations: int = 300
-    # Candidates that are certified together; the result does not depend on it.
-    page: int = 48
+    # Candidates that are certified together at first, and how much larger each further page is; the result does not depend on it.
+    page: int = 12
+    growth: int = 4
 
 
 @dataclass
@@ -120,8 +122,8 @@ def _pooled(state: _State, keys: Sequence[str], pool: int) -> DataFrame:
         "next_min_classes", F.when(F.col("next_k") > least.min_k, 0).otherwise(after).cast("bigint"))
 
 
-def _in_order(search: Search, ranked: DataFrame, page: int) -> Iterator[list[Row]]:
-    """Candidates by estimated cost, a bounded page at a time, resumed behind the last one; they are written when a second page is asked for."""
+def _in_order(search: Search, ranked: DataFrame, page: int, growth: int) -> Iterator[list[Row]]:
+    """Candidates by estimated cost, a bounded page at a time (at most MAX_PAGE), resumed behind the last one; they are written when a second page is asked for."""
     order = F.struct("fast_cost", "next_active_rows", "action", "candidate")
     rows = ranked.withColumn("_order", order).orderBy("_order").limit(int(page)).collect()
     if rows:
@@ -132,6 +134,7 @@ def _in_order(search: Search, ranked: DataFrame, page: int) -> Iterator[list[Row
     ordered = written.withColumn("_order", order)
     kinds = ordered.schema["_order"].dataType.fields
     while len(rows) == page:
+        page = min(MAX_PAGE, page * growth)
         last = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(rows[-1]["_order"], kinds)])
         rows = ordered.where(F.col("_order") > last).orderBy("_order").limit(int(page)).collect()
         if rows:
@@ -148,11 +151,11 @@ class _Move:
     out: tuple | None = None
     into: tuple | None = None
 
-    def members(self, search: Search, at: Mapping[str, int]) -> K.Members:
+    def members(self, classes: tuple[np.ndarray, ...]) -> K.Members:
         def positions(c):
             return None if c is None else tuple(-1 if x is None else x for x in c)
 
-        return K.Members(K.class_positions(search.space, at), positions(self.out), positions(self.into))
+        return K.Members(classes, positions(self.out), positions(self.into))
 
 
 def _move(search: Search, state: _State, row: Row) -> _Move:
@@ -198,7 +201,7 @@ def removal_search(train: DataFrame, val: DataFrame, forest: Forest, label: str,
     Each iteration orders all candidates by estimated cost, certifies them in batches of
     `rank_top_k` by refitting the proxy, and takes the best ratio of the first batch with a
     feasible one (ties: progress, loss, rows, action, id). It ends when no candidate is feasible.
-    A page of candidates is refitted at once, each from zeros.
+    A page of candidates is refitted at once.
     """
     search = Search(train, val, None, forest, label, MinimizeOptions(tolerance=options.tolerance, max_fit_iterations=options.max_fit_iterations))
     cells = search.scratch.save(search.cells.withColumn("active", F.lit(True)))
@@ -213,7 +216,7 @@ def removal_search(train: DataFrame, val: DataFrame, forest: Forest, label: str,
     limits = int(first.limit_reached)
     for iteration in range(options.max_iterations):
         best, batch, seen = None, [], 0
-        for page in _in_order(search, _ranked(search, state, options), options.page):
+        for page in _in_order(search, _ranked(search, state, options), options.page, options.growth):
             moves = [_move(search, state, r) for r in page]
             kept = {id(m) for m in _unseen(search, state, moves, visited)}
             certified = iter(_certify(search, state, [m for m in moves if id(m) in kept], options))
@@ -265,9 +268,12 @@ def _certify(search: Search, state: _State, moves: Sequence[_Move], options: Rem
     """Refitted proxy and validation loss of every move."""
     if not moves:
         return []
-    layouts = [K.level_layout(search.space, m.levels) for m in moves]
-    fitted = K.fit(state.cells, layouts, [m.members(search, state.levels) for m in moves], search.label, search.classes, options.max_fit_iterations,
-                   lambda: _near(search, state.cells, state.levels))
+    # One object per level vector: what travels to the tasks holds it once.
+    known = {key: K.level_layout(search.space, dict(key)) for key in {tuple(m.levels.items()) for m in moves}}
+    layouts = [known[tuple(m.levels.items())] for m in moves]
+    classes = K.class_positions(search.space, state.levels)
+    fitted = K.fit(state.cells, layouts, [m.members(classes) for m in moves], search.label, search.classes, options.max_fit_iterations,
+                   lambda: _near(search, state.cells, state.levels), start=state.params)
     return list(zip(fitted, K.losses(search.val, [f.params for f in fitted], layouts, search.label, search.classes)))
 
 

@@ -119,7 +119,8 @@ def sweep_points(train: DataFrame, val: DataFrame, forest: Forest, label: str, s
         d, s = dist[prefix], stats[prefix]
         out.append({"variant": variant, "k": int(k), "min_k": d["leak_k"], "leak_k_p1": d["leak_k_p1"], "class_count": d["class_count"],
                     "tail_risk_p99": -math.log(d["risk_k"]), "validation_loss": loss, "fallback_count": s["fallback_count"],
-                    "widened_count": s["widened_count"], "review_needed": s["review_needed"], "limit_reached": model.limit_reached})
+                    "widened_count": s["widened_count"], "review_needed": s["review_needed"], "limit_reached": model.limit_reached,
+                    "record_count": d["record_count"], "routed_count": s["population"]})
     scratch.drop(cells, routed, tried, fitted.cells, fitted.nodes)
     return out
 
@@ -137,6 +138,6 @@ def mondrian_sweep(train: DataFrame, val: DataFrame, forest: Forest, label: str,
     space = FeatureSpace(forest).fit(train)
     found = sweep_points(train, val, forest, label, space, [(v, int(k)) for v in variants for k in ks], max_iter)
     return train.sparkSession.createDataFrame(
-        [tuple(r.values()) for r in found],
+        [tuple(list(r.values())[:11]) for r in found],
         "variant string, k bigint, min_k bigint, leak_k_p1 double, class_count bigint, tail_risk_p99 double, validation_loss double, "
         "fallback_count bigint, widened_count bigint, review_needed boolean, limit_reached boolean")

@@ -65,7 +65,7 @@ def test_the_loop(spark, halves):
 
 def test_the_page_does_not_matter(spark, halves):
     train, val = halves
-    one, two = (V.removal_search(train, val, FOREST, "label", V.RemovalOptions(max_iterations=4, tolerance=0.004, page=p)) for p in (48, 3))
+    one, two = (V.removal_search(train, val, FOREST, "label", V.RemovalOptions(max_iterations=4, tolerance=0.004, page=p, growth=g)) for p, g in ((12, 4), (3, 1)))
     assert steps(one) == steps(two)
 
 

@@ -540,13 +540,13 @@ def takes_newton(layout: Layout, rows: int) -> bool:
 
 def fit(
     cells: DataFrame, layouts: Sequence[Layout], members: Sequence[Members], label: str, classes: int, max_iter: int,
-    near: Callable[[], Callable[[np.ndarray], np.ndarray]], group: str | None = None, start: np.ndarray | None = None,
+    near: Callable[[], Callable[[np.ndarray], np.ndarray]], group: str | None = None,
 ) -> list[Fitted]:
-    """Unregularized logistic fits of all models, a job per step for those that are still open; of equal optima the smallest parameters.
+    """Unregularized logistic fits of all models from zeros, a job per step for those that are still open.
 
-    Models of few parameters take Newton steps from sums per pair of codes, from `start` if given; at the end they lose what the rows do not
-    determine, so the result does not depend on the start. Others take quasi-Newton steps from zeros; `near()` then gives the inverse curvature that
-    all start from. A model that has seen `max_iter` steps without meeting the tolerance is returned as it is, with `limit_reached`; one
+    Models of few parameters take Newton steps from sums per pair of codes and end at the smallest of equal optima. Others take quasi-Newton
+    steps; `near()` then gives the inverse curvature that all start from. Where labels are separable there is no optimum, and the
+    tolerance ends the steps: that is why no fit starts from another one. A model that has seen `max_iter` steps without meeting the tolerance is returned as it is, with `limit_reached`; one
     without cells keeps zeros and weight 0.
     """
     if not layouts:
@@ -555,12 +555,11 @@ def fit(
     zeros = np.zeros((rows, layouts[0].width + 1))
     newton = takes_newton(layouts[0], rows)
     first_step = (lambda g: g) if newton else near()
-    begin = start if newton and start is not None else zeros
-    first = sums(cells, [begin] * len(layouts), layouts, members, label, classes, group=group, second=newton)
+    first = sums(cells, [zeros] * len(layouts), layouts, members, label, classes, group=group, second=newton)
     runs = []
     for s in first:
         w = s.weight or 1.0
-        run = _Run((begin if s.weight else zeros).reshape(-1).copy(), s.loss / w, (s.gradient / w).reshape(-1), first_step, h=None if s.second is None else s.second / w)
+        run = _Run(zeros.reshape(-1).copy(), s.loss / w, (s.gradient / w).reshape(-1), first_step, h=None if s.second is None else s.second / w)
         if not s.weight or np.abs(run.g).max(initial=0.0) <= TOLERANCE:
             run.state = "done"
         elif max_iter <= 0:
@@ -576,9 +575,6 @@ def fit(
         found = sums(cells, tries, [layouts[i] for i in open_], [members[i] for i in open_], label, classes, group=group, second=newton)
         for i, s in zip(open_, found):
             runs[i].take(s.loss / s.weight, (s.gradient / s.weight).reshape(-1), max_iter, None if s.second is None else s.second / s.weight)
-    for r, s in zip(runs, first):
-        if r.h is not None and s.weight:
-            r.x = np.linalg.pinv(r.h, rcond=1e-10, hermitian=True) @ (r.h @ r.x)
     return [Fitted(r.x.reshape(zeros.shape), r.f, s.weight, s.labels, r.steps, r.state == "limit") for r, s in zip(runs, first)]
 
 

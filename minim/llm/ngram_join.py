@@ -235,7 +235,7 @@ def _meeting(classes: DataFrame, rule: Rule) -> DataFrame:
     return met.join(classes.select("node", "n", "_of.s1", "_of.s2"), ["node", "n"]).select("node", "n", "s1", "s2", "pos", "gram")
 
 
-def _verify(pairs: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
+def _verify(pairs: DataFrame, documents: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """`u, v, linked` of each pair; only the sets of its documents are built, once each.
 
     Of a pair the node with more pairs is the hub. Its partners are dealt into buckets of about PARTNERS by their hash; a bucket gets the hub's set
@@ -252,12 +252,16 @@ def _verify(pairs: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
     marked = marked.select(hub.alias("hub"), F.pmod(F.xxhash64(node), buckets).alias("bucket"), node.alias("node"))
     asked = marked.select("hub", "bucket", "node", F.lit(False).alias("own")).union(
         marked.select("hub", "bucket", F.col("hub").alias("node"), F.lit(True).alias("own")).distinct())
-    sets = _sets(documents, sides.select("node"), rule)
+    # Written, so that its size is known: sets are only moved for a join with it where it is large.
+    asked = scratch.save(asked)
+    sets = _sets(documents, asked.select("node").distinct(), rule)
     both = (asked.join(sets, "node").select("hub", "bucket", "node", "own", "grams")
             .repartition(partitions_of(pairs), "hub", "bucket").sortWithinPartitions("hub", "bucket", F.desc("own")))
     small_batches(pairs.sparkSession, 100)
     # A partner of several sets has a row for each.
-    return both.mapInArrow(_verified(rule), "u long, v long, linked boolean").groupBy("u", "v").agg(F.max("linked").alias("linked"))
+    found = scratch.save(both.mapInArrow(_verified(rule), "u long, v long, linked boolean").groupBy("u", "v").agg(F.max("linked").alias("linked")))
+    scratch.drop(asked)
+    return found
 
 
 def _node() -> Column:
@@ -325,7 +329,7 @@ def ngram_classes(documents: DataFrame, rule: Rule) -> tuple[DataFrame, DataFram
         for done in tested:
             pairs = pairs.join(done.select("u", "v"), ["u", "v"], "left_anti")
         pairs = scratch.save(pairs)
-        tested.append(scratch.save(_verify(pairs, documents, rule)))
+        tested.append(_verify(pairs, documents, rule, scratch))
         scratch.drop(left, pairs)
         links = reduce(DataFrame.union, [t.where("linked").select("u", "v") for t in tested])
         progress = not tested[-1].where("linked").isEmpty()

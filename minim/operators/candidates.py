@@ -11,14 +11,19 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minim.functions.ordering import seeded_key, unit_interval
-from minim.operators.keyed import attach, first_rows
+from minim.operators.keyed import attach, first_rows, running_sums
+from minim.session import Scratch
 
 PAGE = 4096
+# Classes that the swap holds on the driver before their state is written back; a class takes about a kilobyte there.
+TOUCHED = 50_000
+LIMIT_REACHED = "limit_reached"
 # Shares of a type in the first step of `top_k_per_type`.
 SHARES = 256
 
@@ -204,34 +209,59 @@ class _Frontier:
         return best
 
 
+@dataclass(frozen=True)
+class OpenRound:
+    """A round that the limit interrupted: its class and size, the groups coming in, and the rows dropped so far."""
+
+    cls: tuple
+    size: int
+    entering: list[int]
+    dropped: int
+
+
 @dataclass(frozen=True)
 class SwapResult:
-    """`moves`: (class, starting rows stay selected, open rows become selected, round of the last move-in)."""
+    """What a swap did; `rounds` counts finished rounds.
+
+    `moves`: (class, starting rows stay selected, open rows become selected, round of the last move-in).
+    `table`: the same as columns, where the driver does not hold all moves. `touched`: the states behind `moves`.
+    """
 
     moves: list[tuple]
     rounds: int
     moved_out: int
     moved_in: int
     reason: str
+    table: DataFrame | None = None
+    touched: Mapping[tuple, SwapClass] | None = None
+    interrupted: OpenRound | None = None
 
 
 def swap(small: Iterator[tuple], large: Iterator[tuple], n_selected: int, n_rows: int,
-         next_batch: int = 1, max_rounds: int | None = None) -> SwapResult:
+         next_batch: int = 1, max_rounds: int | None = None, limit: int | None = None) -> SwapResult:
     """Exchange small selected classes for large unselected ones.
 
     Both streams yield `(class, SwapClass)`: `small` by `(selected rows, first order)`, `large` by
     `(-open rows, first position)`. Each round takes the largest open class (size b) and drops the
     smallest selected classes while their sum stays within b; it ends when the smallest selected
     class is not smaller than b, or after `max_rounds` if that is given. The streams are read only as far as the rounds reach.
+    With a `limit` it stops once that many classes are touched, in the middle of a round if need be (`interrupted`).
     """
     touched: dict = {}
     least = _Frontier(iter(small), touched, "small_key")
     most = _Frontier(iter(large), touched, "large_key")
     last_in: dict = {}
     rounds = moved_out = moved_in = 0
+    interrupted = None
+
+    def full() -> bool:
+        return limit is not None and len(touched) >= limit
 
     reason = "max_rounds"
     while max_rounds is None or rounds < max_rounds:
+        if full():
+            reason = LIMIT_REACHED
+            break
         if n_selected >= n_rows:
             reason = "no_candidates"
             break
@@ -261,11 +291,18 @@ def swap(small: Iterator[tuple], large: Iterator[tuple], n_selected: int, n_rows
             entry = least.top()
             if entry is None or total + entry[0][0] > b:
                 break
+            if full():
+                interrupted = OpenRound(incoming, b, entering, total)
+                break
             state = touched.setdefault(entry[1], entry[2])
             for g in state.groups(True):
                 state.selected[g] = False
             dropped.append(entry[1])
             total += entry[0][0]
+        if interrupted:
+            moved_out += total
+            reason = LIMIT_REACHED
+            break
         state = touched[incoming]
         for g in entering:
             state.selected[g] = True
@@ -279,7 +316,7 @@ def swap(small: Iterator[tuple], large: Iterator[tuple], n_selected: int, n_rows
         n_selected += b - total
         rounds += 1
     moves = [(cls, st.selected[0], st.selected[1], last_in.get(cls)) for cls, st in sorted(touched.items())]
-    return SwapResult(moves, rounds, moved_out, moved_in, reason)
+    return SwapResult(moves, rounds, moved_out, moved_in, reason, touched=touched, interrupted=interrupted)
 
 
 def swap_table(rows: DataFrame, keys: Sequence[str], key: str = "_key", selected: str = "selected",
@@ -304,38 +341,135 @@ def _plain(cls: tuple) -> tuple:
     return tuple(v if known else None for known, v in cls)
 
 
-def _pages(table: DataFrame, keys: Sequence[str], order: Sequence[Column], page: int) -> Iterator[tuple]:
-    """Classes in order, one bounded sort of `page` rows at a time, resumed after the last key."""
-    ordered = table.withColumn("_o", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)], *keys))
+def _swap_state(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Both groups of every class at the start: rows, order and first position, and whether they are selected."""
+    order = table.schema["first_order"].dataType
+    return table.select(
+        *keys, F.col("n_selected").alias("_c0"), F.col("n_open").alias("_c1"),
+        F.col("first_order").alias("_o0"), F.lit(None).cast(order).alias("_o1"),
+        F.col("first_selected").alias("_p0"), F.col("first_open").alias("_p1"),
+        F.lit(True).alias("keep"), F.lit(False).alias("take"), F.lit(None).cast("int").alias("round"), F.lit(False).alias("_touched"))
+
+
+def _selected_classes(state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Classes with selected movable rows: `_size`, and `_o` as the order in which they are dropped."""
+    mine = [F.col("keep") & (F.col("_c0") > 0), F.col("take") & (F.col("_c1") > 0)]
+    first = F.least(F.when(mine[0], F.col("_o0")), F.when(mine[1], F.col("_o1")))
+    size = F.when(mine[0], F.col("_c0")).otherwise(0) + F.when(mine[1], F.col("_c1")).otherwise(0)
+    sized = state.withColumns({"_size": size, "_first": first})
+    return sized.withColumn("_o", F.struct("_size", F.col("_first.batch").alias("_batch"), F.col("_first.key").alias("_key"), *keys)).drop("_first")
+
+
+def _open_classes(state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Classes with open rows, and `_o` as the order in which they come in."""
+    free = [~F.col("keep") & (F.col("_c0") > 0), ~F.col("take") & (F.col("_c1") > 0)]
+    first = F.least(F.when(free[0], F.col("_p0")), F.when(free[1], F.col("_p1")))
+    size = F.when(free[0], F.col("_c0")).otherwise(0) + F.when(free[1], F.col("_c1")).otherwise(0)
+    sized = state.withColumn("_size", size)
+    return sized.withColumn("_o", F.struct((-F.col("_size")).alias("_rank"), first.alias("_first"), *keys))
+
+
+def _bound(table: DataFrame, values: Sequence) -> Column:
+    """Values of `_o` as a literal of its type."""
+    return F.struct(*[F.lit(v).cast(f.dataType) for v, f in zip(values, table.schema["_o"].dataType.fields)])
+
+
+def _pages(ordered: DataFrame, keys: Sequence[str], page: int) -> Iterator[tuple]:
+    """Classes of a positive `_size` by `_o`, one bounded sort of `page` rows at a time, resumed after the last key."""
     last = None
     while True:
-        part = ordered
+        part = ordered.where(F.col("_size") > 0)
         if last is not None:
-            part = part.where(F.col("_o") > F.struct(*[
-                F.lit(v).cast(f.dataType) for v, f in zip(last, ordered.schema["_o"].dataType.fields)]))
+            part = part.where(F.col("_o") > _bound(ordered, last))
         rows = part.orderBy("_o").limit(page).collect()
         for r in rows:
-            first = (r["first_order"]["batch"], r["first_order"]["key"]) if r["first_order"] else None
-            yield _sortable(r[k] for k in keys), SwapClass(r["n_selected"], first, r["first_selected"], r["n_open"], r["first_open"])
+            cls = SwapClass(r["_c0"], None, r["_p0"], r["_c1"], r["_p1"])
+            cls.order = [tuple(o) if o else None for o in (r["_o0"], r["_o1"])]
+            cls.selected = [r["keep"], r["take"]]
+            yield _sortable(r[k] for k in keys), cls
         if len(rows) < page:
             return
         last = list(rows[-1]["_o"])
 
 
-def swap_classes(table: DataFrame, keys: Sequence[str], next_batch: int, max_rounds: int | None = None, page: int = PAGE) -> SwapResult:
-    """`swap` over a written class table; pages of extreme classes are fetched as they are needed."""
+def _write_back(state: DataFrame, keys: Sequence[str], result: SwapResult) -> DataFrame:
+    """The class state with the touched classes of one pass put in; they are at most `limit` and one, so they are broadcast."""
+    kinds = {f.name: f.dataType.simpleString() for f in state.schema.fields}
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"_new struct<keep: boolean, take: boolean, o0: {kinds['_o0']}, o1: {kinds['_o1']}, round: int>"])
+    rows = [(*_plain(cls), (keep, take, *result.touched[cls].order, rnd)) for cls, keep, take, rnd in result.moves]
+    delta = state.sparkSession.createDataFrame(rows, schema)
+    named = delta.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_new")
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    new = F.col("_new").isNotNull()
+    return state.join(F.broadcast(named), on, "left").withColumns({
+        "keep": F.when(new, F.col("_new.keep")).otherwise(F.col("keep")),
+        "take": F.when(new, F.col("_new.take")).otherwise(F.col("take")),
+        "_o0": F.when(new, F.col("_new.o0")).otherwise(F.col("_o0")),
+        "_o1": F.when(new, F.col("_new.o1")).otherwise(F.col("_o1")),
+        "round": F.coalesce("_new.round", "round"),
+        "_touched": F.col("_touched") | new}).select(*state.columns)
+
+
+def _finish_round(state: DataFrame, keys: Sequence[str], cut: OpenRound, number: int) -> tuple[DataFrame, int]:
+    """The rest of an interrupted round, and the rows it drops.
+
+    Running sums over the range-partitioned order find the last class that fits. Only that
+    watermark reaches the driver; the round is then a projection of the state.
+    """
+    ordered = _selected_classes(state, keys)
+    classes = ordered.where(F.col("_size") > 0).select("_o", "_size")
+    fits = running_sums(classes, [], "_o", ["_size"], classes.count()).where(F.col("_size_upto") <= cut.size - cut.dropped)
+    last = fits.agg(F.max("_o").alias("o"), F.coalesce(F.sum("_size"), F.lit(0)).alias("n")).first()
+    leaves = F.lit(False) if last["o"] is None else (F.col("_size") > 0) & (F.col("_o") <= _bound(ordered, list(last["o"])))
+    comes = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v).cast(state.schema[k].dataType)) for k, v in zip(keys, _plain(cut.cls))])
+    order = F.struct(F.lit(number).alias("batch"), F.lit("").alias("key")).cast(state.schema["_o0"].dataType)
+    made = {"round": F.when(comes, F.lit(number)).otherwise(F.col("round")), "_touched": F.col("_touched") | leaves | comes}
+    for g, flag in enumerate(("keep", "take")):
+        enters = comes if g in cut.entering else F.lit(False)
+        made[flag] = F.when(enters, True).when(leaves, False).otherwise(F.col(flag))
+        made[f"_o{g}"] = F.when(enters, order).otherwise(F.col(f"_o{g}"))
+    return ordered.withColumns(made).select(*state.columns), last["n"]
+
+
+def swap_classes(table: DataFrame, keys: Sequence[str], next_batch: int, max_rounds: int | None = None, page: int = PAGE,
+                 limit: int = TOUCHED) -> SwapResult:
+    """`swap` over a written class table, with at most `limit` touched classes and two pages on the driver.
+
+    Once that many are touched, their state is written into the class table and the swap goes on
+    from there. A round that drops more classes than that is ended by running sums. The result is
+    the same for every `page` and `limit`.
+    """
     one = table.agg(F.sum(F.col("n_selected") + F.col("n_exempt")).alias("s"),
                     F.sum(F.col("n_selected") + F.col("n_exempt") + F.col("n_open")).alias("n")).first()
-    small = table.where(F.col("n_selected") > 0)
-    large = table.where(F.col("n_open") > 0)
-    return swap(
-        _pages(small, keys, [F.col("n_selected"), F.col("first_order.batch"), F.col("first_order.key")], page),
-        _pages(large, keys, [-F.col("n_open"), F.col("first_open")], page),
-        one["s"] or 0, one["n"] or 0, next_batch, max_rounds)
+    n_selected, n_rows = one["s"] or 0, one["n"] or 0
+    scratch = Scratch(table.sparkSession, "swap-state")
+    state, stored = _swap_state(table, keys), None
+    rounds = moved_out = moved_in = 0
+    while True:
+        left = None if max_rounds is None else max_rounds - rounds
+        part = swap(_pages(_selected_classes(state, keys), keys, page), _pages(_open_classes(state, keys), keys, page),
+                    n_selected, n_rows, next_batch + rounds, left, limit)
+        rounds, moved_out, moved_in = rounds + part.rounds, moved_out + part.moved_out, moved_in + part.moved_in
+        n_selected += part.moved_in - part.moved_out
+        if stored is None and part.reason != LIMIT_REACHED:
+            # One pass was enough: its moves are the result.
+            return part
+        if part.moves:
+            state = stored = scratch.replace(stored, _write_back(state, keys, part))
+        if part.interrupted:
+            finished, dropped = _finish_round(state, keys, part.interrupted, next_batch + rounds)
+            state = stored = scratch.replace(stored, finished)
+            rounds, moved_out, moved_in = rounds + 1, moved_out + dropped, moved_in + part.interrupted.size
+            n_selected += part.interrupted.size - dropped
+        if part.reason != LIMIT_REACHED:
+            moves = state.where("_touched").select(*keys, "keep", "take", "round")
+            return SwapResult([], rounds, moved_out, moved_in, part.reason, table=moves)
 
 
 def moves_table(spark, keys: Sequence[str], kinds: Sequence[str], result: SwapResult) -> DataFrame:
     """The swap's moves as a table on the class keys."""
+    if result.table is not None:
+        return result.table
     schema = ", ".join([f"`{k}` {t}" for k, t in zip(keys, kinds)] + ["keep boolean", "take boolean", "round int"])
     return spark.createDataFrame([(*_plain(cls), keep, take, rnd) for cls, keep, take, rnd in result.moves], schema)
 

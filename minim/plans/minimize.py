@@ -199,7 +199,7 @@ def refine(search: Search, state: DataFrame, levels: Mapping[str, int], batch: i
     before = table.agg(F.sum(F.col("n_selected") + F.col("n_exempt")).alias("n")).first()["n"] or 0
     result = G.swap_classes(table, keys, batch, options.max_swap_rounds)
     stats = {"moved_out": result.moved_out, "moved_in": result.moved_in, "reason": result.reason, "rounds": result.rounds}
-    if result.moves:
+    if result.rounds:
         kinds = [rows.schema[k].dataType.simpleString() for k in keys]
         rows = search.scratch.save(G.apply_moves(rows, table, G.moves_table(search.spark, keys, kinds, result), keys))
         table = search.scratch.save(G.swap_table(rows, keys))

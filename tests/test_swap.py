@@ -84,3 +84,32 @@ def test_swap_on_spark_reads_pages(spark):
     result = G.swap_classes(table, ["cls"], 1, page=2)
     moved = G.apply_moves(df, table, G.moves_table(spark, ["cls"], ["string"], result), ["cls"])
     assert {r[0] for r in moved.where(F.col("selected")).select("_key").collect()} == model(rows, 3000)
+
+
+def test_swap_state_is_written_back_at_any_limit(spark):
+    """Every limit gives the rows of the row model, with nulls in the key; a limit of 1 ends each round on Spark."""
+    for seed, limit in [(1, 1), (2, 2), (3, 3), (4, 1), (5, 5)]:
+        rng = random.Random(seed)
+        rows = state(rng, 30, 90)
+        df = spark.createDataFrame([(None if c == 3 else str(c), s, e, p, 0) for c, s, e, p in rows], "cls string, selected boolean, exempt boolean, _key string, batch int").cache()
+        table = G.swap_table(df, ["cls"]).cache()
+        whole = G.swap_classes(table, ["cls"], 1)
+        result = G.swap_classes(table, ["cls"], 1, page=3, limit=limit)
+        assert (result.rounds, result.moved_out, result.moved_in, result.reason) == (whole.rounds, whole.moved_out, whole.moved_in, whole.reason)
+        moved = G.apply_moves(df, table, G.moves_table(spark, ["cls"], ["string"], result), ["cls"])
+        assert {r[0] for r in moved.where(F.col("selected")).select("_key").collect()} == model(rows, 3000), (seed, limit)
+        listed = [sorted(map(str, G.moves_table(spark, ["cls"], ["string"], r).collect())) for r in (whole, result)]
+        assert listed[0] == listed[1]
+
+
+def test_swap_round_of_many_small_classes(spark):
+    """One open class as large as thousands of single-row classes: the driver holds ten of them."""
+    df = spark.range(6000).select(
+        F.when(F.col("id") < 3000, F.lit(-1)).otherwise(F.col("id")).alias("cls"), (F.col("id") >= 3000).alias("selected"),
+        F.lit(False).alias("exempt"), F.lpad(F.col("id").cast("string"), 6, "0").alias("_key"), F.lit(0).alias("batch"))
+    table = G.swap_table(df, ["cls"]).cache()
+    result = G.swap_classes(table, ["cls"], 1, page=20, limit=10)
+    assert (result.rounds, result.moved_out, result.moved_in) == (1, 3000, 3000)
+    assert result.table.where(~F.col("keep")).count() == 3000
+    empty = G.swap_classes(table.limit(0), ["cls"], 1)
+    assert (empty.rounds, empty.moves) == (0, [])

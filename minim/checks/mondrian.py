@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from minim.checks import query
 from minim.checks.classes import rounded
-from minim.checks.tables import PARTS, PEOPLE, PEOPLE_LEVELS, QIS, SEED, parts, people, people_forest
+from minim.checks.tables import PARTS, PEOPLE, PEOPLE_LEVELS, QIS, SEED, parts, people, people_forest, table
 from minim.operators import mondrian as M
 from minim.operators import partitions as U
 
@@ -55,6 +55,18 @@ def validate_partition(spark, sf_dir):
     return U.validate_partition(df, U.partition_random(df, 64, SEED))
 
 
+@query("validate_faulty_partition", f"""WITH {PEOPLE} SELECT count(*) FILTER (WHERE segment = 'MACHINERY') AS overlapping,
+  count(*) FILTER (WHERE segment = 'BUILDING') AS uncovered, count(*) FILTER (WHERE segment = 'FURNITURE') AS unknown FROM pop""")
+def validate_faulty_partition(spark, sf_dir):
+    """A plan without one segment's rows, with another's in two units, and with a third's under ids that no row has."""
+    df = people(spark, sf_dir).select("row_id", "segment")
+    units = U.partition_random(df, 64, SEED)
+    twice = units.where("segment = 'MACHINERY'").withColumn("unit", F.col("unit") + 64)
+    strange = units.where("segment = 'FURNITURE'").withColumn("row_id", -F.col("row_id") - 1)
+    plan = units.where("segment <> 'BUILDING'").unionByName(twice).unionByName(strange)
+    return U.validate_partition(df, plan)
+
+
 @query("start_unit", f"""WITH {PEOPLE} SELECT segment AS unit, count(*) AS rows FROM pop GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1""")
 def start_unit(spark, sf_dir):
     return U.start_unit(people(spark, sf_dir).select("row_id", F.col("segment").alias("unit")))
@@ -106,4 +118,28 @@ def partition_summary(spark, sf_dir):
                       F.array_join("segment__values", ",").alias("segment__values"))
 
 
+CUSTOMER_SETS = """d AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM orders WHERE o_custkey IS NOT NULL)),
+p AS (SELECT DISTINCT o_orderpriority AS partition, CAST(o_custkey AS VARCHAR) AS v FROM orders WHERE o_custkey IS NOT NULL)"""
+
+
+def _customers(spark, sf_dir):
+    """Orders by priority, with the customer as a category of many values."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("partition"), F.col("o_custkey").cast("string").alias("customer"))
+
+
+@query("partition_value_bits", f"""WITH {CUSTOMER_SETS}
+SELECT partition, code // 63 AS chunk, bit_or(1::BIGINT << (code % 63)) AS bits FROM p JOIN d USING (v) GROUP BY 1, 2""")
+def partition_value_bits(spark, sf_dir):
+    out = M.partition_summary(_customers(spark, sf_dir), [], ["customer"], sets=M.BITS)
+    return out.select("partition", F.explode("customer__bits").alias("c")).select("partition", "c.chunk", "c.bits")
+
+
+@query("partition_set_members", f"""WITH {CUSTOMER_SETS}
+SELECT partition, v AS value, 1.0::DOUBLE / count(*) OVER (PARTITION BY partition) AS weight FROM p""")
+def partition_set_members(spark, sf_dir):
+    df = _customers(spark, sf_dir)
+    dictionary = M.value_dictionary(df, "customer")
+    return M.set_members(M.value_bitmaps(df, "customer", dictionary), "customer", dictionary)
+
+
 __all__ = ["QIS", "rounded"]

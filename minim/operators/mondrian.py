@@ -17,6 +17,9 @@ from minim.session import Scratch
 
 # Passes whose cuts are joined from memory before the cells are written again.
 PASSES_PER_WRITE = 3
+VALUES, BITS = "values", "bits"
+# Codes per chunk of a value set: the bits of a long without its sign.
+CHUNK = 63
 
 
 def frequency_ranks(cells: DataFrame, attr: str) -> DataFrame:
@@ -128,32 +131,72 @@ def mondrian(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
     return attach(df, cells, [*numeric, *categorical], "n").drop("n")
 
 
-def mondrian_recode(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], partition: str = "partition") -> DataFrame:
+def mondrian_recode(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], partition: str = "partition", sets: str = VALUES) -> DataFrame:
     """Local recoding: partition mean for numbers, the set of distinct values for categories.
 
-    A category's published value is its sorted value list, each with weight 1 / length.
+    A category's published value is its sorted value list, each with weight 1 / length. With
+    `sets="bits"` it is the list's bitmap (`value_bitmaps`), so that a row carries bits and no strings.
     """
-    summary = _collapse(df, numeric, categorical, partition)
+    summary = partition_summary(df, numeric, categorical, partition, sets)
     table = summary.select(
         partition, "size",
         *[F.coalesce(F.col(f"{q}__mean"), F.lit(0.0)).alias(f"{q}__pub") for q in numeric],
-        *[F.col(f"{q}__values").alias(f"{q}__pub") for q in categorical])
+        *[F.col(f"{q}__{sets}").alias(f"{q}__pub") for q in categorical])
     return attach(df, table, [partition], "size").drop("size")
 
 
-def partition_summary(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], partition: str = "partition") -> DataFrame:
-    """Per partition: size, min/max/mean of numbers, sorted distinct values of categories."""
-    return _collapse(df, numeric, categorical, partition)
+def partition_summary(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], partition: str = "partition", sets: str = VALUES) -> DataFrame:
+    """Per partition: size, min/max/mean of numbers, and the distinct values of categories.
 
-
-def _collapse(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], partition: str) -> DataFrame:
-    """One pass; value sets are built from partial sets, so a large partition ships its dictionary only."""
+    `sets="values"` returns sorted lists `<attr>__values`, for dictionaries of a size that a row can
+    hold; `sets="bits"` returns `<attr>__bits`, a bit for each dictionary entry.
+    """
+    if sets not in (VALUES, BITS):
+        raise ValueError(f"sets must be {VALUES!r} or {BITS!r}")
     aggs = [F.count(F.lit(1)).alias("size")]
     for q in numeric:
         aggs += [F.min(q).cast("double").alias(f"{q}__min"), F.max(q).cast("double").alias(f"{q}__max"),
                  F.avg(q).alias(f"{q}__mean")]
-    aggs += [F.sort_array(F.collect_set(q)).alias(f"{q}__values") for q in categorical]
-    return df.groupBy(partition).agg(*aggs)
+    if sets == VALUES:
+        aggs += [F.sort_array(F.collect_set(q)).alias(f"{q}__values") for q in categorical]
+    out = df.groupBy(partition).agg(*aggs)
+    for q in categorical if sets == BITS else ():
+        bits = value_bitmaps(df, q, value_dictionary(df, q), partition).withColumnRenamed(partition, "_set_of")
+        out = out.join(bits, F.col(partition).eqNullSafe(F.col("_set_of")), "left").drop("_set_of")
+        out = out.withColumn(f"{q}__bits", F.coalesce(f"{q}__bits", F.array().cast(bits.schema[f"{q}__bits"].dataType)))
+    return out
+
+
+def value_dictionary(df: DataFrame, attr: str) -> DataFrame:
+    """The distinct values of a category: `value`, `code` (0-based, in value order) and `n` rows. NULL has no code."""
+    counts = df.where(F.col(attr).isNotNull()).groupBy(F.col(attr).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    scratch = Scratch(df.sparkSession, "dictionary")
+    return scratch.save(dense_index(scratch.save(counts), [], ["value"], "code"))
+
+
+def value_bitmaps(df: DataFrame, attr: str, dictionary: DataFrame, partition: str = "partition") -> DataFrame:
+    """Per partition the set of values as `<attr>__bits`: (chunk, bits) in order, `CHUNK` codes a chunk.
+
+    Chunks are or-ed before and after the shuffle, and strings only meet the dictionary: a partition
+    that holds a dictionary of a million values is 16,000 chunks. A partition of NULLs only has no row.
+    """
+    pairs = df.where(F.col(attr).isNotNull()).groupBy(partition, attr).agg(F.count(F.lit(1)).alias("_rows"))
+    codes = dictionary.select(F.col("value").alias(attr), "code", F.col("n").alias("_weight"))
+    coded = attach(pairs, codes, [attr], "_weight", how="inner")
+    bit = F.expr(f"shiftleft(1L, cast(code % {CHUNK} as int))")
+    chunks = coded.groupBy(partition, F.floor(F.col("code") / CHUNK).alias("chunk")).agg(F.bit_or(bit).alias("bits"))
+    return chunks.groupBy(partition).agg(F.sort_array(F.collect_list(F.struct("chunk", "bits"))).alias(f"{attr}__bits"))
+
+
+def set_members(bitmaps: DataFrame, attr: str, dictionary: DataFrame, partition: str = "partition") -> DataFrame:
+    """A bitmap's values as rows `(partition, value, weight)`, the weight being 1 / number of values."""
+    size = F.aggregate(f"{attr}__bits", F.lit(0), lambda n, c: n + F.bit_count(c["bits"]))
+    chunks = bitmaps.select(partition, size.alias("_size"), F.explode(f"{attr}__bits").alias("_c"))
+    places = F.filter(F.sequence(F.lit(0), F.lit(CHUNK - 1)), lambda i: F.call_function("getbit", F.col("_c.bits"), i) == 1)
+    codes = chunks.select(partition, "_size", "_c", F.explode(places).alias("_bit"))
+    coded = codes.select(partition, "_size", (F.col("_c.chunk") * CHUNK + F.col("_bit")).alias("code"))
+    named = attach(coded, dictionary, ["code"], "n", how="inner")
+    return named.select(partition, "value", (F.lit(1.0) / F.col("_size")).alias("weight"))
 
 
 def mondrian_invariants(rows: DataFrame, assigned: DataFrame, k: int, row_id: str = "row_id") -> DataFrame:

@@ -65,3 +65,22 @@ def test_hot_value_keeps_k(spark):
     df = spark.range(300).select(F.col("id").alias("row_id"), F.when(F.col("id") < 100, 7).otherwise(F.col("id") % 50).alias("a"))
     sizes = [r["count"] for r in M.mondrian(df, ["a"], [], 10).groupBy("partition").count().collect()]
     assert sum(sizes) == 300 and min(sizes) >= 10
+
+
+def test_value_sets_as_bits(spark):
+    """Bits hold the lists: several chunks, NULL values, a partition of NULLs, a NULL partition, an empty table."""
+    data = [("a", f"v{i:03d}") for i in range(0, 200, 3)] + [("b", f"v{i:03d}") for i in range(200)] * 2 + [("c", None), (None, "v199"), ("a", None)]
+    df = spark.createDataFrame(data, "partition string, cat string").withColumn("x", F.lit(1.0))
+    lists = {r["partition"]: (r["size"], r["cat__values"]) for r in M.partition_summary(df, ["x"], ["cat"]).collect()}
+    words = [f"v{i:03d}" for i in range(200)]
+    found = M.partition_summary(df, ["x"], ["cat"], sets=M.BITS).collect()
+    assert len(found) == len(lists)
+    for r in found:
+        named = [words[c["chunk"] * M.CHUNK + i] for c in r["cat__bits"] for i in range(M.CHUNK) if c["bits"] >> i & 1]
+        assert (r["size"], named) == lists[r["partition"]]
+    dictionary = M.value_dictionary(df, "cat")
+    members = M.set_members(M.value_bitmaps(df, "cat", dictionary), "cat", dictionary).collect()
+    assert sorted((str(r[0]), r[1], r[2]) for r in members) == sorted((str(p), v, 1.0 / len(vs)) for p, (_, vs) in lists.items() for v in vs)
+    recoded = M.mondrian_recode(df, ["x"], ["cat"], sets=M.BITS)
+    assert recoded.count() == len(data) and recoded.where("partition = 'c'").first()["cat__pub"] == []
+    assert M.partition_summary(df.limit(0), ["x"], ["cat"], sets=M.BITS).collect() == []

@@ -456,14 +456,23 @@ def split(spark, sf_dir):
     return rows.where("split = 'train'"), rows.where("split = 'val'"), rows.where("split = 'test'")
 
 
+_MINIMIZED: dict = {}
+
+
+def minimized(spark, sf_dir):
+    """The loop to its end with the operator's own options, run once in a session: its result and the options."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MINIMIZED:
+        train, val, _ = split(spark, sf_dir)
+        options = S.MinimizeOptions(log_path=Scratch(spark, "log").path)
+        _MINIMIZED[key] = S.minimize(train, val, people_forest(), "label", options), options
+    return _MINIMIZED[key]
+
+
 @query("minimize")
 def minimize(spark, sf_dir):
-    train, val, _ = split(spark, sf_dir)
-    # The loop runs to its end with the operator's own options.
-    options = S.MinimizeOptions(log_path=Scratch(spark, "log").path)
-    S.minimize(train, val, people_forest(), "label", options)
     # The log as the iterations appended it to storage.
-    return spark.read.parquet(options.log_path)
+    return spark.read.parquet(minimized(spark, sf_dir)[1].log_path)
 
 
 _REMOVALS: dict = {}
@@ -487,6 +496,37 @@ _SPLIT_SIZES = """sizes AS (SELECT n, t, floor(0.15::DOUBLE / 0.85::DOUBLE * (n
   SELECT n, floor(0.15::DOUBLE * n + 0.5) AS t FROM (SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_orderstatus = 'F')))"""
 
 
+@query("minimize_invariants", f"""WITH {_SPLIT_SIZES} SELECT CAST(sum(n - t - v) AS BIGINT) AS rows, 0 AS rising_losses, 0 AS uneven_counts, 0 AS steps_without_choice,
+  0 AS choices_without_gain, 0 AS better_left_out, TRUE AS release_holds, TRUE AS end_is_named FROM sizes""")
+def minimize_invariants(spark, sf_dir):
+    """Of the whole search: no row is lost, losses fall, each step took the best candidate with a gain, the release's classes reach their size."""
+    from pyspark.sql import Window
+    from minim.operators.classes import size_histogram
+    found, options = minimized(spark, sf_dir)
+    total = found.state.count()
+    steps, log = S.iteration_table(spark, found), spark.read.parquet(options.log_path)
+    # One row per iteration.
+    before = F.lag("validation_loss").over(Window.orderBy("iteration"))
+    falls = steps.withColumn("_before", before).agg(
+        F.count(F.when(F.col("validation_loss") >= F.col("_before"), 1)).cast("int").alias("rising_losses"),
+        F.count(F.when(F.col("row_count") + F.col("suppressed_row_count") != total, 1)).cast("int").alias("uneven_counts"))
+    best = log.groupBy("iteration").agg(F.count(F.when(F.col("selected"), 1)).alias("_chosen"), F.max(F.when(F.col("utility_gain") > 0, F.col("score"))).alias("_best"),
+                                        F.max(F.when(F.col("selected"), F.col("score"))).alias("_score"), F.min(F.when(F.col("selected"), F.col("utility_gain"))).alias("_gain"))
+    chosen = steps.select("iteration").join(best, "iteration", "left").agg(
+        F.count(F.when(F.coalesce("_chosen", F.lit(0)) != 1, 1)).cast("int").alias("steps_without_choice"),
+        F.count(F.when(F.col("_gain") <= 0, 1)).cast("int").alias("choices_without_gain"),
+        F.count(F.when(F.col("_best") > F.col("_score"), 1)).cast("int").alias("better_left_out"))
+    holds = True
+    if found.release is not None:
+        least = size_histogram(S.published_classes(found.release, people_forest())).agg(F.min("k").alias("k")).first()["k"]
+        holds = least >= found.iterations[-1]["target_k"]
+    named = {"max_iterations_reached": len(found.iterations) == options.max_iterations, "no_action_available": True,
+             "loss_threshold_met": not found.iterations or found.iterations[-1]["delta_u"] <= options.tolerance}
+    # One row each.
+    return falls.crossJoin(chosen).select(F.lit(total).cast("bigint").alias("rows"), "*", F.lit(holds).alias("release_holds"),
+                                          F.lit(named.get(found.termination, False)).alias("end_is_named"))
+
+
 @query("removal_invariants", f"""WITH {_SPLIT_SIZES} SELECT CAST(sum(n - t - v) AS BIGINT) AS rows, 0 AS steps_without_progress, 0 AS losses_beyond_tolerance,
   TRUE AS privacy_as_logged, TRUE AS end_is_named FROM sizes""")
 def removal_invariants(spark, sf_dir):

@@ -337,16 +337,23 @@ def influence_scalar(space: FeatureSpace, model: Linear, g: Gradient, levels: Ma
 def fit_logistic(vectors: DataFrame, label: str = "label", features: str = "features", weight: str | None = None,
                  classes: int = 2, max_iter: int = 100) -> Linear:
     """Unregularized logistic regression by L-BFGS; only the parameters reach the driver."""
+    return fit_logistic_reporting(vectors, label, features, weight, classes, max_iter)[0]
+
+
+def fit_logistic_reporting(vectors: DataFrame, label: str = "label", features: str = "features", weight: str | None = None,
+                           classes: int = 2, max_iter: int = 100) -> tuple[Linear, bool]:
+    """`fit_logistic`, and whether `max_iter` steps were taken before the tolerance was met."""
     estimator = LogisticRegression(
         featuresCol=features, labelCol="_label", maxIter=max_iter, regParam=0.0, standardization=False, tol=1e-6,
         family="binomial" if classes <= 2 else "multinomial")
     if weight:
         estimator = estimator.setWeightCol(weight)
     model = estimator.fit(vectors.withColumn("_label", F.col(label).cast("double")))
+    limit_reached = model.summary.totalIterations >= max_iter
     if classes <= 2:
-        return Linear((tuple(float(x) for x in model.coefficients.toArray()),), (float(model.intercept),))
+        return Linear((tuple(float(x) for x in model.coefficients.toArray()),), (float(model.intercept),)), limit_reached
     matrix = model.coefficientMatrix.toArray()
-    return Linear(tuple(tuple(float(x) for x in row) for row in matrix), tuple(float(x) for x in model.interceptVector.toArray()))
+    return Linear(tuple(tuple(float(x) for x in row) for row in matrix), tuple(float(x) for x in model.interceptVector.toArray())), limit_reached
 
 
 def fit_mlp(vectors: DataFrame, width: int, classes: int = 2, label: str = "label", seed: int = 42, max_iter: int = 100):

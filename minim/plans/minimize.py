@@ -20,7 +20,7 @@ from minim.operators import candidates as G
 from minim.operators.classes import k_distribution_from_histogram, size_histogram
 from minim.operators.hierarchy import Forest, ensure_leaves, leaf_name, max_levels
 from minim.operators.keyed import attach
-from minim.operators.models import FeatureSpace, Linear, fit_logistic, influence_scalar, mean_gradient
+from minim.operators.models import FeatureSpace, Linear, fit_logistic_reporting, influence_scalar, mean_gradient
 from minim.operators.release import (
     Release, Snapshot, close_classes, evict_low_k, leaf_cells, materialize_release, merge_exempt, node_columns, published_classes, route_eval,
 )
@@ -57,7 +57,8 @@ class MinimizeOptions:
     log_path: str | None = None
     seed: int = 42
     extras: tuple[str, ...] = ()
-    max_fit_iterations: int = 50
+    # Steps of a proxy fit; the log says where they did not suffice.
+    max_fit_iterations: int = 300
     # Optional callbacks: choose positions from ranked candidates, and score a certified one.
     shortlist: Callable[[list[dict]], Sequence[int]] | None = None
     score: Callable[[dict], float] | None = None
@@ -131,8 +132,12 @@ class Search:
 
     def fit(self, weighted: DataFrame, snapshots: Sequence[Snapshot]) -> Linear:
         """Fit on weighted rows published by `snapshot`."""
+        return self.fit_reporting(weighted, snapshots)[0]
+
+    def fit_reporting(self, weighted: DataFrame, snapshots: Sequence[Snapshot]) -> tuple[Linear, bool]:
+        """`fit`, and whether the step limit came before the tolerance."""
         made = self.space.vectors(weighted.withColumn("_weight", F.col("n").cast("double")), snapshots)
-        return fit_logistic(made, self.label, "features", "_weight", self.classes, self.options.max_fit_iterations)
+        return fit_logistic_reporting(made, self.label, "features", "_weight", self.classes, self.options.max_fit_iterations)
 
     def loss(self, model: Linear, weighted: DataFrame, snapshots: Sequence[Snapshot]) -> float:
         logits = [self.space.dot_released(w, snapshots) + F.lit(b) for w, b in zip(model.weights, model.intercepts)]
@@ -161,10 +166,10 @@ class Search:
             released = released.withColumnRenamed("_n", "n").where(F.col("snapshot").isNotNull())
             totals = released.agg(F.sum("n").alias("rows"), F.count_distinct(self.label).alias("labels")).first()
             if totals["rows"] and totals["labels"] == self.classes:
-                model = self.fit(released, release.snapshots)
+                model, limit_reached = self.fit_reporting(released, release.snapshots)
                 routed = route_eval(target.withColumnRenamed("n", "_n"), self.forest, release).drop("routed")
                 loss = self.loss(model, routed.withColumnRenamed("_n", "n"), release.snapshots)
-                result = {"release": release, "model": model, "loss": loss, "rows": totals["rows"], "target_k": target_k}
+                result = {"release": release, "model": model, "loss": loss, "rows": totals["rows"], "target_k": target_k, "limit_reached": limit_reached}
         self.certified[key] = result
         return result
 
@@ -392,6 +397,7 @@ def _certify(search, state, rows, keys, table, history, levels, cand, current_k,
     out = {"iteration": iteration, "action": cand["action"], "candidate": cand["candidate"], "rank_score": cand["rank_score"],
            "levels": next_levels, "loss": certified["loss"], "current_k": current_k, "next_k": next_k, "published_min_k": published,
            "target_k": certified["target_k"], "rounds": cand.get("rounds", 0), "row_count": certified["rows"], "utility_gain": gain, "privacy_cost": cost,
+           "limit_reached": certified["limit_reached"],
            "certified": certified, "commit": commit}
     if options.score is not None:
         out["score"] = float(options.score(out))
@@ -410,10 +416,10 @@ def candidate_log(spark, result: MinimizeResult) -> DataFrame:
 def candidate_rows(spark, candidates: Sequence[dict]) -> DataFrame:
     rows = [(c["iteration"], c["action"], str(c["candidate"]), float(c["rank_score"]), int(c["current_k"]), int(c["next_k"]),
              int(c["published_min_k"]), int(c["target_k"]), int(c["row_count"]), float(c["loss"]), float(c["utility_gain"]),
-             float(c["privacy_cost"]), float(c["score"]), bool(c["selected"])) for c in candidates]
+             float(c["privacy_cost"]), float(c["score"]), bool(c["limit_reached"]), bool(c["selected"])) for c in candidates]
     return spark.createDataFrame(rows, "iteration int, action string, candidate string, rank_score double, current_k bigint, next_k bigint, "
                                        "published_min_k bigint, target_k bigint, row_count bigint, validation_loss double, utility_gain double, "
-                                       "privacy_cost double, score double, selected boolean")
+                                       "privacy_cost double, score double, limit_reached boolean, selected boolean")
 
 
 def iteration_table(spark, result: MinimizeResult) -> DataFrame:

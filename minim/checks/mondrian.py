@@ -139,7 +139,7 @@ SELECT partition, v AS value, 1.0::DOUBLE / count(*) OVER (PARTITION BY partitio
 def partition_set_members(spark, sf_dir):
     df = _customers(spark, sf_dir)
     dictionary = M.value_dictionary(df, "customer")
-    return M.set_members(M.value_bitmaps(df, "customer", dictionary), "customer", dictionary)
+    return M.set_members(M.value_chunks(df, "customer", dictionary), "customer", dictionary)
 
 
 __all__ = ["QIS", "rounded"]

@@ -174,27 +174,42 @@ def value_dictionary(df: DataFrame, attr: str) -> DataFrame:
     return scratch.save(dense_index(scratch.save(counts), [], ["value"], "code"))
 
 
-def value_bitmaps(df: DataFrame, attr: str, dictionary: DataFrame, partition: str = "partition") -> DataFrame:
-    """Per partition the set of values as `<attr>__bits`: (chunk, bits) in order, `CHUNK` codes a chunk.
+def value_chunks(df: DataFrame, attr: str, dictionary: DataFrame, partition: str = "partition") -> DataFrame:
+    """The set of values per partition as rows `(partition, chunk, bits)`, `CHUNK` codes a chunk.
 
-    Chunks are or-ed before and after the shuffle, and strings only meet the dictionary: a partition
-    that holds a dictionary of a million values is 16,000 chunks. A partition of NULLs only has no row.
+    Chunks are or-ed before and after the shuffle, and strings only meet the dictionary. A partition of NULLs only has no row.
     """
     pairs = df.where(F.col(attr).isNotNull()).groupBy(partition, attr).agg(F.count(F.lit(1)).alias("_rows"))
     codes = dictionary.select(F.col("value").alias(attr), "code", F.col("n").alias("_weight"))
     coded = attach(pairs, codes, [attr], "_weight", how="inner")
     bit = F.expr(f"shiftleft(1L, cast(code % {CHUNK} as int))")
-    chunks = coded.groupBy(partition, F.floor(F.col("code") / CHUNK).alias("chunk")).agg(F.bit_or(bit).alias("bits"))
+    return coded.groupBy(partition, F.floor(F.col("code") / CHUNK).alias("chunk")).agg(F.bit_or(bit).alias("bits"))
+
+
+def value_bitmaps(df: DataFrame, attr: str, dictionary: DataFrame, partition: str = "partition") -> DataFrame:
+    """`value_chunks` with the chunks of a partition in one row, as `<attr>__bits`: (chunk, bits) in order.
+
+    A partition that holds a dictionary of a million values is 16,000 chunks.
+    """
+    chunks = value_chunks(df, attr, dictionary, partition)
     return chunks.groupBy(partition).agg(F.sort_array(F.collect_list(F.struct("chunk", "bits"))).alias(f"{attr}__bits"))
 
 
 def set_members(bitmaps: DataFrame, attr: str, dictionary: DataFrame, partition: str = "partition") -> DataFrame:
-    """A bitmap's values as rows `(partition, value, weight)`, the weight being 1 / number of values."""
-    size = F.aggregate(f"{attr}__bits", F.lit(0), lambda n, c: n + F.bit_count(c["bits"]))
-    chunks = bitmaps.select(partition, size.alias("_size"), F.explode(f"{attr}__bits").alias("_c"))
-    places = F.filter(F.sequence(F.lit(0), F.lit(CHUNK - 1)), lambda i: F.call_function("getbit", F.col("_c.bits"), i) == 1)
-    codes = chunks.select(partition, "_size", "_c", F.explode(places).alias("_bit"))
-    coded = codes.select(partition, "_size", (F.col("_c.chunk") * CHUNK + F.col("_bit")).alias("code"))
+    """A set's values as rows `(partition, value, weight)`, the weight being 1 / number of values.
+
+    `bitmaps` comes from `value_bitmaps`, or is the rows of `value_chunks`. A set is counted from its chunks and not beside
+    them: a chunk that carried its whole set along would make the rows grow with the square of the dictionary.
+    """
+    chunks = bitmaps
+    if f"{attr}__bits" in bitmaps.columns:
+        chunks = bitmaps.select(partition, F.explode(f"{attr}__bits").alias("_c")).select(partition, "_c.chunk", "_c.bits")
+    chunks = Scratch(bitmaps.sparkSession, "chunks").save(chunks)
+    sizes = chunks.groupBy(partition).agg(F.sum(F.bit_count("bits")).alias("_size"), F.count(F.lit(1)).alias("_chunks"))
+    sized = attach(chunks, sizes, [partition], "_chunks")
+    places = F.filter(F.sequence(F.lit(0), F.lit(CHUNK - 1)), lambda i: F.call_function("getbit", F.col("bits"), i) == 1)
+    codes = sized.select(partition, "_size", "chunk", F.explode(places).alias("_bit"))
+    coded = codes.select(partition, "_size", (F.col("chunk") * CHUNK + F.col("_bit")).alias("code"))
     named = attach(coded, dictionary, ["code"], "n", how="inner")
     return named.select(partition, "value", (F.lit(1.0) / F.col("_size")).alias("weight"))
 

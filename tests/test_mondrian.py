@@ -84,3 +84,14 @@ def test_value_sets_as_bits(spark):
     recoded = M.mondrian_recode(df, ["x"], ["cat"], sets=M.BITS)
     assert recoded.count() == len(data) and recoded.where("partition = 'c'").first()["cat__pub"] == []
     assert M.partition_summary(df.limit(0), ["x"], ["cat"], sets=M.BITS).collect() == []
+
+
+def test_set_members_carry_no_whole_set(spark):
+    """Members come from single chunks: no row of the plan holds a partition's whole bitmap, and both forms of a set have the same members."""
+    df = spark.createDataFrame([("a", f"v{i:03d}") for i in range(150)] + [("b", "v149")], "partition string, cat string")
+    dictionary = M.value_dictionary(df, "cat")
+    members = M.set_members(M.value_bitmaps(df, "cat", dictionary), "cat", dictionary)
+    assert "cat__bits" not in members._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted([("a", f"v{i:03d}", 1 / 150) for i in range(150)] + [("b", "v149", 1.0)])
+    assert sorted(tuple(r) for r in members.collect()) == want
+    assert sorted(tuple(r) for r in M.set_members(M.value_chunks(df, "cat", dictionary), "cat", dictionary).collect()) == want

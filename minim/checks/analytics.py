@@ -95,11 +95,17 @@ def check_reference(spark, sf_dir):
     return N.check_reference(df, "seed", "reference")
 
 
+def binary_round(name, digits):
+    """Half up on the double times a power of ten, as the SQL's engine rounds; F.round rounds the double's decimal text, which differs just below a tie."""
+    scale = 10.0 ** digits
+    return (F.round(F.col(name) * scale) / scale).alias(name)
+
+
 @query("normalize_to", f"""WITH {RUNS}, b AS (SELECT seed, iteration, seconds AS base FROM runs WHERE method = 'click')
 SELECT method, seed, iteration, round(seconds, 4) AS seconds, round(seconds / base, 9) AS relative FROM runs JOIN b USING (seed, iteration)""")
 def normalize_to(spark, sf_dir):
     out = N.normalize_to(runs(spark, sf_dir), "click", ["seed", "iteration"], "seconds")
-    return out.select("method", "seed", "iteration", F.round("seconds", 4).alias("seconds"), F.round("relative", 9).alias("relative"))
+    return out.select("method", "seed", "iteration", binary_round("seconds", 4), binary_round("relative", 9))
 
 
 @query("aggregate_seeds", f"""WITH {RUNS} SELECT method, iteration, count(loss) AS seeds, round(avg(loss), 9) AS center,

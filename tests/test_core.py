@@ -203,3 +203,23 @@ def test_first_rows_with_many_large_groups(spark):
     assert got.groupBy("g").count().agg(F.min("count"), F.max("count")).first()[:] == (10, 10)
     expected = sorted(r["k"] for r in rows.where("g = 99999").collect())[:10]
     assert sorted(r["k"] for r in got.where("g = 99999").collect()) == expected
+
+
+def test_normalize_to_odd_references(spark, tmp_path):
+    """References of zero and NULL keep their rows, NULL keys meet nothing, and ties are rounded as the SQL does."""
+    inf = float("inf")
+    data = [("click", 1, 0.0), ("view", 1, 3.0), ("click", 2, None), ("view", 2, 3.0), ("click", None, 1.0), ("click", 3, 2.0), ("view", 3, 3.0), ("view", 4, 3.0)]
+    out = N.normalize_to(spark.createDataFrame(data, "method string, seed int, seconds double"), "click", ["seed"], "seconds")
+    got = sorted((r["seed"], r["method"], str(r["relative"])) for r in out.collect())
+    assert got == [(1, "click", "nan"), (1, "view", str(inf)), (2, "click", "None"), (2, "view", "None"), (3, "click", "1.0"), (3, "view", "1.5")]
+
+    import duckdb
+    from minim.checks import QUERIES, SQL, load_all
+    load_all()
+    con = duckdb.connect()
+    events = [("click", 1, 0.0), ("view", 1, 3.0), ("click", 2, 51.2), ("error", 2, 13.67), ("click", 3, 51.2), ("signup", 3, 51.83)]
+    rows = ", ".join(f"({u}, '{m}', {v}::DOUBLE, TIMESTAMP '2024-01-02 00:00:00')" for m, u, v in events)
+    con.execute(f"CREATE TABLE events AS SELECT * FROM (VALUES {rows}) e(user_id, event_type, value, ts)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = [tuple(map(str, r)) for r in con.execute(SQL["normalize_to"]).fetchall()]
+    assert sorted(tuple(map(str, r)) for r in QUERIES["normalize_to"](spark, str(tmp_path)).collect()) == sorted(want)

@@ -2,7 +2,8 @@
 
 Rows are first collapsed to cells (distinct QI values with a count): every cut depends on cells
 alone. All open partitions are cut in one pass, so the number of passes is the depth of the tree
-and not the number of partitions.
+and not the number of partitions. A partition of at most `LOCAL_ROWS` rows leaves the passes: all of
+these are cut to the end in one shuffle, each by one task, so the passes only follow the depth above them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from minim.session import Scratch
 
 # Passes whose cuts are joined from memory before the cells are written again.
 PASSES_PER_WRITE = 3
+# Rows, and so cells, of a partition that one task cuts to the end.
+LOCAL_ROWS = 100_000
 VALUES, BITS = "values", "bits"
 # Codes per chunk of a value set: the bits of a long without its sign.
 CHUNK = 63
@@ -34,6 +37,52 @@ def _finite(key: Column) -> Column:
     return F.when(key < F.lit(float("inf")), key)
 
 
+def _finish(names: Sequence[str], numeric: int, scale: Sequence[float], k: int):
+    """Cut one small partition to the end: an Arrow table of its cells to `(names..., partition)`, by the rule of the passes."""
+    names = list(names)
+
+    def finish(table):
+        import numpy as np
+        import pyarrow as pa
+        n = table["n"].to_numpy()
+        keys = table["_keys"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(n), len(scale))
+        turns = np.empty(len(n), dtype=object)
+        todo = [(np.arange(len(n)), table["partition"][0].as_py())]
+        while todo:
+            cells, path = todo.pop()
+            turns[cells] = path
+            weight = n[cells]
+            total = int(weight.sum())
+            if total < 2 * k:
+                continue
+            width = []
+            for a, span in enumerate(scale):
+                key = keys[cells, a]
+                if a < numeric:
+                    key = key[key < np.inf]
+                    reach = float(key.max() - key.min()) if len(key) else 0.0
+                    # NaN, from infinite ends, is the largest number to Spark.
+                    width.append(float("inf") if reach != reach or reach == span == np.inf else reach / span if span > 0 or span != span else 0.0)
+                else:
+                    width.append(len(np.unique(key)) / span)
+            if max(width) <= 0:
+                continue
+            for a in sorted(range(len(scale)), key=lambda a: (-width[a], a)):
+                key = keys[cells, a]
+                order = np.argsort(key, kind="stable")
+                key, upto = key[order], np.cumsum(weight[order])
+                ends = np.flatnonzero(key[1:] != key[:-1])
+                ends = ends[(upto[ends] >= k) & (total - upto[ends] >= k)]
+                if len(ends):
+                    # The first of equal distances has the fewest rows on its left.
+                    at = ends[np.argmin(np.abs(upto[ends] - total / 2.0))]
+                    todo += [(cells[order[:at + 1]], path + "L"), (cells[order[at + 1:]], path + "R")]
+                    break
+        return pa.table([*[table[c] for c in names], pa.array(turns, pa.string())], names=[*names, "partition"])
+
+    return finish
+
+
 def mondrian_cells(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], k: int,
     scratch: Scratch | None = None, max_passes: int = 10_000,
@@ -52,7 +101,9 @@ def mondrian_cells(
     scratch = scratch or Scratch(df.sparkSession, "mondrian")
     cells = df.groupBy(*qis).agg(F.count(F.lit(1)).alias("n"))
     cells = scratch.save(cells)
-    ends = cells.agg(*[f(q).cast("double").alias(f"{n}_{q}") for q in numeric
+    # NaN is missing and takes no part in a range.
+    known = {q: F.when(~F.isnan(F.col(q).cast("double")), F.col(q).cast("double")) for q in numeric}
+    ends = cells.agg(*[f(known[q]).alias(f"{n}_{q}") for q in numeric
                        for n, f in (("lo", F.min), ("hi", F.max))], F.sum("n").alias("rows"))
     ends = ends.first().asDict()
     if not ends["rows"]:
@@ -74,13 +125,13 @@ def mondrian_cells(
     if widest > WINDOW_ROWS:
         widest = max(cells.select(q).distinct().count() for q in qis)
     state = keyed.select(*qis, "n", F.array(*[F.col(f"_k_{q}") for q in qis]).alias("_keys"),
-                         F.lit("").alias("partition"), F.lit(True).alias("_open"))
+                         F.lit("").alias("partition"), F.lit(ends["rows"] > LOCAL_ROWS).alias("_open"), F.lit(ends["rows"] <= LOCAL_ROWS).alias("_local"))
     written = state = scratch.save(state)
     scales = F.array(*[F.lit(float(s)) for s in scale])
     is_numeric = F.col("attr") < len(numeric)
     # Cuts since the rows were last written: a few short tables that later passes join in memory.
     waiting: list[DataFrame] = []
-    for _ in range(max_passes):
+    for _ in range(max_passes if ends["rows"] > LOCAL_ROWS else 0):
         keys = state.where("_open").select("partition", "n", F.posexplode("_keys").alias("attr", "key"))
         histogram = keys.groupBy("partition", "attr", "key").agg(F.sum("n").alias("n"))
         upto = running_sums(histogram, ["partition", "attr"], "key", ["n"], widest)
@@ -89,7 +140,7 @@ def mondrian_cells(
         span = F.get(scales, F.col("attr"))
         reach = F.max(_finite(F.col("key"))) - F.min(_finite(F.col("key")))
         per_attr = upto.groupBy("partition", "attr").agg(
-            F.min_by(F.when(legal, F.col("key")),
+            F.min_by(F.when(legal, F.struct("key", "n_upto")),
                      F.when(legal, F.struct(distance, F.col("n_upto")))).alias("cut"),
             reach.alias("_reach"), F.count(F.lit(1)).alias("_distinct"), F.max("n_total").alias("rows"))
         width = (F.when(is_numeric, F.when(span > 0, F.coalesce(F.col("_reach"), F.lit(0.0)) / span).otherwise(0.0))
@@ -101,26 +152,34 @@ def mondrian_cells(
                 F.max_by(F.when(has_cut, F.struct("attr", "cut")),
                          F.when(has_cut, F.struct("width", -F.col("attr")))).alias("_cut"))
             .where((F.col("_widest") > 0) & F.col("_cut").isNotNull())
-            .select("partition", "rows", F.col("_cut.attr").alias("_attr"), F.col("_cut.cut").alias("_at"))
+            .select("partition", "rows", F.col("_cut.attr").alias("_attr"), F.col("_cut.cut.key").alias("_at"),
+                    F.col("_cut.cut.n_upto").alias("_left"))
         )
         cuts = scratch.save(cuts)
         entries = cuts.count()
         if entries == 0:
             break
         moved = attach_small(state, cuts, ["partition"], "rows", entries)
-        turn = F.when(F.get("_keys", F.col("_attr")) <= F.col("_at"), "L").otherwise("R")
+        left = F.get("_keys", F.col("_attr")) <= F.col("_at")
+        turn = F.when(left, "L").otherwise("R")
+        small = F.when(left, F.col("_left")).otherwise(F.col("rows") - F.col("_left")) <= LOCAL_ROWS
         # A partition without a cut is closed: no later cut bears its name.
+        is_cut = F.col("_attr").isNotNull()
         state = moved.select(
-            *qis, "n", "_keys", F.col("_attr").isNotNull().alias("_open"),
-            F.when(F.col("_attr").isNotNull(), F.concat("partition", turn)).otherwise(F.col("partition")).alias("partition"))
+            *qis, "n", "_keys", (is_cut & ~small).alias("_open"), (F.col("_local") | (is_cut & small)).alias("_local"),
+            F.when(is_cut, F.concat("partition", turn)).otherwise(F.col("partition")).alias("partition"))
         waiting.append(cuts)
         if entries > HEAVY_KEYS or len(waiting) == PASSES_PER_WRITE:
             written = state = scratch.replace(written, state)
             scratch.drop(*waiting)
             waiting = []
     else:
-        raise RuntimeError("too many passes")
-    out = scratch.replace(written, state.select(*qis, "n", "partition"))
+        if ends["rows"] > LOCAL_ROWS:
+            raise RuntimeError("too many passes")
+    closed = state.select(*qis, "n", "partition")
+    finish = _finish([*qis, "n"], len(numeric), scale, k)
+    local = state.where("_local").select(*qis, "n", "_keys", "partition").groupBy("partition").applyInArrow(finish, closed.schema)
+    out = scratch.replace(written, state.where("NOT _local").select(*qis, "n", "partition").unionByName(local))
     scratch.drop(cells, *waiting)
     return out
 

@@ -95,3 +95,20 @@ def test_set_members_carry_no_whole_set(spark):
     want = sorted([("a", f"v{i:03d}", 1 / 150) for i in range(150)] + [("b", "v149", 1.0)])
     assert sorted(tuple(r) for r in members.collect()) == want
     assert sorted(tuple(r) for r in M.set_members(M.value_chunks(df, "cat", dictionary), "cat", dictionary).collect()) == want
+
+
+def test_small_partitions_are_finished_alike(spark, monkeypatch):
+    """Passes alone, passes down to small partitions, and one task give the same tree; small partitions leave the passes."""
+    rng = random.Random(7)
+    data = [(i, rng.choice([None, float("nan"), *map(float, range(9))]), round(rng.random(), 2), rng.choice(["x", "y", "z", "z", None])) for i in range(400)]
+    df = spark.createDataFrame(data, "row_id int, a double, b double, c string")
+    found, joins = [], []
+    small = M.attach_small
+    for rows in (0, 90, 1000):
+        monkeypatch.setattr(M, "LOCAL_ROWS", rows)
+        passes = []
+        monkeypatch.setattr(M, "attach_small", lambda *a: passes.append(1) or small(*a))
+        found.append({r["row_id"]: r["partition"] for r in M.mondrian(df, ["a", "b"], ["c"], 4).collect()})
+        joins.append(len(passes))
+    assert found[0] == found[1] == found[2] and len(set(found[0].values())) > 40
+    assert joins[0] > joins[1] > joins[2] == 0

@@ -275,6 +275,8 @@ def set_members(bitmaps: DataFrame, attr: str, dictionary: DataFrame, partition:
 
 def mondrian_invariants(rows: DataFrame, assigned: DataFrame, k: int, row_id: str = "row_id") -> DataFrame:
     """One row: rows covered exactly once, rows missing, and whether every partition has k rows."""
+    # Read twice below; the assignment itself is a join of all rows.
+    assigned = Scratch(assigned.sparkSession, "assigned").save(assigned.select(row_id, "partition"))
     seen = assigned.groupBy(row_id).agg(F.count(F.lit(1)).alias("n"), F.count("partition").alias("p"))
     cover = rows.select(row_id).join(seen, row_id, "left").agg(
         F.count(F.when((F.col("n") == 1) & (F.col("p") == 1), 1)).alias("covered_once"),

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from minim.functions.ordering import seeded_key, seeded_normal, unit_interval
 from minim.operators.hierarchy import Forest, Hierarchy, at, leaf_name
+from minim.session import Scratch
 
 # A node's vectors are broadcast as one table per QI: leaves x width numbers.
 MAX_BLOCK = 4_000_000
@@ -356,15 +357,30 @@ def fit_logistic_reporting(vectors: DataFrame, label: str = "label", features: s
     return Linear(tuple(tuple(float(x) for x in row) for row in matrix), tuple(float(x) for x in model.interceptVector.toArray())), limit_reached
 
 
+# Rows a partition of an iterative fit holds at most, and the partitions per core below that.
+FIT_ROWS, FIT_WAVES = 100_000, 2
+
+
+def fit_table(vectors: DataFrame, label: str, features: str = "features") -> DataFrame:
+    """Label and features only, written once and dealt evenly over all cores.
+
+    An iterative fit passes over its rows hundreds of times with the partitions it is given; those of a small file or of a
+    coalesced shuffle are few and would leave most cores idle.
+    """
+    rows = Scratch(vectors.sparkSession, "fit").save(vectors.select(label, features))
+    parts = max(FIT_WAVES * vectors.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FIT_ROWS))
+    return rows.repartition(parts)
+
+
 def fit_mlp(vectors: DataFrame, width: int, classes: int = 2, label: str = "label", seed: int = 42, max_iter: int = 100):
     """Two hidden layers of 32; Spark's perceptron is sigmoid with L-BFGS, the reference's ReLU with Adam."""
     return MultilayerPerceptronClassifier(
-        featuresCol="features", labelCol=label, layers=[width, 32, 32, classes], seed=seed, maxIter=max_iter).fit(vectors)
+        featuresCol="features", labelCol=label, layers=[width, 32, 32, classes], seed=seed, maxIter=max_iter).fit(fit_table(vectors, label))
 
 
 def fit_gbt(vectors: DataFrame, label: str = "label", seed: int = 42, trees: int = 100, depth: int = 3, rate: float = 0.1):
     """Boosted trees: 100 trees of depth 3 at rate 0.1 (two classes)."""
-    return GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed).fit(vectors)
+    return GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed).fit(fit_table(vectors, label))
 
 
 def class_probability(fitted, vectors: DataFrame, name: str = "p") -> DataFrame:

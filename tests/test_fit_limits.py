@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from minim.operators import hierarchy_mondrian as H
 from minim.operators.hierarchy import assign_leaves, nested_hierarchy
 from minim.operators.model_attacks import linkage_attack, reconstruction_attack
-from minim.operators.models import FeatureSpace
+from minim.operators.models import FIT_WAVES, FeatureSpace, fit_table
 from minim.operators.release import Snapshot
 from minim.plans.sweep import mondrian_sweep
 
@@ -40,3 +40,12 @@ def test_sweep_at_both_ends(spark, rows):
     out = {r["k"]: r for r in mondrian_sweep(rows, rows, FOREST, "label", [2, 400], [H.INFOGAIN]).collect()}
     assert out[2]["class_count"] > 1 and out[2]["min_k"] >= 2
     assert (out[400]["class_count"], out[400]["min_k"], out[400]["fallback_count"]) == (1, 400, 0)
+
+
+def test_fits_get_even_partitions(spark):
+    """A fit's rows are dealt over all cores, however few partitions they come in, and none is lost."""
+    from pyspark.ml.linalg import Vectors
+    rows = spark.createDataFrame([(i, i % 2, Vectors.dense([float(i)])) for i in range(400)], ["id", "label", "features"]).coalesce(1)
+    made = fit_table(rows, "label")
+    assert made.columns == ["label", "features"] and made.count() == 400
+    assert made.rdd.getNumPartitions() >= FIT_WAVES * spark.sparkContext.defaultParallelism

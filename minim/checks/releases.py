@@ -135,32 +135,40 @@ def eval_stats(spark, sf_dir):
     return rounded(R.eval_stats(*routed(spark, sf_dir)))
 
 
-def saved_release(spark, sf_dir):
+def leafed(spark, sf_dir):
+    """The population with its leaves, joined and looked up once: each release and each check below reads it again."""
+    rows = R.ensure_leaves(people(spark, sf_dir), people_forest())
+    return Scratch(spark, "leafed").save(rows.drop("total", "balance"))
+
+
+def saved_release(spark, rows):
+    """Four saved releases of `rows`, which are grouped to cells once for all of them."""
     forest = people_forest()
     path = Scratch(spark, "saved").path
+    cells = Scratch(spark, "cells").save(R.leaf_cells(rows, forest))
     for upto in (1, 2, 3, 4):
         history = SNAPSHOTS[:upto]
-        rel = R.materialize_release(R.leaf_cells(people(spark, sf_dir), forest), forest, history, K)
-        rows = R.release_rows(people(spark, sf_dir), forest, rel).where("snapshot IS NOT NULL")
-        save_release(rows, path, history[-1].iteration)
+        rel = R.materialize_release(cells, forest, history, K)
+        save_release(R.release_rows(rows, forest, rel).where("snapshot IS NOT NULL"), path, history[-1].iteration)
     return path
 
 
 @query("load_release", f"WITH {FULL} SELECT CAST(2 AS INTEGER) AS iteration, row_id, snapshot FROM rel")
 def load_saved(spark, sf_dir):
-    return load_release(spark, saved_release(spark, sf_dir)).select("iteration", "row_id", "snapshot")
+    return load_release(spark, saved_release(spark, leafed(spark, sf_dir))).select("iteration", "row_id", "snapshot")
 
 
 @query("release_points", "SELECT unnest([-1, 0, 1, 2]) AS iteration FROM (SELECT 1 FROM orders LIMIT 1)")
 def points(spark, sf_dir):
-    return release_points(spark.read.parquet(saved_release(spark, sf_dir)), "all")
+    return release_points(spark.read.parquet(saved_release(spark, leafed(spark, sf_dir))), "all")
 
 
 @query("rebuild_release", f"WITH {FULL} SELECT row_id, {P}, label FROM rel JOIN pop USING (row_id)")
 def rebuild_release(spark, sf_dir):
     forest = people_forest()
-    saved = pick_release(spark.read.parquet(saved_release(spark, sf_dir)))
-    out = R.rebuild_release(people(spark, sf_dir), saved, forest, SNAPSHOTS, K)
+    rows = leafed(spark, sf_dir)
+    saved = pick_release(spark.read.parquet(saved_release(spark, rows)))
+    out = R.rebuild_release(rows, saved, forest, SNAPSHOTS, K)
     return R.published_text(out, forest).select("row_id", *QIS, "label")
 
 

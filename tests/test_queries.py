@@ -27,3 +27,12 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
+
+
+def test_saved_releases_share_their_cells(spark, monkeypatch):
+    """The four saved releases of one population are made from cells that are grouped once."""
+    from minim.checks import releases
+    calls, cells = [], releases.R.leaf_cells
+    monkeypatch.setattr(releases.R, "leaf_cells", lambda *a: calls.append(1) or cells(*a))
+    out = releases.rebuild_release(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and out.count() > 0

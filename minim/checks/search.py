@@ -591,8 +591,9 @@ FROM sizes, (SELECT unnest(['median', 'infogain']) AS variant) GROUP BY variant"
 def tree_invariants(spark, sf_dir):
     """Every training row is in one leaf of at least k rows whose region holds it, and a node's size is the sum of its children's."""
     parts = []
+    train, _, _ = split(spark, sf_dir)
     for variant in (H.MEDIAN, H.INFOGAIN):
-        tree, _ = fitted(spark, sf_dir, variant)
+        tree = H.fit_mondrian(train, people_forest(), "label", TREE_K, variant)
         leaves = H.leaf_nodes(tree).select("path", F.col("size").alias("_size"), *H.region_columns(tree.forest))
         placed = attach(tree.cells, leaves, ["path"], "_size")
         inside = reduce(lambda a, b: a & b, [H._contains(tree.forest, a) for a in tree.forest])

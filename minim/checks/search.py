@@ -451,8 +451,10 @@ def dp_gradient_step(spark, sf_dir):
     return spark.createDataFrame(out, "feature string, value double")
 
 
-def split(spark, sf_dir):
-    rows = Scratch(spark, "split").save(stratified_split(people(spark, sf_dir), "label", 0.15, 0.15, SEED))
+def split(spark, sf_dir, columns=None):
+    """Training, validation and test rows, with all columns or those asked for."""
+    rows = people(spark, sf_dir)
+    rows = stratified_split(rows.select(*columns) if columns else rows, "label", 0.15, 0.15, SEED)
     return rows.where("split = 'train'"), rows.where("split = 'val'"), rows.where("split = 'test'")
 
 
@@ -552,10 +554,12 @@ def removal_invariants(spark, sf_dir):
 
 
 TREE_K = 400
+# What trees and their routing read.
+TREE_COLUMNS = ("row_id", *QIS, "label")
 
 
 def fitted(spark, sf_dir, variant=H.MEDIAN):
-    train, val, _ = split(spark, sf_dir)
+    train, val, _ = split(spark, sf_dir, TREE_COLUMNS)
     return H.fit_mondrian(train, people_forest(), "label", TREE_K, variant), val
 
 
@@ -591,7 +595,7 @@ FROM sizes, (SELECT unnest(['median', 'infogain']) AS variant) GROUP BY variant"
 def tree_invariants(spark, sf_dir):
     """Every training row is in one leaf of at least k rows whose region holds it, and a node's size is the sum of its children's."""
     parts = []
-    train, _, _ = split(spark, sf_dir)
+    train, _, _ = split(spark, sf_dir, TREE_COLUMNS)
     for variant in (H.MEDIAN, H.INFOGAIN):
         tree = H.fit_mondrian(train, people_forest(), "label", TREE_K, variant)
         leaves = H.leaf_nodes(tree).select("path", F.col("size").alias("_size"), *H.region_columns(tree.forest))

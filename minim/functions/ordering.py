@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Leading hex digits that buckets are made of, at most.
+MAX_DIGITS = 6
+
 
 def seeded_key(seed: int | str, *ids: Column | str) -> Column:
     """`md5(seed ':' id ':' ...)` as 32 hex digits; sort by it for a seeded shuffle."""
@@ -24,10 +27,20 @@ def key_bucket(key: Column, digits: int) -> Column:
     return F.substring(key, 1, digits)
 
 
+def key_head(key: Column) -> Column:
+    """The leading `MAX_DIGITS` hex digits of a seeded key as a number, in key order."""
+    return F.conv(F.substring(key, 1, MAX_DIGITS), 16, 10).cast("int")
+
+
+def head_bucket(head: Column, digits: int) -> Column:
+    """The bucket of `key_bucket` as a number, from a key's head."""
+    return F.shiftright(head, 4 * (MAX_DIGITS - digits))
+
+
 def bucket_digits(rows: int, per_bucket: int = 1_000_000) -> int:
     """How many leading digits keep each bucket at about `per_bucket` rows."""
     digits = 1
-    while digits < 6 and rows > per_bucket * 16**digits:
+    while digits < MAX_DIGITS and rows > per_bucket * 16**digits:
         digits += 1
     return digits
 

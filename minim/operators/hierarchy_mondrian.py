@@ -161,14 +161,18 @@ def fit_trees(
     scratch = scratch or Scratch(df.sparkSession, "tree")
     attrs = list(forest)
     values = [value_name(a) for a in attrs]
-    rows = mondrian_values(df, forest, check).select(*values, label)
+    # The input is read once: checks, classes and cells come from its distinct QI values and labels.
+    given = [a for a, t in forest.items() if t.numeric or check or leaf_name(a) not in df.columns]
+    given += [leaf_name(a) for a in attrs if leaf_name(a) in df.columns]
+    counted = scratch.save(df.groupBy(*dict.fromkeys([*given, label])).agg(F.count(F.lit(1)).alias("_rows")))
+    rows = mondrian_values(counted, forest, check).select(*values, label, "_rows")
     classes = [r[0] for r in rows.select(label).distinct().orderBy(label).limit(MAX_CLASSES + 1).collect()]
     if len(classes) > MAX_CLASSES or None in classes:
         raise ValueError("labels must be present and few")
     counts = [f"c{i}" for i in range(len(classes))]
     cells = rows.groupBy(*values).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.when(F.col(label) == F.lit(c), 1).otherwise(0)).alias(name) for c, name in zip(classes, counts)])
+        F.sum("_rows").alias("n"),
+        *[F.sum(F.when(F.col(label) == F.lit(c), F.col("_rows")).otherwise(0)).alias(name) for c, name in zip(classes, counts)])
     cells = scratch.save(cells)
     total = cells.agg(F.sum("n").alias("n")).first()["n"]
     if not total or total < max(k for _, k in trees.values()):

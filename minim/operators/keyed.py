@@ -106,20 +106,26 @@ def rank_by_key(
 
 
 def quota_bounds(
-    rows: DataFrame, group: Sequence[str], key: str, quotas: DataFrame, quota: str,
-    digits: int | None = None, part: str | None = None,
+    rows: DataFrame, group: Sequence[str], key: str | Column, quotas: DataFrame, quota: str,
+    digits: int | None = None, part: str | None = None, bucket: Column | None = None,
 ) -> DataFrame:
     """The key of the `quota`-th row of each group, in key order: `(group..., quota, bound)`.
 
     `quotas` has one row per group, or several told apart by the column `part`, which comes back too: all are found in the
     same pass. `bound` is NULL for a quota of 0. A row is among the first `quota` of its group exactly when `key <= bound`.
     Only counts and the rows of one bucket per quota are shuffled; the rows themselves stay where they are.
+
+    Where the rows hold their key's place already, `bucket` gives it (in key order) and `key` may be an expression: it is only made for the rows
+    of the buckets with a bound. The quotas must be few then, as those buckets are broadcast.
     """
-    if digits is None:
+    if digits is None and bucket is None:
         digits = bucket_digits(rows.count())
     group = list(group)
     parts = [part] if part else []
-    slim = rows.select(*group, key).withColumn("_bucket", key_bucket(F.col(key), digits))
+    if bucket is None:
+        slim = rows.select(*group, key).withColumn("_bucket", key_bucket(F.col(key), digits))
+    else:
+        slim = rows.withColumn("_bucket", bucket)
     counts = slim.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     upto = (Window.partitionBy(*group).orderBy("_bucket")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -140,12 +146,13 @@ def quota_bounds(
     cond = reduce(lambda a, b: a & b,
                   [F.col(g).eqNullSafe(F.col(f"_c_{g}")) for g in group]
                   + [F.col("_bucket") == F.col("_c_bucket")])
-    place = Window.partitionBy(*group, *parts).orderBy(key)
+    place = Window.partitionBy(*group, *parts).orderBy("_bound")
     bounds = (
-        slim.join(crossing, cond, "inner")
+        slim.join(crossing if bucket is None else F.broadcast(crossing), cond, "inner")
+        .withColumn("_bound", F.col(key) if isinstance(key, str) else key)
         .withColumn("_rn", F.row_number().over(place))
         .where(F.col("_rn") == F.col("_place"))
-        .select(*[F.col(g).alias(f"_b_{g}") for g in group], *[F.col(p).alias(f"_b_{p}") for p in parts], F.col(key).alias("bound"))
+        .select(*[F.col(g).alias(f"_b_{g}") for g in group], *[F.col(p).alias(f"_b_{p}") for p in parts], F.col("_bound").alias("bound"))
     )
     cond = reduce(lambda a, b: a & b,
                   [F.col(f"_q_{g}").eqNullSafe(F.col(f"_b_{g}")) for g in group] + [F.col(p) == F.col(f"_b_{p}") for p in parts], F.lit(True))

@@ -10,11 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minim.functions.ordering import bucket_digits, seeded_key
+from minim.functions.ordering import bucket_digits, head_bucket, key_head, seeded_key
 from minim.operators.keyed import quota_bounds, rank_by_key
+from minim.session import Scratch
 
 MAX_LABELS = 10_000
 
@@ -52,8 +53,15 @@ def stratified_split(
 
     Test is drawn first; validation then takes `val / (1 - test)` of what remains. Within each
     label the first rows of the seeded order are test, the next validation.
+
+    The input is evaluated once: its rows are written with the head of their key, and counts, bounds and every reader of
+    the split start from these. A whole key is made only for rows whose head is that of a bound.
     """
-    counts = label_counts(df, label)
+    spark = df.sparkSession
+    scratch = Scratch(spark, "stratified")
+    key = seeded_key(seed, row_id)
+    rows = scratch.save(df.withColumn("_head", key_head(key)))
+    counts = label_counts(rows, label)
     if any(value is None for value, _ in counts):
         raise ValueError("labels must not be missing")
     n = sum(c for _, c in counts)
@@ -63,17 +71,20 @@ def stratified_split(
         v = round_half_up(val / (1.0 - test) * (count - t))
         tests.append((value, t))
         vals.append((value, t + v))
-    keyed = df.withColumn("_key", seeded_key(seed, row_id))
-    slim = keyed.select(label, "_key")
     kind = df.schema[label].dataType.simpleString()
-    quotas = df.sparkSession.createDataFrame([(v, p, q) for p, found in enumerate((tests, vals)) for v, q in found], f"`{label}` {kind}, _part int, quota bigint")
+    quotas = spark.createDataFrame([(v, p, q) for p, found in enumerate((tests, vals)) for v, q in found], f"`{label}` {kind}, _part int, quota bigint")
     # Both bounds of a label in one pass; one row per label, checked by label_counts.
-    bounds = quota_bounds(slim, [label], "_key", quotas, "quota", bucket_digits(n), "_part")
+    slim = rows.select(*dict.fromkeys([label, row_id, "_head"]))
+    bounds = quota_bounds(slim, [label], key, quotas, "quota", part="_part", bucket=head_bucket(F.col("_head"), bucket_digits(n)))
     marks = bounds.groupBy(F.col(label).alias("_l")).agg(F.max(F.when(F.col("_part") == 0, F.col("bound"))).alias("_test"),
                                                          F.max(F.when(F.col("_part") == 1, F.col("bound"))).alias("_val"))
-    split = (F.when(F.col("_key") <= F.col("_test"), "test")
-             .when(F.col("_key") <= F.col("_val"), "val").otherwise("train"))
-    return (keyed.join(F.broadcast(marks), keyed[label] == marks["_l"])
+    marks = scratch.save(marks.select("*", *[key_head(F.col(m)).alias(f"{m}_head") for m in ("_test", "_val")]))
+
+    def upto(bound: str) -> Column:
+        return F.when(F.col("_head") == F.col(f"{bound}_head"), key <= F.col(bound)).otherwise(F.col("_head") < F.col(f"{bound}_head"))
+
+    split = F.when(upto("_test"), "test").when(upto("_val"), "val").otherwise("train")
+    return (rows.join(F.broadcast(marks), rows[label] == marks["_l"])
             .select(*df.columns, split.alias("split")))
 
 

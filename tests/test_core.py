@@ -1,5 +1,6 @@
 """Keyed operations, classes, sampling, hierarchies and analytics with hand values."""
 
+import hashlib
 import math
 import random
 
@@ -146,6 +147,34 @@ def test_split_and_sample(spark):
         P.covering_quotas([("a", 1), ("b", 1)], 1)
 
 
+def test_split_evaluates_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(y):
+        seen.add(1)
+        return y
+
+    df = spark.range(1000).select(F.col("id").alias("row_id"), F.udf(note, "int").asNondeterministic()(F.expr("CAST(id % 50 = 0 AS INT)")).alias("y"))
+    rows = P.stratified_split(df, "y", 0.15, 0.15, 5)
+    counts = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
+    assert counts == {"test": 150, "val": 150, "train": 700} and rows.where("split = 'train'").count() == 700
+    assert seen.value == 1000
+
+
+@pytest.mark.parametrize("digits", [1, 6])
+def test_split_is_exact_where_many_keys_share_their_head(spark, monkeypatch, digits):
+    monkeypatch.setattr("minim.functions.ordering.MAX_DIGITS", digits)
+    df = spark.range(1000).selectExpr("id AS row_id", "CAST(id % 3 = 0 AS INT) AS y")
+    got = {r["row_id"]: r["split"] for r in P.stratified_split(df, "y", 0.15, 0.15, 5).collect()}
+    want = {}
+    for y in (0, 1):
+        ids = sorted((i for i in range(1000) if int(i % 3 == 0) == y), key=lambda i: hashlib.md5(f"5:{i}".encode()).hexdigest())
+        t = P.round_half_up(0.15 * len(ids))
+        v = P.round_half_up(0.15 / (1.0 - 0.15) * (len(ids) - t))
+        want.update({i: "test" if n < t else "val" if n < t + v else "train" for n, i in enumerate(ids)})
+    assert got == want
+
+
 def test_release_publishes_each_row_once(spark):
     rng = random.Random(5)
     df = spark.createDataFrame([(i, rng.choice(["a", "b", "c", None]), rng.randrange(8)) for i in range(200)], "row_id int, kind string, age int")

@@ -47,6 +47,28 @@ def test_coverage_and_k(spark):
         assert H.published_k(fitted).agg(F.min("k")).first()[0] >= 2
 
 
+def test_input_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(age):
+        seen.add(1)
+        return age
+
+    df = frame(spark, AGES * 3).withColumn("age", F.udf(note, "int").asNondeterministic()("age"))
+    fitted = H.fit_mondrian(df, forest(), "y", 2, "infogain")
+    assert seen.value == 24
+    assert H.leaf_nodes(fitted).agg(F.sum("size")).first()[0] == 24
+
+
+def test_given_leaves_and_a_label_that_is_a_column_of_the_tree(spark):
+    rows = [(i % 8, "abc"[i % 3], i % 2) for i in range(48)] + [(None, "a", 0)] * 3
+    df = frame(spark, rows)
+    plain = H.fit_mondrian(df, forest(), "kind", 2, "infogain")
+    placed = H.mondrian_values(df, forest()).select("age", "kind", "age__leaf", "kind__leaf")
+    given = H.fit_mondrian(placed, forest(), "kind", 2, "infogain", check=False)
+    assert sorted(map(repr, plain.nodes.collect())) == sorted(map(repr, given.nodes.collect()))
+
+
 def routed(spark, fitted, rows):
     df = frame(spark, rows)
     out = H.route_split_widening(df, fitted).collect()

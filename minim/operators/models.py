@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from minim.functions.ordering import seeded_key, seeded_normal, unit_interval
 from minim.operators.hierarchy import Forest, Hierarchy, at, leaf_name
+from minim.operators.perceptron import BLOCK, fit_weights
 from minim.session import Scratch
 
 # A node's vectors are broadcast as one table per QI: leaves x width numbers.
@@ -357,25 +358,49 @@ def fit_logistic_reporting(vectors: DataFrame, label: str = "label", features: s
     return Linear(tuple(tuple(float(x) for x in row) for row in matrix), tuple(float(x) for x in model.interceptVector.toArray())), limit_reached
 
 
-# Rows a partition of an iterative fit holds at most, and the partitions per core below that.
+# Rows a partition of an iterative fit holds at most where rows are dealt, and the partitions per core below that.
 FIT_ROWS, FIT_WAVES = 100_000, 2
+# Rows up to which Spark's own perceptron is quicker than packed rows, whose passes cost more to start.
+PLAIN_ROWS = 100_000
 
 
-def fit_table(vectors: DataFrame, label: str, features: str = "features") -> DataFrame:
-    """Label and features only, written once and dealt evenly over all cores.
+def fit_rows(vectors: DataFrame, label: str, features: str = "features") -> DataFrame:
+    """Label and features only, written once."""
+    return Scratch(vectors.sparkSession, "fit").save(vectors.select(label, features))
+
 
-    An iterative fit passes over its rows hundreds of times with the partitions it is given; those of a small file or of a
-    coalesced shuffle are few and would leave most cores idle.
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows in at least one partition per core as they are, fewer partitions dealt evenly over all cores.
+
+    The partitions of a small file or of a coalesced shuffle are few and would leave most cores idle.
     """
-    rows = Scratch(vectors.sparkSession, "fit").save(vectors.select(label, features))
-    parts = max(FIT_WAVES * vectors.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FIT_ROWS))
-    return rows.repartition(parts)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(max(FIT_WAVES * cores, -(-rows.count() // FIT_ROWS)))
+
+
+def fit_table(vectors: DataFrame, label: str, features: str = "features") -> DataFrame:
+    """The rows of a fit, written once and spread over all cores."""
+    return dealt(fit_rows(vectors, label, features))
 
 
 def fit_mlp(vectors: DataFrame, width: int, classes: int = 2, label: str = "label", seed: int = 42, max_iter: int = 100):
-    """Two hidden layers of 32; Spark's perceptron is sigmoid with L-BFGS, the reference's ReLU with Adam."""
-    return MultilayerPerceptronClassifier(
-        featuresCol="features", labelCol=label, layers=[width, 32, 32, classes], seed=seed, maxIter=max_iter).fit(fit_table(vectors, label))
+    """Two hidden layers of 32; Spark's perceptron is sigmoid with L-BFGS, the reference's ReLU with Adam.
+
+    Beyond `PLAIN_ROWS` rows `perceptron` takes Spark's steps: Spark gives the first weights and holds the fitted ones, by fits
+    without a step to a single row.
+    """
+    rows, layers = fit_rows(vectors, label), [width, 32, 32, classes]
+    plain = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=layers, seed=seed, maxIter=max_iter, blockSize=BLOCK)
+    count = rows.count()
+    if count <= PLAIN_ROWS:
+        return plain.fit(dealt(rows))
+    single = rows.sparkSession.createDataFrame(
+        [(0.0, Vectors.dense([0.0] * width))], T.StructType([T.StructField(label, T.DoubleType()), T.StructField("features", VectorUDT())]))
+    still = plain.copy({plain.maxIter: 0})
+    found = fit_weights(dealt(rows), count, label, layers, still.fit(single).weights.toArray(), max_iter, plain.getTol())
+    return still.setInitialWeights(Vectors.dense(found)).fit(single)
 
 
 def fit_gbt(vectors: DataFrame, label: str = "label", seed: int = 42, trees: int = 100, depth: int = 3, rate: float = 0.1):

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from minim.functions.ordering import seeded_key, seeded_normal, unit_interval
+from minim.operators.binned_trees import fit_points
 from minim.operators.hierarchy import Forest, Hierarchy, at, leaf_name
 from minim.operators.perceptron import BLOCK, fit_weights
 from minim.session import Scratch
@@ -405,7 +406,9 @@ def fit_mlp(vectors: DataFrame, width: int, classes: int = 2, label: str = "labe
 
 def fit_gbt(vectors: DataFrame, label: str = "label", seed: int = 42, trees: int = 100, depth: int = 3, rate: float = 0.1):
     """Boosted trees: 100 trees of depth 3 at rate 0.1 (two classes)."""
-    return GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed).fit(fit_table(vectors, label))
+    rows = fit_rows(vectors, label)
+    return fit_points(rows, dealt(rows), label, GBTClassifier(
+        featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed))
 
 
 def class_probability(fitted, vectors: DataFrame, name: str = "p") -> DataFrame:

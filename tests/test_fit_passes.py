@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from minim.operators import binned_trees as B
 from minim.operators import models as L
 from minim.operators import perceptron as P
 
@@ -21,6 +22,10 @@ def table(spark, count, classes=2, seed=7):
     return spark.createDataFrame(rows, ["id", "label", "features"]).coalesce(1)
 
 
+def scores(model, rows):
+    return np.array([r["p"] for r in L.class_probability(model, rows).orderBy("id").select("p").collect()])
+
+
 def spied(monkeypatch, kind):
     """The number of rows of each fit by Spark ML."""
     seen, fit = [], kind.fit
@@ -28,6 +33,39 @@ def spied(monkeypatch, kind):
     return seen
 
 
+@pytest.mark.parametrize("count, room", [(2500, B.ROOM), (12_500, 8)])
+def test_boosted_trees_see_points(spark, monkeypatch, count, room):
+    """Spark grows the trees on combinations of bins, and the model is the one of the rows, also where its thresholds come from a draw."""
+    rows = table(spark, count)
+    plain = GBTClassifier(featuresCol="features", labelCol="label", maxIter=4, maxDepth=3, stepSize=0.1, seed=42).fit(L.fit_table(rows, "label"))
+    monkeypatch.setattr(B, "ROOM", room)
+    seen = spied(monkeypatch, GBTClassifier)
+    model = L.fit_gbt(rows, trees=4)
+    assert len(seen) == 1 and seen[0] <= 2 * 2 * 2 * 6 * 32
+    assert np.abs(scores(model, rows) - scores(plain, rows)).max() < 1e-9
+    assert [t.numNodes for t in model.trees] == [t.numNodes for t in plain.trees]
+
+
+def test_points_hold_all_rows(spark):
+    rows = table(spark, 2000).unionAll(table(spark, 2000))
+    cuts = B.find_thresholds(rows, "features", 4000, 4, 42)
+    assert [len(c) for c in cuts] == [1, 31, 1, 5]
+    points = B.binned_points(rows, "label", "features", cuts)
+    assert points.agg(F.sum("weight")).first()[0] == 4000
+    weights = {(r["label"], *r["features"]): r["weight"] for r in B.point_vectors(points, "label", "features", cuts).collect()}
+    assert len(weights) == points.count()
+    one = rows.where("id = 17").first()
+    key = (float(one["label"]), *(1.0 + np.searchsorted(c, x) for c, x in zip(cuts, one["features"])))
+    assert weights[key] >= 2
+
+
+def test_thresholds():
+    assert B.thresholds([1.0, 3.0], [1, 1], 2.0, 32) == [2.0]
+    assert B.thresholds([1.0, 3.0], [1, 1], 5.0, 32) == [0.5, 2.0]
+    assert B.thresholds([], [], 5.0, 32) == []
+    assert B.thresholds([float(i) for i in range(1, 101)], [1] * 100, 100.0, 4) == [25.5, 50.5, 75.5]
+
+
 @pytest.mark.parametrize("classes", [2, 3])
 def test_perceptron_as_spark(spark, monkeypatch, classes):
     """Spark's classifier sees a single row, and the weights are those it finds on all of them."""

@@ -28,7 +28,7 @@ FEW, PROBE = 32, 512
 #: Tasks of a pass per core: each returns one gradient to the driver, whatever the number of rows.
 WAVES = 2
 #: Pieces of a file, on average at most: Parquet looks at a page's size every hundred records only, and a piece has a megabyte or two.
-FILED = 16
+FILED = 4
 
 PACKED = "rows int, blocks int, scale double, coded binary, starts binary, cells binary, other binary, target binary"
 SUMS = "loss double, blocks bigint, gradient binary"
@@ -321,7 +321,7 @@ def fit_weights(
     parts = max(WAVES * spark.sparkContext.defaultParallelism, -(-count // (PIECE * FILED)))
     packed = scratch.save(packed_rows(rows, label, features, layers[0], layers[-1]).repartition(parts))
     before = spark.conf.get(batch)
-    spark.conf.set(batch, "4")
+    spark.conf.set(batch, "1")
     try:
         return minimize_smooth(objective(packed, layers), np.asarray(first, dtype=float), max_iter, tolerance).tolist()
     finally:
